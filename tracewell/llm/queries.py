@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import exact_dedup, mixing, packing, url_filter
+from tracewell.llm import exact_dedup, mixing, packing, topk, toxicity, url_filter
 
 #: The rules that op3 judges by.
 URL_RULES = (
@@ -44,11 +44,24 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from labels that aren't held out."""
+    docs, labels, out = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), toxicity.held_out(F.col("doc_id"))
+    weights = toxicity.fit(docs, labels, keep=~out)
+    scored = toxicity.score(docs, weights)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document stays for every document."""
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors of highest inner product for every row whose vec_id is divisible by 50."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document and their places in sequences."""
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), limit=SEQUENCE)
@@ -58,7 +71,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mixing": op2_source_mixing,
         "op3_url_filter": op3_url_filter,
+        "op4_toxicity": op4_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
+        "op8_exact_topk": op8_exact_topk,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
 
@@ -67,6 +82,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filter": OP3_SQL,
         "op5_exact_dedup": OP5_SQL,
+        "op8_exact_topk": OP8_SQL,
     }
 
 
@@ -96,3 +112,14 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
   doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM t
 """
+
+OP8_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
