@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,42 +20,85 @@ END = 0
 #: Pieces that one packing task takes, about; tasks grow in number with the input.
 PIECES_PER_TASK = 200_000
 
-# A token never runs from a non-blank into a blank, so a text can be cut before a single space
-# between two non-blanks, and the parts be encoded apart.
+#: Fixed value: how byte-level BPE of this kind parts a text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+# No token runs from a non-blank into a blank, so a text can be cut before a single space between
+# two non-blanks, and around a single line feed between them, and the parts be encoded apart.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def byte_level_encoding(path: str):
+    """An encoder of ordinary text (special tokens' strings too) from a byte-level BPE file."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        known = json.load(f)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file writes as themselves
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    special = {x["content"] for x in known["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in known["model"]["vocab"].items() if t not in special}
+    return tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+class _Odd(Exception):
+    """A part that blanks surround: the text needs the slower cut."""
+
+
+class _Parts(dict):
+    """Ids, as bytes, of parts between single spaces, with ``lead`` before each.
+
+    Two generations of LIMIT parts are remembered; a part of the older moves on when it is used.
+    """
+
+    LIMIT = 400_000
+
+    def __init__(self, encode, lead: str, plain: _Parts | None) -> None:
+        self.encode, self.lead, self.plain = encode, lead, self if plain is None else plain
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _Odd
+        if "\n" in part:
+            first, _, rest = part.partition("\n")
+            if not first[-1].isspace() and not rest[0].isspace():
+                return self[first] + self.plain.feed + self.plain[rest]
+        out = self.old.pop(part, None) or self.encode(self.lead + part)
+        if len(self) >= self.LIMIT:
+            self.old = dict(self)
+            self.clear()
+        self[part] = out
+        return out
+
+
 class PieceEncoder:
     """Ids of texts by a byte-level BPE file, with the parts between single spaces remembered."""
 
-    LIMIT = 300_000
-
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        encoding = byte_level_encoding(path)
+        self.encode = lambda text: array("I", encoding.encode_ordinary(text)).tobytes()
+        self.first = _Parts(self.encode, "", None)
+        self.first.feed = self.encode("\n")
+        self.later = _Parts(self.encode, " ", self.first)
+
+    def id_bytes(self, text: str) -> bytes:
+        """Token ids of a text as little-endian 32-bit numbers."""
+        if not text:
+            return b""
+        parts = text.split(" ")
+        try:
+            return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+        except _Odd:
+            parts = _CUT.split(text)
+            return self.encode(parts[0]) + b"".join(self.encode(" " + p) if p[:1].isspace() or p[-1:].isspace() else self.later[p] for p in parts[1:])
 
     def ids(self, text: str) -> np.ndarray:
-        """Token ids of a text, special tokens' strings being ordinary text."""
-        if not text:
-            return np.empty(0, "<u4")
-        parts = _CUT.split(text)
-        parts[1:] = [" " + p for p in parts[1:]]
-        known = self.known
-        if len(known) > self.LIMIT:
-            known.clear()
-        new = [p for p in set(parts) if p not in known]
-        if new:
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4")
-        return np.concatenate([known[p] for p in parts])
-
-
-def pieces(ids: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document: only longer ones are cut, the first may be shorter."""
-    n = len(ids)
+        return np.frombuffer(self.id_bytes(text), "<u4")
+
+
+def pieces(n: int, limit: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of a document of n tokens: only longer ones are cut, the first may be shorter."""
     first = n % limit or min(n, limit)
     return [(0, first), *((s, limit) for s in range(first, n, limit))]
 
@@ -64,8 +109,8 @@ def _tokenised(path: str, limit: int):
         for pdf in it:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.append(encoder.ids(text), np.uint32(END)).astype("<u4")
-                rows += [(doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(pieces(ids, limit))]
+                ids = encoder.id_bytes(text) + END.to_bytes(4, "little")
+                rows += [(doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(pieces(len(ids) // 4, limit))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
