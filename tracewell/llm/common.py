@@ -77,6 +77,29 @@ def batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
 
 
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root) of every node of the edges ``a``-``b``: root is the smallest node that it reaches.
+
+    Alternating stars: in turn each node's larger and smaller neighbours move to its smallest
+    neighbour, till nothing moves. Each step is a few shuffles of the edges that are left, a
+    number that never grows, and is written to the shared folder.
+    """
+    at = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    at, mark = cut(at), None
+    while True:
+        both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+        at = cut(small.filter("u <> v").distinct())
+        now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark or not now[0]:
+            break
+        mark = now
+    return at.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

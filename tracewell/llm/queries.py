@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import exact_dedup, mixing, packing, topk, toxicity, url_filter
+from tracewell.llm import exact_dedup, jaccard_join, mixing, packing, topk, toxicity, url_filter
 
 #: The rules that op3 judges by.
 URL_RULES = (
@@ -32,6 +32,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 85 % of four-word shingles."""
+    rows = jaccard_join.jaccard_components(read(spark, sf_dir, "documents"), jaccard_join.Similarity(size=4, percent=85))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, source, target and words taken of every document."""
     rows = mixing.plan_mix(read(spark, sf_dir, "documents"))
@@ -69,6 +75,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_source_mixing": op2_source_mixing,
         "op3_url_filter": op3_url_filter,
         "op4_toxicity": op4_toxicity,
