@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import exact_dedup, jaccard_join, mixing, packing, topk, toxicity, url_filter
+from tracewell.llm import exact_dedup, jaccard_join, mixing, packing, suffix_dedup, topk, toxicity, url_filter
 
 #: The rules that op3 judges by.
 URL_RULES = (
@@ -73,6 +73,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), limit=SEQUENCE)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that repeat 50 bytes of a smaller document, of every document."""
+    rows = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), match=50)
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("begins").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -82,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op8_exact_topk": op8_exact_topk,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_suffix_array_dedup": op10_suffix_array_dedup,
     }
 
 
