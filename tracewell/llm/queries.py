@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import exact_dedup, jaccard_join, mixing, packing, suffix_dedup, topk, toxicity, url_filter
+from tracewell.llm import exact_dedup, html_text, jaccard_join, mixing, packing, suffix_dedup, token_counts, topk, toxicity, url_filter
 
 #: The rules that op3 judges by.
 URL_RULES = (
@@ -63,6 +63,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after a title, a cut and a replacement were put in."""
+    kept = token_counts.trees(read(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
+    n = F.char_length("text")
+    edits = [(F.lit(0), 0, "Title: "), (F.floor(n / 3), 40, ""), (F.floor(n / 2), 12, " [removed] ")]
+    edits = F.array(*[F.struct(a.cast("int").alias("start"), F.lit(b).alias("length"), F.lit(c).alias("text")) for a, b, c in edits])
+    rows = token_counts.edited(kept, edits, tokenizer=tokenizer_path())
+    return rows.select("doc_id", "n_tokens", "n_after", "n_encoded")
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five vectors of highest inner product for every row whose vec_id is divisible by 50."""
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -87,6 +102,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": op3_url_filter,
         "op4_toxicity": op4_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_html_extraction": op6_html_extraction,
+        "op7_token_counts": op7_token_counts,
         "op8_exact_topk": op8_exact_topk,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
