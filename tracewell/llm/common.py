@@ -100,6 +100,16 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return at.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, made from ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import BLANKS, batches, cut, text_or_empty
+from tracewell.llm.common import BLANKS, batches, cut, spare, text_or_empty
 
 #: Modulus and the two bases of the fingerprint: powers stay below 2^31, so sums of
 #: byte times power over PIECE bytes stay below 2^63.
@@ -176,9 +176,10 @@ def exact_dedup(docs: DataFrame, *, huge_chars: int = 8_000_000) -> DataFrame:
 
 def keep_first(docs: DataFrame, *, huge_chars: int = 8_000_000) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, huge_chars=huge_chars).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.encode(F.regexp_replace(text_or_empty("text"), BLANKS, " "), "UTF-8"), 256)
-    rows = docs.withColumn("_sha256", sha)
-    out = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_sha256"] == kept["_sha"]))
-    w = Window.partitionBy("_id", "_sha").orderBy("text")
-    return out.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*docs.columns)
+    at, n = spare(docs, "key", "n")
+    doc_id, sha = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.encode(F.regexp_replace(text_or_empty("text"), BLANKS, " "), "UTF-8"), 256)
+    kept = exact_dedup(docs, huge_chars=huge_chars).filter("kept").select(F.concat_ws(":", doc_id, "text_sha256").alias(at))
+    out = docs.withColumn(at, F.concat_ws(":", doc_id, sha)).join(kept, at, "left_semi")
+    # rows of the same id and text: one of them
+    w = Window.partitionBy(at).orderBy("text")
+    return out.withColumn(n, F.row_number().over(w)).filter(F.col(n) == 1).select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import WordHashes, batches, components, cut, release, shingle_set, text_or_empty, words
+from tracewell.llm.common import WordHashes, batches, components, cut, release, shingle_set, spare, text_or_empty, words
 
 #: Text bytes for each bucket of tokens: its tokens fit a task many times over.
 BUCKET_BYTES = 12 << 20
@@ -343,8 +343,9 @@ def keep_one(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     Null ids come last; of rows with the same id, that whose text has the smallest digest stays,
     once. Documents without words all stay, but for repeats of the same row.
     """
+    (at,) = spare(docs, "key")
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(text_or_empty("text"), 256))
     known = jaccard_components(docs, sim, key=key)
-    kept = known.groupBy("component").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("_key")).select("_key")
-    out = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
-    return out.dropDuplicates(["_key"]).select(*docs.columns)
+    kept = known.groupBy("component").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias(at)).select(at)
+    out = docs.withColumn(at, key).join(kept, at, "left_semi")
+    return out.dropDuplicates([at]).select(*docs.columns)

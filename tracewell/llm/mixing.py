@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut
+from tracewell.llm.common import cut, spare
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -173,7 +173,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with all their columns, repeats as repeated rows, shuffled within shards."""
-    taken = mix(docs, **options).groupBy("doc_id").agg(F.collect_set(F.struct("epoch", "shard", "place")).alias("_draws"))
-    taken = taken.withColumnRenamed("doc_id", "_id")
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).withColumn("_d", F.explode("_draws"))
-    return out.repartition("_d.shard").sortWithinPartitions("_d.shard", "_d.place").select(*docs.columns)
+    at, one = spare(docs, "draws", "draw")
+    taken = mix(docs, **options).groupBy("doc_id").agg(F.collect_set(F.struct("epoch", "shard", "place")).alias(at)).withColumnRenamed("doc_id", "_taken")
+    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"])).withColumn(one, F.explode(at))
+    out = out.repartition(f"{one}.shard").sortWithinPartitions(f"{one}.shard", f"{one}.place")
+    return out.select(*[docs[c] for c in docs.columns])

@@ -194,7 +194,8 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
 def transforms(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Burrows-Wheeler transforms of distinct strings, one for each number in ``group``.
 
-    Rotations, each string closed by END, are ranked by prefixes that double. Returns the order of
+    Rotations, each string closed by END, are ranked by prefixes that double, as if they went on
+    round and round: two that differ do so within the sum of their lengths. Returns the order of
     all places (group by group), the bytes before them and the string of each place.
     """
     flat = np.frombuffer(b"".join(s + bytes([END]) for s in strings), np.uint8)
@@ -215,7 +216,7 @@ def transforms(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.
     key = flat.astype(np.uint64)
     for h in (1, 2, 4):
         key = key << _U(8 * h) | key[ahead(h)]
-    rank, h, longest = ranked(key), 8, int(lens.max())
+    rank, h, longest = ranked(key), 8, 2 * int(lens.max())
     rank = ranked(group[owner] * len(flat) + rank)
     while h < longest and int(rank.max()) < len(flat) - 1:
         rank = ranked(rank * len(flat) + rank[ahead(h)])

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import WordHashes, batches, cut, mix, text_or_empty, word_hashes
+from tracewell.llm.common import WordHashes, batches, cut, mix, spare, text_or_empty, word_hashes
 
 #: Letters A-Z become lower case, ASCII punctuation and blanks part words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -164,4 +164,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
         for pdf in run(pd.DataFrame({"text": t.fillna("")}) for t in texts):
             yield pdf["score"]
 
-    return docs.withColumn("_score", of("text")).filter("_score < 0.5").select(*docs.columns)
+    (at,) = spare(docs, "score")
+    return docs.withColumn(at, of("text")).filter(F.col(at) < 0.5).select(*docs.columns)
