@@ -51,8 +51,9 @@ def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_merge_sorts_all_suffixes_by_their_first_bytes():
-    rng, match = random.Random(5), 6
+@pytest.mark.parametrize("match", [5, 6])
+def test_merge_finds_repeated_intervals_in_order(match):
+    rng = random.Random(5)
     shards = [sorted({bytes(rng.choice(b"ab") for _ in range(rng.randint(6, 14))) for _ in range(20)}) for _ in range(3)]
     bwts = []
     for strings in shards:
@@ -63,13 +64,12 @@ def test_merge_sorts_all_suffixes_by_their_first_bytes():
         rotations = [closed[o][p - starts[o] :] + closed[o][: p - starts[o]] for o, p in zip(owner, order)]
         assert [(r * 10)[:40] for r in rotations] == sorted((r * 10)[:40] for r in rotations)
         assert [r[-1] for r in rotations] == before.tolist()
-    order, block, string, left = merge(bwts, [len(s) for s in shards], match)
-    flat = [s for strings in shards for s in strings]
     # strings are numbered in the order of their ends' rotations
-    named = [s for strings in shards for s in sorted(strings, key=lambda s: ((b"\xff" + s) * 10)[:40])]
-    suffixes = [named[string[p]][len(named[string[p]]) - left[p] :] for p in order]
-    whole = [(s, b) for s, b in zip(suffixes, block) if len(s) >= match]
-    assert [s[:match] for s, _ in whole] == sorted(s[:match] for s, _ in whole)
-    for (a, x), (b, y) in zip(whole, whole[1:]):
-        assert (a[:match] == b[:match]) == (x == y)
-    assert len(whole) == sum(len(s) - match + 1 for s in flat)
+    named = [sorted(strings, key=lambda s: ((b"\xff" + s) * 10)[:40]) for strings in shards]
+    win, block = merge(bwts, [np.array([len(s) - match + 1 for s in strings]) for strings in named], match)
+    windows = [s[i : i + match] for strings in named for s in strings for i in range(len(s) - match + 1)]
+    times = Counter(windows)
+    assert sorted(win.tolist()) == [i for i, w in enumerate(windows) if times[w] > 1]
+    found = [windows[i] for i in win]
+    for (a, x), (b, y) in zip(zip(found, block), list(zip(found, block))[1:]):
+        assert (a == b) == (x == y) and a <= b

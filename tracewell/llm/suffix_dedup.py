@@ -8,9 +8,9 @@ segment. The steps, each a Spark job over all rows:
    one document only has an anchor, none of its windows repeats. Of the others, each distinct
    segment is asked of the shard that holds its smallest document.
 2. Shards sort the rotations of the segments asked for and send their transforms by bucket.
-3. Each bucket merges its transforms: the interleave of all suffixes is refined one byte at a time
-   by the LF mapping, which also tells where neighbours first differ. After ``match`` rounds the
-   suffixes whose first ``match`` bytes agree are intervals, and each takes its smallest doc_id.
+3. Each bucket merges its transforms: the interleave of their suffixes is refined round by round
+   through the LF mapping, which also tells where neighbours first differ. Suffixes whose first
+   ``match`` bytes agree end as intervals, and each takes its smallest doc_id.
 4. Shards look up their segments' windows and mark what repeats a smaller document.
 """
 
@@ -28,9 +28,9 @@ from tracewell.llm.common import batches, cut, mix, release, text_or_empty
 #: Bytes of an anchor.
 ANCHOR = 24
 #: Windows that are scanned at a time; longer documents are cut there.
-PIECE = 1 << 18
+PIECE = 1 << 17
 #: Text bytes of a shard and of a bucket of anchors.
-SHARD_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
+SHARD_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
 #: Ends each segment in a transform; UTF-8 has no such byte.
 END = 255
 #: Stands for a missing doc_id: larger than all others.
@@ -192,44 +192,54 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def transforms(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Burrows-Wheeler transforms of distinct strings, one for each number in ``group``.
+    """Burrows-Wheeler transforms of distinct strings, one for each number (under 256) in ``group``.
 
     Rotations, each string closed by END, are ranked by prefixes that double, as if they went on
-    round and round: two that differ do so within the sum of their lengths. Returns the order of
-    all places (group by group), the bytes before them and the string of each place.
+    round and round: two that differ do so within the sum of their lengths. Only those that are
+    still tied are sorted again. Returns the order of all places (group by group), the bytes
+    before them and the string of each place.
     """
     flat = np.frombuffer(b"".join(s + bytes([END]) for s in strings), np.uint8)
     lens = np.array([len(s) + 1 for s in strings], np.int64)
-    owner = np.repeat(np.arange(len(strings)), lens)
+    n, longest = len(flat), 2 * int(lens.max())
+    owner = np.repeat(np.arange(len(strings), dtype=np.int32), lens)
     start = np.repeat(np.cumsum(lens) - lens, lens)
-    place, size = np.arange(len(flat)) - start, np.repeat(lens, lens)
+    size = np.repeat(lens, lens)
 
-    def ahead(h: int) -> np.ndarray:
-        return start + (place + h) % size
-
-    def ranked(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key)
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
-        return rank
+    def ahead(at: np.ndarray, h: int) -> np.ndarray:
+        s = start[at]
+        return s + (at - s + h) % size[at]
 
+    every = np.arange(n)
     key = flat.astype(np.uint64)
     for h in (1, 2, 4):
-        key = key << _U(8 * h) | key[ahead(h)]
-    rank, h, longest = ranked(key), 8, 2 * int(lens.max())
-    rank = ranked(group[owner] * len(flat) + rank)
-    while h < longest and int(rank.max()) < len(flat) - 1:
-        rank = ranked(rank * len(flat) + rank[ahead(h)])
+        key = key << _U(8 * h) | key[ahead(every, h)]
+    key = group[owner].astype(np.uint64) << _U(56) | key >> _U(8)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    rank = np.empty(n, np.int64)  # the first place of those tied
+    rank[order] = np.maximum.accumulate(np.where(new, every, 0))
+    tied, h = order[~(new & np.append(new[1:], True))], 7
+    while len(tied) and h < longest:
+        old = rank[tied]
+        key = old * n + rank[ahead(tied, h)]
+        by = np.argsort(key)
+        tied, key, old = tied[by], key[by], old[by]
+        at, new = np.arange(len(tied)), np.append(True, key[1:] != key[:-1])
+        base = old - np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), at, 0))
+        order[base + at] = tied
+        rank[tied] = base + np.maximum.accumulate(np.where(new, at, 0))
+        tied = tied[~(new & np.append(new[1:], True))]
         h *= 2
-    order = np.argsort(rank)
-    return order, flat[ahead(-1)][order], owner[order]
+    return order, flat[ahead(order, -1)], owner[order]
 
 
 def _transformed(match: int, buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """Step 2, of a shard: the transforms of the segments asked of it, by bucket."""
 
     def run(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        columns = ["bucket", "bwt", "keys", "docs"]
+        columns = ["bucket", "bwt", "keys", "docs", "counts"]
         wanted = np.concatenate([np.frombuffer(x, np.uint64) for x in asked["asked"]] or [np.empty(0, np.uint64)])
         if not len(wanted):
             return pd.DataFrame([], columns=columns)
@@ -244,29 +254,39 @@ def _transformed(match: int, buckets: int) -> Callable[[pd.DataFrame, pd.DataFra
         hit, at = hit[one], at[hit][one]
         by = np.argsort(s["bucket"][hit], kind="stable")
         hit, at = hit[by], at[by]
-        strings = [texts[d][a : a + n + match - 1] for d, a, n in zip(s["doc"][hit].tolist(), s["start"][hit].tolist(), s["count"][hit].tolist())]
-        bucket = s["bucket"][hit]
-        order, before, owner = transforms(strings, bucket)
-        # the places of END, last in each transform, tell the order of its strings
-        ends = np.cumsum([len(x) + 1 for x in strings]) - 1
-        is_end = np.zeros(len(order), bool)
-        is_end[ends] = True
-        is_end, of = is_end[order], bucket[owner]
+        doc, begin, count, bucket = (s[k][hit] for k in ("doc", "start", "count", "bucket"))
+        names, first = np.unique(bucket, return_index=True)
+        first = np.append(first, len(bucket))
         rows = []
-        for b in np.unique(bucket):
-            x = slice(np.searchsorted(of, b), np.searchsorted(of, b, "right"))
-            mine = at[owner[x][is_end[x]]]
-            rows.append((int(b), before[x].tobytes(), wanted[mine].tobytes(), least[mine].tobytes()))
+        for k in range(0, len(names), 256):
+            x = slice(first[k], first[min(k + 256, len(names))])
+            strings = [texts[d][a : a + n + match - 1] for d, a, n in zip(doc[x].tolist(), begin[x].tolist(), count[x].tolist())]
+            own = np.searchsorted(names[k : k + 256], bucket[x])
+            order, before, owner = transforms(strings, own)
+            # the places of END, last in each transform, tell the order of its strings
+            is_end = np.zeros(len(order), bool)
+            is_end[np.cumsum([len(y) + 1 for y in strings]) - 1] = True
+            is_end, of = is_end[order], own[owner]
+            cuts = np.searchsorted(of, np.arange(int(own[-1]) + 2))
+            for i, b in enumerate(names[k : k + 256].tolist()):
+                y = slice(cuts[i], cuts[i + 1])
+                mine = x.start + owner[y][is_end[y]]
+                rows.append((b, before[y].tobytes(), wanted[at[mine]].tobytes(), least[at[mine]].tobytes(), count[mine].astype("<u2").tobytes()))
         return pd.DataFrame(rows, columns=columns)
 
     return run
 
 
-def merge(bwts: list[np.ndarray], strings: list[int], match: int) -> tuple[np.ndarray, ...]:
-    """Merges transforms to the order of all suffixes by their first ``match`` bytes.
+def merge(bwts: list[np.ndarray], counts: list[np.ndarray], match: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merges transforms as far as their strings' windows need: (window, block) of windows that repeat.
 
-    Returns order (places in the transforms laid in a row), block (a number that neighbours share
-    if those bytes agree), and of each place its string and the bytes till that string's end.
+    The strings' windows are numbered in a row; ``counts`` has how many each string has. Of the
+    interleave of all suffixes, the ones that reach a window's start in the rounds that are left
+    are kept in order, at first those behind a window. Each round goes back by two bytes: a
+    stable sort by the bytes before refines the order, the LF mapping moves on to the suffixes
+    that they begin. Neighbours whose bytes or old blocks differ share fewer bytes than the depth,
+    so they part; a suffix alone in its block repeats nowhere and goes. Blocks that are left after
+    ``match`` bytes are the repeated intervals.
     """
     before = np.concatenate(bwts)
     n, sizes = len(before), np.array([len(b) for b in bwts])
@@ -275,25 +295,33 @@ def merge(bwts: list[np.ndarray], strings: list[int], match: int) -> tuple[np.nd
     by = by[np.argsort(source[by].astype(np.uint16) if len(bwts) <= 1 << 16 else source[by], kind="stable")]
     lf = np.empty(n, np.int64)
     lf[by] = np.arange(n)
-    order, block = np.arange(n), np.zeros(n, np.int32)
-    for _ in range(match):
-        c = before[order]
-        step = np.argsort(c, kind="stable")
-        c, old = c[step], block[step]
-        new = (c[1:] != c[:-1]) | (old[1:] != old[:-1])
-        block = np.concatenate([[0], np.cumsum(new, dtype=np.int32)]).astype(np.int32)
-        order = lf[order[step]]
-    # walk back from each string's end
-    string, left = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    # from each string's end back over the suffixes behind its windows
+    windows = np.concatenate(counts).astype(np.int64)
+    last = np.cumsum(windows) - 1
     ends = np.cumsum(sizes)
-    at = np.concatenate([np.arange(e - m, e) for e, m in zip(ends, strings)])
-    who, t = np.arange(len(at)), 0
-    string[at] = who
+    at, who, t = np.concatenate([np.arange(e - len(c), e) for e, c in zip(ends, counts)]), np.arange(len(windows)), 0
+    rows, wins = [], []
     while len(at):
-        go = (before[at] != END) | (t == 0)
-        at, who, t = lf[at[go]], who[go], t + 1
-        string[at], left[at] = who, t
-    return order, block, string, left
+        rows.append(at)
+        wins.append(last[who] - t)
+        t += 1
+        go = windows[who] > t
+        at, who = lf[at[go]], who[go]
+    row, win = np.concatenate(rows), np.concatenate(wins)
+    block, depth = np.zeros(len(row), np.int32), 0
+    two, far = before[lf].astype(np.uint16) << 8 | before, lf[lf]
+    while depth < match and len(row):
+        c, move = (two, far) if match - depth > 1 else (before, lf)
+        depth += 2 if match - depth > 1 else 1
+        c = c[row]
+        step = np.argsort(c, kind="stable")
+        c, old = c[step], block[step]
+        new = np.concatenate([[True], (c[1:] != c[:-1]) | (old[1:] != old[:-1])])
+        keep = ~(new & np.append(new[1:], True))
+        block = np.cumsum(new, dtype=np.int32)[keep]
+        step = step[keep]
+        row, win = move[row[step]], win[step]
+    return win, block
 
 
 def _merged(match: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -304,17 +332,14 @@ def _merged(match: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
             return pd.DataFrame([], columns=["shard", "data"])
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in sent["keys"]])
         docs = np.concatenate([np.frombuffer(x, np.int64) for x in sent["docs"]])
-        order, block, string, left = merge([np.frombuffer(x, np.uint8) for x in sent["bwt"]], [len(x) // 8 for x in sent["keys"]], match)
-        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        least = np.empty(len(order), np.int64)
-        least[order] = np.repeat(np.minimum.reduceat(docs[string[order]], first), np.diff(np.append(first, len(order))))
-        longest = np.zeros(len(keys), np.int64)
-        np.maximum.at(longest, string, left)
-        windows = longest - match + 1
+        counts = [np.frombuffer(x, "<u2") for x in sent["counts"]]
+        windows = np.concatenate(counts).astype(np.int64)
         base = np.cumsum(windows) - windows
-        ok = left >= match
-        flat = np.empty(int(windows.sum()), np.int64)
-        flat[base[string[ok]] + longest[string[ok]] - left[ok]] = least[ok]
+        flat = np.repeat(docs, windows)
+        win, block = merge([np.frombuffer(x, np.uint8) for x in sent["bwt"]], counts, match)
+        if len(win):
+            first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            flat[win] = np.repeat(np.minimum.reduceat(flat[win], first), np.diff(np.append(first, len(win))))
         new = np.append(True, flat[1:] != flat[:-1])
         new[base] = True
         runs = np.flatnonzero(new)
@@ -322,10 +347,10 @@ def _merged(match: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
         run_at, run_doc = (runs - base[owner]).astype(np.uint16), flat[runs]
         run_first = np.searchsorted(owner, np.arange(len(keys) + 1))
         by = np.argsort(keys)
-        rows = []
+        rows, ordered = [], keys[by]
         for shard, mine in zip(known["shard"], known["keys"]):
             mine = np.frombuffer(mine, np.uint64)
-            x = by[np.searchsorted(keys[by], mine)]
+            x = by[np.searchsorted(ordered, mine)]
             n = run_first[x + 1] - run_first[x]
             at = np.repeat(run_first[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             head = np.array([len(mine), len(at)], "<i8").tobytes()
@@ -403,7 +428,7 @@ def remove_repeats(docs: DataFrame, *, match: int = 50) -> DataFrame:
     known = cut(sent.groupBy("bucket").applyInPandas(_met, "bucket int, shard long, keys binary, asked binary, docs binary"))
     release(spark)
     asked = known.filter("octet_length(asked) > 0").select("shard", "asked", "docs")
-    bwts = rows.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_transformed(match, buckets), "bucket int, bwt binary, keys binary, docs binary")
+    bwts = rows.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_transformed(match, buckets), "bucket int, bwt binary, keys binary, docs binary, counts binary")
     found = bwts.groupBy("bucket").cogroup(known.select("bucket", "shard", "keys").groupBy("bucket")).applyInPandas(_merged(match), "shard long, data binary")
     found = cut(found)
     release(spark)
