@@ -28,7 +28,7 @@ from tracewell.llm.common import batches, cut, mix, release, text_or_empty
 #: Bytes of an anchor.
 ANCHOR = 24
 #: Windows that are scanned at a time; longer documents are cut there.
-PIECE = 1 << 17
+PIECE = 1 << 15
 #: Text bytes of a shard and of a bucket of anchors.
 SHARD_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
 #: Ends each segment in a transform; UTF-8 has no such byte.
@@ -72,7 +72,7 @@ class Scanner:
         first, piece = first[ok], piece[ok]
         count = end - first
         seg = mix((h[end + self.match - 1] - h[first]) * self.inverse[first] + count.astype(np.uint64))
-        return piece, first, count, grams[at[first]], seg
+        return piece, first, count, mix(grams[at[first]]), seg  # the smallest of many aren't spread evenly; mixed again, they are
 
     def segments(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         """Of all texts: doc (number), start, count (of windows), gram and seg (hashes)."""
