@@ -117,6 +117,19 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Stands for a null id on the way to Python, where a batch with nulls would turn ids into floats.
+NO_ID = -(1 << 63)
+
+
+def known_id(name: str = "doc_id") -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID)).alias(name)
+
+
+def null_ids(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the ids ``names`` (doc_id if none are given) null again where ``known_id`` stood in."""
+    return df.withColumns({n: F.nullif(F.col(n), F.lit(NO_ID)) for n in names or ("doc_id",)})
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

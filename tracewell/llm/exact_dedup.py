@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import BLANKS, batches, cut, spare, text_or_empty
+from tracewell.llm.common import BLANKS, batches, cut, known_id, null_ids, spare, text_or_empty
 
 #: Modulus and the two bases of the fingerprint: powers stay below 2^31, so sums of
 #: byte times power over PIECE bytes stay below 2^63.
@@ -117,7 +117,7 @@ def fingerprints(docs: DataFrame, *, huge_chars: int = 8_000_000, chunk_bytes: i
     Texts over ``huge_chars`` are cut into chunks that tasks hash apart; the hashes combine by
     shifting each by the length behind it. Null texts count as empty.
     """
-    docs = docs.select("doc_id", text_or_empty("text").alias("text"))
+    docs = docs.select(known_id(), text_or_empty("text").alias("text"))
     small, huge = _split(docs, huge_chars)
     out = small.mapInPandas(_prints, "doc_id long, fp_a long, fp_b long, n_bytes long, text_sha256 string")
     parts = _chunks(huge.withColumn("text_sha256", F.sha2("norm", 256)), chunk_bytes).repartition("text_sha256", "idx")
@@ -127,7 +127,7 @@ def fingerprints(docs: DataFrame, *, huge_chars: int = 8_000_000, chunk_bytes: i
     joined = parts.groupBy("doc_id", "text_sha256").agg(F.max("m").cast("int").alias("m"), F.sort_array(F.collect_list(F.struct("idx", "fp_a", "fp_b", "size"))).alias("parts"))
     joined = joined.mapInPandas(_join_prints, "doc_id long, text_sha256 string, m int, fp_a long, fp_b long, n_bytes long")
     joined = joined.withColumn("i", F.explode(F.sequence(F.lit(1), "m")))
-    return out.unionByName(joined.select("doc_id", *FP, "text_sha256"))
+    return null_ids(out.unionByName(joined.select("doc_id", *FP, "text_sha256")))
 
 
 def collisions(docs: DataFrame, groups: DataFrame, *, huge_chars: int = 8_000_000, compare_bytes: int = 1 << 16) -> DataFrame:
@@ -137,14 +137,14 @@ def collisions(docs: DataFrame, groups: DataFrame, *, huge_chars: int = 8_000_00
     Every text is compared with that of ``first_id``, chunk by chunk, as a join of chunk rows:
     no task holds two whole texts, and Spark splits the join where a group is large.
     """
-    docs = docs.select("doc_id", text_or_empty("text").alias("text"))
+    docs = docs.select(known_id(), text_or_empty("text").alias("text"))
     small, huge = _split(docs, huge_chars)
     texts = small.mapInPandas(_with_text, "doc_id long, fp_a long, fp_b long, n_bytes long, norm binary")
     if huge.limit(1).count():
         prints = fingerprints(docs.filter(F.length("text") > huge_chars), huge_chars=huge_chars)
         by_sha = huge.withColumn("text_sha256", F.sha2("norm", 256)).join(prints.dropDuplicates(["text_sha256"]).drop("doc_id"), "text_sha256")
         texts = texts.unionByName(by_sha.select(*texts.columns))
-    rows = _chunks(texts.join(groups.select(*FP, "first_id"), FP), compare_bytes)
+    rows = _chunks(texts.join(groups.select(*FP, known_id("first_id")), FP), compare_bytes)
     keys = [*FP, "idx"]
     first = rows.filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select(*keys, F.col("chunk").alias("kept_chunk")).dropDuplicates(keys)
     rest = rows.filter(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select(*keys, "chunk")

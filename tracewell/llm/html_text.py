@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import batches
+from tracewell.llm.common import batches, known_id, null_ids
 
 # How elements of HTML are shown.
 BLOCKS = frozenset(
@@ -58,6 +58,10 @@ LABELLED = (
     (1, 0, 4, 1.0, 5, 1.0, 0, 0.0, 0),
     (1, 0, 2, 1.0, 2, 1.0, 30, 0.0, 0),
     (0, 1, 7, 0.0, 3, 1.0, 60, 0.0, 1),
+    (0, 1, 2, 0.0, 3, 1.0, 40, 0.0, 1),
+    (0, 1, 3, 0.0, 1, 1.0, 25, 0.0, 1),
+    (0, 1, 5, 0.0, 2, 1.0, 18, 0.1, 1),
+    (0, 1, 4, 0.0, 0, 0.0, 30, 0.0, 1),
     (0, 1, 6, 0.0, 45, 0.0, 35, 0.0, 1),
     (0, 1, 4, 0.0, 30, 0.0, 4, 1.0, 0),
     (0, 1, 2, 0.0, 5, 0.9, 3, 1.0, 0),
@@ -67,11 +71,21 @@ LABELLED = (
     (0, 0, 90, 0.2, 40, 0.0, 4, 1.0, 1),
     (0, 0, 22, 0.0, 50, 0.0, 50, 0.0, 1),
     (0, 0, 18, 0.0, 8, 0.0, 25, 0.0, 1),
+    (0, 0, 40, 0.0, 1, 0.0, 2, 1.0, 1),
+    (0, 0, 26, 0.0, 2, 1.0, 3, 1.0, 1),
+    (0, 0, 80, 0.0, 0, 0.0, 0, 0.0, 1),
+    (0, 0, 20, 0.1, 3, 1.0, 40, 0.0, 1),
+    (0, 0, 16, 0.0, 40, 0.0, 2, 1.0, 1),
+    (0, 0, 30, 0.3, 6, 0.0, 5, 0.0, 1),
     (0, 0, 3, 0.0, 50, 0.0, 60, 0.0, 1),
     (0, 0, 6, 0.1, 40, 0.0, 30, 0.0, 1),
     (0, 0, 4, 0.0, 30, 0.0, 3, 1.0, 0),
     (0, 0, 5, 0.0, 3, 1.0, 4, 1.0, 0),
     (0, 0, 6, 0.0, 0, 0.0, 2, 1.0, 0),
+    (0, 0, 3, 0.0, 2, 1.0, 0, 0.0, 0),
+    (0, 0, 4, 0.0, 3, 1.0, 2, 0.0, 0),
+    (0, 0, 2, 0.0, 4, 1.0, 5, 0.0, 0),
+    (0, 0, 5, 0.0, 2, 0.9, 0, 0.0, 0),
     (0, 0, 8, 0.4, 30, 0.0, 0, 0.0, 0),
     (0, 0, 7, 0.0, 3, 1.0, 8, 0.0, 0),
     (0, 0, 3, 1.0, 3, 1.0, 3, 1.0, 0),
@@ -269,5 +283,5 @@ def extract(pages: DataFrame, *, labelled: Sequence[Sequence[float]] = LABELLED)
         for pdf in it:
             yield pdf.drop(columns="html").assign(text=[main_text(h, tree) for h in pdf["html"]])
 
-    rows = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string")
+    rows = null_ids(pages.select(known_id("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string"), "page_id")
     return rows.withColumn("n_chars", F.char_length("text").cast("long"))

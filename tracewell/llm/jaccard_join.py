@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import WordHashes, batches, components, cut, release, shingle_set, spare, text_or_empty, words
+from tracewell.llm.common import WordHashes, batches, components, cut, known_id, null_ids, release, shingle_set, spare, text_or_empty, words
 
 #: Text bytes for each bucket of tokens: its tokens fit a task many times over.
 BUCKET_BYTES = 12 << 20
@@ -319,12 +319,12 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity(), *, key:
     """
     spark = docs.sparkSession
     batches(spark)
-    rows = docs.select("doc_id", (F.lit(None).cast("string") if key is None else key).alias("key"), text_or_empty("text").alias("text"))
+    rows = docs.select(known_id(), (F.lit(None).cast("string") if key is None else key).alias("key"), text_or_empty("text").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     tokens = rows.mapInPandas(_tokens_by_bucket(sim.size, buckets), "bucket int, batch long, head boolean, data binary")
     shared = tokens.groupBy("bucket").applyInPandas(_shared, "batch long, head boolean, data binary")
-    known = cut(shared.groupBy("batch").applyInPandas(_documents(sim), "doc_id long, key string, print string, n long, tokens binary, l int, k int"))
+    known = cut(null_ids(shared.groupBy("batch").applyInPandas(_documents(sim), "doc_id long, key string, print string, n long, tokens binary, l int, k int")))
     release(spark)
     sets = known.filter("tokens IS NOT NULL").groupBy("print").agg(F.first(F.struct("n", "tokens", "l", "k")).alias("s")).select("print", "s.*")
     found = cut(all_links(cut(sets), sim))

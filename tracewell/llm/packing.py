@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import batches, cut, text_or_empty
+from tracewell.llm.common import batches, cut, known_id, null_ids, text_or_empty
 
 #: Token that ends each document.
 END = 0
@@ -168,7 +168,7 @@ def token_pieces(docs: DataFrame, *, tokenizer: str, limit: int = 2048) -> DataF
     """Pieces of at most ``limit`` tokens: doc_id, piece, start, length, ids_crc32."""
     batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select("doc_id", text_or_empty("text").alias("text")).mapInPandas(_tokenised(tokenizer, limit), schema)
+    return null_ids(docs.select(known_id(), text_or_empty("text").alias("text")).mapInPandas(_tokenised(tokenizer, limit), schema))
 
 
 def pack(docs: DataFrame, *, tokenizer: str, limit: int = 2048, open_bins: int = 1024) -> DataFrame:
@@ -184,5 +184,5 @@ def pack(docs: DataFrame, *, tokenizer: str, limit: int = 2048, open_bins: int =
     made = cut(token_pieces(docs, tokenizer=tokenizer, limit=limit))
     tasks = max(1, -(-made.count() // PIECES_PER_TASK))
     spread = made.repartition(tasks, F.xxhash64("doc_id", "piece")) if tasks > 1 else made.repartition(1)
-    spread = spread.sortWithinPartitions(F.desc("length"), "doc_id", "piece").withColumn("task", F.spark_partition_id())
-    return spread.mapInPandas(_packed(limit, open_bins), f"{', '.join(f'{n} {t}' for n, t in made.dtypes)}, sequence_id long, offset long")
+    spread = spread.withColumn("doc_id", known_id()).sortWithinPartitions(F.desc("length"), "doc_id", "piece").withColumn("task", F.spark_partition_id())
+    return null_ids(spread.mapInPandas(_packed(limit, open_bins), f"{', '.join(f'{n} {t}' for n, t in made.dtypes)}, sequence_id long, offset long"))

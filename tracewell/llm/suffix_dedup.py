@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import batches, cut, mix, release, text_or_empty
+from tracewell.llm.common import batches, cut, known_id, mix, null_ids, release, text_or_empty
 
 #: Bytes of an anchor.
 ANCHOR = 24
@@ -421,7 +421,7 @@ def remove_repeats(docs: DataFrame, *, match: int = 50) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards, buckets = max(least, -(-total // SHARD_BYTES)), min(1 << 24, max(least, -(-total // BUCKET_BYTES)))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), text_or_empty("text").alias("text"))
+    rows = docs.select(known_id(), F.coalesce("doc_id", F.lit(LAST)).alias("id"), text_or_empty("text").alias("text"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
 
     sent = rows.groupBy("shard").applyInPandas(_sent(match, buckets), "bucket int, shard long, data binary")
@@ -433,4 +433,4 @@ def remove_repeats(docs: DataFrame, *, match: int = 50) -> DataFrame:
     found = cut(found)
     release(spark)
     out = rows.groupBy("shard").cogroup(found.groupBy("shard")).applyInPandas(_removed(match, buckets), "doc_id long, n_bytes long, begins array<long>, ends array<long>, kept binary")
-    return out
+    return null_ids(out)

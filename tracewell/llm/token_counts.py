@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import batches, text_or_empty
+from tracewell.llm.common import batches, known_id, null_ids, text_or_empty
 from tracewell.llm.packing import _CUT, PieceEncoder
 
 #: Pre-tokens of a leaf, and how many times its characters a leaf may grow to by edits before it is parted.
@@ -134,7 +134,7 @@ def trees(docs: DataFrame, *, tokenizer: str) -> DataFrame:
             made = [build(t, counter) for t in pdf["text"]]
             yield pdf.assign(chars=[t.chars[t.size :] for t in made], tokens=[t.tokens[t.size :] for t in made])
 
-    return docs.select("doc_id", text_or_empty("text").alias("text")).mapInPandas(run, "doc_id long, text string, chars array<long>, tokens array<long>")
+    return null_ids(docs.select(known_id(), text_or_empty("text").alias("text")).mapInPandas(run, "doc_id long, text string, chars array<long>, tokens array<long>"))
 
 
 def edited(kept: DataFrame, edits: DataFrame | Column, *, tokenizer: str) -> DataFrame:
@@ -147,10 +147,12 @@ def edited(kept: DataFrame, edits: DataFrame | Column, *, tokenizer: str) -> Dat
     batches(kept.sparkSession)
     if isinstance(edits, DataFrame):
         per = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "start", "length", "text"))).alias("e"))
-        per = per.select("doc_id", F.transform("e", lambda x: F.struct(x["start"].cast("int").alias("start"), x["length"].cast("int").alias("length"), x["text"].alias("text"))).alias("edits"))
         rows = kept.join(per, "doc_id", "left")
+        edits = F.col("e")
     else:
-        rows = kept.withColumn("edits", edits.cast(EDITS))
+        rows = kept
+    whole = F.transform(edits, lambda x: F.struct(F.coalesce(x["start"].cast("int"), F.lit(0)).alias("start"), F.coalesce(x["length"].cast("int"), F.lit(0)).alias("length"), F.coalesce(x["text"], F.lit("")).alias("text")))
+    rows = rows.select(known_id(), "text", "chars", "tokens", F.coalesce(whole, F.array().cast(EDITS)).alias("edits"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = Counter(tokenizer)
@@ -159,10 +161,10 @@ def edited(kept: DataFrame, edits: DataFrame | Column, *, tokenizer: str) -> Dat
             for text, chars, tokens, todo in zip(pdf["text"], pdf["chars"], pdf["tokens"], pdf["edits"]):
                 tree, n = SegmentTree(chars, tokens), 0
                 before = int(tree.tokens[1])
-                for e in [] if todo is None else todo:
-                    tree, text, m = edit(tree, text, e["start"] or 0, e["length"] or 0, e["text"] or "", counter)
+                for e in todo:
+                    tree, text, m = edit(tree, text, e["start"], e["length"], e["text"], counter)
                     n += m
                 out.append((text, tree.chars[tree.size :], tree.tokens[tree.size :], before, int(tree.tokens[1]), n))
             yield pd.DataFrame({"doc_id": pdf["doc_id"]} | {c: [x[i] for x in out] for i, c in enumerate(("text", "chars", "tokens", "n_tokens", "n_after", "n_encoded"))})
 
-    return rows.select("doc_id", "text", "chars", "tokens", "edits").mapInPandas(run, "doc_id long, text string, chars array<long>, tokens array<long>, n_tokens long, n_after long, n_encoded long")
+    return null_ids(rows.mapInPandas(run, "doc_id long, text string, chars array<long>, tokens array<long>, n_tokens long, n_after long, n_encoded long"))

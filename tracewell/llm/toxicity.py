@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import WordHashes, batches, cut, mix, spare, text_or_empty, word_hashes
+from tracewell.llm.common import WordHashes, batches, cut, known_id, mix, null_ids, spare, text_or_empty, word_hashes
 
 #: Letters A-Z become lower case, ASCII punctuation and blanks part words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -142,7 +142,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     at = np.flatnonzero(weights)
     sent = docs.sparkSession.sparkContext.broadcast((at, weights[at]))
     bits = (len(weights) - 1).bit_length() - 1
-    return docs.select("doc_id", text_or_empty("text").alias("text")).mapInPandas(_scored(sent, bits), "doc_id long, score double")
+    return null_ids(docs.select(known_id(), text_or_empty("text").alias("text")).mapInPandas(_scored(sent, bits), "doc_id long, score double"))
 
 
 def held_out(doc_id: Column) -> Column:
