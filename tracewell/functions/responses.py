@@ -86,9 +86,12 @@ class _Data(HTMLParser):
             self.titles.append(data)
 
 
-@F.pandas_udf("title string, text string, state string")
-def page_data(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def page_data(page: Column) -> Column:
     """(title, text, state) by a full HTML parser; text is all data with blanks made single spaces."""
+    return F.pandas_udf(_page_data, "title string, text string, state string")(page)
+
+
+def _page_data(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in pages:
         rows = []
         for page in batch:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,20 @@ TOKEN = r"^[A-Za-z0-9_-]+\z"
 
 
 def write_bundles(bundles: DataFrame, path: str) -> None:
-    """Writes bundles as JSON lines, replacing what was there once all are written; fails before if one breaks a rule."""
+    """Writes bundles as JSON lines beside ``path`` and puts them in its place once all are written.
+
+    If one breaks a rule or the write fails, what was there stays.
+    """
     wrong = violations()
     checked = bundles.filter(F.when(F.size(wrong) > 0, F.raise_error(F.array_join(wrong, ", ")).cast("boolean")).otherwise(F.lit(True)))
-    checked.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    checked.write.option("ignoreNullFields", "false").json(new)
+    context = bundles.sparkSession.sparkContext
+    place, made = (context._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new))
+    files = place.getFileSystem(context._jsc.hadoopConfiguration())
+    files.delete(place, True)
+    if not files.rename(made, place):
+        raise OSError(f"{new} is written but could not be renamed to {path}")
 
 
 def put_blobs(blobs: DataFrame, path: str, existing: DataFrame | None = None) -> None:
