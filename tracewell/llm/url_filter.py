@@ -55,22 +55,28 @@ def probes(host: Column, path: Column, lengths: list[int]) -> Column:
 
 
 class Bloom:
-    """One level: bits set at PROBES places of each 64-bit key hash."""
+    """One level: bits set at PROBES places of each 64-bit key hash, in words of 64."""
 
-    def __init__(self, n: int, level: int) -> None:
+    def __init__(self, n: int, level: int, words: np.ndarray | None = None) -> None:
         self.size = np.uint64(max(64, n * BITS_PER_KEY) // 64 * 64 + 64)
-        self.bits = np.zeros(int(self.size), bool)
+        self.words = np.zeros(int(self.size) // 64, np.uint64) if words is None else words
         self.salt = np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))
 
     def places(self, h: np.ndarray) -> np.ndarray:
         a, b = mix(h ^ self.salt), mix(h + self.salt + np.uint64(1)) | np.uint64(1)
         return (a[:, None] + np.arange(PROBES, dtype=np.uint64) * b[:, None]) % self.size
 
-    def add(self, h: np.ndarray) -> None:
-        self.bits[self.places(h).ravel()] = True
+    def set_words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words that keys touch, each once, and the bits that they set there."""
+        p = np.unique(self.places(h).ravel())
+        at, first = np.unique(p >> np.uint64(6), return_index=True)
+        return at, np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), first) if len(p) else p
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        return self.bits[self.places(h)].all(axis=1) if len(h) else np.zeros(0, bool)
+        if not len(h):
+            return np.zeros(0, bool)
+        p = self.places(h)
+        return ((self.words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)) > 0).all(axis=1)
 
 
 class Cascade:
@@ -106,7 +112,7 @@ def build(listed: DataFrame, universe: DataFrame, *, limit_bytes: int = FILTER_B
 
     Level one holds the listed keys, level two the other keys of the universe that pass it,
     level three the listed ones that pass both, and so on till none is left. Keys that differ
-    but share a 64-bit hash are one key to it; ``judge`` checks the key itself after.
+    but share a 64-bit hash are one key to it.
     """
     spark = listed.sparkSession
     sides = [listed.select("h").distinct(), universe.select("h").distinct().join(listed.select("h").distinct(), "h", "left_anti")]
@@ -122,12 +128,19 @@ def build(listed: DataFrame, universe: DataFrame, *, limit_bytes: int = FILTER_B
         n = left.count()
         if n == 0 and k:
             return cascade
-        room -= n * BITS_PER_KEY
+        room -= n * BITS_PER_KEY // 8 + 16
         if room < 0:
             return None
         level = Bloom(n, k)
-        for pdf_row in left.toLocalIterator(prefetchPartitions=True):  # at most limit_bytes / BITS_PER_KEY keys
-            level.add(np.array([pdf_row["h"]], np.int64).astype(np.uint64))
+
+        def setting(it: Iterator[pd.DataFrame], level=level) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                at, bits = level.set_words(pdf["h"].to_numpy().astype(np.uint64))
+                yield pd.DataFrame({"at": at.astype(np.int64), "bits": bits.astype(np.int64)})
+
+        # tasks set bits, Spark joins them; the driver gets the level's words, never its keys
+        got = left.mapInPandas(setting, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+        level.words[got["at"].to_numpy()] = got["bits"].to_numpy().astype(np.uint64)
         cascade = Cascade([*cascade.levels, level])
         k += 1
 
