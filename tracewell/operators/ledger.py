@@ -1,18 +1,20 @@
 """A ledger of requests under a budget: which are let through, what becomes of them, what is next.
 
 Whether a request is let through depends on those let through before it, so the state is folded
-over a key's events in order: within a row where the events of a key are few
-(``admitted``), as a stateful stream otherwise (``tracewell.streaming.ledger``).
+over a key's events in order, over a sorted table here and over a stream in
+``tracewell.streaming.ledger``, by the same ``Book``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.times import DAY_US, local_day, micros, next_opening, within_hours
+from tracewell.functions.times import DAY_US, LEDGER_HOURS, local_day, micros, next_opening, within_hours
 
 SECOND = 1_000_000
 
@@ -50,37 +52,53 @@ def decision(policy: Policy, at: Column, next_at: Column, today: Column, last_da
     )
 
 
-_STATE = "struct<next_at:bigint,used:bigint,recent:array<bigint>,out:array<struct<event_id:bigint,at:bigint,state:string>>>"
+class Book:
+    """What a key's permits so far leave: when the next may come, how far its batch is, permits of late."""
+
+    def __init__(self, policy: Policy, next_at: int = -(1 << 62), used: int = 0, recent: Iterable[int] = ()) -> None:
+        self.policy, self.next_at, self.used, self.recent = policy, next_at, used, list(recent)
+
+    def claim(self, at: int) -> str:
+        """The state of a claim at ``at`` microseconds; a permit is entered, its request ends at once."""
+        p, shift = self.policy, LEDGER_HOURS * 3600 * SECOND
+        if not p.opens <= (at + shift) % DAY_US // (3600 * SECOND) < p.closes:
+            return "OUTSIDE_WINDOW"
+        if at < self.next_at:
+            return "WAIT"
+        self.recent = [x for x in self.recent if x > at - 2 * DAY_US]  # older ones count nowhere
+        if sum((x + shift) // DAY_US == (at + shift) // DAY_US for x in self.recent) >= p.daily:
+            return "DAILY_LIMIT"
+        if sum(x > at - DAY_US for x in self.recent) >= p.rolling:
+            return "ROLLING24_LIMIT"
+        self.used += 1
+        full = self.used >= p.batch
+        self.next_at = at + (p.rest_s if full else p.gap_s) * SECOND
+        self.used = 0 if full else self.used
+        self.recent.append(at)
+        return "PERMIT"
 
 
 def decided(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """(key, event_id, at, state) of every event of ``events(key, event_id, ts)``, each a claim that finishes at once.
 
-    Events of a key are taken by time, ties by id. A key's events are folded within one row: for
-    keys with very many, use the stream. ``recent`` holds permits of the last day, at most as many
-    as the caps.
+    Events of a key are taken by time, ties by id; those without a key are left out. One claim
+    depends on those before it, so a key is one task's, but its events stream by in sorted order:
+    the task holds the key's permits of two days, not its events.
     """
-    gap, rest, keep = policy.gap_s * SECOND, policy.rest_s * SECOND, max(policy.daily, policy.rolling)
-
-    def step(s: Column, e: Column) -> Column:
-        at = e["at"]
-        day = lambda x: local_day(F.timestamp_micros(x))
-        today = F.size(F.filter(s["recent"], lambda x: day(x) == day(at)))
-        rolling = F.size(F.filter(s["recent"], lambda x: x > at - DAY_US))
-        none = F.lit(None).cast("string")
-        state = decision(policy, at, s["next_at"], today, rolling, approved=F.lit(True), paused=none, active=none, ready=F.lit(True))
-        ok = state == "PERMIT"
-        full = s["used"] + 1 >= policy.batch
-        return F.struct(
-            F.when(ok, at + F.when(full, F.lit(rest)).otherwise(F.lit(gap))).otherwise(s["next_at"]).alias("next_at"),
-            F.when(ok, F.when(full, F.lit(0)).otherwise(s["used"] + 1)).otherwise(s["used"]).cast("bigint").alias("used"),
-            F.when(ok, F.slice(F.concat(F.array(at), s["recent"]), 1, keep)).otherwise(s["recent"]).alias("recent"),
-            F.concat(s["out"], F.array(F.struct(e["id"].alias("event_id"), at.alias("at"), state.alias("state")))).alias("out"),
-        )
-
-    start = F.struct(F.lit(-(1 << 62)).cast("bigint").alias("next_at"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("recent"), F.array().cast("array<struct<event_id:bigint,at:bigint,state:string>>").alias("out")).cast(_STATE)
-    per = events.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(micros(F.col("ts")).alias("at"), F.col("event_id").cast("bigint").alias("id")))).alias("events"))
-    return per.select("key", F.inline(F.aggregate("events", start, step, lambda s: s["out"])))
+    rows = events.select(F.col("key").cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), micros(F.col("ts")).alias("at"))
+    rows = rows.filter("key IS NOT NULL AND at IS NOT NULL").repartition("key").sortWithinPartitions("key", "at", "event_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, book = None, Book(policy)
+        for pdf in batches:
+            states = []
+            for key, at in zip(pdf["key"].tolist(), pdf["at"].tolist()):
+                if key != current:
+                    current, book = key, Book(policy)
+                states.append(book.claim(at))
+            yield pdf.assign(state=states)
+
+    return rows.mapInPandas(run, "key long, event_id long, at long, state string")
 
 
 def admitted(events: DataFrame, policy: Policy = Policy()) -> DataFrame:

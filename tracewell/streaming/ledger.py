@@ -9,46 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracewell.functions.times import DAY_US, LEDGER_HOURS, micros
-from tracewell.operators.ledger import SECOND, Policy
+from tracewell.functions.times import LEDGER_HOURS, micros
+from tracewell.operators.ledger import Book, Policy
 
 OUT = "key long, event_id long, at long, state string"
 STATE = "next_at long, used long, last long, recent array<long>"
 
 
-def _within(policy: Policy, at: int) -> bool:
-    return policy.opens <= (at + LEDGER_HOURS * 3600 * SECOND) % DAY_US // (3600 * SECOND) < policy.closes
-
-
 def claims(policy: Policy):
     """A function for ``applyInPandasWithState``: decides a key's events in order of time, late ones apart."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         next_at, used, last, recent = state.get if state.exists else (-(1 << 62), 0, -(1 << 62), [])
-        recent = list(recent)
-        day = lambda x: (x + LEDGER_HOURS * 3600 * SECOND) // DAY_US
+        book, out = Book(policy, next_at, used, recent), []
         events = pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable")
-        out = []
         for at, event in zip(events["at"].tolist(), events["event_id"].tolist()):
-            if at < last:
-                out.append((key[0], event, at, "CLOCK_REGRESSION"))
-                continue
-            last = at
-            if not _within(policy, at):
-                word = "OUTSIDE_WINDOW"
-            elif at < next_at:
-                word = "WAIT"
-            elif sum(day(x) == day(at) for x in recent) >= policy.daily:
-                word = "DAILY_LIMIT"
-            elif sum(x > at - DAY_US for x in recent) >= policy.rolling:
-                word = "ROLLING24_LIMIT"
-            else:
-                word, used = "PERMIT", used + 1
-                next_at = at + (policy.rest_s if used >= policy.batch else policy.gap_s) * SECOND
-                used = 0 if used >= policy.batch else used
-                recent = [at, *recent][: max(policy.daily, policy.rolling)]
-            out.append((key[0], event, at, word))
-        state.update((next_at, used, last, recent))
+            out.append((key[0], event, at, "CLOCK_REGRESSION" if at < last else book.claim(at)))
+            last = max(last, at)
+        state.update((book.next_at, book.used, last, book.recent))
         yield pd.DataFrame(out, columns=["key", "event_id", "at", "state"])
 
     return run
