@@ -47,6 +47,22 @@ def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     assert got(remove_repeats(docs)) == brute(rows, 50)
 
 
+def test_hot_anchors_are_given_up(spark, monkeypatch):
+    """A phrase in all documents, each time in another context: its anchors go, the result stays."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    rng = random.Random(8)
+    phrase = "this very common line of some forty bytes, it is"
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, word(60) + phrase + word(60)) for i in range(60)]
+    rows += [(100 + i, rows[i][1][20:150] + word(20)) for i in range(10)] + [(200, phrase * 4), (201, phrase * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    scan = suffix_dedup._sent
+    monkeypatch.setattr(suffix_dedup, "_sent", lambda m, b, hot: seen.append(hot.value) or scan(m, b, hot))
+    assert got(remove_repeats(docs)) == brute(rows, 50)
+    assert len(seen) > 1 and len(seen[-1]) > 0
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -6,7 +6,8 @@ segment. The steps, each a Spark job over all rows:
 
 1. Shards of documents send (anchor, segment hash, smallest doc_id) to buckets of anchors. Where
    one document only has an anchor, none of its windows repeats. Of the others, each distinct
-   segment is asked of the shard that holds its smallest document.
+   segment is asked of the shard that holds its smallest document. Anchors that have very many
+   segments are given up for others, so no bucket takes a large part of all.
 2. Shards sort the rotations of the segments asked for and send their transforms by bucket.
 3. Each bucket merges its transforms: the interleave of their suffixes is refined round by round
    through the LF mapping, which also tells where neighbours first differ. Suffixes whose first
@@ -20,6 +21,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ ANCHOR = 24
 PIECE = 1 << 15
 #: Text bytes of a shard and of a bucket of anchors.
 SHARD_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
+#: Segments that an anchor may have, or one in 2^24 of all bytes if that is more (so hot anchors are a few
+#: 100 000 at most), and rounds that look for such anchors.
+HOT, ROUNDS = 20_000, 6
 #: Ends each segment in a transform; UTF-8 has no such byte.
 END = 255
 #: Stands for a missing doc_id: larger than all others.
@@ -41,9 +46,16 @@ _HIGH, _LOW = _U(0xFFFFFFFF00000000), _U(0xFFFFFFFF)
 
 
 class Scanner:
-    """Anchors and segments of texts, by a rolling polynomial hash over 64-bit integers."""
+    """Anchors and segments of texts, by a rolling polynomial hash over 64-bit integers.
 
-    def __init__(self, match: int) -> None:
+    Anchors in ``hot`` are taken only by windows that have no others.
+    """
+
+    def __init__(self, match: int, buckets: int = 1, hot: np.ndarray | None = None) -> None:
+        self.buckets, self.hot = buckets, hot
+        if hot is not None:
+            self.maybe = np.zeros(1 << 16, bool)
+            self.maybe[(hot & _U(0xFFFF)).astype(np.int64)] = True
         rng = np.random.default_rng(20)
         base = 0x9E3779B97F4A7C15 | 1
         n = 2 * PIECE + 2 * match
@@ -58,6 +70,10 @@ class Scanner:
         np.cumsum(self.byte[data] * self.power[:n], out=h[1:])
         grams = mix((h[k:] - h[:-k]) * self.inverse[: n - k + 1])
         least, size = (grams & _HIGH) | np.arange(len(grams), dtype=np.uint64), 1  # ties: the leftmost
+        if self.hot is not None:
+            name = _anchor(mix(grams), self.buckets)
+            some = np.flatnonzero(self.maybe[(name & _U(0xFFFF)).astype(np.int64)])
+            least[some[np.isin(name[some], self.hot)]] |= _HIGH
         while 2 * size <= w:
             least = np.minimum(least[:-size], least[size:])
             size *= 2
@@ -105,13 +121,18 @@ class Scanner:
 
 def _keyed(s: dict[str, np.ndarray], buckets: int) -> dict[str, np.ndarray]:
     """Adds bucket, low (40 bits of the anchor), seg47 and key, which names a segment."""
-    s["bucket"] = ((s["gram"] >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int64)
-    s["low"] = s["gram"] & _U((1 << 40) - 1)
+    anchor = _anchor(s["gram"], buckets)
+    s["bucket"], s["low"] = (anchor >> _U(40)).astype(np.int64), anchor & _U((1 << 40) - 1)
     s["seg47"] = s["seg"] >> _U(17)
     s["key"] = _key(s["bucket"], s["low"], s["seg47"])
     return s
 
 
+def _anchor(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """An anchor's name: its bucket, then 40 bits of its hash."""
+    return ((gram >> _U(40)) * _U(buckets) >> _U(24)) << _U(40) | gram & _U((1 << 40) - 1)
+
+
 def _key(bucket: np.ndarray | int, low: np.ndarray, seg47: np.ndarray) -> np.ndarray:
     anchor = (np.asarray(bucket).astype(np.uint64) << _U(40)) | low
     return mix(anchor * _U(0x9E3779B97F4A7C15) + mix(seg47))
@@ -132,14 +153,14 @@ def _many(data: bytes, n: int, width: int, at: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _sent(match: int, buckets: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _sent(match: int, buckets: int, hot: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Step 1, of a shard: each distinct segment once with its smallest document, by bucket."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
         pdf = pdf.sort_values("id", kind="stable")
         ids = pdf["id"].to_numpy(np.int64)
-        s = _keyed(Scanner(match).segments(_texts(pdf)), buckets)
+        s = _keyed(Scanner(match, buckets, hot.value).segments(_texts(pdf)), buckets)
         order = np.argsort(s["key"], kind="stable")  # by document within a key
         keys = s["key"][order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
@@ -163,8 +184,15 @@ def _sent(match: int, buckets: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def _met(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Step 1, of a bucket: the segments whose anchor more than one document has, back by shard."""
+def _met(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Step 1, of a bucket: the segments whose anchor more than one document has, back by shard.
+
+    Anchors with more than ``most`` segments are told as hot in a row without shard.
+    """
+    return lambda pdf: _meet(pdf, most)
+
+
+def _meet(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
     bucket, parts = int(pdf["bucket"].iloc[0]), []
     for data in pdf["data"]:
         n, wide, base = (int(x) for x in np.frombuffer(data, "<i8", 3))
@@ -181,14 +209,16 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
     carry = np.zeros(len(key), bool)
     if len(key):
         carry[order[np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))]] = True
+    names, counts = np.unique(low[carry], return_counts=True)
+    hot = names[counts > most] | _U(bucket << 40)
     order = np.argsort(shard, kind="stable")
-    cuts, rows = np.searchsorted(shard[order], np.arange(len(parts) + 1)), []
+    cuts, rows = np.searchsorted(shard[order], np.arange(len(parts) + 1)), [(bucket, None, b"", b"", b"", hot.tobytes())] if len(hot) else []
     for i, name in enumerate(pdf["shard"]):
         x = order[cuts[i] : cuts[i + 1]]
         if len(x):
             asked = x[carry[x]]
-            rows.append((bucket, name, key[x].tobytes(), key[asked].tobytes(), doc[asked].tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "shard", "keys", "asked", "docs"])
+            rows.append((bucket, name, key[x].tobytes(), key[asked].tobytes(), doc[asked].tobytes(), b""))
+    return pd.DataFrame(rows, columns=["bucket", "shard", "keys", "asked", "docs", "hot"]).astype({"shard": "Int64"})
 
 
 def transforms(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,7 +265,7 @@ def transforms(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.
     return order, flat[ahead(order, -1)], owner[order]
 
 
-def _transformed(match: int, buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _transformed(match: int, buckets: int, hot: Broadcast) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """Step 2, of a shard: the transforms of the segments asked of it, by bucket."""
 
     def run(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -247,7 +277,7 @@ def _transformed(match: int, buckets: int) -> Callable[[pd.DataFrame, pd.DataFra
         order = np.argsort(wanted)
         wanted, least = wanted[order], least[order]
         texts = _texts(docs)
-        s = _keyed(Scanner(match).segments(texts), buckets)
+        s = _keyed(Scanner(match, buckets, hot.value).segments(texts), buckets)
         at = np.minimum(np.searchsorted(wanted, s["key"]), len(wanted) - 1)
         hit = np.flatnonzero(wanted[at] == s["key"])
         _, one = np.unique(at[hit], return_index=True)
@@ -366,7 +396,7 @@ def _found(data: bytes) -> tuple[np.ndarray, ...]:
     return np.frombuffer(data, "<u8", n, 16), np.frombuffer(data, "<u2", n, at), np.frombuffer(data, "<u2", m, at + 2 * n), np.frombuffer(data, "<i8", m, at + 2 * n + 2 * m)
 
 
-def _removed(match: int, buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _removed(match: int, buckets: int, hot: Broadcast) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """Step 4, of a shard: each document's removed spans and the bytes that stay."""
 
     def run(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -376,7 +406,7 @@ def _removed(match: int, buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame],
         if len(found):
             keys, n, at, doc = (np.concatenate(x) for x in zip(*map(_found, found["data"])))
             order, run_first = np.argsort(keys), np.cumsum(n.astype(np.int64)) - n
-            s = _keyed(Scanner(match).segments(texts), buckets)
+            s = _keyed(Scanner(match, buckets, hot.value).segments(texts), buckets)
             x = order[np.minimum(np.searchsorted(keys[order], s["key"]), len(keys) - 1)]
             hit = np.flatnonzero(keys[x] == s["key"])
             x = x[hit]
@@ -424,13 +454,23 @@ def remove_repeats(docs: DataFrame, *, match: int = 50) -> DataFrame:
     rows = docs.select(known_id(), F.coalesce("doc_id", F.lit(LAST)).alias("id"), text_or_empty("text").alias("text"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
 
-    sent = rows.groupBy("shard").applyInPandas(_sent(match, buckets), "bucket int, shard long, data binary")
-    known = cut(sent.groupBy("bucket").applyInPandas(_met, "bucket int, shard long, keys binary, asked binary, docs binary"))
-    release(spark)
+    # an anchor with a large part of all segments would fill a bucket: windows then take their next best one
+    most, hot = max(HOT, total >> 24), None
+    for _ in range(ROUNDS):
+        sent_hot = spark.sparkContext.broadcast(hot)
+        sent = rows.groupBy("shard").applyInPandas(_sent(match, buckets, sent_hot), "bucket int, shard long, data binary")
+        known = cut(sent.groupBy("bucket").applyInPandas(_met(most), "bucket int, shard long, keys binary, asked binary, docs binary, hot binary"))
+        release(spark)
+        more = [np.frombuffer(r["hot"], np.uint64) for r in known.filter("shard IS NULL").select("hot").collect()]
+        new = np.setdiff1d(np.concatenate(more), [] if hot is None else hot) if more else []
+        if not len(new):
+            break
+        hot = np.union1d(new, [] if hot is None else hot).astype(np.uint64)
+    known = known.filter("shard IS NOT NULL")
     asked = known.filter("octet_length(asked) > 0").select("shard", "asked", "docs")
-    bwts = rows.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_transformed(match, buckets), "bucket int, bwt binary, keys binary, docs binary, counts binary")
+    bwts = rows.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_transformed(match, buckets, sent_hot), "bucket int, bwt binary, keys binary, docs binary, counts binary")
     found = bwts.groupBy("bucket").cogroup(known.select("bucket", "shard", "keys").groupBy("bucket")).applyInPandas(_merged(match), "shard long, data binary")
     found = cut(found)
     release(spark)
-    out = rows.groupBy("shard").cogroup(found.groupBy("shard")).applyInPandas(_removed(match, buckets), "doc_id long, n_bytes long, begins array<long>, ends array<long>, kept binary")
+    out = rows.groupBy("shard").cogroup(found.groupBy("shard")).applyInPandas(_removed(match, buckets, sent_hot), "doc_id long, n_bytes long, begins array<long>, ends array<long>, kept binary")
     return null_ids(out)
