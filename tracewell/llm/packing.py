@@ -19,6 +19,8 @@ from tracewell.llm.common import batches, cut, known_id, null_ids, text_or_empty
 END = 0
 #: Pieces that one packing task takes, about; tasks grow in number with the input.
 PIECES_PER_TASK = 200_000
+#: Pieces of a wave for each open bin, about.
+WAVE = 2
 
 #: Fixed value: how byte-level BPE of this kind parts a text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -176,13 +178,16 @@ def pack(docs: DataFrame, *, tokenizer: str, limit: int = 2048, open_bins: int =
 
     A document's tokens end with id 0; null and empty texts are that one token. Only documents
     over ``limit`` are cut, all pieces but the first being full. Pieces are dealt to tasks by a
-    hash, and each task packs its own from long to short by online best fit into at most
-    ``open_bins`` open bins (a bitset keyed by free space finds the tightest; over the bound
+    hash, and each task packs its own by online best fit into at most ``open_bins`` open bins. They
+    come in waves of about twice as many, each from long to short, so that short ones still find
+    the bins open that long ones leave (a bitset keyed by free space finds the tightest; over the bound
     the fullest closes). Repeated rows are packed each; other columns are not read; an empty
     table gives an empty result.
     """
     made = cut(token_pieces(docs, tokenizer=tokenizer, limit=limit))
-    tasks = max(1, -(-made.count() // PIECES_PER_TASK))
-    spread = made.repartition(tasks, F.xxhash64("doc_id", "piece")) if tasks > 1 else made.repartition(1)
-    spread = spread.withColumn("doc_id", known_id()).sortWithinPartitions(F.desc("length"), "doc_id", "piece").withColumn("task", F.spark_partition_id())
+    n = made.count()
+    tasks, waves = max(1, -(-n // PIECES_PER_TASK)), max(1, -(-n // (WAVE * open_bins)))
+    spread = made.withColumn("wave", F.pmod(F.xxhash64(F.lit(3), "doc_id", "piece"), F.lit(waves)))
+    spread = spread.repartition(tasks, F.xxhash64("doc_id", "piece")) if tasks > 1 else spread.repartition(1)
+    spread = spread.withColumn("doc_id", known_id()).sortWithinPartitions("wave", F.desc("length"), "doc_id", "piece").drop("wave").withColumn("task", F.spark_partition_id())
     return null_ids(spread.mapInPandas(_packed(limit, open_bins), f"{', '.join(f'{n} {t}' for n, t in made.dtypes)}, sequence_id long, offset long"))
