@@ -168,7 +168,8 @@ def exact_dedup(docs: DataFrame, *, huge_chars: int = 8_000_000) -> DataFrame:
     rows = base.join(F.broadcast(apart) if apart.limit(1_000).count() < 1_000 else apart, FP, "left_anti").withColumn("part", F.lit(""))
     rows = rows.unionByName(base.join(apart, FP, "left_semi").withColumn("part", F.col("text_sha256")))
     keys = [*FP, "part"]
-    of = rows.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that both sides of the join are plain shuffles, of which Spark splits a large group
+    of = cut(rows.groupBy(*keys).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     rows = rows.groupBy("doc_id", *keys, "text_sha256").agg(F.count("*").cast("int").alias("m"))
     out = rows.join(of, keys).withColumn("i", F.explode(F.sequence(F.lit(1), "m")))
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), "text_sha256")

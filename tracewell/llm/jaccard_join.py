@@ -315,7 +315,8 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity(), *, key:
     Equal sets, repeated rows' too, are one set under ``print``. ``component_id`` is the smallest
     doc_id that links reach (null ids don't count; null where there are no others), ``component``
     names the component itself. ``key``: a text column to carry along. Other columns are not
-    read. An empty table gives an empty result.
+    read. An empty table gives an empty result. ``docs`` should be read from a table: a batch that a
+    lost executor held is made again and must have the same rows.
     """
     spark = docs.sparkSession
     batches(spark)
@@ -332,7 +333,8 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity(), *, key:
     alone = F.when(F.col("n") == 0, F.concat(F.lit("empty/"), F.coalesce(F.col("key"), F.col("doc_id").cast("string"), F.uuid())))
     base = known.select("doc_id", "key", "print", "n").join(roots, "print", "left").withColumn("component", F.coalesce(alone, "root", "print")).drop("root")
     base = cut(base)
-    least = base.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written, so that both sides of the join are plain shuffles, of which Spark splits a large component
+    least = cut(base.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     out = base.join(least, "component", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "key", "print", "n", "component", "component_id")
 
