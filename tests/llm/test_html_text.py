@@ -13,7 +13,7 @@ def test_parts_that_are_not_the_article_go():
 <header><h2>Site</h2><a href="/">Home</a></header><nav><ul><li><a>One</a><li><a>Two</a></ul></nav>
 <div class="cookie-notice"><p>We use cookies. {WORDS}</p></div><div class="ad">Buy {WORDS}</div>
 <article><header><h1>Head&eacute;</h1></header><p>First&nbsp;&amp; <b>bold</b>\n  {WORDS}<br>more<p>Short.<!-- <p>hidden {WORDS}</p> -->
-<aside><p>Side {WORDS}</p></aside><form><label>Mail {WORDS}</label><input></form><p>Last {WORDS} &lt;p&gt;</p>
+<aside><p>Side {WORDS}</p></aside><form><label>Mail {WORDS}</label><input></form><p class="notice">Note {WORDS}<p>Last {WORDS} &lt;p&gt;</p>
 <section id="comments"><p>Reader says {WORDS}</p></section></article>
 <div class="sidebar widget"><p>{WORDS}</p></div><footer><p>&copy; {WORDS}</p></footer></body></html>"""
     assert h.main_text(page, TREE) == f"Headé\n\nFirst & bold {WORDS} more\n\nShort.\n\nLast {WORDS} <p>"

@@ -20,12 +20,12 @@ BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 UNSEEN = frozenset("script style title noscript template textarea svg math iframe object canvas audio video noembed noframes".split())
-CONTAINERS = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form header li main menu nav ol search section select span table td tr ul".split())
+CONTAINERS = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form header li main menu nav ol p search section select span table td tr ul".split())
 ASIDE = frozenset("aside button dialog footer form menu nav search select".split())
 BREAKS = frozenset("br wbr".split())
 #: Words in class, id and role that tell what a container is for.
 ASIDE_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus"
+    "ad ads adsense advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus"
     " footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion"
     " recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
@@ -211,6 +211,8 @@ class _Reader:
             return
         if tag in BLOCKS:
             self.close_block()
+            if not closing and self.stack and self.stack[-1][0] == "p":  # a block ends an open paragraph
+                self.stack.pop()
             if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
                 self.heading = 0 if closing else 1
             elif tag not in ("hr",):
