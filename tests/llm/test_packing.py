@@ -35,6 +35,13 @@ def test_pieces_and_places(spark):
     assert len(bins) <= 1.1 * total / limit + 1
 
 
+def test_many_lines_without_spaces():
+    encoder, tok = packing.PieceEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    lines = "\n".join(f"word{i % 700}" for i in range(5_000))
+    for text in (lines, "one " + lines + " two", lines.replace("word7\n", "word7\n\n"), lines.replace("word9\n", "\n \tword9\r\n"), lines + "\n", "\n" + lines, "你好\n世界，\n" * 3_000):
+        assert encoder.ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_and_bound():
     bins = packing.OpenBins(10, 2)
     assert [bins.put(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]

@@ -28,6 +28,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # No token runs from a non-blank into a blank, so a text can be cut before a single space between
 # two non-blanks, and around a single line feed between them, and the parts be encoded apart.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_FEED = re.compile(r"(?<=\S)\n(?=\S)")
 
 
 def byte_level_encoding(path: str):
@@ -63,9 +64,9 @@ class _Parts(dict):
         if not part or part[0].isspace() or part[-1].isspace():
             raise _Odd
         if "\n" in part:
-            first, _, rest = part.partition("\n")
-            if not first[-1].isspace() and not rest[0].isspace():
-                return self[first] + self.plain.feed + self.plain[rest]
+            first, *lines = _FEED.split(part)
+            if lines:  # none of them can be cut again
+                return self.plain.feed.join((self[first], *map(self.plain.__getitem__, lines)))
         out = self.old.pop(part, None) or self.encode(self.lead + part)
         if len(self) >= self.LIMIT:
             self.old = dict(self)
