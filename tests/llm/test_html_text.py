@@ -25,6 +25,39 @@ def test_pages_without_article_go_by_words_links_and_neighbours():
     assert h.main_text(page, TREE) == f"A heading\n\n{WORDS} {WORDS}\n\nBetween.\n\n{WORDS} {WORDS}"
 
 
+def test_wrappers_named_as_something_else_keep_the_article():
+    text, around = f"<h1>Headline</h1><p>{WORDS}</p><p>{WORDS} {WORDS}</p>", "<nav><a>One</a></nav>{}<footer><p>Imprint and more</p></footer>"
+    want = f"Headline\n\n{WORDS}\n\n{WORDS} {WORDS}"
+    side = f'<div class="sidebar"><p>{WORDS}</p></div><section id="comments"><article><p>{WORDS} {WORDS}</p></article></section>'
+    for page in (
+        f'<div class="content-sidebar-wrap"><main>{text}</main>{side}</div>',
+        f'<div class="has-sidebar"><article>{text}</article>{side}</div>',
+        f'<div class="no-sidebar">{text}</div>',
+        f'<div class="sidebar-left"><article>{text}</article>{side}</div>',
+        f'<div class="sidebar-left"><div>{text}</div></div>',
+        f'<form id="aspnetForm"><div><article>{text}</article></div></form>',
+        f'<form action="/"><div class="top"><div>{text}</div></div></form>',
+        f'<article data-title="The hidden cost of rent">{text}</article>',
+        f'<article data-style="display:none" title=\'x aria-hidden="true"\'>{text}</article>',
+        f'<article class="md hidden lg">{text}</article>',
+        f'<div data-note="class=advert">{text}</div>',
+    ):
+        assert h.main_text(f"<body>{around.format(page)}</body>", TREE) == want, page
+
+
+def test_parts_that_hold_no_article_still_go():
+    article = f"<article><h1>Headline</h1><p>{WORDS}</p></article>"
+    for page in (
+        f'<div hidden><main><p>{WORDS}</p></main></div>{article}',
+        f"<div style='color:red; display: none'><article><p>{WORDS} {WORDS}</p></article></div>{article}",
+        f'<div aria-hidden="true"><p>{WORDS} {WORDS}</p></div>{article}',
+        f'{article}<section id="comments"><article><p>{WORDS} {WORDS} {WORDS}</p></article></section>',
+        f'{article}<div class="related"><article><p>{WORDS}</p></article></div>',
+        f'{article}<div class="sidebar"><p>{WORDS} {WORDS} {WORDS}</p></div>',
+    ):
+        assert h.main_text(f"<body>{page}</body>", TREE) == f"Headline\n\n{WORDS}", page
+
+
 def test_broken_markup():
     for page in ("", "<", "<p", "a < b", "<p>x</div></p></article>", "<script>never closed", "<!-- never closed", "<p title='>", "<article>" * 50, "</" * 20):
         assert isinstance(h.main_text(page, TREE), str)

@@ -31,10 +31,16 @@ ASIDE_WORDS = frozenset(
 )
 TOP_WORDS = frozenset(("header", "top", "topbar"))
 MAIN_WORDS = frozenset("article articlebody content entry main maincontent post postbody story".split())
+#: Of ASIDE_WORDS, those of texts that aren't the article however long they are.
+OTHER_WORDS = frozenset("comment comments consent cookie cookies disqus gdpr modal popup replies reply respond".split())
+#: After these, a word tells what the page has elsewhere, or hasn't.
+MODIFIERS = frozenset("has no with without".split())
+#: Words without links that an article outside of all other parts has at least, if it is the page's.
+ARTICLE = 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Labelled blocks the tree is trained on. hint: 1 within an article or main part, -1 within
@@ -160,13 +166,93 @@ class Block:
     linked: int
 
 
+@dataclass
+class Part:
+    """A container: number of its parent (-1: none), what it tells of itself, its hint, and its own words without links."""
+
+    up: int
+    tag: str
+    hidden: bool = False
+    other: bool = False  # it or one around it has OTHER_WORDS
+    aside: bool = False
+    top: bool = False
+    main: bool = False
+    hint: int = 0
+    words: int = 0
+
+
+def _told(part: Part, attributes: str) -> None:
+    """Sets what the attributes tell, by their names: a value that reads like an attribute is none."""
+    named: set[str] = set()
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id", "role"):
+            if part.tag != "body":
+                for token in value.split():
+                    ws = [w.lower() for w in _PART.findall(token)]
+                    named.update(w for before, w in zip(("", *ws), ws) if before not in MODIFIERS)
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            part.hidden = True
+    if named:
+        part.aside, part.top, part.main = bool(named & ASIDE_WORDS), bool(named & TOP_WORDS), bool(named & MAIN_WORDS)
+        part.other = part.other or bool(named & OTHER_WORDS)
+
+
+def _hint(part: Part, up: int, opened: bool = False) -> int:
+    """Of a container: what its parent's (``up``) is, unless it tells more itself; ``opened``: it is but a wrapper."""
+    if part.hidden or up < 0 or part.tag in ASIDE and not opened:
+        return -1
+    if part.tag in ("article", "main"):
+        return 1
+    if part.tag == "header":
+        return up or -1
+    if not opened and (part.aside or not up and part.top):
+        return -1
+    return 1 if part.main else up
+
+
+def unwrapped(parts: list[Part], loose: int) -> list[int] | None:
+    """Hints where parts for something else turn out to hold the page's article; None if none does.
+
+    A main in one counts, and an article that has more words than all text outside of such parts
+    and no such part's comments around it. A form, or a part that is named as something else,
+    is but a wrapper if it has most of the page's words and no article lies outside. What is hidden
+    stays so. ``loose``: words outside of all containers.
+    """
+    if all(p.hint >= 0 for p in parts):
+        return None
+    words = [0 if p.hidden else p.words for p in parts]
+    total = loose + sum(words)
+    clear = loose + sum(n for p, n in zip(parts, words) if p.hint >= 0)
+    for i in range(len(parts) - 1, -1, -1):
+        if parts[i].up >= 0:
+            words[parts[i].up] += words[i]
+    outside = any(p.hint > 0 and n >= ARTICLE for p, n in zip(parts, words))
+    held, opened = set(), set()
+    for i, p in enumerate(parts):
+        if p.hint < 0 and not p.hidden:
+            if p.tag == "main" or p.tag == "article" and not p.other and words[i] > clear:
+                held.add(i)
+            elif not outside and not p.other and 2 * words[i] > total and (p.tag == "form" or p.tag not in ASIDE and p.tag != "header" and (p.aside or p.top)):
+                opened.add(i)
+    if not held and not opened:
+        return None
+    out: list[int] = []
+    for i, p in enumerate(parts):
+        out.append(1 if i in held else _hint(p, out[p.up] if p.up >= 0 else 0, i in opened))
+    return out
+
+
 @dataclass
 class _Reader:
-    """Turns the tokens of a page into blocks."""
+    """Turns the tokens of a page into blocks. ``hints``: of the containers, if they are known."""
 
+    hints: list[int] | None = None
     blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, int]] = field(default_factory=list)
+    containers: list[Part] = field(default_factory=list)
+    stack: list[tuple[str, int, int]] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
+    loose: int = 0
     linked: int = 0
     link: int = 0
     heading: int = 0
@@ -182,26 +268,27 @@ class _Reader:
         if self.parts:
             ws = "".join(self.parts).split()
             if ws:
-                self.blocks.append(Block(" ".join(ws), self.stack[-1][1] if self.stack else 0, self.heading, len(ws), min(self.linked, len(ws))))
+                linked = min(self.linked, len(ws))
+                self.blocks.append(Block(" ".join(ws), self.stack[-1][1] if self.stack else 0, self.heading, len(ws), linked))
+                if self.stack:
+                    self.containers[self.stack[-1][2]].words += len(ws) - linked
+                else:
+                    self.loose += len(ws) - linked
             self.parts.clear()
         self.linked = 0
 
-    def hint(self, tag: str, attributes: str) -> int:
-        """Of a container: what its parent's is, unless it tells more itself."""
-        up = self.stack[-1][1] if self.stack else 0
-        if up < 0 or tag in ASIDE or attributes and _HIDDEN.search(attributes):
-            return -1
-        if tag in ("article", "main"):
-            return 1
-        if tag == "header":
-            return up or -1
-        if attributes and tag != "body":
-            named = {w.lower() for _, v in _NAMED.findall(attributes) for w in _PART.findall(v)}
-            if named & ASIDE_WORDS or not up and named & TOP_WORDS:
-                return -1
-            if named & MAIN_WORDS:
-                return 1
-        return up
+    def container(self, tag: str, attributes: str) -> tuple[str, int, int]:
+        """Its tag, hint and number."""
+        _, hint, up = self.stack[-1] if self.stack else ("", 0, -1)
+        part = Part(up, tag)
+        if up >= 0:
+            part.hidden, part.other = self.containers[up].hidden, self.containers[up].other
+        if attributes:
+            _told(part, attributes)
+        at = len(self.containers)
+        part.hint = self.hints[at] if self.hints else _hint(part, hint)
+        self.containers.append(part)
+        return tag, part.hint, at
 
     def tag(self, closing: bool, tag: str, attributes: str) -> None:
         if tag == "a":
@@ -220,10 +307,10 @@ class _Reader:
             self.link = 0 if closing else self.link
         if tag in CONTAINERS:
             if not closing:
-                hint = self.hint(tag, attributes)
-                if tag == "span" and hint != (self.stack[-1][1] if self.stack else 0):
+                new = self.container(tag, attributes)
+                if tag == "span" and new[1] != (self.stack[-1][1] if self.stack else 0):
                     self.close_block()
-                self.stack.append((tag, hint))
+                self.stack.append(new)
             else:
                 for i in range(len(self.stack) - 1, -1, -1):
                     if self.stack[i][0] == tag:
@@ -233,9 +320,8 @@ class _Reader:
                         break
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page, in order. Markup that isn't closed or is nested wrongly is read as it comes."""
-    out, at = _Reader(), 0
+def _read(page: str, hints: list[int] | None = None) -> _Reader:
+    out, at = _Reader(hints), 0
     while True:
         m = _TOKEN.search(page, at)
         out.text(page[at : m.start()] if m else page[at:])
@@ -252,7 +338,14 @@ def blocks(page: str) -> list[Block]:
         else:
             out.tag(closing, name, attributes)
     out.close_block()
-    return out.blocks
+    return out
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page, in order. Markup that isn't closed or is nested wrongly is read as it comes."""
+    out = _read(page)
+    hints = unwrapped(out.containers, out.loose)
+    return out.blocks if hints is None else _read(page, hints).blocks
 
 
 def features(bs: list[Block]) -> list[tuple[float, ...]]:
