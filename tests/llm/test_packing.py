@@ -42,6 +42,18 @@ def test_many_lines_without_spaces():
         assert encoder.ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens(spark):
+    """One id each, as tokenizers gives them, wherever they stand."""
+    tok, end = Tokenizer.from_file(tokenizer_path()), "<|endoftext|>"
+    texts = [f"a{end}b", end, end * 3, f"a {end} b", f"a  {end}  b", f"{end}\n{end}\n\n{end} ", f"one\n{end}two three{end}\tfour {end[:-1]} <{end}>", f"{end}'s 12{end}34", "no <|endof text|>"]
+    ids = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4") for t in texts]
+    encoder = packing.PieceEncoder(tokenizer_path(), added=True)
+    assert [encoder.ids(t).tolist() for t in texts] == [x.tolist() for x in ids] and ids[0].tolist() == [64, 50256, 65]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(docs, tokenizer=tokenizer_path()).collect()}
+    assert got == {i: (len(x) + 1, zlib.crc32(np.append(x, np.uint32(0)).astype("<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 def test_best_fit_and_bound():
     bins = packing.OpenBins(10, 2)
     assert [bins.put(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]

@@ -34,6 +34,16 @@ def test_edits_follow_a_full_count(tokenizer):
             assert (int(tree.tokens[1]), int(tree.chars[1])) == (len(tokenizer(text)), len(text))
 
 
+def test_added_tokens_count_once():
+    tok, counter, rng, end = Tokenizer.from_file(tokenizer_path()), t.Counter(tokenizer_path()), random.Random(5), "<|endoftext|>"
+    text = " ".join(rng.choice(("word", end, f"a{end}b", "<|endof text|>", "  ", "x\n")) for _ in range(600))
+    tree = t.build(text, counter)
+    for _ in range(60):  # edits make such tokens and break them
+        at = rng.choice([i for i, c in enumerate(text) if c in " <|"])
+        tree, text, _ = t.edit(tree, text, at, rng.choice((0, 1, 1, 2)), rng.choice(("", "", end, "<|", " ")), counter)
+        assert int(tree.tokens[1]) == len(tok.encode(text, add_special_tokens=False).ids)
+
+
 def test_only_what_is_touched_is_encoded():
     counter = t.Counter(tokenizer_path())
     text = "some words here " * 20_000

@@ -44,6 +44,30 @@ def byte_level_encoding(path: str):
     return tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the tokens that a byte-level BPE file adds to those of its merges."""
+    with open(path, encoding="utf-8") as f:
+        known = json.load(f)["added_tokens"]
+    for x in known:  # such tokens would reach over the places where texts are cut
+        if x.get("lstrip") or x.get("rstrip") or x.get("single_word") or not x["content"] or re.search(r"\s", x["content"]):
+            raise ValueError(f"added token {x['content']!r} takes blanks or whole words only, which isn't supported")
+    return {x["content"]: x["id"] for x in known}
+
+
+def _around(tokens: dict[str, int], encode):
+    """``encode`` for texts in which ``tokens`` stand: they come first, the longest of those that begin at a place."""
+    if not tokens:
+        return encode
+    token = re.compile("(" + "|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + ")")
+    ids = {t: i.to_bytes(4, "little") for t, i in tokens.items()}
+
+    def run(text: str) -> bytes:
+        parts = token.split(text)
+        return encode(text) if len(parts) == 1 else b"".join(ids[p] if k % 2 else encode(p) for k, p in enumerate(parts))
+
+    return run
+
+
 class _Odd(Exception):
     """A part that blanks surround: the text needs the slower cut."""
 
@@ -76,11 +100,15 @@ class _Parts(dict):
 
 
 class PieceEncoder:
-    """Ids of texts by a byte-level BPE file, with the parts between single spaces remembered."""
+    """Ids of texts by a byte-level BPE file, with the parts between single spaces remembered.
+
+    ``added``: the file's added tokens have their own ids where they stand in a text, as tokenizers
+    gives them; else they are read as ordinary text (tokenizers' ``encode_special_tokens``).
+    """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, *, added: bool = False) -> None:
         encoding = byte_level_encoding(path)
-        self.encode = lambda text: array("I", encoding.encode_ordinary(text)).tobytes()
+        self.encode = _around(added_tokens(path) if added else {}, lambda text: array("I", encoding.encode_ordinary(text)).tobytes())
         self.first = _Parts(self.encode, "", None)
         self.first.feed = self.encode("\n")
         self.later = _Parts(self.encode, " ", self.first)
@@ -108,7 +136,7 @@ def pieces(n: int, limit: int) -> list[tuple[int, int]]:
 
 def _tokenised(path: str, limit: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = PieceEncoder(path)
+        encoder = PieceEncoder(path, added=True)
         for pdf in it:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
@@ -177,7 +205,8 @@ def token_pieces(docs: DataFrame, *, tokenizer: str, limit: int = 2048) -> DataF
 def pack(docs: DataFrame, *, tokenizer: str, limit: int = 2048, open_bins: int = 1024) -> DataFrame:
     """Pack all documents into sequences of at most ``limit`` tokens, a row per piece.
 
-    A document's tokens end with id 0; null and empty texts are that one token. Only documents
+    Tokens are those of tokenizers without the ones it puts around texts; an added token that stands
+    in a text (``<|endoftext|>``) is one. A document's tokens end with id 0; null and empty texts are that one token. Only documents
     over ``limit`` are cut, all pieces but the first being full. Pieces are dealt to tasks by a
     hash, and each task packs its own by online best fit into at most ``open_bins`` open bins. They
     come in waves of about twice as many, each from long to short, so that short ones still find

@@ -18,12 +18,12 @@ EDITS = "array<struct<start:int,length:int,text:string>>"
 
 
 class Counter(dict):
-    """Tokens of a pre-token, remembered for as many as fit the bound."""
+    """Tokens of a pre-token (an added token in it is one), remembered for as many as fit the bound."""
 
     LIMIT = 400_000
 
     def __init__(self, path: str) -> None:
-        self.encode = PieceEncoder(path).encode
+        self.encode = PieceEncoder(path, added=True).encode
 
     def __missing__(self, part: str) -> int:
         n = len(self.encode(part)) // 4
