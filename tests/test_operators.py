@@ -188,6 +188,90 @@ def test_bundles(spark, tmp_path):
     assert digest == good.select(contract.bundle_digest(good.columns[::-1])).first()[0] and len(digest) == 64
 
 
+def sound():
+    """A bundle that the schema allows too."""
+    b = bundle() | {"schema_version": "viewer/v1", "bundle_type": "race_simulation_result", "quality": {"missing_fields": [], "notes": ["made up"]}}
+    for corner in (b["observations"]["corners"][0], b["simulation"]["representative_trials"][0]["corners"][0]):
+        corner["groups"][1]["gap_from_previous"] = "unknown"
+    return json.loads(json.dumps(b))
+
+
+SOUND = sound()
+TRIAL, CORNER = ("simulation", "representative_trials", 0), ("observations", "corners", 0)
+FLAWS = [
+    (("extra",), 1, "$: unknown key"),
+    (("race", "extra"), 1, "$.race: unknown key"),
+    ((*CORNER, "groups", 0, "extra"), None, "$.observations.corners[].groups[]: unknown key"),
+    (("quality",), {"notes": ["x"]}, "$.quality: missing key"),
+    (("schema_version",), "1", "$.schema_version: not among the values"),
+    (("bundle_type",), "race", "$.bundle_type: not among the values"),
+    (("origin",), "model", "$.origin: not among the values"),
+    (("mode",), None, "$.mode: not among the values"),
+    (("race", "surface"), "Turf", "$.race.surface: not among the values"),
+    ((*CORNER, "groups", 1, "gap_from_previous"), "-", "$.observations.corners[].groups[].gap_from_previous: not among the values"),
+    (("run_id",), "", "$.run_id: length"),
+    (("race_id",), "x" * 101, "$.race_id: length"),
+    (("dataset_id",), " \t", "$.dataset_id: pattern"),
+    (("model_id",), "", "$.model_id: length"),
+    (("producer_code_commit",), "A" * 40, "$.producer_code_commit: pattern"),
+    (("as_of",), "2024-01-01T00:00:00", "$.as_of: pattern"),
+    (("generated_at",), "2024-01-01T00:00:00.5Z", "$.generated_at: pattern"),
+    (("race", "start_at"), "2024-02-30T00:00:00Z", "$.race.start_at: time"),
+    (("race", "name"), 5, "$.race.name: kind"),
+    (("race", "distance_m"), 400.5, "$.race.distance_m: kind"),
+    (("race", "distance_m"), True, "$.race.distance_m: kind"),
+    (("race", "distance_m"), 1_000_001, "$.race.distance_m: range"),
+    (("race", "runners"), [], "$.race.runners: length"),
+    (("race", "runners"), [SOUND["race"]["runners"][0]] * 100, "$.race.runners: length"),
+    (("race", "runners", 0, "gate_no"), 100, "$.race.runners[].gate_no: range"),
+    (("simulation", "total_trials"), 0, "$.simulation.total_trials: range"),
+    (("simulation", "completed_trials"), -1, "$.simulation.completed_trials: range"),
+    (("simulation", "representative_trials"), [SOUND["simulation"]["representative_trials"][0]] * 21, "$.simulation.representative_trials: length"),
+    (("simulation", "lap_quantiles"), [SOUND["simulation"]["lap_quantiles"][0]] * 101, "$.simulation.lap_quantiles: length"),
+    (("simulation", "lap_quantiles", 0, "p10_s"), 0, "$.simulation.lap_quantiles[].p10_s: range"),
+    ((*TRIAL, "laps", "values_s"), [1, 1000.5], "$.simulation.representative_trials[].laps.values_s[]: range"),
+    ((*TRIAL, "laps", "segment_ends_m"), [], "$.simulation.representative_trials[].laps.segment_ends_m: length"),
+    ((*TRIAL, "laps"), None, "$.simulation.representative_trials[].laps: kind"),
+    (("observations", "corners"), [SOUND["observations"]["corners"][0]] * 11, "$.observations.corners: length"),
+    ((*CORNER, "groups", 0, "members"), [], "$.observations.corners[].groups[].members: length"),
+    ((*CORNER, "unknown_reason"), "", "$.observations.corners[].unknown_reason: length"),
+    (("quality", "notes"), [], "$.quality.notes: length"),
+    (("quality", "missing_fields"), [""], "$.quality.missing_fields[]: length"),
+]
+
+
+def flawed(path, value):
+    b = at = sound()
+    for p in path[:-1]:
+        at = at[p]
+    at[path[-1]] = value
+    return b
+
+
+def test_bundles_by_their_schema(spark, tmp_path):
+    from tracewell.sources.readers import bundles
+    from tracewell.sources.writers import write_bundles
+
+    places = tmp_path / "in"
+    places.mkdir()
+    for i, (path, value, _) in enumerate(FLAWS):
+        (places / f"{i:02}.json").write_text(json.dumps(flawed(path, value)))
+    (places / "96.json").write_text(json.dumps(flawed(("race", "runners", 1, "horse_id"), "h1")))
+    (places / "97.json").write_text(json.dumps(sound()))
+    (places / "98.json").write_text(json.dumps(flawed(("race", "distance_m"), 400.0)))
+    (places / "99.json").write_text("[1]")
+    rows = {r["path"][-7:-5]: r["violations"] for r in bundles(spark, str(places), schema=True).collect()}
+    for i, (path, _, flaw) in enumerate(FLAWS):
+        assert flaw in rows[f"{i:02}"], (path, flaw, rows[f"{i:02}"])
+    assert (rows["96"], rows["97"], rows["98"], rows["99"]) == (["horse_id unique"], [], [], ["$: kind"])
+    read = lambda n: bundles(spark, f"{places}/{n}.json").drop("path", "state", "violations")
+    write_bundles(read("97"), f"{tmp_path}/out", schema=True)
+    for n, flaw in (("04", "schema_version: not among"), ("27", "representative_trials: length"), ("96", "horse_id unique")):
+        with pytest.raises(Exception, match=flaw):
+            write_bundles(read(n), f"{tmp_path}/out", schema=True)
+    assert spark.read.json(f"{tmp_path}/out").count() == 1
+
+
 def test_schema_rules(spark):
     kinds = {"null": "null", "true": "boolean", "1": "integer", "1.0": "integer", "1.5": "number", '"x"': "string", "[1]": "array", '{"a": 1}': "object", "nope": None}
     rows = spark.createDataFrame([(k,) for k in kinds], "j string").select("j", contract.kind(F.col("j")).alias("k")).collect()

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.operators.bundle_schema import schema_checked
 from tracewell.operators.contract import BUNDLE, BUNDLE_BYTES, validated
 
 
-def bundles(spark: SparkSession, path: str) -> DataFrame:
+def bundles(spark: SparkSession, path: str, *, schema: bool = False) -> DataFrame:
     """Bundles in JSON files, one each: path, state, the bundle's columns and ``violations``.
 
     state: ``too_large``, ``not_utf8``, ``not_json`` or ``read``; columns are null unless it is read.
+    ``schema``: violations are those of the schema (by raw JSON), and those between values where it has none;
+    without it only those between values.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
     text = F.when(F.col("length") <= BUNDLE_BYTES, F.try_validate_utf8(F.col("content")))
@@ -22,9 +25,13 @@ def bundles(spark: SparkSession, path: str) -> DataFrame:
         .when(F.try_parse_json("text").isNull(), "not_json")
         .otherwise("read")
     )
-    rows = files.withColumn("text", text).select("path", state.alias("state"), parsed.alias("b"))
-    rows = validated(rows.select("path", "state", "b.*"))
-    return rows.withColumn("violations", F.when(F.col("state") == "read", F.col("violations")))
+    rows = files.withColumn("text", text).withColumn("state", state).withColumn("flaws", F.array().cast("array<string>"))
+    if schema:
+        rows = rows.withColumn("_s", schema_checked(F.when(F.col("state") == "read", F.col("text"))))
+        rows = rows.withColumn("flaws", F.col("_s.flaws")).withColumn("text", F.coalesce("_s.text", "text"))
+    rows = validated(rows.select("path", "state", "flaws", parsed.alias("b")).select("path", "state", "flaws", "b.*"))
+    told = F.when(F.size("flaws") > 0, F.col("flaws")).otherwise(F.col("violations"))
+    return rows.withColumn("violations", F.when(F.col("state") == "read", told)).drop("flaws")
 
 
 def responses(spark: SparkSession, path: str, raw_ref: str | None = None) -> DataFrame:

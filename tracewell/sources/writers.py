@@ -7,17 +7,21 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.bundle_schema import schema_checked
 from tracewell.operators.contract import violations
 
 TOKEN = r"^[A-Za-z0-9_-]+\z"
 
 
-def write_bundles(bundles: DataFrame, path: str) -> None:
+def write_bundles(bundles: DataFrame, path: str, *, schema: bool = False) -> None:
     """Writes bundles as JSON lines beside ``path`` and puts them in its place once all are written.
 
-    If one breaks a rule or the write fails, what was there stays.
+    If one breaks a rule (with ``schema``, one of the schema's too) or the write fails, what was there stays.
     """
     wrong = violations()
+    if schema:
+        json = F.to_json(F.struct(*bundles.columns), {"ignoreNullFields": "false"})
+        wrong = F.concat(schema_checked(json)["flaws"], wrong)
     checked = bundles.filter(F.when(F.size(wrong) > 0, F.raise_error(F.array_join(wrong, ", ")).cast("boolean")).otherwise(F.lit(True)))
     new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     checked.write.option("ignoreNullFields", "false").json(new)
