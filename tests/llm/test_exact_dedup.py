@@ -4,8 +4,10 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.data import DOCS, frame, messy
+from tracewell.llm import common
 from tracewell.llm import exact_dedup as x
 
 
@@ -43,16 +45,20 @@ def test_fingerprints_combine():
     assert fp.of(b"\0") != fp.of(b"") and fp.of(b"ab") != fp.of(b"ba")
 
 
-def test_equal_fingerprints_are_compared(spark, monkeypatch):
-    """Fingerprints that all collide still keep different texts apart."""
-    monkeypatch.setattr(x.Fingerprint, "of", lambda self, data: (0, 0))
-    rows = [(1, "aaa"), (2, "bbb"), (3, "aaa"), (4, "cc"), (5, "cc")]
+@pytest.mark.parametrize("huge", [8_000_000, 3])
+def test_texts_of_one_fingerprint_are_compared(spark, huge, monkeypatch):
+    """Bases of 1 make a fingerprint of the bytes' sum: texts of the same letters collide, and still are told apart."""
+    rows = [(9, "abc"), (2, "abc"), (3, "cab"), (3, "bca"), (4, "cab"), (None, "bca"), (5, "xyz"), (6, "zyx"), (7, "xyz"), (8, "one"), (8, "one"), (None, "aa bb"), (1, "bb aa"), (1, "bb aa")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    prints = docs.selectExpr("doc_id", "0L fp_a", "0L fp_b", "cast(length(text) as long) n_bytes")
-    groups = prints.groupBy("fp_a", "fp_b", "n_bytes").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "first_id")
-    apart = x.collisions(docs, groups, compare_bytes=2)
-    if apart.count():  # workers see the patch only where they are forked from it
-        assert {r["n_bytes"] for r in apart.collect()} == {3}
+    base = x.fingerprints(docs, bases=(1, 1), huge_chars=huge)
+    assert base.select(*x.FP).distinct().count() == 4
+    monkeypatch.setattr(common, "HOT_ROWS", 3)  # the largest group is a hot one
+    monkeypatch.setattr(x, "SALT", 2)
+    got = x.exact_dedup(docs, bases=(1, 1), huge_chars=huge).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert Counter(map(tuple, got.collect())) == brute(rows)
+    first = base.groupBy(*x.FP).agg(F.min_by(F.struct("doc_id", "text_sha256"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256")).alias("first"))
+    apart = x.collisions(docs, base.join(first, x.FP).withColumn("group_size", F.lit(5)), compare_bytes=2, huge_chars=huge, bases=(1, 1))
+    assert sorted(r["n_bytes"] for r in apart.collect()) == [3, 3, 5]
 
 
 def test_empty_table_and_stage(spark):

@@ -55,6 +55,24 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark: how many cuts there are so far. ``discard`` takes it."""
+    return len(_written)
+
+
+def discard(mark: int, keep: int = 1) -> None:
+    """Delete the tables cut since ``mark`` but for the last ``keep``, which were made of them."""
+    end = max(mark, len(_written) - keep)
+    for spark, path in _written[mark:end]:
+        _delete(spark, path)
+    del _written[mark:end]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of finished plans before the next large one starts.
 
@@ -71,9 +89,7 @@ def release(spark: SparkSession) -> None:
 def _remove() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended
             return
 
@@ -84,22 +100,44 @@ def batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
 
 
+#: Groups of more rows than this and than one in HOT_SHARE of all rows are hot: HOT_SHARE groups at most.
+HOT_ROWS, HOT_SHARE = 1_000, 10_000
+
+
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` joined to ``groups``, a written table with a row for each key and the number ``size`` of its rows.
+
+    Hot groups, HOT_SHARE rows at most by their definition, are broadcast, so their rows stay
+    where they are; those of the others are shuffled by key, and no key has many.
+    """
+    most, total = groups.agg(F.max(size), F.sum(size)).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    if (most or 0) <= least:
+        return rows.join(groups, keys)
+    hot = F.col(size) > least
+    cold = rows.join(F.broadcast(groups.filter(hot).select(*keys)), keys, "left_anti").join(groups.filter(~hot), keys)
+    return rows.join(F.broadcast(groups.filter(hot)), keys).unionByName(cold)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node of the edges ``a``-``b``: root is the smallest node that it reaches.
 
     Alternating stars: in turn each node's larger and smaller neighbours move to its smallest
     neighbour, till nothing moves. Each step is a few shuffles of the edges that are left, a
-    number that never grows, and is written to the shared folder.
+    number that never grows, and is written to the shared folder. Edges of nodes that have very many
+    stay where they are when they meet the node's smallest neighbour (``meet``).
     """
     at = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     at, mark = cut(at), None
     while True:
+        begun = written()
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")))
+        large = cut(meet(both.filter("v > u"), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = meet(large, least, ["u"], "n").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
         at = cut(small.filter("u <> v").distinct())
+        discard(begun)
         now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break
