@@ -1,8 +1,9 @@
-from tests.llm.data import messy  # noqa: F401
+import random
+
 from tracewell.llm import url_filter as u
 from tracewell.llm.queries import URL_RULES
 
-SCHEMA = "page_id long, url string, html string, host string, rule string, _keys string, h long"
+SCHEMA = "page_id long, url string, html string, host string, rule string, _keys string, h long, hit string, keys string"
 
 
 def parts(url):
@@ -33,32 +34,47 @@ URLS = [
 
 
 def frame(spark, urls):
-    return spark.createDataFrame([(i // 2, x, None, "old", "old", "old", 1) for i, x in enumerate(urls)], SCHEMA)
+    return spark.createDataFrame([(i // 2, x, None, "old", "old", "mine", 1, "hit", "keys") for i, x in enumerate(urls)], SCHEMA)
+
+
+def check(rows, rules=URL_RULES):
+    for r in rows:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == judged(r["url"], rules), r["url"]
+        assert (r["_keys"], r["h"], r["hit"], r["keys"]) == ("mine", 1, "hit", "keys")
 
 
 def test_equals_plain_rules(spark):
-    pages = frame(spark, URLS + URLS)
-    got = u.judge(pages, URL_RULES)
-    for r in got.collect():
-        assert (r["host"], r["path"], r["rule"], r["verdict"]) == judged(r["url"]), r["url"]
-    assert got.count() == 2 * len(URLS) and {"_keys", "h", "html"} <= set(got.columns)
+    got = u.judge(frame(spark, URLS + URLS), URL_RULES).collect()
+    check(got)
+    assert len(got) == 2 * len(URLS)
+
 
+def test_many_rules_are_parted_by_hash(spark):
+    rng = random.Random(4)
+    hosts = [f"h{i}.{rng.choice(['com', 'net', 'a.org'])}" for i in range(200)]
+    rules = [u.Rule(f"{h}/{'p' * rng.randrange(4)}", rng.choice(["allow", "block"])) for h in hosts for _ in range(2)]
+    rules = list({r.key: r for r in rules}.values())
+    urls = URLS + [f"http://{rng.choice(['', 'www.'])}{rng.choice(hosts)}/{'p' * rng.randrange(6)}" for _ in range(300)]
+    for limit in (u.FILTER_BYTES, 150):  # one part, and five or more
+        check(u.judge(frame(spark, urls), rules, limit_bytes=limit).collect(), rules)
 
-def test_without_room_for_filters_a_join_answers(spark, monkeypatch):
-    monkeypatch.setattr(u, "build", lambda *a, **k: None)
-    for r in u.judge(frame(spark, URLS), URL_RULES).collect():
-        assert (r["host"], r["path"], r["rule"], r["verdict"]) == judged(r["url"]), r["url"]
+
+def test_rules_of_a_table_and_of_equal_length(spark):
+    rules = spark.createDataFrame([("b.com/xy", "allow"), ("a.b.com/", "block"), ("a.b.com/", "block"), (None, "block"), ("net", "block")], "key string, verdict string")
+    got = u.judge(frame(spark, ["http://a.b.com/xyz", "http://c.b.com/xyz", "http://net", None]), rules)
+    assert {r["url"]: (r["rule"], r["verdict"]) for r in got.collect()} == {"http://a.b.com/xyz": ("a.b.com/", "block"), "http://c.b.com/xyz": ("b.com/xy", "allow"), "http://net": ("net", "block"), None: (None, "allow")}
 
 
 def test_cascade_is_exact_over_its_universe(spark):
-    keys = spark.range(30_000).selectExpr("xxhash64(id) AS h", "id % 10 = 0 AS listed")
     import numpy as np
 
+    keys = spark.range(30_000).selectExpr("xxhash64(id) AS h", "id % 10 = 0 AS listed")
     cascade = u.build(keys.filter("listed").select("h"), keys.select("h"))
     rows = keys.toPandas()
     assert len(cascade.levels) >= 2
     assert (cascade.has(rows["h"].to_numpy().astype(np.uint64)) == rows["listed"]).all()
-    assert u.build(keys.filter("listed").select("h"), keys.select("h"), limit_bytes=100) is None
+    # the filters are of the listed keys' size: 3 000 of some bits each
+    assert sum(x.words.nbytes for x in cascade.levels) < 3_000 * 16 / 8
 
 
 def test_empty_tables(spark):

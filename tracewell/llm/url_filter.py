@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -10,11 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import batches, cut, mix
+from tracewell.llm.common import batches, cut, discard, mix, spare, written
 
-#: Bytes of all filters that are sent to executors, at most; beyond it the list is joined.
+#: Bytes of filters that a task holds at a time, about; longer lists are parted by their keys' hashes.
 FILTER_BYTES = 64 << 20
-BITS_PER_KEY, PROBES = 10, 7
+#: Share of keys that a level lets pass by mistake, behind the first: each level is a small part of the one before.
+LATER = 1 / 16
+#: Place of a key where none is listed: behind all.
+NONE = (1 << 31) - 1
 
 
 @dataclass(frozen=True)
@@ -55,16 +59,20 @@ def probes(host: Column, path: Column, lengths: list[int]) -> Column:
 
 
 class Bloom:
-    """One level: bits set at PROBES places of each 64-bit key hash, in words of 64."""
+    """One level: bits set at ``probes`` places of each 64-bit key hash, in words of 64.
 
-    def __init__(self, n: int, level: int, words: np.ndarray | None = None) -> None:
-        self.size = np.uint64(max(64, n * BITS_PER_KEY) // 64 * 64 + 64)
-        self.words = np.zeros(int(self.size) // 64, np.uint64) if words is None else words
+    ``error`` is the share of other keys that pass: 1.44 * log2(1 / error) bits a key.
+    """
+
+    def __init__(self, n: int, level: int, error: float) -> None:
+        self.size = np.uint64(max(64, math.ceil(n * bits_per_key(error))) // 64 * 64 + 64)
+        self.probes = max(1, round(math.log2(1 / error)))
+        self.words = np.zeros(int(self.size) // 64, np.uint64)
         self.salt = np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64))
 
     def places(self, h: np.ndarray) -> np.ndarray:
         a, b = mix(h ^ self.salt), mix(h + self.salt + np.uint64(1)) | np.uint64(1)
-        return (a[:, None] + np.arange(PROBES, dtype=np.uint64) * b[:, None]) % self.size
+        return (a[:, None] + np.arange(self.probes, dtype=np.uint64) * b[:, None]) % self.size
 
     def set_words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words that keys touch, each once, and the bits that they set there."""
@@ -103,35 +111,35 @@ class Cascade:
         return found
 
 
+def bits_per_key(error: float) -> float:
+    return math.log2(1 / error) / math.log(2)
+
+
+def first_error(listed: int, others: int) -> float:
+    """The share that level one lets pass: an eighth as many others as are listed, so what follows is small."""
+    return min(LATER, max(2.0**-40, listed / (8 * max(others, 1))))
+
+
 def _hash(key: Column) -> Column:
     return F.xxhash64(key)
 
 
-def build(listed: DataFrame, universe: DataFrame, *, limit_bytes: int = FILTER_BYTES) -> Cascade | None:
-    """A cascade exact on ``universe``; both have 64-bit ``h``. None where it would exceed the bytes.
+def build(listed: DataFrame, universe: DataFrame) -> Cascade:
+    """A cascade exact on ``universe``; both have 64-bit ``h``.
 
     Level one holds the listed keys, level two the other keys of the universe that pass it,
-    level three the listed ones that pass both, and so on till none is left. Keys that differ
-    but share a 64-bit hash are one key to it.
+    level three the listed ones that pass both, and so on till none is left. The first is sized
+    by both numbers, so the cascade takes some bits for each listed key and grows with the
+    logarithm of the universe only. Keys that differ but share a 64-bit hash are one key to it.
     """
     spark = listed.sparkSession
-    sides = [listed.select("h").distinct(), universe.select("h").distinct().join(listed.select("h").distinct(), "h", "left_anti")]
-    cascade, k, room = Cascade([]), 0, limit_bytes
-    while True:
-        sent = spark.sparkContext.broadcast(cascade)
-
-        def passing(it: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                yield pdf[sent.value.passes(pdf["h"].to_numpy().astype(np.uint64))]
-
-        left = sides[k % 2].mapInPandas(passing, "h long")
-        n = left.count()
-        if n == 0 and k:
-            return cascade
-        room -= n * BITS_PER_KEY // 8 + 16
-        if room < 0:
-            return None
-        level = Bloom(n, k)
+    mark = written()
+    mine = cut(listed.select("h").distinct())
+    sides = [mine, universe.select("h").distinct().join(mine, "h", "left_anti")]
+    n, others = mine.count(), universe.count()
+    cascade, k = Cascade([]), 0
+    while n or not k:
+        level = Bloom(n, k, LATER if k else first_error(n, others))
 
         def setting(it: Iterator[pd.DataFrame], level=level) -> Iterator[pd.DataFrame]:
             for pdf in it:
@@ -139,55 +147,81 @@ def build(listed: DataFrame, universe: DataFrame, *, limit_bytes: int = FILTER_B
                 yield pd.DataFrame({"at": at.astype(np.int64), "bits": bits.astype(np.int64)})
 
         # tasks set bits, Spark joins them; the driver gets the level's words, never its keys
-        got = left.mapInPandas(setting, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+        got = sides[k % 2].mapInPandas(setting, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
         level.words[got["at"].to_numpy()] = got["bits"].to_numpy().astype(np.uint64)
         cascade = Cascade([*cascade.levels, level])
         k += 1
+        sent = spark.sparkContext.broadcast(level)
+
+        def passing(it: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                yield pdf[sent.value.has(pdf["h"].to_numpy().astype(np.uint64))]
+
+        # what passes all levels so far, of the side whose turn is next: it passed all but the last before
+        sides[k % 2] = cut(sides[k % 2].mapInPandas(passing, "h long"))
+        n = sides[k % 2].count()
+    discard(mark, 0)
+    return cascade
 
 
-def judge(pages: DataFrame, rules: Iterable[Rule], *, url_col: str = "url", otherwise: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: Iterable[Rule] | DataFrame, *, url_col: str = "url", otherwise: str = "allow", limit_bytes: int = FILTER_BYTES) -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
-    Of the rules whose host is the url's or a parent domain of it and whose path starts the
-    url's, the longest key wins; with none, ``rule`` is null and the verdict ``otherwise`` (the
-    key isn't listed). Null urls and those without ``://`` have an empty host and path and fit
-    no rule. Each url's possible keys are looked up in a Bloom cascade built over all keys that
-    the corpus has, so the answers equal a join's. Repeated rows are judged each; other columns
-    pass through (of the same names, the new ones stay).
+    ``rules``: a table (key, verdict) or a list of Rule; of a key that is repeated one row counts, the one
+    of the smallest verdict. Of the rules whose host is the url's or a parent domain of it and whose path
+    starts the url's, the longest key wins (of equally long ones, the first by code points); with none,
+    ``rule`` is null and the verdict ``otherwise`` (the key isn't listed). Null urls and those
+    without ``://`` have an empty host and path and fit no rule. Each url's possible keys are looked
+    up in a Bloom cascade built over all keys that the corpus has, so the answers equal a
+    join's. A list whose filters would take more than ``limit_bytes`` is parted by its keys' hashes; rows
+    then pass the parts' cascades in turn. Repeated rows are judged each; other columns pass
+    through (of the same names, the new ones stay).
     """
     spark = pages.sparkSession
     batches(spark)
-    rules = list(rules)
-    keys = ["host", "path", "rule", "verdict"]
-    lengths = sorted({len(r.path) for r in rules}) or [0]
-    out = pages.drop(*keys).withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
-    rows = out.withColumn("_keys", F.array_sort(probes(F.col("host"), F.col("path"), lengths), lambda a, b: F.coalesce(F.length(b) - F.length(a), F.lit(0))))
-    universe = cut(rows.select(F.explode("_keys").alias("key")).distinct().select("key", _hash(F.col("key")).alias("h")))
-    table = spark.createDataFrame([(r.key, r.verdict) for r in rules], "key string, verdict string").dropDuplicates(["key"])
-    listed = table.withColumn("h", _hash(F.col("key")))
-    all_of, blocks = build(listed, universe), build(listed.filter("verdict = 'block'"), universe)
-    if all_of is None or blocks is None:  # too many keys to send: the same answer by a join
-        found = rows.withColumn("_id", F.monotonically_increasing_id())
-        hits = found.select("_id", F.posexplode("_keys").alias("n", "key")).join(table.withColumnRenamed("verdict", "v"), "key")
-        best = hits.groupBy("_id").agg(F.min(F.struct("n", "key", "v")).alias("b"))
-        found = found.join(best, "_id", "left").withColumn("rule", F.col("b.key")).withColumn("verdict", F.coalesce("b.v", F.lit(otherwise)))
-        return found.select(*out.columns, "rule", "verdict")
-    sent = spark.sparkContext.broadcast((all_of, blocks))
+    keys, hit = spare(pages, "keys", "hit")
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(r.key, r.verdict) for r in rules], "key string, verdict string")
+    table = cut(rules.filter("key IS NOT NULL").groupBy("key").agg(F.min("verdict").alias("verdict")).withColumn("h", _hash(F.col("key"))))
+    at = F.locate("/", F.col("key"))
+    # as many lengths as paths have, not as rules are
+    lengths = sorted(r[0] for r in table.select(F.when(at > 0, F.char_length("key") - at + 1).otherwise(0)).distinct().collect()) or [0]
+    out = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
+
+    def longest(a: Column, b: Column) -> Column:
+        return F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
+
+    rows = out.withColumn(keys, F.array_sort(probes(F.col("host"), F.col("path"), lengths), longest))
+    universe = cut(rows.select(F.explode(keys).alias("key")).distinct().select(_hash(F.col("key")).alias("h")))
+    n = table.count()
+    parts = max(1, math.ceil(n * (bits_per_key(first_error(n, universe.count())) + 2) / 8 / limit_bytes))
+    found = rows.withColumn(hit, F.lit(None).cast("struct<n: int, block: boolean>"))
+    for k in range(parts):
+        mine = F.pmod(F.col("h"), F.lit(parts)) == k
+        part = table.filter(mine)
+        cascades = build(part, universe.filter(mine)), build(part.filter("verdict = 'block'"), part)
+        look_up = _look_up(spark.sparkContext.broadcast(cascades), k, parts)
+        found = found.withColumn(hit, F.array_min(F.array(hit, look_up(F.transform(keys, _hash)))))
+        found = cut(found) if k + 1 < parts else found
+    rule = F.get(keys, F.col(f"{hit}.n"))
+    verdict = F.when(rule.isNull(), otherwise).when(F.col(f"{hit}.block"), "block").otherwise("allow")
+    return found.select(*out.columns, rule.alias("rule"), verdict.alias("verdict"))
+
+
+def _look_up(sent, part: int, parts: int):
+    """Of each row's key hashes, the place of the first that is listed in a part, and whether it is one to block."""
 
     @F.pandas_udf("n int, block boolean")
     def look_up(hs: pd.Series) -> pd.DataFrame:
         counts = hs.map(len).to_numpy()
-        flat = np.concatenate([np.asarray(x, np.int64) for x in hs] or [np.empty(0, np.int64)]).astype(np.uint64)
-        listed, block = (c.has(flat) for c in sent.value)
-        n, b, at = np.full(len(hs), -1, np.int32), np.zeros(len(hs), bool), 0
-        for i, size in enumerate(counts):
-            hit = np.flatnonzero(listed[at : at + size])
-            if len(hit):
-                n[i], b[i] = hit[0], block[at + hit[0]]
-            at += size
-        return pd.DataFrame({"n": n, "block": b})
-
-    found = rows.withColumn("_hit", look_up(F.transform("_keys", _hash)))
-    rule = F.when(F.col("_hit.n") >= 0, F.get("_keys", F.col("_hit.n")))
-    verdict = F.when(rule.isNull(), otherwise).when(F.col("_hit.block"), "block").otherwise("allow")
-    return found.select(*out.columns, rule.alias("rule"), verdict.alias("verdict"))
+        flat = np.concatenate([np.asarray(x, np.int64) for x in hs] or [np.empty(0, np.int64)])
+        row, place = np.repeat(np.arange(len(hs)), counts), np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+        own = np.flatnonzero(flat % parts == part)
+        listed, blocks = sent.value
+        own = own[listed.has(flat[own].astype(np.uint64))]
+        first = own[np.unique(row[own], return_index=True)[1]]  # keys are in order within a row
+        n, block = np.full(len(hs), NONE, np.int32), np.zeros(len(hs), bool)
+        n[row[first]], block[row[first]] = place[first], blocks.has(flat[first].astype(np.uint64))
+        return pd.DataFrame({"n": n, "block": block})
+
+    return look_up
