@@ -59,6 +59,25 @@ def test_many_documents_come_near_the_targets_and_reruns_agree(spark):
     assert len(shards) > 8 and max(shards.values()) < 4 * min(shards.values())  # whole blocks are dealt
 
 
+def test_shards_of_many_blocks_are_of_a_size(spark, monkeypatch):
+    """Some 5 000 shards of one hot source and two others: no cap on blocks leaves shards empty or over-full."""
+    monkeypatch.setattr(mixing, "RANGE", 1_000)
+    monkeypatch.setattr(mixing, "LEVELS", 4)
+    rows = spark.range(300_000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 7 as int))").alias("text"), F.expr("if(id % 10 < 8, 'hot', concat('s', id % 2))").alias("source"))
+    draws = mixing.plan_mix(rows, shard_words=240).select("size", F.inline("draws"))
+    per = [r["w"] for r in draws.groupBy("shard").agg(F.sum("size").alias("w")).collect()]
+    assert len(per) == 1 << 13  # 1 200 000 words
+    assert 240 / 4 < min(per) and max(per) < 2 * 240
+
+
+def test_clashing_columns_and_an_id_in_two_sources(spark):
+    rows = [(1, "a b", "x", "mine", 1, 2, 3, 4), (1, "c d e", None, "mine", 1, 2, 3, 4), (None, "f", "x", "mine", 1, 2, 3, 4), (2, "g " * 50, "y", "mine", 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _taken string, draws int, draw int, doc int, of int")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and set(map(tuple, out.collect())) <= set(rows)
+    assert max(Counter(map(tuple, out.collect())).values()) <= 3
+
+
 def test_quotas_sum_exactly(spark):
     quotas = spark.createDataFrame([("a", 1000), ("b", 37), ("c", 0), ("d", 1)], "key string, draws long")
     rows = mixing.shard_quotas(quotas, 4, 7).collect()

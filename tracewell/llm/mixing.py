@@ -13,10 +13,12 @@ from tracewell.llm.common import cut, spare
 WEIGHTS = (5, 2, 1)
 #: A source's mix is at most so many times the source.
 REPEATS = 3
-#: Documents that a block has, about, and blocks that a source has at most.
-BLOCK_DOCS, MOST_BLOCKS = 64, 1024
-#: Words of an output shard, about.
-SHARD_WORDS = 4_000_000
+#: Words of an output shard, about, and blocks that a shard is made of, about.
+SHARD_WORDS, SHARD_BLOCKS = 4_000_000, 64
+#: Documents of a block at most, about, whatever their words.
+BLOCK_DOCS = 64
+#: Blocks that one task puts in order, and levels of the tree between two shuffles of its nodes.
+RANGE, LEVELS = 4_096, 8
 
 
 def word_count(text: Column) -> Column:
@@ -105,17 +107,45 @@ def split(quotas: Column, node: Column, level: int, seed: int) -> Column:
 
 
 def shard_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
-    """``quotas(key, draws)`` dealt to 2^depth shards: key, shard, first, n (draws first .. first + n - 1)."""
-    nodes = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("key", "draws"))).alias("s"))
-    nodes = nodes.select(F.lit(0).cast("bigint").alias("node"), F.transform("s", lambda x: x["key"]).alias("keys"), F.transform("s", lambda x: x["draws"]).alias("q"))
+    """``quotas(key, draws)`` dealt to 2^depth shards: key, shard, first, n (draws first .. first + n - 1).
+
+    A node of the tree has an array of the sources' quotas and of their first draws. Every LEVELS
+    levels the nodes are dealt anew to tasks, so no task holds more than a few subtrees.
+    """
+    spark = quotas.sparkSession
+    one = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("key", "draws"))).alias("s"))
+    zero = F.transform("s", lambda x: F.lit(0).cast("bigint"))
+    nodes = one.select(F.lit(0).cast("bigint").alias("node"), F.transform("s", lambda x: x["key"]).alias("keys"), F.transform("s", lambda x: x["draws"]).alias("q"), zero.alias("first"))
     for level in range(depth):
+        if level and level % LEVELS == 0:
+            nodes = nodes.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << level), "node")
         nodes = nodes.withColumn("left", split(F.col("q"), F.col("node"), level, seed))
-        right = F.zip_with("q", "left", lambda a, b: a - b)
-        halves = F.array(F.struct((F.col("node") * 2).alias("node"), "keys", F.col("left").alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), "keys", right.alias("q")))
+        right, behind = F.zip_with("q", "left", lambda a, b: a - b), F.zip_with("first", "left", lambda a, b: a + b)
+        halves = F.array(
+            F.struct((F.col("node") * 2).alias("node"), "keys", F.col("left").alias("q"), "first"),
+            F.struct((F.col("node") * 2 + 1).alias("node"), "keys", right.alias("q"), behind.alias("first")),
+        )
         nodes = nodes.select(F.inline(halves))
-    leaves = nodes.select(F.col("node").alias("shard"), F.inline(F.arrays_zip("keys", "q")))
-    w = Window.partitionBy("keys").orderBy("shard")
-    return leaves.select(F.col("keys").alias("key"), "shard", (F.sum("q").over(w) - F.col("q")).alias("first"), F.col("q").alias("n"))
+    return nodes.select(F.col("node").alias("shard"), F.inline(F.arrays_zip("keys", "q", "first"))).select(F.col("keys").alias("key"), "shard", "first", F.col("q").alias("n"))
+
+
+def ordered(blocks: DataFrame, seed: int) -> DataFrame:
+    """``blocks(key, block, words, ranges)`` with ``rank`` and ``before``: place in the order of a hash, and words of those earlier.
+
+    The hash's range is cut into ``ranges`` equal parts, which add up first; so a source of very many
+    blocks is put in order by many tasks.
+    """
+    h = _hash(seed, F.col("key"), F.col("block"))
+    # the leading 30 bits of the hash, as a number from 0, tell the part
+    part = F.floor(F.shiftrightunsigned(h, 34) * F.col("ranges") / float(1 << 30)).cast("bigint")
+    rows = blocks.withColumn("h", F.shiftrightunsigned(h, 1)).withColumn("part", part)
+    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
+    parts = parts.select("key", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("w_before"))
+    inside = Window.partitionBy("key", "part").orderBy("h", "block")
+    rows = rows.withColumn("n_in", F.row_number().over(inside) - 1).withColumn("w_in", F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
+    rows = rows.join(parts, ["key", "part"])
+    return rows.withColumn("rank", F.col("n_before") + F.col("n_in")).withColumn("before", F.col("w_before") + F.col("w_in")).drop("h", "part", "n_in", "w_in", "n_before", "w_before")
 
 
 def plan_mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 7, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -123,31 +153,32 @@ def plan_mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, repeats: in
 
     Returns doc_id, source, size, source_size, target and ``draws``, an array of (epoch, shard,
     place): one for each time the mix takes the document, at most ``repeats``. Each source is cut
-    into blocks by a hash of doc_id, and its blocks are permuted. Its draws walk that order, epoch
-    after epoch, till its target; of the last block as many documents are drawn as come nearest.
-    A tree of multivariate hypergeometric splits deals the counts of draws to the output shards
-    so that they sum exactly, and each shard takes the next blocks of each source. Nothing
-    depends on partitioning, so reruns agree. Null texts have size 0; a null source is a source,
-    last in order; repeated rows are drawn together; an empty table gives an empty result.
+    into blocks by a hash of doc_id, small beside a shard, and its blocks are permuted. Its draws
+    walk that order, epoch after epoch, till its target; of the last block as many documents are
+    drawn as come nearest. A tree of multivariate hypergeometric splits deals the counts of draws
+    to the output shards so that they sum exactly, and each shard takes the next blocks of each
+    source. Nothing depends on partitioning, so reruns agree. Null texts have size 0; a null
+    source is a source, last in order; repeated rows are drawn together; an empty table gives an
+    empty result. A node of the tree has one row with all sources, so sources may be some
+    thousands, while documents, blocks and shards have no bound.
     """
     rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     table = targets(rows, weights, repeats)
-    blocks = F.least(F.ceil(F.col("docs") / BLOCK_DOCS), F.lit(MOST_BLOCKS)).cast("bigint")
+    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("source_size") * SHARD_BLOCKS / shard_words), F.lit(1)).cast("bigint")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
-    table = cut(table.withColumn("blocks", blocks).withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")))
+    table = table.withColumn("blocks", F.least(blocks, F.col("docs"))).withColumn("ranges", F.ceil(F.col("blocks") / RANGE).cast("bigint"))
+    table = cut(table.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")))
     words = table.agg(F.sum("source_size")).first()[0] or 0
     depth = max(0, math.ceil(math.log2(words / shard_words))) if words > shard_words else 0
 
     keyed = rows.withColumn("key", _key(F.col("source"))).join(table.hint("merge") if table.count() > 10_000 else F.broadcast(table), "key")
     keyed = keyed.withColumn("block", F.pmod(_hash(seed, F.col("doc_id")), F.col("blocks")))
-    of_block = keyed.groupBy("key", "block").agg(F.sum("size").alias("words"), F.first("need").alias("need"), F.first("whole").alias("whole"))
-    ordered = Window.partitionBy("key").orderBy(_hash(seed + 1, F.col("key"), F.col("block")), "block")
-    of_block = of_block.withColumn("rank", F.row_number().over(ordered) - 1).withColumn("before", F.sum("words").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
-    of_block = of_block.withColumn("extra", F.col("before") < F.col("need"))
+    of_block = keyed.groupBy("key", "block").agg(F.sum("size").alias("words"), F.first("need").alias("need"), F.first("whole").alias("whole"), F.first("ranges").alias("ranges"))
+    of_block = ordered(of_block, seed + 1).withColumn("extra", F.col("before") < F.col("need"))
     of_block = cut(of_block.withColumn("rest", F.when(F.col("extra"), F.col("need") - F.col("before"))))
     per = of_block.groupBy("key").agg(F.count("*").alias("n_blocks"), (F.first("whole") * F.count("*") + F.count_if("extra")).alias("draws"))
     dealt = shard_quotas(per.select("key", "draws"), depth, seed).filter("n > 0").withColumn("draw", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
-    dealt = dealt.join(per.select("key", "n_blocks"), "key").select("key", (F.col("draw") % F.col("n_blocks")).cast("int").alias("rank"), F.expr("draw div n_blocks").alias("epoch"), "shard")
+    dealt = dealt.join(per.select("key", "n_blocks"), "key").select("key", (F.col("draw") % F.col("n_blocks")).alias("rank"), F.expr("draw div n_blocks").alias("epoch"), "shard")
     drawn = dealt.groupBy("key", "rank").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("draws"))  # a block has repeats draws at most
     of_block = of_block.join(drawn, ["key", "rank"], "left").select("key", "block", "rest", "words", "draws")
 
@@ -173,8 +204,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with all their columns, repeats as repeated rows, shuffled within shards."""
-    at, one = spare(docs, "draws", "draw")
-    taken = mix(docs, **options).groupBy("doc_id").agg(F.collect_set(F.struct("epoch", "shard", "place")).alias(at)).withColumnRenamed("doc_id", "_taken")
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"])).withColumn(one, F.explode(at))
+    at, one, doc, of = spare(docs, "draws", "draw", "doc", "of")
+    # a source's draws of an id are those of its block, ``repeats`` at most
+    taken = plan_mix(docs, **options).select(F.col("doc_id").alias(doc), F.col("source").alias(of), F.inline("draws"))
+    taken = taken.groupBy(doc, of).agg(F.collect_set(F.struct("epoch", "shard", "place")).alias(at))
+    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken[doc]) & docs["source"].eqNullSafe(taken[of])).withColumn(one, F.explode(at))
     out = out.repartition(f"{one}.shard").sortWithinPartitions(f"{one}.shard", f"{one}.place")
     return out.select(*[docs[c] for c in docs.columns])

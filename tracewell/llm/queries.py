@@ -39,9 +39,9 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size, source, target and words taken of every document."""
+    """Size, source, target, words taken and places in the output shards of every document."""
     rows = mixing.plan_mix(read(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "draws")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
