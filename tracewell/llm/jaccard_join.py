@@ -2,19 +2,23 @@
 
 The steps, each a Spark job over all rows:
 
-1. Every document's shingle set is hashed; tokens go to buckets by their leading bits, which count
-   in how many sets each token occurs. A token of one set only cannot match, so only shared tokens
-   return to their documents.
+1. Every document's shingle set is hashed; each batch of documents sends its distinct tokens with
+   their counts to buckets, which add up in how many sets each token occurs. A token of one set only
+   cannot match, so only shared tokens return to their batches.
 2. Tokens are ordered by that count, rare ones first. Two sets that link share at least ``l``
    tokens among the first ``n - t + l`` of each, ``t`` being the overlap a link needs. Each set
    takes the ``l`` for which its tokens' counts say that scanning and verifying cost least.
-3. Sets that share prefix tokens are gathered to blocks (connected components), large blocks being
-   parted into chunks. Within a chunk and between chunks, pairs that share ``l`` prefix tokens are
-   verified, unless links already join them: components need no second proof.
+3. Sets of the same smallest token, under one hash and another, are likely copies: links among them
+   join large groups early, chunk by chunk, and one set of each stands for it in the next turn.
+4. Prefix tokens that sets of different components share lead to the pairs that are left. Sets lie
+   in chunks; two chunks meet with those of their sets only that share such a token, and pairs
+   sharing ``l`` prefix tokens are verified, unless links already join them: components need no
+   second proof.
 """
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import WordHashes, batches, components, cut, known_id, null_ids, release, shingle_set, spare, text_or_empty, words
+from tracewell.llm.common import WordHashes, batches, components, cut, known_id, meet, mix, null_ids, release, shingle_set, spare, text_or_empty, words
 
 #: Text bytes for each bucket of tokens: its tokens fit a task many times over.
 BUCKET_BYTES = 12 << 20
@@ -33,8 +37,10 @@ BUCKET_BYTES = 12 << 20
 LOW_BITS = 40
 #: Lengths of multi-match that are weighed.
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
-#: A chunk of a block holds about so many sets and so many tokens.
+#: A chunk holds about so many sets and so many tokens.
 CHUNK_SETS, CHUNK_TOKENS = 256, 2_000_000
+#: Sets of a prefix token that one task takes, about.
+SALT = 1_000
 
 _U = np.uint64
 
@@ -62,7 +68,7 @@ def _fingerprint(s: np.ndarray) -> str:
 
 
 def _tokens_by_bucket(size: int, buckets: int):
-    """Rows of (bucket, batch, head, data): each batch's tokens by bucket, and one head with its documents."""
+    """Rows of (bucket, batch, head, data): each batch's distinct tokens by bucket, and one head with its documents."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, task = WordHashes(), TaskContext.get().partitionId()
@@ -74,59 +80,65 @@ def _tokens_by_bucket(size: int, buckets: int):
                 if c == len(sets):
                     sets.append(s)
                 which.append(c)
-            head = pickle.dumps((pdf["doc_id"].tolist(), pdf["key"].tolist(), which, list(at), [len(s) for s in sets]))
+            tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            own = np.repeat(np.arange(len(sets), dtype=np.uint16 if len(sets) < 1 << 16 else np.uint32), [len(s) for s in sets])
+            order = np.argsort(tokens, kind="stable")
+            tokens, own = tokens[order], own[order]
+            first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, np.int64)
+            tokens, counts = tokens[first], np.diff(np.append(first, len(own))).astype(np.uint32)
+            head = pickle.dumps((pdf["doc_id"].tolist(), pdf["key"].tolist(), which, list(at), [len(s) for s in sets], own, _narrow(counts)))
             rows = [(batch % buckets, batch, True, head)]
-            if sets:
-                tokens = np.concatenate(sets)
-                own = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
-                bucket = ((tokens >> _U(LOW_BITS)) * _U(buckets) >> _U(64 - LOW_BITS)).astype(np.uint32)
-                order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                low, own = tokens[order], own[order]
-                for b in np.flatnonzero(np.diff(cuts)):
-                    s = slice(cuts[b], cuts[b + 1])
-                    rows.append((int(b), batch, False, _pack(low[s], own[s])))
+            bucket = (tokens >> _U(LOW_BITS)) * _U(buckets) >> _U(64 - LOW_BITS)  # in the tokens' order
+            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                rows.append((int(bucket[a]), batch, False, _pack(a, tokens[a:b], counts[a:b])))
             yield pd.DataFrame(rows, columns=["bucket", "batch", "head", "data"])
 
     return run
 
 
-def _pack(tokens: np.ndarray, own: np.ndarray) -> bytes:
-    """Five bytes of each token, then its set's number as two or four bytes."""
-    n = len(tokens)
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
+def _pack(at: int, tokens: np.ndarray, counts: np.ndarray) -> bytes:
+    """The place of the first token in its batch, then five bytes of each token, then the counts."""
+    n, counts = len(tokens), _narrow(counts)
     low = np.ascontiguousarray(tokens).view(np.uint8).reshape(n, 8)[:, : LOW_BITS // 8]
-    wide = int(own.max()) >= 1 << 16
-    return np.array([n, wide], "<u4").tobytes() + low.tobytes() + own.astype("<u4" if wide else "<u2").tobytes()
+    return np.array([at, n, counts.itemsize], "<u4").tobytes() + low.tobytes() + counts.tobytes()
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, wide = (int(x) for x in np.frombuffer(data, "<u4", 2))
+def _unpack(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    at, n, wide = (int(x) for x in np.frombuffer(data, "<u4", 3))
     low = np.zeros((n, 8), np.uint8)
-    low[:, : LOW_BITS // 8] = np.frombuffer(data, np.uint8, n * (LOW_BITS // 8), 8).reshape(n, -1)
-    return low.view("<u8").ravel(), np.frombuffer(data, "<u4" if wide else "<u2", n, 8 + n * (LOW_BITS // 8)).astype(np.uint32)
+    low[:, : LOW_BITS // 8] = np.frombuffer(data, np.uint8, n * (LOW_BITS // 8), 12).reshape(n, -1)
+    return at, low.view("<u8").ravel(), np.frombuffer(data, f"<u{wide}", n, 12 + n * (LOW_BITS // 8)).astype(np.uint32)
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket, the tokens of two sets or more with their counts, back by batch."""
+    """Of one bucket, the tokens of two sets or more with their counts, back by batch.
+
+    A token takes one entry of each batch that has it, however many of its sets do.
+    """
     out = [(b, True, d) for b, d, h in zip(pdf["batch"], pdf["data"], pdf["head"]) if h]
     rest = pdf[~pdf["head"]]
     if len(rest):
-        parts = [_unpack(d) for d in rest["data"]]
-        tokens, own = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        at, tokens, own = zip(*map(_unpack, rest["data"]))
+        sizes = [len(t) for t in tokens]
+        place = np.concatenate([np.arange(a, a + n, dtype=np.uint32) for a, n in zip(at, sizes)])
+        tokens, own = np.concatenate(tokens), np.concatenate(own)
         order = np.argsort(tokens)
         ordered = tokens[order]
-        starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         counts = np.empty(len(tokens), np.uint32)
-        counts[order] = np.repeat(np.diff(np.append(starts, len(tokens))), np.diff(np.append(starts, len(tokens))))
+        counts[order] = np.repeat(np.add.reduceat(own[order], first), np.diff(np.append(first, len(tokens))))
         high = _U(int(pdf["bucket"].iloc[0]) << LOW_BITS)
-        keep = np.flatnonzero(counts > 1)
-        cuts = np.searchsorted(source[keep], np.arange(len(parts) + 1))
-        for i, batch in enumerate(rest["batch"]):
-            k = keep[cuts[i] : cuts[i + 1]]
+        end = np.cumsum(sizes)
+        for batch, a, b in zip(rest["batch"], end - sizes, end):
+            k = a + np.flatnonzero(counts[a:b] > 1)
             if len(k):
-                data = np.array([len(k)], "<u4").tobytes() + (tokens[k] | high).tobytes() + own[k].astype("<u4").tobytes() + counts[k].tobytes()
-                out.append((batch, False, data))
+                out.append((batch, False, np.array([len(k)], "<u4").tobytes() + (tokens[k] | high).tobytes() + place[k].tobytes() + counts[k].tobytes()))
     return pd.DataFrame(out, columns=["batch", "head", "data"])
 
 
@@ -151,27 +163,32 @@ def _documents(sim: Similarity):
     """Of one batch, a row for each document; the first of a set brings its tokens if it may link."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, keys, which, prints, sizes = pickle.loads(pdf.loc[pdf["head"], "data"].iloc[0])
-        tokens, own, counts = [], [], []
+        ids, keys, which, prints, sizes, own, repeats = pickle.loads(pdf.loc[pdf["head"], "data"].iloc[0])
+        tokens, place, counts = [], [], []
         for d in pdf.loc[~pdf["head"], "data"]:
             n = int(np.frombuffer(d, "<u4", 1)[0])
             tokens.append(np.frombuffer(d, "<u8", n, 4))
-            own.append(np.frombuffer(d, "<u4", n, 4 + 8 * n))
+            place.append(np.frombuffer(d, "<u4", n, 4 + 8 * n))
             counts.append(np.frombuffer(d, "<u4", n, 4 + 12 * n))
         sets: dict[int, tuple] = {}
         if tokens:
-            tokens, own, counts = (np.concatenate(x) for x in (tokens, own, counts))
+            tokens, place, counts = (np.concatenate(x) for x in (tokens, place, counts))
+            repeats = repeats.astype(np.int64)
+            n = repeats[place]
+            which_own = np.repeat((np.cumsum(repeats) - repeats)[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            tokens, counts, own = np.repeat(tokens, n), np.repeat(counts, n), own[which_own]
             order = np.lexsort((tokens, counts, own))
             tokens, own, counts = tokens[order], own[order], counts[order]
             cuts = np.searchsorted(own, np.arange(len(prints) + 1))
             for c, n in enumerate(sizes):
                 s = slice(cuts[c], cuts[c + 1])
                 if n and cuts[c + 1] - cuts[c] >= sim.needed(n):
-                    sets[c] = (tokens[s].tobytes(), *_prefix(sim, n, counts[s]))
+                    least = [int(mix(tokens[s] + _U(salt)).min().astype(np.int64)) for salt in range(2)]
+                    sets[c] = (tokens[s].tobytes(), *_prefix(sim, n, counts[s]), *least)
         rows = []
         for doc, key, c in zip(ids, keys, which):
-            rows.append((doc, key, prints[c], sizes[c], *sets.pop(c, (None, None, None))))
-        return pd.DataFrame(rows, columns=["doc_id", "key", "print", "n", "tokens", "l", "k"]).astype({"doc_id": "Int64", "l": "Int32", "k": "Int32"})
+            rows.append((doc, key, prints[c], sizes[c], *sets.pop(c, (None,) * 5)))
+        return pd.DataFrame(rows, columns=["doc_id", "key", "print", "n", "tokens", "l", "k", "least0", "least1"]).astype({"doc_id": "Int64", "l": "Int32", "k": "Int32", "least0": "Int64", "least1": "Int64"})
 
     return run
 
@@ -179,7 +196,8 @@ def _documents(sim: Similarity):
 def _prefixes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         tokens = [np.frombuffer(t, "<i8", k) for t, k in zip(pdf["tokens"], pdf["k"])]
-        yield pd.DataFrame({"print": np.repeat(pdf["print"].to_numpy(), pdf["k"]), "token": np.concatenate(tokens) if tokens else np.empty(0, np.int64)})
+        rest = {c: np.repeat(pdf[c].to_numpy(), pdf["k"]) for c in ("print", "comp", "chunk", "pure")}
+        yield pd.DataFrame(rest | {"token": np.concatenate(tokens) if tokens else np.empty(0, np.int64)})
 
 
 class Forest:
@@ -212,7 +230,7 @@ def links(sim: Similarity, n: list[int], sets: list[np.ndarray], l: list[int], k
     index: dict[int, list[int]] = {}
     order, l_of = [np.sort(s) for s in sets], np.array(l)
     for i in range(len(n)):
-        lists = [index[x] for x in sets[i][: k[i]].tolist() if x in index]
+        lists = [index[x] for x in sets[i][: k[i]].tolist() if x in index] if right_from is None or i >= right_from else []
         if lists:
             hits = np.bincount(np.fromiter((j for x in lists for j in x), np.int64), minlength=len(n))
             for j in np.flatnonzero(hits >= np.minimum(l_of, l[i])):
@@ -247,35 +265,40 @@ def _parts(sets: Column, tokens: Column) -> Column:
     return F.greatest(F.ceil(sets / CHUNK_SETS), F.ceil(tokens / CHUNK_TOKENS), F.lit(1)).cast("long")
 
 
-def _chunked(sets: DataFrame, by: list[str]) -> DataFrame:
-    """``sets`` with ``parts`` of its group ``by``, and ``chunk`` among them by hash."""
-    sizes = sets.groupBy(*by).agg(_parts(F.count("*"), F.sum("n")).alias("parts"))
-    return sets.join(sizes, by).withColumn("chunk", F.pmod(F.xxhash64("print"), F.col("parts")))
+def _within(sets: DataFrame, sim: Similarity, by: str) -> tuple[DataFrame, bool]:
+    """Links among sets of the same ``by``, within chunks of them, and whether any has more than one chunk."""
+    sizes = cut(sets.groupBy(by).agg(F.count("*").alias("members"), _parts(F.count("*"), F.sum("n")).alias("parts")).filter("members > 1"))
+    rows = meet(sets, sizes, [by], "members").withColumn("chunk", F.pmod(F.xxhash64("print"), F.col("parts")))
+    rows = rows.select(by, "chunk", "print", "n", "tokens", "l", "k", "comp", F.lit(0).alias("side"))
+    return rows.groupBy(by, "chunk").applyInPandas(_links(sim), "a string, b string"), not sizes.filter("parts > 1").isEmpty()
 
 
-def _within(sets: DataFrame, sim: Similarity, by: list[str]) -> DataFrame:
-    """Links within chunks of the groups ``by``."""
-    rows = _chunked(sets, by).withColumn("side", F.lit(0))
-    return rows.groupBy(*by, "chunk").applyInPandas(_links(sim), "a string, b string")
+def _in_chunks(sets: DataFrame) -> DataFrame:
+    """``sets`` with ``chunk``, and ``pure``: its component, if that has chunks of its own; smaller ones share chunks."""
+    sizes = cut(sets.groupBy("comp").agg(F.count("*").alias("members"), _parts(F.count("*"), F.sum("n")).alias("parts"), F.sum("n").alias("size")))
+    small = sizes.filter("parts = 1").agg(_parts(F.sum("members"), F.sum("size"))).first()[0] or 1
+    rows = meet(sets, sizes.drop("size"), ["comp"], "members")
+    pure = F.when(F.col("parts") > 1, F.col("comp"))
+    chunk = F.when(F.col("parts") > 1, F.concat_ws("/", "comp", F.pmod(F.xxhash64("print"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("comp"), F.lit(small)).cast("string"))
+    return rows.withColumn("pure", pure).withColumn("chunk", chunk).drop("parts", "members")
 
 
 def _across(sets: DataFrame, sim: Similarity) -> DataFrame:
-    """Links between any chunks of the blocks, but for chunks of one and the same component.
-
-    Components of more than a chunk have chunks of their own, ``pure``; the others share chunks.
-    """
-    large = F.col("parts") > 1
-    rows = _chunked(sets, ["block", "comp"]).withColumn("pure", F.when(large, F.col("comp")))
-    mixed = rows.filter("pure IS NULL").groupBy("block").agg(_parts(F.count("*"), F.sum("n")).alias("mixed"))
-    rows = rows.join(mixed, "block", "left").withColumn("chunk", F.when(large, F.concat_ws("/", "comp", "chunk")).otherwise(F.pmod(F.xxhash64("comp"), "mixed").cast("string"))).drop("parts", "mixed")
-    rows = cut(rows)
-    chunks = rows.select("block", "chunk", "pure").distinct()
-    other = chunks.select("block", F.col("chunk").alias("chunk2"), F.col("pure").alias("pure2"))
-    pairs = chunks.join(other, "block").filter("chunk < chunk2 AND NOT coalesce(pure = pure2, false) OR chunk = chunk2 AND pure IS NULL")
-    pairs = pairs.select("block", F.col("chunk").alias("left"), F.col("chunk2").alias("right"))
-    left = rows.join(pairs.withColumnRenamed("left", "chunk"), ["block", "chunk"]).select("block", F.col("chunk").alias("left"), "right", "print", "n", "tokens", "l", "k", "comp", F.lit(0).alias("side"))
-    right = rows.join(pairs.filter("left <> right").withColumnRenamed("right", "chunk"), ["block", "chunk"]).select("block", "left", F.col("chunk").alias("right"), "print", "n", "tokens", "l", "k", "comp", F.lit(1).alias("side"))
-    return left.unionByName(right).groupBy("block", "left", "right").applyInPandas(_links(sim), "a string, b string")
+    """Links between sets of different components, by the prefix tokens that such sets share."""
+    sets = cut(_in_chunks(sets))
+    posts = cut(sets.select("print", "comp", "chunk", "pure", "tokens", "k").mapInPandas(_prefixes, "print string, comp string, chunk string, pure string, token long"))
+    crossing = cut(posts.groupBy("token").agg(F.count("*").alias("members"), F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d").select("token", "members"))
+    posts = cut(meet(posts, crossing, ["token"], "members").withColumn("salts", F.ceil(F.col("members") / SALT).cast("int")))
+    # a token's chunks; sets of a token that very many have are dealt over salts
+    chunks = posts.groupBy("token", F.col("chunk").alias("chunk2")).agg(F.first("pure").alias("pure2"), F.first("salts").alias("salts"), (F.min("comp") < F.max("comp")).alias("mixed"))
+    chunks = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    posts = posts.withColumn("salt", F.pmod(F.xxhash64("print"), F.col("salts")).cast("int"))
+    met = posts.join(chunks, ["token", "salt"])
+    met = met.filter((F.col("chunk") != F.col("chunk2")) & ~F.col("pure").eqNullSafe(F.col("pure2")) | (F.col("chunk") != F.col("chunk2")) & F.col("pure").isNull() | (F.col("chunk") == F.col("chunk2")) & F.col("mixed"))
+    side = (F.col("chunk") > F.col("chunk2")).cast("int")
+    met = cut(met.select(F.least("chunk", "chunk2").alias("left"), F.greatest("chunk", "chunk2").alias("right"), "print", side.alias("side")).distinct())
+    rows = met.join(sets.select("print", "n", "tokens", "l", "k", "comp"), "print")
+    return rows.groupBy("left", "right").applyInPandas(_links(sim), "a string, b string")
 
 
 def _labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
@@ -285,25 +308,18 @@ def _labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def all_links(sets: DataFrame, sim: Similarity) -> DataFrame:
-    """Links (a, b) between ``sets(print, n, tokens, l, k)`` that give the same components as all links."""
-    prefix = cut(sets.select("print", "tokens", "k").mapInPandas(_prefixes, "print string, token long"))
-    # a star for each token: its sets meet at the one of smallest fingerprint
-    centre = prefix.groupBy("token").agg(F.min("print").alias("centre"), F.count("*").alias("m")).filter("m > 1")
-    stars = prefix.join(centre, "token").filter("print <> centre").select("print", "centre").distinct()
-    blocks = components(stars, "print", "centre").select(F.col("node").alias("print"), F.col("root").alias("block"))
-    rows = cut(sets.join(blocks, "print").withColumn("comp", F.col("print")))
-    found = cut(_within(rows, sim, ["block"]))
-    # blocks of one chunk are done
-    big = rows.groupBy("block").agg(_parts(F.count("*"), F.sum("n")).alias("parts")).filter("parts > 1").select("block")
-    big = cut(rows.join(big, "block", "left_semi"))
-    if big.isEmpty():
-        return found
-    # one set for each component of a large block: they join most of what chunks kept apart
-    big = cut(_labelled(big, found))
-    heads = big.filter("comp = print")
-    found = cut(found.unionByName(_within(heads, sim, ["block"])))
-    big = cut(_labelled(big, found))
-    return found.unionByName(_across(big, sim))
+    """Links (a, b) between ``sets(print, n, tokens, l, k, least0, least1)`` that give the same components as all links."""
+    sets, found = cut(sets.withColumn("comp", F.col("print"))), None
+    for turn in itertools.count():
+        # one set for each component: turn by turn they join what chunks kept apart
+        new, crowded = _within(sets.filter("comp = print"), sim, f"least{turn % 2}")
+        new = cut(new)
+        found, more = new if found is None else cut(found.unionByName(new)), not new.isEmpty()
+        if more:
+            sets = cut(_labelled(sets, found))
+        if turn and not (more and crowded):
+            break
+    return found.unionByName(_across(sets, sim))
 
 
 def jaccard_components(docs: DataFrame, sim: Similarity = Similarity(), *, key: Column | None = None) -> DataFrame:
@@ -325,17 +341,17 @@ def jaccard_components(docs: DataFrame, sim: Similarity = Similarity(), *, key:
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     tokens = rows.mapInPandas(_tokens_by_bucket(sim.size, buckets), "bucket int, batch long, head boolean, data binary")
     shared = tokens.groupBy("bucket").applyInPandas(_shared, "batch long, head boolean, data binary")
-    known = cut(null_ids(shared.groupBy("batch").applyInPandas(_documents(sim), "doc_id long, key string, print string, n long, tokens binary, l int, k int")))
+    known = cut(null_ids(shared.groupBy("batch").applyInPandas(_documents(sim), "doc_id long, key string, print string, n long, tokens binary, l int, k int, least0 long, least1 long")))
     release(spark)
-    sets = known.filter("tokens IS NOT NULL").groupBy("print").agg(F.first(F.struct("n", "tokens", "l", "k")).alias("s")).select("print", "s.*")
+    sets = known.filter("tokens IS NOT NULL").groupBy("print").agg(F.first(F.struct("n", "tokens", "l", "k", "least0", "least1")).alias("s")).select("print", "s.*")
     found = cut(all_links(cut(sets), sim))
     roots = components(found, "a", "b").select(F.col("node").alias("print"), "root")
     alone = F.when(F.col("n") == 0, F.concat(F.lit("empty/"), F.coalesce(F.col("key"), F.col("doc_id").cast("string"), F.uuid())))
     base = known.select("doc_id", "key", "print", "n").join(roots, "print", "left").withColumn("component", F.coalesce(alone, "root", "print")).drop("root")
     base = cut(base)
-    # written, so that both sides of the join are plain shuffles, of which Spark splits a large component
-    least = cut(base.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    out = base.join(least, "component", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+    least = cut(base.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")))
+    out = meet(base.filter("n > 0"), least, ["component"], "members").drop("members")
+    out = out.unionByName(base.filter("n = 0").withColumn("component_id", F.col("doc_id")))
     return out.select("doc_id", "key", "print", "n", "component", "component_id")
 
 
