@@ -41,6 +41,8 @@ LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 CHUNK_SETS, CHUNK_TOKENS = 256, 2_000_000
 #: Sets of a prefix token that one task takes, about.
 SALT = 1_000
+#: Sets of a batch that may have a token before their numbers stay with the batch's head.
+OFTEN = 8
 
 _U = np.uint64
 
@@ -86,12 +88,16 @@ def _tokens_by_bucket(size: int, buckets: int):
             tokens, own = tokens[order], own[order]
             first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, np.int64)
             tokens, counts = tokens[first], np.diff(np.append(first, len(own))).astype(np.uint32)
-            head = pickle.dumps((pdf["doc_id"].tolist(), pdf["key"].tolist(), which, list(at), [len(s) for s in sets], own, _narrow(counts)))
-            rows = [(batch % buckets, batch, True, head)]
             bucket = (tokens >> _U(LOW_BITS)) * _U(buckets) >> _U(64 - LOW_BITS)  # in the tokens' order
+            often = counts > OFTEN  # such a token's sets stay with the head
+            name = (bucket << _U(LOW_BITS) | tokens & _U((1 << LOW_BITS) - 1))[often]
+            stays = np.repeat(often, counts)
+            head = (pdf["doc_id"].tolist(), pdf["key"].tolist(), which, list(at), [len(s) for s in sets], name, counts[often], own[stays])
+            rows = [(batch % buckets, batch, True, pickle.dumps(head))]
+            own, last = own[~stays], np.cumsum(np.where(often, 0, counts))
             cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
             for a, b in zip(cuts[:-1], cuts[1:]):
-                rows.append((int(bucket[a]), batch, False, _pack(a, tokens[a:b], counts[a:b])))
+                rows.append((int(bucket[a]), batch, False, _pack(tokens[a:b], counts[a:b], own[last[a - 1] if a else 0 : last[b - 1]])))
             yield pd.DataFrame(rows, columns=["bucket", "batch", "head", "data"])
 
     return run
@@ -102,43 +108,49 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
 
 
-def _pack(at: int, tokens: np.ndarray, counts: np.ndarray) -> bytes:
-    """The place of the first token in its batch, then five bytes of each token, then the counts."""
+def _pack(tokens: np.ndarray, counts: np.ndarray, own: np.ndarray) -> bytes:
+    """Five bytes of each token, the counts, and the numbers of the sets of those of OFTEN at most."""
     n, counts = len(tokens), _narrow(counts)
     low = np.ascontiguousarray(tokens).view(np.uint8).reshape(n, 8)[:, : LOW_BITS // 8]
-    return np.array([at, n, counts.itemsize], "<u4").tobytes() + low.tobytes() + counts.tobytes()
+    return np.array([n, counts.itemsize, own.itemsize], "<u4").tobytes() + low.tobytes() + counts.tobytes() + own.tobytes()
 
 
-def _unpack(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-    at, n, wide = (int(x) for x in np.frombuffer(data, "<u4", 3))
-    low = np.zeros((n, 8), np.uint8)
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, wide, own_wide = (int(x) for x in np.frombuffer(data, "<u4", 3))
+    low, at = np.zeros((n, 8), np.uint8), 12 + n * (LOW_BITS // 8)
     low[:, : LOW_BITS // 8] = np.frombuffer(data, np.uint8, n * (LOW_BITS // 8), 12).reshape(n, -1)
-    return at, low.view("<u8").ravel(), np.frombuffer(data, f"<u{wide}", n, 12 + n * (LOW_BITS // 8)).astype(np.uint32)
+    return low.view("<u8").ravel(), np.frombuffer(data, f"<u{wide}", n, at).astype(np.uint32), np.frombuffer(data, f"<u{own_wide}", -1, at + n * wide).astype(np.uint32)
+
+
+def _slices(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first .. first + n - 1 of each, in a row."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket, the tokens of two sets or more with their counts, back by batch.
+    """Of one bucket, the tokens of two sets or more with their counts and sets, back by batch.
 
-    A token takes one entry of each batch that has it, however many of its sets do.
+    A token takes a bounded entry of each batch that has it, however many of its sets do.
     """
     out = [(b, True, d) for b, d, h in zip(pdf["batch"], pdf["data"], pdf["head"]) if h]
     rest = pdf[~pdf["head"]]
     if len(rest):
-        at, tokens, own = zip(*map(_unpack, rest["data"]))
-        sizes = [len(t) for t in tokens]
-        place = np.concatenate([np.arange(a, a + n, dtype=np.uint32) for a, n in zip(at, sizes)])
-        tokens, own = np.concatenate(tokens), np.concatenate(own)
+        parts = [_unpack(d) for d in rest["data"]]
+        tokens, inside = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         order = np.argsort(tokens)
         ordered = tokens[order]
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         counts = np.empty(len(tokens), np.uint32)
-        counts[order] = np.repeat(np.add.reduceat(own[order], first), np.diff(np.append(first, len(tokens))))
-        high = _U(int(pdf["bucket"].iloc[0]) << LOW_BITS)
-        end = np.cumsum(sizes)
-        for batch, a, b in zip(rest["batch"], end - sizes, end):
-            k = a + np.flatnonzero(counts[a:b] > 1)
+        counts[order] = np.repeat(np.add.reduceat(inside[order], first), np.diff(np.append(first, len(tokens))))
+        high, at = _U(int(pdf["bucket"].iloc[0]) << LOW_BITS), 0
+        for batch, (low, n, own) in zip(rest["batch"], parts):
+            total = counts[at : at + len(low)]
+            at += len(low)
+            k = np.flatnonzero(total > 1)
             if len(k):
-                out.append((batch, False, np.array([len(k)], "<u4").tobytes() + (tokens[k] | high).tobytes() + place[k].tobytes() + counts[k].tobytes()))
+                listed = np.where(n > OFTEN, 0, n).astype(np.int64)
+                mine = own[_slices((np.cumsum(listed) - listed)[k], listed[k])]
+                out.append((batch, False, np.array([len(k)], "<u4").tobytes() + (low[k] | high).tobytes() + total[k].tobytes() + listed[k].astype(np.uint8).tobytes() + mine.tobytes()))
     return pd.DataFrame(out, columns=["batch", "head", "data"])
 
 
@@ -163,20 +175,22 @@ def _documents(sim: Similarity):
     """Of one batch, a row for each document; the first of a set brings its tokens if it may link."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, keys, which, prints, sizes, own, repeats = pickle.loads(pdf.loc[pdf["head"], "data"].iloc[0])
-        tokens, place, counts = [], [], []
+        ids, keys, which, prints, sizes, names, repeats, kept = pickle.loads(pdf.loc[pdf["head"], "data"].iloc[0])
+        tokens, counts, listed, own = [], [], [], []
         for d in pdf.loc[~pdf["head"], "data"]:
             n = int(np.frombuffer(d, "<u4", 1)[0])
             tokens.append(np.frombuffer(d, "<u8", n, 4))
-            place.append(np.frombuffer(d, "<u4", n, 4 + 8 * n))
-            counts.append(np.frombuffer(d, "<u4", n, 4 + 12 * n))
+            counts.append(np.frombuffer(d, "<u4", n, 4 + 8 * n))
+            listed.append(np.frombuffer(d, np.uint8, n, 4 + 12 * n))
+            own.append(np.frombuffer(d, "<u4", -1, 4 + 13 * n))
         sets: dict[int, tuple] = {}
         if tokens:
-            tokens, place, counts = (np.concatenate(x) for x in (tokens, place, counts))
-            repeats = repeats.astype(np.int64)
-            n = repeats[place]
-            which_own = np.repeat((np.cumsum(repeats) - repeats)[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            tokens, counts, own = np.repeat(tokens, n), np.repeat(counts, n), own[which_own]
+            tokens, counts, listed, own = (np.concatenate(x) for x in (tokens, counts, listed, own))
+            often, repeats, by = np.flatnonzero(listed == 0), repeats.astype(np.int64), np.argsort(names)
+            at = by[np.searchsorted(names[by], tokens[often])]
+            n = np.concatenate([listed[listed > 0].astype(np.int64), repeats[at]])
+            own = np.concatenate([own, kept[_slices((np.cumsum(repeats) - repeats)[at], repeats[at])].astype(np.uint32)])
+            tokens, counts = (np.repeat(np.concatenate([x[listed > 0], x[often]]), n) for x in (tokens, counts))
             order = np.lexsort((tokens, counts, own))
             tokens, own, counts = tokens[order], own[order], counts[order]
             cuts = np.searchsorted(own, np.arange(len(prints) + 1))
@@ -196,8 +210,7 @@ def _documents(sim: Similarity):
 def _prefixes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         tokens = [np.frombuffer(t, "<i8", k) for t, k in zip(pdf["tokens"], pdf["k"])]
-        rest = {c: np.repeat(pdf[c].to_numpy(), pdf["k"]) for c in ("print", "comp", "chunk", "pure")}
-        yield pd.DataFrame(rest | {"token": np.concatenate(tokens) if tokens else np.empty(0, np.int64)})
+        yield pd.DataFrame({"print": np.repeat(pdf["print"].to_numpy(), pdf["k"]), "l": np.repeat(pdf["l"].to_numpy(), pdf["k"]), "token": np.concatenate(tokens) if tokens else np.empty(0, np.int64)})
 
 
 class Forest:
@@ -265,61 +278,71 @@ def _parts(sets: Column, tokens: Column) -> Column:
     return F.greatest(F.ceil(sets / CHUNK_SETS), F.ceil(tokens / CHUNK_TOKENS), F.lit(1)).cast("long")
 
 
-def _within(sets: DataFrame, sim: Similarity, by: str) -> tuple[DataFrame, bool]:
-    """Links among sets of the same ``by``, within chunks of them, and whether any has more than one chunk."""
-    sizes = cut(sets.groupBy(by).agg(F.count("*").alias("members"), _parts(F.count("*"), F.sum("n")).alias("parts")).filter("members > 1"))
-    rows = meet(sets, sizes, [by], "members").withColumn("chunk", F.pmod(F.xxhash64("print"), F.col("parts")))
-    rows = rows.select(by, "chunk", "print", "n", "tokens", "l", "k", "comp", F.lit(0).alias("side"))
-    return rows.groupBy(by, "chunk").applyInPandas(_links(sim), "a string, b string"), not sizes.filter("parts > 1").isEmpty()
+def _chunked(rows: DataFrame, by: str) -> DataFrame:
+    """``rows(print, n, ...)`` with ``members`` of its ``by`` and ``chunk``: a part of them by hash."""
+    sizes = cut(rows.groupBy(by).agg(F.count("*").alias("members"), _parts(F.count("*"), F.sum("n")).alias("parts")))
+    return meet(rows, sizes, [by], "members").withColumn("chunk", F.pmod(F.xxhash64("print"), F.col("parts")))
 
 
-def _in_chunks(sets: DataFrame) -> DataFrame:
-    """``sets`` with ``chunk``, and ``pure``: its component, if that has chunks of its own; smaller ones share chunks."""
-    sizes = cut(sets.groupBy("comp").agg(F.count("*").alias("members"), _parts(F.count("*"), F.sum("n")).alias("parts"), F.sum("n").alias("size")))
-    small = sizes.filter("parts = 1").agg(_parts(F.sum("members"), F.sum("size"))).first()[0] or 1
-    rows = meet(sets, sizes.drop("size"), ["comp"], "members")
-    pure = F.when(F.col("parts") > 1, F.col("comp"))
-    chunk = F.when(F.col("parts") > 1, F.concat_ws("/", "comp", F.pmod(F.xxhash64("print"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("comp"), F.lit(small)).cast("string"))
-    return rows.withColumn("pure", pure).withColumn("chunk", chunk).drop("parts", "members")
+def _within(sets: DataFrame, labels: DataFrame, sim: Similarity, by: str) -> tuple[DataFrame, bool]:
+    """Links among one set of each component, of those of the same ``by``, within chunks; and whether any ``by`` has more than one chunk."""
+    rows = cut(_chunked(labels.filter("comp = print").select("print", "n", by), by).filter("members > 1"))
+    named = rows.select("print", F.concat_ws("/", by, "chunk").alias("group"))
+    told = sets.join(named, "print").select("group", "print", "n", "tokens", "l", "k", F.col("print").alias("comp"), F.lit(0).alias("side"))
+    return told.groupBy("group").applyInPandas(_links(sim), "a string, b string"), not rows.filter("parts > 1").isEmpty()
 
 
-def _across(sets: DataFrame, sim: Similarity) -> DataFrame:
-    """Links between sets of different components, by the prefix tokens that such sets share."""
-    sets = cut(_in_chunks(sets))
-    posts = cut(sets.select("print", "comp", "chunk", "pure", "tokens", "k").mapInPandas(_prefixes, "print string, comp string, chunk string, pure string, token long"))
-    crossing = cut(posts.groupBy("token").agg(F.count("*").alias("members"), F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d").select("token", "members"))
-    posts = cut(meet(posts, crossing, ["token"], "members").withColumn("salts", F.ceil(F.col("members") / SALT).cast("int")))
+def _across(sets: DataFrame, labels: DataFrame, sim: Similarity) -> DataFrame:
+    """Links between sets of different components, by the prefix tokens that such sets share.
+
+    Sets lie in chunks by that shared token of theirs which most sets have. Chunks meet with those sets
+    that share as many tokens with the other chunk as one of the two sets' ``l`` at least. Of each token the largest
+    component meets no chunk of its own sets alone.
+    """
+    sizes = cut(labels.groupBy("comp").agg(F.count("*").alias("size")))
+    of = cut(meet(labels.select("print", "n", "comp"), sizes, ["comp"], "size"))
+    posts = sets.select("print", "l", "tokens", "k").mapInPandas(_prefixes, "print string, l int, token long").join(of, "print")
+    posts = cut(posts)
+    crossing = posts.groupBy("token").agg(F.count("*").alias("members"), F.min("comp").alias("c"), F.max("comp").alias("d"), F.max_by("comp", F.struct("size", "comp")).alias("major"))
+    crossing = cut(crossing.filter("c < d").select("token", "members", "major"))
+    posts = cut(meet(posts, crossing, ["token"], "members").select("token", "members", "print", "n", "l", "comp", (F.col("comp") == F.col("major")).alias("major")))
+    # sets of few neighbours share chunks, by their token
+    at = posts.groupBy("print").agg(F.max(F.struct("members", "token")).alias("at"), F.first("n").alias("n")).select("print", "n", "at.*")
+    few = max(1, at.count() // CHUNK_SETS)
+    at = at.withColumn("home", F.when(F.col("members") < CHUNK_SETS // 4, F.concat(F.lit("few/"), F.pmod(F.xxhash64("token"), F.lit(few)))).otherwise(F.col("token").cast("string")))
+    homes = cut(_chunked(at.select("print", "n", "home"), "home").select("print", F.concat_ws("/", "home", "chunk").alias("chunk")))
+    posts = cut(posts.drop("n").join(homes, "print"))
     # a token's chunks; sets of a token that very many have are dealt over salts
-    chunks = posts.groupBy("token", F.col("chunk").alias("chunk2")).agg(F.first("pure").alias("pure2"), F.first("salts").alias("salts"), (F.min("comp") < F.max("comp")).alias("mixed"))
-    chunks = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    posts = posts.withColumn("salt", F.pmod(F.xxhash64("print"), F.col("salts")).cast("int"))
-    met = posts.join(chunks, ["token", "salt"])
-    met = met.filter((F.col("chunk") != F.col("chunk2")) & ~F.col("pure").eqNullSafe(F.col("pure2")) | (F.col("chunk") != F.col("chunk2")) & F.col("pure").isNull() | (F.col("chunk") == F.col("chunk2")) & F.col("mixed"))
-    side = (F.col("chunk") > F.col("chunk2")).cast("int")
-    met = cut(met.select(F.least("chunk", "chunk2").alias("left"), F.greatest("chunk", "chunk2").alias("right"), "print", side.alias("side")).distinct())
-    rows = met.join(sets.select("print", "n", "tokens", "l", "k", "comp"), "print")
-    return rows.groupBy("left", "right").applyInPandas(_links(sim), "a string, b string")
-
-
-def _labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
-    """``sets`` with ``comp``: the component of its set by the links found."""
+    chunks = posts.groupBy("token", F.col("chunk").alias("chunk2")).agg(F.first("members").alias("members"), F.min("l").alias("l2"), F.every("major").alias("major2"), (F.min("comp") < F.max("comp")).alias("mixed"))
+    chunks = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("members") / SALT).cast("int")))).drop("members")
+    rows = posts.withColumn("salt", F.pmod(F.xxhash64("print"), (F.col("members") / SALT).cast("int") + 1).cast("int")).drop("members")
+    met = rows.join(chunks.filter("NOT major2"), ["token", "salt"]).unionByName(rows.filter("NOT major").join(chunks.filter("major2"), ["token", "salt"]))
+    met = met.filter((F.col("chunk") != F.col("chunk2")) | F.col("mixed")).withColumn("side", (F.col("chunk") > F.col("chunk2")).cast("int"))
+    met = met.groupBy(F.least("chunk", "chunk2").alias("left"), F.greatest("chunk", "chunk2").alias("right"), "print", "side")
+    met = cut(met.agg(F.count("*").alias("hits"), F.least(F.first("l"), F.min("l2")).alias("least")).filter("hits >= least").drop("hits", "least"))
+    told = met.join(of.select("print", "comp"), "print").join(sets.select("print", "n", "tokens", "l", "k"), "print")
+    return told.groupBy("left", "right").applyInPandas(_links(sim), "a string, b string")
+
+
+def _labelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` with ``comp``: the component of its set by the links found."""
     roots = components(found, "a", "b").select(F.col("node").alias("print"), "root")
-    return sets.drop("comp").join(roots, "print", "left").withColumn("comp", F.coalesce("root", "print")).drop("root")
+    return labels.drop("comp").join(roots, "print", "left").withColumn("comp", F.coalesce("root", "print")).drop("root")
 
 
 def all_links(sets: DataFrame, sim: Similarity) -> DataFrame:
     """Links (a, b) between ``sets(print, n, tokens, l, k, least0, least1)`` that give the same components as all links."""
-    sets, found = cut(sets.withColumn("comp", F.col("print"))), None
+    labels, found = sets.select("print", "n", "least0", "least1", F.col("print").alias("comp")), None
     for turn in itertools.count():
         # one set for each component: turn by turn they join what chunks kept apart
-        new, crowded = _within(sets.filter("comp = print"), sim, f"least{turn % 2}")
+        new, crowded = _within(sets, labels, sim, f"least{turn % 2}")
         new = cut(new)
         found, more = new if found is None else cut(found.unionByName(new)), not new.isEmpty()
         if more:
-            sets = cut(_labelled(sets, found))
+            labels = cut(_labelled(labels, found))
         if turn and not (more and crowded):
             break
-    return found.unionByName(_across(sets, sim))
+    return found.unionByName(_across(sets, labels, sim))
 
 
 def jaccard_components(docs: DataFrame, sim: Similarity = Similarity(), *, key: Column | None = None) -> DataFrame:
