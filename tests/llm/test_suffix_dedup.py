@@ -63,6 +63,14 @@ def test_hot_anchors_are_given_up(spark, monkeypatch):
     assert len(seen) > 1 and len(seen[-1]) > 0
 
 
+def test_missing_and_repeated_ids_are_spread(spark):
+    """Rows without an id, or of one id, lie in many shards and still are one document to each other."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdef ") for _ in range(400))
+    rows = [(None, text[i : i + 200]) for i in range(0, 60, 3)] + [(5, text[i : i + 150]) for i in range(0, 90, 5)] + [(9, text), (5, text[:80])]
+    assert got(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 50)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -34,8 +34,8 @@ PIECE = 1 << 15
 #: Text bytes of a shard and of a bucket of anchors.
 SHARD_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
 #: Segments that an anchor may have, or one in 2^24 of all bytes if that is more (so hot anchors are a few
-#: 100 000 at most), and rounds that look for such anchors.
-HOT, ROUNDS = 20_000, 6
+#: 100 000 at most).
+HOT = 20_000
 #: Ends each segment in a transform; UTF-8 has no such byte.
 END = 255
 #: Stands for a missing doc_id: larger than all others.
@@ -174,11 +174,11 @@ def _sent(match: int, buckets: int, hot: Broadcast) -> Callable[[pd.DataFrame],
         low, seg = s["low"][one], s["seg47"][one] << _U(1) | multi.astype(np.uint64)
         base = int(doc.min()) if len(doc) else 0
         wide = 4 if len(doc) and int(doc.max()) - base < 1 << 32 else 8
-        cuts, rows = np.searchsorted(bucket, np.arange(buckets + 1)), []
-        for b in np.flatnonzero(np.diff(cuts)):
-            x = slice(cuts[b], cuts[b + 1])
-            head = np.array([cuts[b + 1] - cuts[b], wide, base], "<i8").tobytes()
-            rows.append((int(b), shard, head + _few(low[x], 5) + _few(seg[x], 6) + _few(doc[x] - base, wide)))
+        names, cuts = np.unique(bucket, return_index=True)
+        rows = []
+        for b, x in zip(names.tolist(), map(slice, cuts, np.append(cuts[1:], len(bucket)))):
+            head = np.array([x.stop - x.start, wide, base], "<i8").tobytes()
+            rows.append((b, shard, head + _few(low[x], 5) + _few(seg[x], 6) + _few(doc[x] - base, wide)))
         return pd.DataFrame(rows, columns=["bucket", "shard", "data"])
 
     return run
@@ -452,11 +452,12 @@ def remove_repeats(docs: DataFrame, *, match: int = 50) -> DataFrame:
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards, buckets = max(least, -(-total // SHARD_BYTES)), min(1 << 24, max(least, -(-total // BUCKET_BYTES)))
     rows = docs.select(known_id(), F.coalesce("doc_id", F.lit(LAST)).alias("id"), text_or_empty("text").alias("text"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    # by id and text: ids that are missing or much repeated are spread, as nothing rests on their being together
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(shards)))
 
     # an anchor with a large part of all segments would fill a bucket: windows then take their next best one
     most, hot = max(HOT, total >> 24), None
-    for _ in range(ROUNDS):
+    while True:  # ends: each round has new hot anchors, of which there are few
         sent_hot = spark.sparkContext.broadcast(hot)
         sent = rows.groupBy("shard").applyInPandas(_sent(match, buckets, sent_hot), "bucket int, shard long, data binary")
         known = cut(sent.groupBy("bucket").applyInPandas(_met(most), "bucket int, shard long, keys binary, asked binary, docs binary, hot binary"))
