@@ -1,11 +1,13 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.data import frame, messy
 
 
 def test_stages_in_a_row(spark, tmp_path):
-    docs = frame(spark).drop("_key")
+    docs = frame(spark).withColumn("_taken", F.lit("mine")).withColumn("hit", F.lit(1))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs, columns, sizes = spark.read.parquet(f"{tmp_path}/documents.parquet"), docs.columns, []

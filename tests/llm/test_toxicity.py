@@ -63,3 +63,9 @@ def test_messy_and_empty(spark):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
     kept = toxicity.without_toxic(docs, labels)
     assert kept.columns == docs.columns and set(map(tuple, kept.collect())) <= set(map(tuple, docs.collect()))
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    docs, labels = labelled(spark, 60)
+    more = docs.unionByName(docs.filter("doc_id = 3")).unionByName(docs.filter("doc_id = 3"))
+    assert (toxicity.fit(docs, labels) == toxicity.fit(more, labels)).all()

@@ -96,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
     """Weights of 2^bits places and the intercept, as one array of fixed size.
 
     Reads ``labels(doc_id, toxic)`` (null labels and ids don't count; of repeated ids one row)
-    and the labelled texts of ``docs``. ``keep`` chooses rows by doc_id before the sample.
+    and the labelled texts of ``docs`` (of repeated ids the smallest text). ``keep`` chooses rows by doc_id before the sample.
     Without labels all weights are 0, so every score is 0.5.
     """
     spark = docs.sparkSession
@@ -106,8 +106,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
     n = known.count()
     share = min(1.0, settings.sample / n) if n else 0.0
     known = known.filter(F.pmod(F.xxhash64(F.lit(settings.seed), F.col("doc_id")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    texts = docs.select("doc_id", text_or_empty("text").alias("text")).join(known, "doc_id")
-    rows = cut(texts.mapInPandas(_featurised(settings), "doc_id long, label int, at array<int>"))
+    # of an id that several rows have one text counts, so the sample's bound holds whatever repeats
+    texts = docs.select("doc_id", text_or_empty("text").alias("text")).join(known, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = cut(texts.select("doc_id", "text", "label").mapInPandas(_featurised(settings), "doc_id long, label int, at array<int>"))
     # a bounded sample, so one task; in the order of ids, so reruns agree
     fitted = rows.repartition(1).sortWithinPartitions("doc_id", "label", F.size("at")).mapInPandas(_fitted(settings), "at long, w double")
     out = np.zeros((1 << settings.bits) + 1)
