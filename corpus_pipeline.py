@@ -46,10 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, each on what the one before has written."""
-    docs = read(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``, each on what the one before has written.
+
+    Once a stage is written, the tables that it was made of are deleted.
+    """
+    docs, begun = read(spark, sf_dir, "documents"), common.written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = common.cut(docs)
+            common.discard(begun)
     return docs
