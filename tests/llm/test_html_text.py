@@ -1,3 +1,6 @@
+import random
+import time
+
 from tracewell.llm import html_text as h
 
 TREE = h.train(h.LABELLED)
@@ -64,6 +67,46 @@ def test_broken_markup():
     assert h.main_text(None, TREE) == ""
 
 
+def test_long_broken_markup_takes_linear_time():
+    began = time.perf_counter()
+    for page in ('<a b="' * 40_000, '<a b="x>"' * 40_000, "<" * 200_000, "<a" * 100_000, "<!" * 100_000, "<!--" * 50_000, "<a '" * 40_000 + ">", "</" * 100_000 + ">", "<script " * 40_000, "<div>" * 20_000 + "</p>" * 20_000, f'<p a="><p>{WORDS}</p>' * 2_000):
+        assert isinstance(h.main_text(page, TREE), str)
+    assert time.perf_counter() - began < 20
+
+
+def plain(rng, n):
+    return " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def generated(rng):
+    """A page whose parts have no telling names or tags, and its article."""
+    link = lambda n: f"<a href='/x'>{plain(rng, n)}</a>"
+    head, paragraphs = plain(rng, rng.randint(3, 9)), [plain(rng, rng.randint(22, 120)) for _ in range(rng.randint(3, 9))]
+    menu = "".join(f"<div>{link(rng.randint(1, 3))}</div>" for _ in range(rng.randint(4, 9)))
+    more = "".join(f"<li>{link(rng.randint(2, 6))}</li>" for _ in range(rng.randint(3, 6)))
+    body = f"<h1>{head}</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs)
+    page = f"<div><div>{menu}</div><div class=x1>{body}</div><div><ul>{more}</ul></div><div>{plain(rng, 5)} {link(2)}</div></div>"
+    return page, "\n\n".join([head, *paragraphs])
+
+
+def test_pages_of_known_text_without_names():
+    """Words, links and neighbours decide where containers tell nothing."""
+    rng = random.Random(12)
+    pages = [generated(rng) for _ in range(200)]
+    assert all(b.hint == 0 for page, _ in pages for b in h.blocks(page))
+    assert sum(h.main_text(page, TREE) == text for page, text in pages) >= 190
+
+
+def test_pages_of_known_text_with_names():
+    rng = random.Random(13)
+    for _ in range(100):
+        paragraphs = [plain(rng, rng.randint(1, 90)) for _ in range(rng.randint(1, 12))]
+        aside = [f'<div class="{rng.choice(["ad", "cookie-notice", "sidebar", "comments", "related"])}"><p>{plain(rng, rng.randint(1, 60))}</p></div>' for _ in range(3)]
+        body = "".join(f"<p>{x}</p>" + (f'<aside><p>{plain(rng, 9)}</p></aside>' if rng.random() < 0.2 else "") for x in paragraphs)
+        page = f"<nav><a>{plain(rng, 2)}</a></nav>{aside[0]}<article>{body}</article>{aside[1]}{aside[2]}<footer>{plain(rng, 30)}</footer>"
+        assert h.main_text(page, TREE) == "\n\n".join(paragraphs)
+
+
 def test_rows(spark):
     rows = [(1, "u", f"<article><p>{WORDS}</p></article>"), (1, "u", f"<article><p>{WORDS}</p></article>"), (2, None, None), (None, "v", ""), (3, "w", "<article><p>" + "word " * 100_000 + "</p></article>")]
     pages = spark.createDataFrame([(*r, "text", 5) for r in rows], "page_id long, url string, html string, text string, n_chars int")

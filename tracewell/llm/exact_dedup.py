@@ -141,7 +141,7 @@ def collisions(docs: DataFrame, repeated: DataFrame, *, huge_chars: int = 8_000_
     ``first``, chunk by chunk, as a join of chunk rows: no task holds two whole texts, and a group of more
     than SALT rows is dealt over several tasks.
     """
-    ids = repeated.select(known_id()).distinct()
+    ids = cut(repeated.select(known_id()).distinct())  # its size tells Spark whether texts need be shuffled
     docs = docs.select(known_id(), text_or_empty("text").alias("text")).join(ids, "doc_id", "left_semi")
     small, huge = _split(docs, huge_chars)
     texts = small.mapInPandas(_prints(bases, with_text=True), "doc_id long, fp_a long, fp_b long, n_bytes long, text_sha256 string, norm binary").drop(*FP)

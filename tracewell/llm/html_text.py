@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -38,7 +39,8 @@ MODIFIERS = frozenset("has no with without".split())
 #: Words without links that an article outside of all other parts has at least, if it is the page's.
 ARTICLE = 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -105,6 +107,36 @@ LABELLED = (
     (-1, 1, 3, 0.0, 60, 0.0, 20, 0.0, 0),
     (-1, 0, 9, 0.1, 55, 0.0, 0, 0.0, 0),
     (-1, 0, 1, 0.0, 1, 0.0, 1, 0.0, 0),
+    (1, 1, 5, 0.0, 3, 1.0, 4, 0.0, 1),
+    (1, 0, 4, 0.0, 3, 1.0, 6, 0.0, 1),
+    (1, 0, 3, 0.0, 30, 0.0, 4, 1.0, 1),
+    (1, 0, 6, 0.0, 3, 1.0, 3, 1.0, 1),
+    (1, 1, 4, 1.0, 30, 0.0, 8, 0.0, 1),
+    (1, 0, 8, 0.0, 0, 0.0, 5, 1.0, 1),
+    (1, 1, 3, 1.0, 4, 1.0, 9, 0.0, 1),
+    (1, 0, 12, 1.0, 9, 0.0, 12, 0.0, 1),
+    (1, 0, 4, 0.7, 20, 0.0, 12, 0.0, 1),
+    (1, 0, 2, 0.0, 0, 0.0, 3, 1.0, 1),
+    (1, 0, 5, 0.2, 4, 1.0, 4, 1.0, 1),
+    (0, 0, 11, 0.0, 35, 0.0, 4, 0.0, 1),
+    (0, 0, 10, 0.0, 74, 0.0, 0, 0.0, 0),
+    (0, 0, 11, 0.0, 112, 0.0, 0, 0.0, 0),
+    (0, 0, 12, 0.0, 8, 0.0, 0, 0.0, 0),
+    (0, 0, 12, 0.0, 1, 1.0, 11, 0.0, 0),
+    (0, 1, 9, 0.0, 7, 0.0, 9, 0.0, 1),
+    (0, 0, 15, 0.0, 10, 0.0, 0, 0.0, 0),
+    (0, 1, 7, 0.0, 10, 0.0, 10, 0.0, 1),
+    (0, 1, 3, 0.0, 4, 0.0, 3, 0.0, 1),
+    (0, 0, 7, 0.0, 1, 1.0, 9, 0.0, 0),
+    (0, 0, 5, 0.0, 1, 1.0, 11, 0.0, 0),
+    (0, 0, 7, 0.0, 7, 0.0, 8, 0.0, 1),
+    (0, 0, 16, 0.0, 121, 0.0, 0, 0.0, 0),
+    (0, 0, 9, 0.0, 6, 0.0, 15, 0.0, 1),
+    (0, 0, 74, 0.0, 89, 0.0, 11, 0.0, 1),
+    (0, 1, 5, 0.0, 9, 0.0, 5, 0.0, 1),
+    (0, 0, 13, 0.0, 30, 0.0, 1, 0.0, 1),
+    (0, 0, 1, 1.0, 0, 0.0, 1, 1.0, 0),
+    (0, 0, 8, 0.0, 1, 1.0, 14, 0.0, 0),
 )
 
 
@@ -251,6 +283,7 @@ class _Reader:
     blocks: list[Block] = field(default_factory=list)
     containers: list[Part] = field(default_factory=list)
     stack: list[tuple[str, int, int]] = field(default_factory=list)
+    open: Counter[str] = field(default_factory=Counter)
     parts: list[str] = field(default_factory=list)
     loose: int = 0
     linked: int = 0
@@ -300,6 +333,7 @@ class _Reader:
             self.close_block()
             if not closing and self.stack and self.stack[-1][0] == "p":  # a block ends an open paragraph
                 self.stack.pop()
+                self.open["p"] -= 1
             if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
                 self.heading = 0 if closing else 1
             elif tag not in ("hr",):
@@ -311,32 +345,55 @@ class _Reader:
                 if tag == "span" and new[1] != (self.stack[-1][1] if self.stack else 0):
                     self.close_block()
                 self.stack.append(new)
-            else:
+                self.open[tag] += 1
+            elif self.open[tag]:  # else there is none to close, however deep the stack is
                 for i in range(len(self.stack) - 1, -1, -1):
                     if self.stack[i][0] == tag:
                         if tag == "span" and self.stack[i][1] != (self.stack[i - 1][1] if i else 0):
                             self.close_block()
+                        self.open.subtract(t for t, _, _ in self.stack[i:])
                         del self.stack[i:]
                         break
 
 
-def _read(page: str, hints: list[int] | None = None) -> _Reader:
-    out, at = _Reader(hints), 0
+def _tag(page: str, at: int, quotes: bool) -> tuple[int, int, bool, str, str, bool] | None:
+    """The next tag: (start, end, closing, name, attributes, quotes); comments and declarations have no name.
+
+    ``quotes``: whether quotations count. Where one isn't closed till the page's end, none count from
+    there on, so each character is passed over a bounded number of times.
+    """
     while True:
-        m = _TOKEN.search(page, at)
-        out.text(page[at : m.start()] if m else page[at:])
-        if not m:
+        start = page.find("<", at)
+        if start < 0:
+            return None
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            return start, end + 3 if end >= 0 else len(page), False, "", "", quotes
+        named = _NAME.match(page, start + 1)
+        if named or page[start + 1 : start + 2] in ("!", "?"):
             break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        at = start + 1
+    behind = named.end() if named else start + 2
+    closed = _QUOTED.match(page, behind) if named and quotes else None
+    quotes = quotes and not (named and not closed)
+    end = closed.end() - 1 if closed else page.find(">", behind)
+    if end < 0:
+        return None
+    return start, end + 1, bool(named and named[1]), named[2].lower() if named else "", page[behind:end], quotes
+
+
+def _read(page: str, hints: list[int] | None = None) -> _Reader:
+    out, at, quotes = _Reader(hints), 0, True
+    while found := _tag(page, at, quotes):
+        start, end, closing, name, attributes, quotes = found
+        out.text(page[at:start])
+        at = end
         if name in UNSEEN and not closing and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        else:
+            over = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            at = over.end() if over else len(page)
+        elif name:
             out.tag(closing, name, attributes)
+    out.text(page[at:])
     out.close_block()
     return out
 
