@@ -60,17 +60,18 @@ def test_relations(spark):
 def test_rank_and_progress(spark):
     def band(text, runner):
         r = one(spark, n.rank_band(n.parse(F.lit(text))["groups"], F.lit(runner), F.array(*map(F.lit, (1, 2, 3, 4)))))[0]
-        return r and tuple(r)
+        assert r is None or r["basis"] == n.RANK_BASIS
+        return r and (r["min_rank"], r["max_rank"], r["missing"])
 
-    assert band("(1,*2,3)-4", 1) == (2, 3) and band("1-2,3", 3) == (3, 4) and band("1-(2,3)-4", 4) == (4, 4) and band("(1,2)-3", 1) == (1, 3)
+    assert band("(1,*2,3)-4", 1) == (2, 3, 0) and band("1-2,3", 3) == (3, 4, 1) and band("1-(2,3)-4", 4) == (4, 4, 0) and band("(1,2)-3", 1) == (1, 3, 1)
     assert band("1-2", 3) is None and band("1-9", 1) is None
 
     def moved(a, b):
         bands = [n.rank_band(n.parse(F.lit(t))["groups"], F.lit(4), F.array(*map(F.lit, (1, 2, 3, 4)))) for t in (a, b)]
         return one(spark, n.progress_band(*bands))[0]
 
-    assert tuple(moved("1-2,3,4", "4-1,2,3")) == (3, 3, True, False)
-    assert tuple(moved("1-(2,3)-4", "(1,2,3)-4")) == (0, 0, False, False)
+    assert tuple(moved("1-2,3,4", "4-1,2,3")) == (3, 3, True, False, False)
+    assert tuple(moved("1-(2,3)-4", "(1,2,3)-4")) == (0, 0, False, False, True)
 
 
 def test_timing(spark):

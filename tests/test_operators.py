@@ -75,6 +75,29 @@ def test_examples_leave_outcomes_out(spark):
     assert row["routes"].asDict() == {"lap_loss": True, "conditional": False, "unconditional": True, "latent": True}
 
 
+@pytest.mark.parametrize("corners, want", [(["(1,2,3)-4", None], (True, False)), (["1-2,3", "1-2,3"], (False, True)), ([None, "1,"], (False, False)), (["1-2", "4-(1,2,3)"], (True, False))])
+def test_routes_go_by_any_corner_with_the_full_roster(spark, corners, want):
+    roster = F.lit([1, 2, 3, 4])
+    seen = F.array(*[examples.observation(F.lit(c).cast("string"), roster) for c in corners])
+    r = spark.range(1).select(examples.routes(seen, F.lit(True)).alias("r")).first()["r"]
+    assert (r["conditional"], r["latent"]) == want and r["unconditional"] == any(want)
+
+
+def test_examples_that_are_refused(spark):
+    entries = [("a1", 1, "h1", 1, T0), ("a2", 1, "h2", 2, T0), ("b1", 2, "h1", 1, T0), ("b2", 2, "h1", 2, T0), ("c1", 3, "h1", 0, T0), ("d1", 4, "h1", 1, T0), ("e1", 5, "h3", 1, T0), ("f1", 6, "h1", 1, T0)]
+    entries = spark.createDataFrame(entries, "entry_id string, race_id long, key string, number int, as_of timestamp").withColumn("history_complete", F.lit(True))
+    records = spark.createDataFrame([record("h1", "a", 14), record("h3", "b", 3), record("h3", "b", 2)], RECORDS)
+    corners = spark.createDataFrame([(1, 1, "1-2"), (4, 1, "1-9")], "race_id long, seq int, notation string")
+    laps = spark.createDataFrame([], "race_id long, complete boolean, seconds array<double>, ends array<int>")
+    races = spark.createDataFrame([(i, T0 if i == 6 else T0 + DAY, "c", 7) for i in range(1, 7)], "race_id long, target_start timestamp, course string, winner int")
+    rows = {r["race_id"]: r for r in examples.build(entries, records, corners, laps, races).collect()}
+    assert {i: r["flaw"] for i, r in rows.items()} == {1: None, 2: "repeated", 3: "number", 4: "roster", 5: "versions", 6: "as_of"}
+    one = rows[1]
+    assert one["condition"]["course"] == "c" and "winner" not in one["condition"].asDict() and one["meta"]["mode"] == "retrospective"
+    assert one["runners"][0]["history_complete"] and one["corners"][0]["full_roster"]
+    assert [(p["a"], p["b"], p["front_mask"], p["inside_mask"]) for p in one["corners"][0]["pairs"]] == [(1, 2, True, False)]
+
+
 def test_manifest(spark):
     sha = hashlib.sha256(b"x").hexdigest()
     sources = lambda *r: spark.createDataFrame(list(r), "source_id string, sha256 string")
@@ -185,6 +208,8 @@ def test_bundles(spark, tmp_path):
         write_bundles(bundles(spark, f"{tmp_path}/02.json").drop("path", "state", "violations"), f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").count() == 1
     digest = good.select(contract.bundle_digest(good.columns)).first()[0]
+    want = json.dumps(bundle(), ensure_ascii=False, sort_keys=True, separators=(",", ":")) + "\n"
+    assert digest == hashlib.sha256(want.encode()).hexdigest()
     assert digest == good.select(contract.bundle_digest(good.columns[::-1])).first()[0] and len(digest) == 64
 
 

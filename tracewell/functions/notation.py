@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WIDE = "（）＊，－＝０１２３４５６７８９"
 PLAIN = "()*,-=0123456789"
 
+#: Fixed value: what a rank band rests on.
+RANK_BASIS = "source_notation_bounds_not_continuous_tracking"
+
 _SET, _ONE = r"\(\*?[0-9]+(?:,\*?[0-9]+)*\)", r"\*?[0-9]+"
 _VALID = rf"^(?:{_SET}|{_ONE})(?:[,=-](?:{_SET}|{_ONE})|{_SET}|\*[0-9]+|(?<=\))[0-9]+)*\z"
 _TOKEN = r"([,=-]?)(\([^()]*\)|\*?[0-9]+)"
@@ -137,7 +140,7 @@ def pairs(groups_: Column) -> Column:
 
 
 def rank_band(groups_: Column, runner: Column, roster: Column) -> Column:
-    """(min_rank, max_rank) that the runner may have; runners not observed may be ahead of it.
+    """(min_rank, max_rank, missing, basis) that the runner may have; runners not observed, ``missing`` in number, may be ahead of it.
 
     Null where the runner isn't observed, the roster repeats itself or lacks an observed runner.
     """
@@ -147,14 +150,15 @@ def rank_band(groups_: Column, runner: Column, roster: Column) -> Column:
         ahead = F.aggregate(F.slice(gs, F.lit(1), i), F.lit(0), lambda n, x: n + F.size(x["members"]))
         sure = F.coalesce(g["leader"] == runner, F.lit(False)) | (F.size(g["members"]) == 1)
         low = ahead + F.when(sure | g["leader"].isNull(), 1).otherwise(2)
-        high = ahead + F.when(sure, 1).otherwise(F.size(g["members"])) + F.size(F.array_except(roster, members(gs)))
+        missing = F.size(F.array_except(roster, members(gs)))
+        high = ahead + F.when(sure, 1).otherwise(F.size(g["members"])) + missing
         ok = i.isNotNull() & (F.size(F.array_distinct(roster)) == F.size(roster)) & (F.size(F.array_except(members(gs), roster)) == 0)
-        return F.when(ok, F.struct(low.cast("int").alias("min_rank"), high.cast("int").alias("max_rank")))
+        return F.when(ok, F.struct(low.cast("int").alias("min_rank"), high.cast("int").alias("max_rank"), missing.cast("int").alias("missing"), F.lit(RANK_BASIS).alias("basis")))
 
     return let(groups_, lambda gs: let(_group_of(gs, runner), lambda i: band(gs, i)))
 
 
 def progress_band(before: Column, after: Column) -> Column:
-    """(low, high, advanced, dropped): places won between two rank bands."""
+    """(low, high, advanced, dropped, unresolved): places won between two rank bands; unresolved if they may be none."""
     low, high = before["min_rank"] - after["max_rank"], before["max_rank"] - after["min_rank"]
-    return F.when(low.isNotNull(), F.struct(low.alias("low"), high.alias("high"), (low > 0).alias("advanced"), (high < 0).alias("dropped")))
+    return F.when(low.isNotNull(), F.struct(low.alias("low"), high.alias("high"), (low > 0).alias("advanced"), (high < 0).alias("dropped"), ((low <= 0) & (high >= 0)).alias("unresolved")))

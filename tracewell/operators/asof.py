@@ -74,13 +74,14 @@ def latest(entries: DataFrame, records: DataFrame, *, mode: str = "retrospective
     """
     if limit < 1 or lookback_days < 1:
         raise ValueError("limit and lookback_days must be at least 1")
+    narrow = entries.select("entry_id", "key", "as_of")  # the rest meets its history again at the end
     if mode == "retrospective":
-        asks, held = numbered(entries, records)
+        asks, held = numbered(narrow, records)
         first = F.greatest(F.col("n_before") - limit + 1, F.lit(1))
         wanted = asks.withColumn("n", F.explode_outer(F.when(F.col("n_before") > 0, F.sequence(F.col("n_before"), first, F.lit(-1)))))
         found = _by_number(wanted, held)
     else:
-        found = matches(entries, records, mode)
+        found = matches(narrow, records, mode)
         w = Window.partitionBy("entry_id").orderBy(F.desc("record.event_at"), F.desc(F.col("record.record_id").cast("string")))
         found = found.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= limit)
     return _folded(entries, found, lookback_days)

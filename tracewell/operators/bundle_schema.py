@@ -146,3 +146,23 @@ def _checked(text: str | None) -> tuple[list[str], str | None]:
 def schema_checked(text: Column) -> Column:
     """``flaws`` by the schema of a bundle's JSON, and its ``text`` with whole numbers written as such (1.0 is an integer)."""
     return F.udf(_checked, "struct<flaws: array<string>, text: string>")(text)
+
+
+def _canonical(text: str | None) -> str | None:
+    """JSON with keys in order at every depth, without blanks; null where it is none, or has numbers that JSON lacks."""
+    if text is None:
+        return None
+    try:
+        return json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    except (ValueError, RecursionError):
+        return None
+
+
+def canonical(text: Column) -> Column:
+    """A JSON text with keys in order at every depth and without blanks; numbers stay as they are written there."""
+    return F.udf(_canonical, "string")(text)
+
+
+def bundle_sha256(text: Column) -> Column:
+    """SHA-256 of the canonical JSON of a bundle and a line feed."""
+    return F.sha2(F.encode(F.concat(canonical(text), F.lit("\n")), "UTF-8"), 256)

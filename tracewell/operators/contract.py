@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.notation import same_set
 from tracewell.functions.timing import increasing
+from tracewell.operators.bundle_schema import bundle_sha256
 
 LAPS = "struct<segment_ends_m: array<int>, values_s: array<double>>"
 GROUP = "struct<members: array<int>, inner_to_outer: array<int>, marked_leader: int, gap_from_previous: string>"
@@ -175,5 +176,5 @@ def quantiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def bundle_digest(columns: list[str]) -> Column:
-    """SHA-256 of the bundle as JSON with sorted keys and a line feed."""
-    return F.sha2(F.encode(F.concat(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), F.lit("\n")), "UTF-8"), 256)
+    """SHA-256 of the bundle's columns as JSON with sorted keys at every depth and a line feed (``bundle_schema.bundle_sha256``)."""
+    return bundle_sha256(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))

@@ -10,15 +10,25 @@ from tracewell.operators import asof
 
 #: Columns of an entry that a model may see; an outcome isn't among them.
 ENTRY = ("key", "number", "frame", "sex", "age", "carried", "rider")
+#: Columns of a past record, and of a race's conditions, that a model may see.
+RECORD = ("record_id", "event_at", "course", "surface", "distance_m", "class_code", "going", "field_size", "number", "rider", "carried", "corner_ranks", "finish_s", "last600_s", "laps_s", "quality")
+CONDITION = ("course", "surface", "distance_m", "class_code", "going", "declared_field_size")
 
 
-def allowed(columns: list[str], allow: tuple[str, ...] = ENTRY) -> list[Column]:
-    """The allowed columns, null where the table lacks one; all others stay out."""
-    return [F.col(c) if c in columns else F.lit(None).cast("string").alias(c) for c in allow]
+def allowed(columns: list[str], allow: tuple[str, ...] = ENTRY, of: Column | None = None) -> list[Column]:
+    """The allowed columns (fields, with ``of``), null where there is none of the name; all others stay out."""
+    return [(F.col(c) if of is None else of[c]).alias(c) if c in columns else F.lit(None).cast("string").alias(c) for c in allow]
 
 
 def observation(text: Column, roster: Column) -> Column:
-    """(observed, flaw, pairs, unobserved) of a notation; one that is missing is not an empty one."""
+    """(observed, flaw, full_roster, pairs, unobserved) of a notation; one that is missing is not an empty one.
+
+    Each pair has ``front_mask`` and ``inside_mask``: whether it is known who is before, and inside.
+    """
+
+    def masked(pair: Column) -> Column:
+        r = pair["relation"]
+        return F.struct(pair["a"].alias("a"), pair["b"].alias("b"), r.alias("relation"), r["a_before_b"].isNotNull().alias("front_mask"), r["a_inside_b"].isNotNull().alias("inside_mask"))
 
     def seen(parsed: Column, observed: Column) -> Column:
         flaw = F.when(parsed["flaw"].isNull() & (F.size(F.array_except(observed, roster)) > 0), "roster").otherwise(parsed["flaw"])
@@ -26,7 +36,8 @@ def observation(text: Column, roster: Column) -> Column:
         return F.struct(
             fine.alias("observed"),
             flaw.alias("flaw"),
-            F.when(fine, notation.pairs(parsed["groups"])).otherwise(F.array()).alias("pairs"),
+            (fine & notation.same_set(observed, roster)).alias("full_roster"),
+            F.transform(F.when(fine, notation.pairs(parsed["groups"])).otherwise(F.array()), masked).alias("pairs"),
             F.array_sort(F.when(fine, F.array_except(roster, observed)).otherwise(roster)).alias("unobserved"),
         )
 
@@ -34,29 +45,58 @@ def observation(text: Column, roster: Column) -> Column:
 
 
 def routes(observed: Column, complete: Column) -> Column:
-    """What an example may train: by laps, and by its corners with or without the grammar's order."""
+    """What an example may train: by its laps; by laps and corners, if any corner has the full roster; by corners alone, if any
+    is observed; and by a loss for those not observed, if none of these has the full roster."""
 
-    def flags(seen: Column) -> Column:
-        any_, all_ = F.array_contains(seen, True), (F.size(seen) > 0) & ~F.array_contains(seen, False)
+    def flags(any_: Column, full: Column) -> Column:
         laps = F.coalesce(complete, F.lit(False))
-        return F.struct(laps.alias("lap_loss"), (laps & all_).alias("conditional"), any_.alias("unconditional"), (any_ & ~all_).alias("latent"))
+        return F.struct(laps.alias("lap_loss"), (laps & full).alias("conditional"), any_.alias("unconditional"), (any_ & ~full).alias("latent"))
 
-    return notation.let(F.transform(observed, lambda o: o["observed"]), flags)
+    return flags(F.exists(observed, lambda o: o["observed"]), F.exists(observed, lambda o: o["observed"] & F.coalesce(o["full_roster"], F.lit(False))))
 
 
-def build(entries: DataFrame, records: DataFrame, corners: DataFrame, laps: DataFrame, *, mode: str = "retrospective", limit: int = asof.LIMIT, lookback_days: int = asof.LOOKBACK_DAYS) -> DataFrame:
-    """One row per race: race_id, runners (with their histories), corners, laps and routes.
+def build(
+    entries: DataFrame, records: DataFrame, corners: DataFrame, laps: DataFrame, races: DataFrame | None = None, *, mode: str = "retrospective", limit: int = asof.LIMIT, lookback_days: int = asof.LOOKBACK_DAYS
+) -> DataFrame:
+    """One row per race: race_id, flaw, meta, condition, runners (with their histories), corners, laps and routes.
 
     ``entries(entry_id, race_id, key, number, as_of, ...)``, ``records`` as in ``asof``,
-    ``corners(race_id, seq, notation)``, ``laps(race_id, complete, seconds, ends)``. Runners are
-    ordered by number, corners by seq; only allowed columns of entries are taken.
+    ``corners(race_id, seq, notation)``, ``laps(race_id, complete, seconds, ends)``, ``races(race_id,
+    target_start, ...)`` with the conditions. Runners are ordered by number, corners by seq; of
+    entries, records and races only allowed columns are taken. An example with a ``flaw`` isn't one to
+    train on: ``as_of`` (not one and the same, or not before target_start), ``repeated`` (a key or number twice),
+    ``number`` (missing or under 1), ``versions`` (two eligible records of an id in a history) or ``roster``
+    (a corner observes a runner that isn't entered); null if there is none.
     """
     known = asof.latest(entries, records, mode=mode, limit=limit, lookback_days=lookback_days)
-    runner = F.struct(F.col("number").alias("at"), F.struct(*allowed(entries.columns), F.size(F.coalesce("history", F.array())).alias("history_count"), "recency_days", F.transform("history", lambda r: F.struct(r["record_id"].alias("record_id"), r["event_at"].alias("event_at"))).alias("history")).alias("runner"))
-    x = known.groupBy("race_id").agg(F.sort_array(F.collect_list(runner)).alias("r"), F.sort_array(F.collect_list(F.col("number").cast("int"))).alias("roster"))
-    x = x.select("race_id", "roster", F.transform("r", lambda a: a["runner"]).alias("runners"))
+    complete = F.coalesce(F.col("history_complete"), F.lit(False)) if "history_complete" in entries.columns else F.lit(False)
+    history = F.transform("history", lambda r: F.struct(*allowed(records.columns, RECORD, r)))
+    size = F.size(F.coalesce("history", F.array()))
+    twice = F.size(F.array_distinct(F.transform("history", lambda r: r["record_id"]))) < F.size("history")
+    runner = F.struct(F.col("number").alias("at"), F.struct(*allowed(entries.columns), size.alias("history_count"), "recency_days", complete.alias("history_complete"), history.alias("history")).alias("runner"))
+    x = known.groupBy("race_id").agg(
+        F.sort_array(F.collect_list(runner)).alias("r"),
+        F.sort_array(F.collect_list(F.col("number").cast("int"))).alias("roster"),
+        F.min("as_of").alias("as_of"),
+        (F.min("as_of").eqNullSafe(F.max("as_of")) & (F.count("as_of") == F.count("*"))).alias("one_as_of"),
+        F.size(F.collect_set("key")).alias("n_keys"),
+        F.count("*").alias("n"),
+        F.max(F.coalesce(twice, F.lit(False))).alias("versions"),
+    )
     y = corners.groupBy("race_id").agg(F.sort_array(F.collect_list(F.struct("seq", "notation"))).alias("c"))
     rows = x.join(y, "race_id", "left").join(laps, "race_id", "left")
+    named = [] if races is None else races.columns
+    told = entries.select("race_id").limit(0).withColumn("target_start", F.lit(None).cast("timestamp")) if races is None else races
+    rows = rows.join(told.select("race_id", "target_start", F.struct(*allowed(named, CONDITION)).alias("condition")), "race_id", "left")
     seen = F.transform(F.coalesce("c", F.expr("cast(array() as array<struct<seq:int,notation:string>>)")), lambda c: observation(c["notation"], F.col("roster")))
     rows = rows.withColumn("corners", seen)
-    return rows.select("race_id", "runners", "corners", F.struct("complete", "seconds", "ends").alias("laps"), routes(F.col("corners"), F.col("complete")).alias("routes"))
+    late = F.lit(False) if races is None else F.coalesce(F.col("as_of") >= F.col("target_start"), F.lit(True))
+    flaw = (
+        F.when(~F.col("one_as_of") | late, "as_of")
+        .when((F.size(F.array_distinct("roster")) < F.col("n")) & (F.size("roster") == F.col("n")) | (F.col("n_keys") < F.col("n")), "repeated")
+        .when((F.size("roster") < F.col("n")) | F.exists("roster", lambda n: n < 1), "number")
+        .when(F.col("versions"), "versions")
+        .when(F.exists("corners", lambda c: c["flaw"] == "roster"), "roster")
+    )
+    meta = F.struct("target_start", "as_of", F.lit(mode).alias("mode"))
+    return rows.select("race_id", flaw.alias("flaw"), meta.alias("meta"), "condition", F.transform("r", lambda a: a["runner"]).alias("runners"), "corners", F.struct("complete", "seconds", "ends").alias("laps"), routes(F.col("corners"), F.col("complete")).alias("routes"))

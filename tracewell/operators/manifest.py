@@ -18,7 +18,7 @@ def digest(text: Column) -> Column:
 def source_flaws(sources: DataFrame) -> DataFrame:
     """(source_id, flaw) of ``sources(source_id, sha256)`` that can't be frozen."""
     per = sources.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(sha256_text(F.col("sha256")).isNull()).alias("bad"))
-    flaw = F.when(F.col("source_id").isNull() | (F.col("source_id") == ""), "source_id").when(F.col("n") > 1, "duplicate").when(F.col("bad") > 0, "sha256")
+    flaw = F.when(F.col("source_id").isNull() | (F.trim("source_id") == ""), "source_id").when(F.col("n") > 1, "duplicate").when(F.col("bad") > 0, "sha256")
     return per.select("source_id", flaw.alias("flaw")).filter("flaw IS NOT NULL")
 
 
@@ -43,16 +43,21 @@ def level_digest(rows: DataFrame, key: str, line: Column, parts: int = 1024) ->
 def freeze(sources: DataFrame, splits: DataFrame, parser_version: str, feature_version: str) -> DataFrame:
     """One row: body (JSON with sorted keys) and sha256 of it; fails if a source or split has a flaw.
 
-    For lists that a driver's manifest can hold; ``level_digest`` is for tables.
+    All columns of ``sources(source_id, sha256, ...)`` are kept as they are, but for the digest's
+    letter case. For lists that a driver's manifest can hold; ``level_digest`` is for tables.
     """
+    if not parser_version or not feature_version:
+        raise ValueError("versions are needed")
     flaws = source_flaws(sources).select(F.concat_ws(": ", "source_id", "flaw").alias("f"))
     twice = split_overlap(splits).select(F.concat(F.col("item"), F.lit(": in splits twice")).alias("f"))
     wrong = flaws.unionByName(twice).agg(F.sort_array(F.collect_set("f")).alias("wrong"))
-    listed = sources.agg(F.sort_array(F.collect_list(F.struct(F.col("source_id").alias("id"), sha256_text(F.col("sha256")).alias("sha256")))).alias("sources"))
+    row = F.struct(*[sha256_text(F.col(c)).alias(c) if c == "sha256" else F.col(c) for c in sorted(sources.columns)])
+    listed = sources.agg(F.array_sort(F.collect_list(F.struct("source_id", row.alias("row"))), lambda a, b: F.when(a["source_id"] < b["source_id"], -1).otherwise(1)).alias("s"))
+    listed = listed.select(F.transform("s", lambda x: x["row"]).alias("sources"))
     parts = splits.groupBy("split").agg(F.sort_array(F.collect_list("item")).alias("items"))
     named = parts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", "items")))).alias("splits"))
     one = listed.crossJoin(named).crossJoin(wrong)  # one row each
-    body = F.to_json(F.struct(F.lit(feature_version).alias("feature_version"), F.lit(parser_version).alias("parser_version"), "sources", "splits"))
+    body = F.to_json(F.struct(F.lit(feature_version).alias("feature_version"), F.lit(parser_version).alias("parser_version"), "sources", "splits"), {"ignoreNullFields": "false"})
     checked = F.when(F.size("wrong") > 0, F.raise_error(F.array_join("wrong", ", ")).cast("string")).otherwise(body)
     return one.select(checked.alias("body")).select("body", digest(F.col("body")).alias("sha256"))
 

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from tracewell.functions import notation, paths, responses, timing
 from tracewell.functions.times import micros
 from tracewell.operators import asof, contract, examples, ledger, manifest
+from tracewell.operators.bundle_schema import bundle_sha256
+from tracewell.plans.samples import BROKEN, SOUND
 from tracewell.plans.tables import attempts, claims, lines, notations, order_entries, order_records, table
 from tracewell.session import scratch
+from tracewell.sources import readers
 from tracewell.sources.readers import checked_blobs
 from tracewell.streaming import ledger as stream
 
@@ -99,7 +102,8 @@ t{s} AS (SELECT l_orderkey, string_agg(sign || body, '' ORDER BY tm) AS notation
 r{s} AS (SELECT w{s}.l_orderkey, a, p{s}.i, p{s}.n, p{s}.ahead, p{s}.leader, max(a) OVER (PARTITION BY w{s}.l_orderkey) - count(*) OVER (PARTITION BY w{s}.l_orderkey) AS missing
   FROM w{s} JOIN p{s} ON w{s}.l_orderkey = p{s}.l_orderkey AND w{s}.tm = p{s}.tm),
 b{s} AS (SELECT l_orderkey, a AS runner, (ahead + CASE WHEN n = 1 OR a = leader THEN 1 ELSE 2 END)::int AS min_rank,
-  (ahead + CASE WHEN n = 1 OR a = leader THEN 1 ELSE n END + missing)::int AS max_rank FROM r{s})"""
+  (ahead + CASE WHEN n = 1 OR a = leader THEN 1 ELSE n END + missing)::int AS max_rank,
+  missing::int AS missing, 'source_notation_bounds_not_continuous_tracking' AS basis FROM r{s})"""
 
 
 _NOTATION = f"WITH {_LINES}, {_groups_sql('week')}\n"
@@ -173,7 +177,8 @@ def rank_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "q11_progress_bands",
     f"WITH {_LINES}, {_groups_sql('week')}, {_groups_sql('month', '2')}\n"
-    """SELECT l_orderkey, runner, x.min_rank - y.max_rank AS low, x.max_rank - y.min_rank AS high, x.min_rank > y.max_rank AS advanced, x.max_rank < y.min_rank AS dropped
+    """SELECT l_orderkey, runner, x.min_rank - y.max_rank AS low, x.max_rank - y.min_rank AS high, x.min_rank > y.max_rank AS advanced, x.max_rank < y.min_rank AS dropped,
+  x.min_rank <= y.max_rank AND x.max_rank >= y.min_rank AS unresolved
 FROM b x JOIN b2 y USING (l_orderkey, runner)""",
 )
 def progress_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,15 +252,19 @@ def early_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "q17_training_routes",
     _NOTATION
-    + """SELECT l_orderkey, o_orderstatus = 'F' AS lap_loss, o_orderstatus = 'F' AND l_orderkey % 3 = 0 AS conditional, l_orderkey % 3 <> 2 AS unconditional, l_orderkey % 3 = 1 AS latent
-FROM t JOIN orders ON o_orderkey = l_orderkey""",
+    + """, k AS (SELECT t.l_orderkey, t.l_orderkey % 4 AS k, n.seen, n.seen + (t.l_orderkey % 4 = 1)::int AS entered FROM t JOIN (SELECT l_orderkey, count(*) AS seen FROM li GROUP BY 1) n USING (l_orderkey)),
+c AS (SELECT l_orderkey, unnest(CASE k WHEN 0 THEN [true, false] WHEN 1 THEN [true, true] WHEN 2 THEN [false, false] ELSE [false, true] END) AS observed, seen = entered AS whole FROM k),
+f AS (SELECT l_orderkey, bool_or(observed) AS known, bool_or(observed AND whole) AS whole FROM c GROUP BY 1)
+SELECT l_orderkey, o_orderstatus = 'F' AS lap_loss, o_orderstatus = 'F' AND whole AS conditional, known AS unconditional, known AND NOT whole AS latent
+FROM f JOIN orders ON o_orderkey = l_orderkey""",
 )
 def training_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two corners; for some orders one or both can't be read."""
-    orders, k = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") % 3
+    """Two corners; for some orders one or both are missing or can't be read, for some a runner isn't observed in either."""
+    orders, k = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") % 4
     rows = notations(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    first, second = F.when(k < 2, F.col("notation")), F.when(k == 0, F.col("notation")).when(k == 1, F.lit("1,"))
-    seen = F.array(*[examples.observation(n, F.col("numbers")) for n in (first, second)])
+    first, second = F.when(k < 2, F.col("notation")).when(k == 3, F.lit("1,")), F.when(k.isin(1, 3), F.col("notation"))
+    roster = F.when(k == 1, F.array_append("numbers", F.lit(99))).otherwise(F.col("numbers"))
+    seen = F.array(*[examples.observation(n, roster) for n in (first, second)])
     return rows.select("l_orderkey", examples.routes(seen, F.col("o_orderstatus") == "F").alias("r")).select("l_orderkey", "r.*")
 
 
@@ -272,16 +281,26 @@ def _example_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
 
 @query(
     "q18_build_examples",
-    f"""WITH {_LINES}, h AS (SELECT e.l_orderkey, e.a, count(r.a) FILTER (WHERE date_diff('day', r.ship, o.o_orderdate) <= 1096) AS n FROM li e JOIN orders o ON o.o_orderkey = e.l_orderkey
-  LEFT JOIN li r ON r.partkey = e.partkey AND r.ship < o.o_orderdate GROUP BY 1, 2)
-SELECT h.l_orderkey AS race_id, count(*) AS n_runners, sum(least(n, 12))::bigint AS n_history, bool_and(o_orderstatus = 'F') AS conditional, string_agg(a::varchar, ',' ORDER BY a) AS numbers
-FROM h JOIN orders ON o_orderkey = h.l_orderkey GROUP BY 1""",
+    _NOTATION
+    + """, m AS (SELECT e.l_orderkey, e.a, x.l_orderkey || '/' || x.a AS id, date_diff('day', x.ship, o.o_orderdate) AS days,
+  row_number() OVER (PARTITION BY e.l_orderkey, e.a ORDER BY x.ship DESC, x.l_orderkey || '/' || x.a DESC) AS back
+  FROM li e JOIN orders o ON o.o_orderkey = e.l_orderkey JOIN li x ON x.partkey = e.partkey AND x.ship < o.o_orderdate),
+h AS (SELECT l_orderkey, a, count(id) FILTER (WHERE back <= 12 AND days <= 1096) AS n, min(days) AS days, string_agg(id, '+' ORDER BY back DESC) FILTER (WHERE back <= 12 AND days <= 1096) AS ids
+  FROM li LEFT JOIN m USING (l_orderkey, a) GROUP BY 1, 2),
+u AS (SELECT l_orderkey, string_agg(a || '|' || n || '|' || coalesce(days::varchar, '') || '|' || coalesce(ids, ''), ';' ORDER BY a) AS runners, count(*) AS k, count(DISTINCT partkey) < count(*) AS twice FROM h JOIN li USING (l_orderkey, a) GROUP BY 1),
+q AS (SELECT x.l_orderkey, count(*) AS n, count(*) FILTER (WHERE x.i <> y.i OR x.leader IN (x.a, y.a)) AS front, count(*) FILTER (WHERE x.i = y.i) AS inside FROM r x JOIN r y ON x.l_orderkey = y.l_orderkey AND x.a < y.a GROUP BY 1)
+SELECT l_orderkey AS race_id, CASE WHEN twice THEN 'repeated' END AS flaw, runners, o_orderstatus = 'F' AS conditional, false AS latent,
+  coalesce(q.n, 0) || ',' || coalesce(q.front, 0) || ',' || coalesce(q.inside, 0) AS pairs, o_orderpriority AS course
+FROM u LEFT JOIN q USING (l_orderkey) JOIN orders ON o_orderkey = l_orderkey""",
 )
 def build_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as races of their lines, parts as runners with the times they shipped before."""
-    rows = examples.build(*_example_inputs(spark, sf_dir))
-    n = F.aggregate("runners", F.lit(0), lambda a, r: a + r["history_count"])
-    return rows.select("race_id", F.size("runners").cast("long").alias("n_runners"), n.cast("long").alias("n_history"), F.col("routes.conditional").alias("conditional"), joined(F.transform("runners", lambda r: r["number"])).alias("numbers"))
+    """Orders as races of their lines, parts as runners with the times they shipped before; each runner with its history."""
+    races = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("race_id"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(1))).alias("target_start"), F.col("o_orderpriority").alias("course"), F.col("o_totalprice").alias("outcome"))
+    rows = examples.build(*_example_inputs(spark, sf_dir), races)
+    told = F.transform("runners", lambda r: F.concat_ws("|", r["number"], r["history_count"], F.coalesce(r["recency_days"].cast("bigint").cast("string"), F.lit("")), F.array_join(F.coalesce(F.transform(r["history"], lambda x: x["record_id"]), F.array().cast("array<string>")), "+")))
+    pairs = F.flatten(F.transform("corners", lambda c: c["pairs"]))
+    counts = F.concat_ws(",", F.size(pairs), F.size(F.filter(pairs, lambda p: p["front_mask"])), F.size(F.filter(pairs, lambda p: p["inside_mask"])))
+    return rows.select("race_id", "flaw", F.array_join(told, ";").alias("runners"), F.col("routes.conditional").alias("conditional"), F.col("routes.latent").alias("latent"), counts.alias("pairs"), F.col("condition.course").alias("course"))
 
 
 @query("q19_future_changes_nothing", "SELECT count(*) AS n, 0::bigint AS n_changed FROM orders")
@@ -296,7 +315,7 @@ def future_changes_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q20_manifest",
-    """WITH s AS (SELECT string_agg('{"id":"' || n_name || '","sha256":"' || sha256(n_name) || '"}', ',' ORDER BY n_name) AS s FROM nation),
+    """WITH s AS (SELECT string_agg('{"n_regionkey":' || n_regionkey || ',"sha256":"' || sha256(n_name) || '","source_id":"' || n_name || '"}', ',' ORDER BY n_name) AS s FROM nation),
 p AS (SELECT r_name, string_agg('"' || n_name || '"', ',' ORDER BY n_name) AS i FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1),
 b AS (SELECT '{"feature_version":"f1","parser_version":"p1","sources":[' || (SELECT s FROM s) || '],"splits":{' || string_agg('"' || r_name || '":[' || i || ']', ',' ORDER BY r_name) || '}}' AS body FROM p)
 SELECT body, sha256(body) AS sha256 FROM b""",
@@ -304,7 +323,7 @@ SELECT body, sha256(body) AS sha256 FROM b""",
 def manifest_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as sources, in splits by region; digests in capitals change nothing."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    sources = nation.select(F.col("n_name").alias("source_id"), F.upper(F.sha2("n_name", 256)).alias("sha256"))
+    sources = nation.select(F.col("n_name").alias("source_id"), F.upper(F.sha2("n_name", 256)).alias("sha256"), "n_regionkey")
     splits = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("split"), F.col("n_name").alias("item"))
     return manifest.freeze(sources, splits, "p1", "f1")
 
@@ -571,6 +590,29 @@ def streaming_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, lambda e: stream.decided(e.select(F.col("user_id").alias("key"), "event_id", "ts"), NARROW))
 
 
+@query(
+    "q42_bundle_violations",
+    f"SELECT c_custkey, CASE c_custkey % {len(BROKEN) + 1} " + " ".join(f"WHEN {i + 1} THEN '{flaws}'" for i, (_, _, flaws) in enumerate(BROKEN)) + " ELSE '' END AS violations FROM customer",
+)
+def bundle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle for each customer, all but one of a dozen broken in one place each."""
+    text, k = F.lit(SOUND), F.col("c_custkey") % (len(BROKEN) + 1)
+    for i, (old, new, _) in enumerate(BROKEN):
+        text = F.when(k == i + 1, F.replace(F.lit(SOUND), F.lit(old), F.lit(new))).otherwise(text)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    return readers.told(rows).select("c_custkey", F.array_join("violations", ",").alias("violations"))
+
+
+@query(
+    "q43_bundle_digest",
+    """SELECT event_id, sha256('{"a":"é/' || event_type || '","n":1.5,"z":{"key":' || event_id || ',"list":[2,{"c":"x","d":null}]}}' || chr(10)) AS sha256 FROM events""",
+)
+def bundle_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of nested JSON whose keys come in another order, with blanks."""
+    text = F.format_string('{"z": {"list": [2, {"d": null, "c": "x"}],\n "key": %d}, "n": 1.50, "a": "\\u00e9/%s"}', "event_id", "event_type")
+    return table(spark, sf_dir, "events").select("event_id", bundle_sha256(text).alias("sha256"))
+
+
 @query(
     "q41_report_rows",
     f"""WITH {_LINES}, x AS (SELECT l_orderkey, arg_min(qty, a) AS first FROM li GROUP BY 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators.bundle_schema import schema_checked
+from tracewell.operators.bundle_schema import bundle_sha256, schema_checked
 from tracewell.operators.contract import BUNDLE, BUNDLE_BYTES, validated
 
 
@@ -34,6 +34,15 @@ def bundles(spark: SparkSession, path: str, *, schema: bool = False) -> DataFram
     return rows.withColumn("violations", F.when(F.col("state") == "read", told)).drop("flaws")
 
 
+def told(rows: DataFrame) -> DataFrame:
+    """``rows(text, ...)`` of bundles' JSON with their columns, ``sha256`` and ``violations``, of the schema or else between values."""
+    (s, b) = ("_s", "_b")
+    rows = rows.withColumn(s, schema_checked(F.col("text"))).withColumn("sha256", bundle_sha256(F.col("text")))
+    kept = [c for c in rows.columns if c not in (s, "text")]
+    rows = validated(rows.withColumn(b, F.from_json(f"{s}.text", BUNDLE)).select(*kept, F.col(f"{s}.flaws").alias("flaws"), f"{b}.*"))
+    return rows.withColumn("violations", F.when(F.size("flaws") > 0, F.col("flaws")).otherwise(F.col("violations"))).drop("flaws")
+
+
 def responses(spark: SparkSession, path: str, raw_ref: str | None = None) -> DataFrame:
     """Stored responses, headers as a map; by ``fetched`` and ``raw_ref``, or the one of that name."""
     rows = spark.read.parquet(path).withColumn("headers", F.from_json("headers", "map<string,string>"))
