@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Arrow batches handed to Python stay near this size whatever the rows' length.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 12 << 20
 #: Text bytes in a shard: what one Python task holds at a time.
 SHARD_BYTES = 6 << 20
 
@@ -182,7 +182,7 @@ def shards_for(docs: DataFrame, text_col: str) -> int:
 class WordHashes(dict):
     """64-bit hashes of words, remembered for as many words as fit the bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

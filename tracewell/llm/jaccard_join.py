@@ -82,22 +82,31 @@ def _tokens_by_bucket(size: int, buckets: int):
                 if c == len(sets):
                     sets.append(s)
                 which.append(c)
+            ids, keys, sizes = pdf["doc_id"].tolist(), pdf["key"].tolist(), [len(x) for x in sets]
             tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            own = np.repeat(np.arange(len(sets), dtype=np.uint16 if len(sets) < 1 << 16 else np.uint32), [len(s) for s in sets])
-            order = np.argsort(tokens, kind="stable")
-            tokens, own = tokens[order], own[order]
-            first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, np.int64)
-            tokens, counts = tokens[first], np.diff(np.append(first, len(own))).astype(np.uint32)
-            bucket = (tokens >> _U(LOW_BITS)) * _U(buckets) >> _U(64 - LOW_BITS)  # in the tokens' order
+            del pdf, sets  # a batch's arrays are large: none is kept beyond its use
+            order = np.argsort(tokens)
+            tokens = tokens[order]
+            own = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) < 1 << 16 else np.uint32), sizes)[order]
+            del order
+            new = np.ones(len(tokens), bool)
+            np.not_equal(tokens[1:], tokens[:-1], out=new[1:])
+            first = np.flatnonzero(new).astype(np.uint32)
+            tokens, counts = tokens[first], np.diff(np.append(first, np.uint32(len(own))))
+            del new, first
+            bucket = tokens >> _U(LOW_BITS)  # in the tokens' order
+            bucket *= _U(buckets)
+            bucket >>= _U(64 - LOW_BITS)
             often = counts > OFTEN  # such a token's sets stay with the head
             name = (bucket << _U(LOW_BITS) | tokens & _U((1 << LOW_BITS) - 1))[often]
             stays = np.repeat(often, counts)
-            head = (pdf["doc_id"].tolist(), pdf["key"].tolist(), which, list(at), [len(s) for s in sets], name, counts[often], own[stays])
+            head = (ids, keys, which, list(at), sizes, name, counts[often], own[stays])
             rows = [(batch % buckets, batch, True, pickle.dumps(head))]
-            own, last = own[~stays], np.cumsum(np.where(often, 0, counts))
+            own, last = own[~stays], np.cumsum(np.where(often, 0, counts), dtype=np.uint32)
             cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 rows.append((int(bucket[a]), batch, False, _pack(tokens[a:b], counts[a:b], own[last[a - 1] if a else 0 : last[b - 1]])))
+            del tokens, counts, bucket, own, last, stays, often, name, head
             yield pd.DataFrame(rows, columns=["bucket", "batch", "head", "data"])
 
     return run
