@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import notation, paths, responses, timing
 from tracewell.functions.times import micros
-from tracewell.operators import asof, contract, examples, ledger, manifest
+from tracewell.operators import asof, contract, examples, gate, ledger, manifest
 from tracewell.operators.bundle_schema import bundle_sha256
 from tracewell.plans.samples import BROKEN, SOUND
 from tracewell.plans.tables import attempts, claims, lines, notations, order_entries, order_records, table
@@ -472,6 +472,56 @@ def ledger_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.status(_tasks(spark, sf_dir))
 
 
+def _gate_sql(p: ledger.Policy) -> str:
+    """Made-up reviews, tasks, claims and ends of each user, folded by recursion; a token is the last claim's."""
+    day, us = 86_400_000_000, 1_000_000
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_id % 10 AS k, epoch_us(ts) - CASE WHEN event_id % 7 = 0 THEN 3600000000 ELSE 0 END AS "at", row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
+c AS (SELECT *, max(CASE WHEN k IN (5, 6) THEN rn END) OVER (PARTITION BY user_id ORDER BY rn) AS token FROM e),
+f AS (
+  SELECT DISTINCT user_id, 0::bigint AS rn, -1::bigint AS event_id, '' AS state, false AS approved, false AS paused, 0::bigint AS active, 0::bigint AS clock, 0::bigint AS next_at, 0::bigint AS used, 0::bigint AS ready, []::bigint[] AS recent FROM c
+  UNION ALL
+  SELECT user_id, rn, event_id, state, approved OR (state = 'NOTED' AND k < 2), CASE WHEN state = 'NOTED' AND k > 1 THEN k = 2 ELSE paused OR state = 'BLOCKED' END,
+    CASE WHEN state = 'PERMIT' THEN rn WHEN state IN ('DONE', 'BLOCKED') THEN 0 ELSE active END, CASE WHEN state IN ('REFUSED', 'ENQUEUED') THEN clock ELSE "at" END,
+    CASE WHEN state IN ('DONE', 'BLOCKED') THEN greatest(next_at, "at" + CASE WHEN used >= {p.batch} THEN {p.rest_s * us}::bigint ELSE {p.gap_s * us}::bigint END) ELSE next_at END,
+    CASE WHEN state = 'PERMIT' THEN used + 1 WHEN state IN ('DONE', 'BLOCKED') AND used >= {p.batch} THEN 0 ELSE used END,
+    ready + CASE state WHEN 'ENQUEUED' THEN 1 WHEN 'PERMIT' THEN -1 ELSE 0 END, CASE WHEN state = 'PERMIT' THEN list_prepend("at", recent) ELSE recent END
+  FROM (SELECT c.*, f.approved, f.paused, f.active, f.clock, f.next_at, f.used, f.ready, f.recent, CASE
+      WHEN c.k = 4 THEN 'ENQUEUED'
+      WHEN c."at" < f.clock THEN 'REFUSED'
+      WHEN c.k < 2 THEN 'NOTED'
+      WHEN c.k < 4 THEN CASE WHEN f.active > 0 THEN 'REFUSED' ELSE 'NOTED' END
+      WHEN c.k > 6 THEN CASE WHEN f.active = 0 OR f.active <> coalesce(c.token, -1) THEN 'REFUSED' WHEN c.event_id % 3 = 0 THEN 'BLOCKED' ELSE 'DONE' END
+      WHEN NOT f.approved THEN 'SOURCE_REVIEW_REQUIRED'
+      WHEN f.paused THEN 'PAUSED'
+      WHEN f.active > 0 THEN 'IN_FLIGHT_OR_UNCERTAIN'
+      WHEN ((c."at" + {9 * 3600 * us}::bigint) % {day}::bigint) // {3600 * us}::bigint NOT BETWEEN {p.opens} AND {p.closes - 1} THEN 'OUTSIDE_WINDOW'
+      WHEN c."at" < f.next_at THEN 'WAIT'
+      WHEN len(list_filter(f.recent, lambda x: (x + {9 * 3600 * us}::bigint) // {day}::bigint = (c.at + {9 * 3600 * us}::bigint) // {day}::bigint)) >= {p.daily} THEN 'DAILY_LIMIT'
+      WHEN len(list_filter(f.recent, lambda x: x > c."at" - {day}::bigint)) >= {p.rolling} THEN 'ROLLING24_LIMIT'
+      WHEN f.ready = 0 THEN 'NO_READY_TASK'
+      ELSE 'PERMIT' END AS state
+    FROM f JOIN c ON c.user_id = f.user_id AND c.rn = f.rn + 1))
+SELECT user_id AS key, event_id, state FROM f WHERE rn > 0"""
+
+
+def gate_events(events: DataFrame) -> DataFrame:
+    """Made-up events of a gate: every seventh tells a time an hour early."""
+    k = F.col("event_id") % 10
+    action = F.when(k < 2, "approve").when(k == 2, "pause").when(k == 3, "resume").when(k == 4, "enqueue").when(k < 7, "claim").otherwise("finish")
+    late = F.when(F.col("event_id") % 7 == 0, F.make_dt_interval(hours=F.lit(1))).otherwise(F.make_dt_interval(hours=F.lit(0)))
+    so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    outcome = F.when(F.col("event_id") % 3 == 0, "blocked").otherwise("ok")
+    return events.select(
+        F.col("user_id").alias("key"), "event_id", micros(F.col("ts")).alias("seq"), (F.col("ts") - late).alias("ts"), action.alias("action"), F.col("event_id").alias("task_id"),
+        F.last(F.when(action == "claim", F.col("event_id")), True).over(so_far).alias("token"), outcome.alias("outcome"), F.lit("r").alias("raw_ref"), F.lit("n").alias("note"),
+    )
+
+
+@query("q44_gate_under_review", _gate_sql(NARROW))
+def gate_under_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.gated(gate_events(table(spark, sf_dir, "events")), NARROW).select("key", "event_id", "state")
+
+
 # Responses, pages and files
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewell.functions.times import LEDGER_HOURS, micros
+from tracewell.operators import gate
 from tracewell.operators.ledger import Book, Policy
 
 OUT = "key long, event_id long, at long, state string"
@@ -38,6 +41,19 @@ def decided(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(claims(policy), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def gated(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """``gate.gated`` over a stream: each key's gate is its state, as JSON; a micro-batch's events are taken by ``seq``."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = gate.Gate(**json.loads(state.get[0])) if state.exists else gate.Gate()
+        rows = gate.records(pd.concat(list(batches)).sort_values(["seq", "event_id"], kind="stable"))
+        out = [gate.taken(held, policy, e) for e in rows]
+        state.update((json.dumps(asdict(held)),))
+        yield gate.frame(out)
+
+    return gate.prepared(events).groupBy("key").applyInPandasWithState(run, gate.OUT, "gate string", "append", GroupStateTimeout.NoTimeout)
+
+
 def daily_counts(events: DataFrame, late: str = "1 hour", hours: int = LEDGER_HOURS) -> DataFrame:
     """(day_start, n) per day of the ledger's calendar, once the watermark has passed it."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
