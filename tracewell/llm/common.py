@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -119,6 +119,23 @@ def meet(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> Data
     return rows.join(F.broadcast(groups.filter(hot)), keys).unionByName(cold)
 
 
+#: Parts that a group's rows are ranked in before the whole group is.
+RANK_PARTS = 64
+
+
+def first_ranked(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of each group with their ``rank`` from 1.
+
+    A group is ranked in RANK_PARTS parts by a hash of its rows, then of what the parts leave, at most
+    RANK_PARTS * k rows: no task sorts a large group whole.
+    """
+    (part,) = spare(df, "part")
+    salted = df.withColumn(part, F.pmod(F.xxhash64(*df.columns), F.lit(RANK_PARTS)))
+    for by in ([*keys, part], keys):
+        salted = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
+    return salted.drop(part)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node of the edges ``a``-``b``: root is the smallest node that it reaches.
 

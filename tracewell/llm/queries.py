@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import exact_dedup, html_text, jaccard_join, mixing, packing, suffix_dedup, token_counts, topk, toxicity, url_filter
+from tracewell.llm import exact_dedup, hard_negatives, html_text, jaccard_join, mixing, packing, suffix_dedup, token_counts, topk, toxicity, url_filter
 
 #: The rules that op3 judges by.
 URL_RULES = (
@@ -95,6 +95,13 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("begins").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of five positives of every row whose vec_id is divisible by 50; some labels are wrong."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -107,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_topk": op8_exact_topk,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
+        "op11_hard_negatives": op11_hard_negatives,
     }
 
 
@@ -116,6 +124,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": OP3_SQL,
         "op5_exact_dedup": OP5_SQL,
         "op8_exact_topk": OP8_SQL,
+        "op11_hard_negatives": OP11_SQL,
     }
 
 
@@ -171,3 +180,17 @@ s AS (
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+OP11_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS a, c.vec_id AS c, q.label = c.label AS same, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+p AS (SELECT a, c, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, c) <= 5),
+n AS (
+  SELECT p.a, p.c AS positive_id, p.score AS ps, s.c AS negative_id, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.c ORDER BY s.score DESC, s.c) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, positive_id, rank::int AS rank, negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 3
+"""
