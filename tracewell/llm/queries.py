@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import exact_dedup, hard_negatives, html_text, jaccard_join, mixing, packing, suffix_dedup, token_counts, topk, toxicity, url_filter
+from tracewell.llm import collocations, exact_dedup, hard_negatives, html_text, jaccard_join, mixing, packing, personal_data, suffix_dedup, token_counts, topk, toxicity, url_filter
 
 #: The rules that op3 judges by.
 URL_RULES = (
@@ -102,6 +102,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail addresses, IP addresses, card and phone numbers of every document, and what follows other anchors."""
+    return personal_data.find(read(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -115,6 +125,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_suffix_array_dedup": op10_suffix_array_dedup,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_personal_data": op12_personal_data,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -125,6 +137,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": OP5_SQL,
         "op8_exact_topk": OP8_SQL,
         "op11_hard_negatives": OP11_SQL,
+        "op13_collocations": OP13_SQL,
     }
 
 
@@ -194,3 +207,23 @@ n AS (
   FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
 SELECT a AS anchor_id, positive_id, rank::int AS rank, negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 3
 """
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+n AS (SELECT lang, sum(len(w))::bigint AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k AS size, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, phrase, size, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (
+  SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1)),
+s AS (
+  SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, ((2000000::hugeint * c.a) // (l.a + r.a))::bigint AS score FROM c JOIN f l ON l.lang = c.lang AND l.phrase = c.first JOIN f r ON r.lang = c.lang AND r.phrase = c.rest
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (2000000::hugeint * c.a) // (l.a + r.a), k) = 1),
+i AS (SELECT lang, a, string_split(phrase, ' ') AS w, size, unnest(range(2, size)) AS m FROM f WHERE size > 2),
+j AS (SELECT lang, a, unnest(list_transform(range(1, size - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM i),
+b AS (SELECT lang, phrase, max(a) AS longer FROM j GROUP BY 1, 2),
+k AS (SELECT s.* FROM s LEFT JOIN b USING (lang, phrase) WHERE b.longer IS NULL OR 100 * b.longer < 80 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM k JOIN n USING (lang) QUALIFY rank <= 2000
+"""
