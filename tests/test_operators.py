@@ -55,6 +55,64 @@ def test_modes_agree_where_all_was_known(spark):
     assert histories(spark, known, entries=entries) == histories(spark, known, "prospective", entries=entries)
 
 
+@pytest.mark.parametrize("stretch", [1, 4096])
+@pytest.mark.parametrize("mode", asof.MODES)
+def test_sweep_equals_the_join(spark, monkeypatch, mode, stretch):
+    """Arrivals before, at and after what they tell of, ties, repeated rows; a key with most rows, cut by day."""
+    import random
+
+    monkeypatch.setattr(asof, "STRETCH", stretch)
+    rng, hour = random.Random(5), dt.timedelta(hours=6)
+    key = lambda: rng.choice(["hot"] * 5 + ["h1", "h2", None])
+    when = lambda: rng.choice([None] + [rng.randrange(-8, 20)] * 9)
+    rows = []
+    for i in range(250):
+        at = T0 - rng.randrange(80) * hour
+        a, c = when(), when()
+        rows.append((key(), f"r{i % 90}", at, rng.choice([asof.PAST] * 6 + ["lifetime"]), None if a is None else at + a * hour, None if c is None else at + c * hour))
+    rows += rows[:5] + [("hot", "x", None, asof.PAST, T0, T0)]
+    entries = [(f"e{i}", key(), rng.choice([None] + [T0 - rng.randrange(-10, 90) * hour] * 9)) for i in range(80)]
+    got = histories(spark, rows, mode, entries, limit=4, lookback_days=9)
+
+    def seen(e):
+        ok = [r for r in rows if r[0] == e[1] is not None and r[3] == asof.PAST and r[2] is not None and e[2] is not None and r[2] < e[2]]
+        return [r for r in ok if mode == "retrospective" or None not in r[4:] and max(r[4:]) <= e[2]]
+
+    for e in entries:
+        found = sorted((r[2], r[1]) for r in seen(e))
+        assert got[e[0]][0] == [i for t, i in found[-4:] if (e[2] - t).days <= 9], e
+        assert got[e[0]][1] == (found and (e[2] - found[-1][0]) / DAY or None)
+    told = asof.repeated_versions(spark.createDataFrame(entries, ENTRIES), spark.createDataFrame(rows, RECORDS), mode).collect()
+    counts = Counter((e[0], r[1]) for e in entries for r in seen(e))
+    assert Counter(map(tuple, told)) == Counter((*k, n) for k, n in counts.items() if n > 1)
+
+
+def test_hot_keys_in_buckets(spark):
+    """Counts and latest times of a key with most rows, ties and nulls among them, against plain ones."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, T0 + dt.timedelta(hours=rng.randrange(120))) for i in range(300)]
+    df = spark.createDataFrame(rows, "key long, event_id long, ts timestamp").repartition(5)
+    got = {r["event_id"]: (r["used_today"], r["used_24h"]) for r in ledger.used_before(df).collect()}
+    nine = dt.timedelta(hours=9)
+    for k, i, t in rows:
+        mine = [(b, j) for a, j, b in rows if a == k and j != i]
+        today = sum((b, j) < (t, i) and (b + nine).date() == (t + nine).date() for b, j in mine)
+        assert got[i] == (today, sum(t - DAY < b <= t for b, _ in mine))
+    late = ledger.regressions(df.withColumnRenamed("event_id", "seq"), span=16).collect()
+    assert {r["seq"]: r["late"] for r in late} == {i: any(a == k and j < i and b > t for a, j, b in rows) for k, i, t in rows}
+
+
+def test_running_states_merge_in_order(spark):
+    from tracewell.operators.scan import running, steps
+
+    rows = spark.range(100).selectExpr("id", "id % 3 AS k", "array(id) AS s")
+    got = running(rows, ["k"], ["id"], "s", F.concat, steps(34)).collect()
+    assert all(r["s"] == list(range(r["k"], r["id"] + 1, 3)) for r in got)
+    assert [steps(n) for n in (None, 0, 1, 2, 3, 4, 5, 4096)] == [0, 0, 0, 1, 2, 2, 3, 12]
+
+
 def test_repeated_versions(spark):
     records = [record("h1", "a", 3), record("h1", "a", 4), record("h1", "b", 3), record("h1", "c", -1), record("h1", "c", 1)]
     rows = asof.repeated_versions(spark.createDataFrame([("e1", "h1", T0)], ENTRIES), spark.createDataFrame(records, RECORDS))
@@ -114,6 +172,36 @@ def test_manifest(spark):
     assert d != manifest.level_digest(rows.withColumn("line", F.when(F.col("id") == 7, "other").otherwise(F.col("line"))), "id", F.col("line"), 16).first()
 
 
+def test_what_an_end_makes_of_a_task(spark):
+    """As the gate has it: given up is uncertain and pauses, an unknown outcome is none."""
+    rows = spark.createDataFrame([(o,) for o in (*ledger.ENDS, "odd", None)], "o string")
+    got = {r["o"]: (r["t"]["status"], r["t"]["pause"]) for r in rows.select("o", ledger.task_after(F.col("o"), F.lit(1), F.lit(0), F.lit(0)).alias("t")).collect()}
+    assert got.pop("odd") == got.pop(None) == (None, None)
+    assert got == ledger.ENDS and got["abandoned"] == ("UNCERTAIN", "abandoned")
+
+
+@pytest.mark.parametrize("text, flaw, routes", [("1,", "notation", False), ("(1,2", "notation", False), ("1-9", "roster", False), (None, None, False), ("1", None, True)])
+def test_corners_that_cannot_be_read(spark, text, flaw, routes):
+    entries = spark.createDataFrame([("a", 1, "h1", 1, T0)], "entry_id string, race_id long, key string, number int, as_of timestamp")
+    corners = spark.createDataFrame([(1, 1, text, "1C", "s")], "race_id long, seq int, notation string, checkpoint string, source_id string")
+    laps = spark.createDataFrame([], "race_id long, complete boolean, seconds array<double>, ends array<int>")
+    row = examples.build(entries, spark.createDataFrame([], RECORDS), corners, laps).first()
+    (c,) = row["corners"]
+    assert row["flaw"] == flaw and (c["checkpoint"], c["source_id"]) == ("1C", "s") and row["routes"]["unconditional"] == routes
+    assert c["numbers"] == ([1] if routes else None) and (c["groups"] is not None) == routes
+
+
+def test_versions_beyond_the_window_are_refused(spark):
+    """Two rows of an id that no history shows, one too old, one beyond the limit; and one that isn't known yet."""
+    entries = spark.createDataFrame([("a", 1, "h1", 1, T0), ("b", 2, "h2", 1, T0), ("c", 3, "h3", 1, T0)], "entry_id string, race_id long, key string, number int, as_of timestamp")
+    records = [record("h1", "old", 2000), record("h1", "old", 2001), record("h2", "far", 300), record("h2", "far", 301), record("h3", "new", 3), record("h3", "new", -3)]
+    records += [record("h2", f"r{d}", d) for d in range(1, 20)]
+    laps = spark.createDataFrame([], "race_id long, complete boolean, seconds array<double>, ends array<int>")
+    corners = spark.createDataFrame([], "race_id long, seq int, notation string")
+    rows = examples.build(entries, spark.createDataFrame(records, RECORDS), corners, laps).collect()
+    assert {r["race_id"]: r["flaw"] for r in rows} == {1: "versions", 2: "versions", 3: None}
+
+
 def test_ledger_decisions(spark):
     policy = ledger.Policy(gap_s=120, batch=2, rest_s=3600, daily=4, rolling=4)
     at = lambda s: dt.datetime(2024, 1, 1, 1, 0) + dt.timedelta(seconds=s)  # noqa: E731  10:00 by the ledger

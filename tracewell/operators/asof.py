@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.times import days_between, whole_days_between
+from tracewell.operators.scan import running, steps
 
 #: Kind of record that counts as a past result.
 PAST = "past_result"
@@ -44,25 +45,59 @@ def matches(entries: DataFrame, records: DataFrame, mode: str = "retrospective")
     return entries.join(held, (F.col("key") == F.col("_key")) & ok).drop("_key")
 
 
-def numbered(entries: DataFrame, records: DataFrame, bucket: str = "month") -> tuple[DataFrame, DataFrame]:
-    """Entries with ``n_before``, past results of their key before as_of, and past results with their number ``n``.
+def _placed(records: DataFrame, mode: str) -> DataFrame:
+    """Past results with the place from which on they are seen: ``at`` and ``phase``.
 
-    Keys are cut into time buckets; counts of buckets add up, and within a bucket a window counts
-    on. So a key with very many rows is spread over tasks.
+    An entry at a time comes in phase 1: what has arrived by then (phase 0) is seen, what happens then (phase 2) isn't
+    yet. So all that an entry sees comes before it on one line of time, in both modes.
     """
-    past = records.filter(F.col("kind") == PAST)
-    rows = past.select("key", F.col("event_at").alias("at"), F.lit(1).alias("is_record"), F.col("record_id").cast("string").alias("id"), F.struct(*records.columns).alias("record"), F.lit(None).cast(entries.schema).alias("entry"))
-    asks = entries.select("key", F.col("as_of").alias("at"), F.lit(0).alias("is_record"), F.col("entry_id").cast("string").alias("id"), F.lit(None).cast(records.schema).alias("record"), F.struct(*entries.columns).alias("entry"))
-    both = rows.unionByName(asks).withColumn("bucket", F.date_trunc(bucket, "at"))
-    # the counts are a row for each key and bucket, summed before they meet
-    counts = both.groupBy("key", "bucket").agg(F.sum("is_record").alias("own"))
-    so_far = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("key", "bucket", F.coalesce(F.sum("own").over(so_far), F.lit(0)).alias("earlier"))
-    # at the same time an entry comes first: records count that are strictly before
-    within = Window.partitionBy("key", "bucket").orderBy("at", "is_record", "id").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("inside", F.sum("is_record").over(within)).join(counts, ["key", "bucket"])
-    n = F.col("earlier") + F.col("inside")
-    return both.filter("is_record = 0").select("entry.*", n.alias("n_before")), both.filter("is_record = 1").select("record", "key", n.alias("n"))
+    known = records.filter((F.col("kind") == PAST) & F.col("key").isNotNull() & F.col("event_at").isNotNull())
+    if mode == "retrospective":
+        return known.withColumns({"at": F.col("event_at"), "phase": F.lit(2)})
+    arrived = F.greatest("available_at", "collected_at")
+    known = known.filter("available_at IS NOT NULL AND collected_at IS NOT NULL")
+    return known.withColumns({"at": F.greatest("event_at", arrived), "phase": F.when(arrived > F.col("event_at"), 0).otherwise(2)})
+
+
+#: Rows of a key up to which it is swept at a stretch; where any key has more, keys are cut by day.
+STRETCH = 4096
+
+
+def swept(entries: DataFrame, records: DataFrame, mode: str, limit: int) -> DataFrame:
+    """Entries with ``seen``: of the records that each sees, the ``limit`` latest as (event_at, id, record), the latest first.
+
+    Entries and records of a key lie on one line of time (``_placed``); the latest few of all records up to a place merge
+    from those of its parts (``scan.running``), so each row costs a few merges, whatever its key has. Where a key
+    has more than STRETCH rows, days are swept apart and what earlier days leave, one row a day, is merged in. Counting the rows of keys is a
+    job of its own. Entries with a null key or as_of see nothing and take no part.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    told = F.struct("event_at", F.col("record_id").cast("string").alias("id"), F.struct(*records.columns).alias("record"))
+    rows = _placed(records, mode).select("key", "at", "phase", F.array(told).alias("seen"), F.lit(None).cast(entries.schema).alias("entry"))
+    whole = entries.filter("key IS NOT NULL AND as_of IS NOT NULL")
+    none = F.array().cast(rows.schema["seen"].dataType)
+    asks = whole.select("key", F.col("as_of").alias("at"), F.lit(1).alias("phase"), none.alias("seen"), F.struct(*entries.columns).alias("entry"))
+    both = asks.unionByName(rows).withColumn("day", F.date_trunc("day", "at"))
+
+    per_day = both.groupBy("key", "day").agg(F.count("*").alias("n"))
+    most = per_day.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("a_day"), F.count("*").alias("days")).agg(F.max("n"), F.max("a_day"), F.max("days")).first()
+
+    def merge(a: Column, b: Column) -> Column:
+        every = F.slice(F.sort_array(F.concat(a, b), False), 1, limit)
+        return F.when(F.size(a) == 0, b).when(F.size(b) == 0, a).otherwise(every)
+
+    order, apart = ["at", "phase"], (most[0] or 0) > STRETCH
+    done = running(both, ["key", "day"] if apart else ["key"], order, "seen", merge, steps(most[1] if apart else most[0]))
+    found = done.filter("phase = 1")
+    if apart:
+        # of a day's last rows at the same place the one that saw the most is the greatest
+        left = done.groupBy("key", "day").agg(F.max(F.struct("at", "phase", "seen"))["seen"].alias("seen"))
+        left = running(left, ["key"], ["day"], "seen", merge, steps(most[2]))
+        left = left.select("key", "day", F.lag("seen").over(Window.partitionBy("key").orderBy("day")).alias("earlier"))
+        found = found.join(left, ["key", "day"]).withColumn("seen", F.when(F.col("earlier").isNull(), F.col("seen")).otherwise(merge(F.col("earlier"), F.col("seen"))))
+    blind = entries.filter("key IS NULL OR as_of IS NULL").withColumn("seen", none)
+    return found.select("entry.*", "seen").unionByName(blind)
 
 
 def latest(entries: DataFrame, records: DataFrame, *, mode: str = "retrospective", limit: int = LIMIT, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
@@ -74,37 +109,31 @@ def latest(entries: DataFrame, records: DataFrame, *, mode: str = "retrospective
     """
     if limit < 1 or lookback_days < 1:
         raise ValueError("limit and lookback_days must be at least 1")
-    narrow = entries.select("entry_id", "key", "as_of")  # the rest meets its history again at the end
-    if mode == "retrospective":
-        asks, held = numbered(narrow, records)
-        first = F.greatest(F.col("n_before") - limit + 1, F.lit(1))
-        wanted = asks.withColumn("n", F.explode_outer(F.when(F.col("n_before") > 0, F.sequence(F.col("n_before"), first, F.lit(-1)))))
-        found = _by_number(wanted, held)
-    else:
-        found = matches(narrow, records, mode)
-        w = Window.partitionBy("entry_id").orderBy(F.desc("record.event_at"), F.desc(F.col("record.record_id").cast("string")))
-        found = found.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= limit)
-    return _folded(entries, found, lookback_days)
-
-
-def _by_number(wanted: DataFrame, held: DataFrame) -> DataFrame:
-    """Joins entries' wanted numbers to records by key and number: one row each, whatever the key's size."""
-    out = wanted.withColumn("back", F.col("n_before") - F.col("n") + 1)
-    return out.join(held, ["key", "n"]).drop("n", "n_before")
-
-
-def _folded(entries: DataFrame, found: DataFrame, lookback_days: int) -> DataFrame:
-    at = F.col("record.event_at")
-    near = whole_days_between(F.col("as_of"), at) <= lookback_days
-    per = found.groupBy("entry_id").agg(
-        F.min(days_between(F.col("as_of"), at)).alias("recency_days"),
-        F.sort_array(F.collect_list(F.when(near, F.struct(at.alias("event_at"), F.col("record.record_id").cast("string").alias("id"), F.col("record").alias("record"))))).alias("h"),
-    )
-    per = per.select("entry_id", "recency_days", F.transform("h", lambda x: x["record"]).alias("history"))
-    return entries.join(per, "entry_id", "left")
+    rows = swept(entries, records, mode, limit)
+    as_of, any_ = F.col("as_of"), F.size("seen") > 0
+    near = F.filter("seen", lambda x: whole_days_between(as_of, x["event_at"]) <= lookback_days)
+    recency = F.when(any_, days_between(as_of, F.get("seen", F.lit(0))["event_at"]))
+    history = F.when(any_, F.reverse(F.transform(near, lambda x: x["record"])))
+    return rows.select(*entries.columns, recency.alias("recency_days"), history.alias("history"))
+
+
+def versions(records: DataFrame, mode: str = "retrospective") -> DataFrame:
+    """(key, record_id, versions, since, until): from when to when a key's past results have more than one row for an id.
+
+    ``since`` and ``until`` (null: for ever) are places (at, phase) on the line of time that ``swept`` goes by.
+    """
+    w = Window.partitionBy("key", "record_id").orderBy("at", "phase")
+    rows = _placed(records, mode).select("key", "record_id", "at", "phase")
+    rows = rows.withColumns({"versions": F.row_number().over(w).cast("long"), "until": F.lead(F.struct("at", "phase")).over(w)})
+    return rows.filter("versions > 1").select("key", "record_id", "versions", F.struct("at", "phase").alias("since"), "until")
 
 
 def repeated_versions(entries: DataFrame, records: DataFrame, mode: str = "retrospective") -> DataFrame:
-    """(entry_id, record_id, versions) of records that more than one eligible row claims to be."""
-    found = matches(entries, records, mode).groupBy("entry_id", F.col("record.record_id").alias("record_id"))
-    return found.agg(F.count("*").alias("versions")).filter("versions > 1")
+    """(entry_id, record_id, versions) of records that more than one eligible row claims to be.
+
+    Entries meet the spans of time in which an id has so many versions: a row for each row of the result, none for records of which there is one.
+    """
+    spans = versions(records, mode).withColumnRenamed("key", "_key")
+    here = F.struct(F.col("as_of").alias("at"), F.lit(1).alias("phase"))
+    ok = (F.col("key") == F.col("_key")) & (F.col("since") < here) & (F.col("until").isNull() | (F.col("until") > here))
+    return entries.select("entry_id", "key", "as_of").join(spans, ok).select("entry_id", "record_id", "versions")

@@ -21,9 +21,10 @@ def allowed(columns: list[str], allow: tuple[str, ...] = ENTRY, of: Column | Non
 
 
 def observation(text: Column, roster: Column) -> Column:
-    """(observed, flaw, full_roster, pairs, unobserved) of a notation; one that is missing is not an empty one.
+    """(observed, flaw, full_roster, pairs, unobserved, numbers, groups) of a notation; one that is missing is not an empty one.
 
-    Each pair has ``front_mask`` and ``inside_mask``: whether it is known who is before, and inside.
+    Each pair has ``front_mask`` and ``inside_mask``: whether it is known who is before, and inside. ``numbers`` are those
+    observed, ``groups`` what is parsed; both are null where nothing is observed.
     """
 
     def masked(pair: Column) -> Column:
@@ -39,6 +40,8 @@ def observation(text: Column, roster: Column) -> Column:
             (fine & notation.same_set(observed, roster)).alias("full_roster"),
             F.transform(F.when(fine, notation.pairs(parsed["groups"])).otherwise(F.array()), masked).alias("pairs"),
             F.array_sort(F.when(fine, F.array_except(roster, observed)).otherwise(roster)).alias("unobserved"),
+            F.when(fine, F.array_sort(observed)).alias("numbers"),
+            F.when(fine, parsed["groups"]).alias("groups"),
         )
 
     return notation.let(notation.parse(text), lambda p: notation.let(notation.members(p["groups"]), lambda m: seen(p, m)))
@@ -61,18 +64,20 @@ def build(
     """One row per race: race_id, flaw, meta, condition, runners (with their histories), corners, laps and routes.
 
     ``entries(entry_id, race_id, key, number, as_of, ...)``, ``records`` as in ``asof``,
-    ``corners(race_id, seq, notation)``, ``laps(race_id, complete, seconds, ends)``, ``races(race_id,
+    ``corners(race_id, seq, notation)``, with ``checkpoint`` and ``source_id`` if they are known, ``laps(race_id, complete, seconds, ends)``, ``races(race_id,
     target_start, ...)`` with the conditions. Runners are ordered by number, corners by seq; of
     entries, records and races only allowed columns are taken. An example with a ``flaw`` isn't one to
     train on: ``as_of`` (not one and the same, or not before target_start), ``repeated`` (a key or number twice),
-    ``number`` (missing or under 1), ``versions`` (two eligible records of an id in a history) or ``roster``
-    (a corner observes a runner that isn't entered); null if there is none.
+    ``number`` (missing or under 1), ``versions`` (two eligible records of an id, however old), ``notation`` (a corner that
+    can't be read; one that is missing may be) or ``roster`` (a corner observes a runner that isn't entered); null if there is none.
     """
+    repeated = asof.versions(records, mode).groupBy(F.col("key").alias("_key")).agg(F.min("since").alias("_since"))
     known = asof.latest(entries, records, mode=mode, limit=limit, lookback_days=lookback_days)
+    known = known.join(repeated, F.col("key") == F.col("_key"), "left")
     complete = F.coalesce(F.col("history_complete"), F.lit(False)) if "history_complete" in entries.columns else F.lit(False)
     history = F.transform("history", lambda r: F.struct(*allowed(records.columns, RECORD, r)))
     size = F.size(F.coalesce("history", F.array()))
-    twice = F.size(F.array_distinct(F.transform("history", lambda r: r["record_id"]))) < F.size("history")
+    twice = F.col("_since") < F.struct(F.col("as_of").alias("at"), F.lit(1).alias("phase"))
     runner = F.struct(F.col("number").alias("at"), F.struct(*allowed(entries.columns), size.alias("history_count"), "recency_days", complete.alias("history_complete"), history.alias("history")).alias("runner"))
     x = known.groupBy("race_id").agg(
         F.sort_array(F.collect_list(runner)).alias("r"),
@@ -83,19 +88,28 @@ def build(
         F.count("*").alias("n"),
         F.max(F.coalesce(twice, F.lit(False))).alias("versions"),
     )
-    y = corners.groupBy("race_id").agg(F.sort_array(F.collect_list(F.struct("seq", "notation"))).alias("c"))
+    told = [(F.col(c) if c in corners.columns else F.lit(None)).cast("string").alias(c) for c in ("checkpoint", "source_id")]
+    corner = F.struct(F.col("seq").cast("int").alias("seq"), "notation", *told)
+    y = corners.groupBy("race_id").agg(F.sort_array(F.collect_list(corner)).alias("c"))
     rows = x.join(y, "race_id", "left").join(laps, "race_id", "left")
     named = [] if races is None else races.columns
     told = entries.select("race_id").limit(0).withColumn("target_start", F.lit(None).cast("timestamp")) if races is None else races
     rows = rows.join(told.select("race_id", "target_start", F.struct(*allowed(named, CONDITION)).alias("condition")), "race_id", "left")
-    seen = F.transform(F.coalesce("c", F.expr("cast(array() as array<struct<seq:int,notation:string>>)")), lambda c: observation(c["notation"], F.col("roster")))
-    rows = rows.withColumn("corners", seen)
+    none = F.array().cast("array<struct<seq: int, notation: string, checkpoint: string, source_id: string>>")
+    fields = ("observed", "flaw", "full_roster", "pairs", "unobserved", "numbers", "groups")
+
+    def seen(c: Column) -> Column:
+        here = [c["checkpoint"].alias("checkpoint"), c["source_id"].alias("source_id")]
+        return notation.let(observation(c["notation"], F.col("roster")), lambda o: F.struct(*here, *[o[f].alias(f) for f in fields]))
+
+    rows = rows.withColumn("corners", F.transform(F.coalesce("c", none), seen))
     late = F.lit(False) if races is None else F.coalesce(F.col("as_of") >= F.col("target_start"), F.lit(True))
     flaw = (
         F.when(~F.col("one_as_of") | late, "as_of")
         .when((F.size(F.array_distinct("roster")) < F.col("n")) & (F.size("roster") == F.col("n")) | (F.col("n_keys") < F.col("n")), "repeated")
         .when((F.size("roster") < F.col("n")) | F.exists("roster", lambda n: n < 1), "number")
         .when(F.col("versions"), "versions")
+        .when(F.exists("corners", lambda c: ~c["flaw"].isin("missing", "roster")), "notation")
         .when(F.exists("corners", lambda c: c["flaw"] == "roster"), "roster")
     )
     meta = F.struct("target_start", "as_of", F.lit(mode).alias("mode"))

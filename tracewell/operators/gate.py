@@ -15,15 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.times import DAY_US, LEDGER_HOURS, micros
-from tracewell.operators.ledger import SECOND, Policy
+from tracewell.operators.ledger import ENDS, SECOND, Policy
 
 SHIFT = LEDGER_HOURS * 3600 * SECOND
 REVIEWS = ("approve", "pause", "resume", "abandon")
-#: What an outcome makes of a task, and what it pauses the key for.
-ENDS = {
-    "ok": ("DONE", None), "not_modified": ("DONE", None), "not_found": ("NOT_FOUND", None), "redirect": ("REDIRECT_REVIEW", None),
-    "blocked": ("BLOCKED", "blocked"), "abandoned": ("UNCERTAIN", "abandoned"), "parse_error": ("QUARANTINED", "parse_schema_review"), "temporary": ("PENDING", None),
-}
 #: Outcomes that need what was saved.
 SAVED = ("ok", "not_modified", "parse_error")
 

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.times import DAY_US, LEDGER_HOURS, local_day, micros, next_opening, within_hours
+from tracewell.functions.times import DAY_US, LEDGER_HOURS, micros, next_opening, within_hours
+from tracewell.operators.scan import seeded
 
 SECOND = 1_000_000
 
@@ -113,23 +114,21 @@ def next_allowed(policy: Policy, at: Column, next_at: Column) -> Column:
     return F.greatest(next_opening(F.timestamp_micros(at), policy.opens), next_at)
 
 
+#: What an outcome makes of a task, and what its key is paused for. A temporary one may be tried again.
+ENDS = {
+    "ok": ("DONE", None), "not_modified": ("DONE", None), "not_found": ("NOT_FOUND", None), "redirect": ("REDIRECT_REVIEW", None),
+    "blocked": ("BLOCKED", "blocked"), "abandoned": ("UNCERTAIN", "abandoned"), "parse_error": ("QUARANTINED", "parse_schema_review"), "temporary": ("PENDING", None),
+}
+
+
 def task_after(outcome: Column, attempts: Column, at: Column, next_at: Column, policy: Policy = Policy()) -> Column:
-    """(status, ready_at, pause) of a task once its attempt ended; times in microseconds."""
+    """(status, ready_at, pause) of a task once its attempt ended; times in microseconds; null for other outcomes than ``ENDS`` has."""
     hours = F.when(attempts == 1, 6).otherwise(24)
     again = outcome == "temporary"
-    status = (
-        F.when(outcome.isin("ok", "not_modified"), "DONE")
-        .when(outcome == "blocked", "BLOCKED")
-        .when(outcome == "abandoned", "UNCERTAIN")
-        .when(again & (attempts >= policy.attempts), "FAILED")
-        .when(again, "PENDING")
-        .when(outcome == "parse_error", "QUARANTINED")
-        .when(outcome == "not_found", "NOT_FOUND")
-        .when(outcome == "redirect", "REDIRECT_REVIEW")
-    )
+    ends = [F.create_map(*[F.lit(x) for o, end in ENDS.items() for x in (o, end[i])]) for i in (0, 1)]
+    status = F.when(again & (attempts >= policy.attempts), "FAILED").otherwise(F.try_element_at(ends[0], outcome))
     ready = F.when(again & (attempts < policy.attempts), F.greatest(at + hours * F.lit(3600 * SECOND), next_at))
-    pause = F.when(outcome == "blocked", "blocked").when(outcome == "abandoned", "uncertain").when(outcome == "parse_error", "parse_schema_review")
-    return F.struct(status.alias("status"), ready.alias("ready_at"), pause.alias("pause"))
+    return F.struct(status.alias("status"), ready.alias("ready_at"), F.try_element_at(ends[1], outcome).alias("pause"))
 
 
 def enqueued(requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -149,17 +148,29 @@ def status(tasks: DataFrame) -> DataFrame:
 
 
 def used_before(events: DataFrame) -> DataFrame:
-    """``events(key, ts, event_id)`` with earlier ones of the same local day and of the last 24 hours (strictly)."""
-    at = micros(F.col("ts"))
-    rows = events.withColumn("at", at).withColumn("day", local_day(F.col("ts")))
-    day = Window.partitionBy("key", "day").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    """``events(key, ts, event_id)`` with earlier ones of the same local day and of the last 24 hours (strictly).
+
+    A task has two days of a key: each event goes to its own day and, to be counted there only, to the day after, as
+    far as 24 hours may reach back.
+    """
+    at, day = micros(F.col("ts")), F.floor((micros(F.col("ts")) + F.lit(LEDGER_HOURS * 3600 * SECOND)) / F.lit(DAY_US))
+    copies = F.explode(F.when(day.isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+    rows = events.select("key", "event_id", at.alias("at"), day.alias("day"), copies.alias("after")).withColumn("day", F.col("day") + F.col("after"))
+    own = F.when(F.col("after") == 0, 1)
+    today = Window.partitionBy("key", "day").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     # the range ends at the row's own time; rows of the same time are its peers, itself among them
-    last = Window.partitionBy("key").orderBy("at").rangeBetween(-DAY_US + 1, 0)
-    return rows.select("key", "event_id", F.count("*").over(day).alias("used_today"), (F.count("*").over(last) - 1).alias("used_24h"))
+    last = Window.partitionBy("key", "day").orderBy("at").rangeBetween(-DAY_US + 1, 0)
+    rows = rows.withColumns({"used_today": F.count(own).over(today), "used_24h": F.count("*").over(last) - 1})
+    return rows.filter("after = 0").select("key", "event_id", "used_today", "used_24h")
+
 
+def regressions(events: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """``events(key, seq, ts)`` with ``late``: whether an earlier arrival has a later time.
 
-def regressions(events: DataFrame) -> DataFrame:
-    """``events(key, seq, ts)`` with ``late``: whether an earlier arrival has a later time."""
-    before = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    at = micros(F.col("ts"))
-    return events.withColumn("late", F.coalesce(at < F.max(at).over(before), F.lit(False)))
+    Arrivals of a key are cut by ``seq``, ``span`` numbers each; what came before a cut enters it as one row with the latest time.
+    """
+    spare = {"_at": micros(F.col("ts")), "_cut": F.floor(F.col("seq") / span)}
+    rows = seeded(events.withColumns(spare), ["key"], "_cut", "_at", F.max)
+    before = Window.partitionBy("key", "_cut").orderBy(F.desc("seed"), "seq").rowsBetween(Window.unboundedPreceding, -1)
+    late = F.coalesce(F.col("_at") < F.max("_at").over(before), F.lit(False))
+    return rows.withColumn("late", late).filter("NOT seed").select(*events.columns, "late")

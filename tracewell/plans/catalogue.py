@@ -287,20 +287,38 @@ def _example_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
   FROM li e JOIN orders o ON o.o_orderkey = e.l_orderkey JOIN li x ON x.partkey = e.partkey AND x.ship < o.o_orderdate),
 h AS (SELECT l_orderkey, a, count(id) FILTER (WHERE back <= 12 AND days <= 1096) AS n, min(days) AS days, string_agg(id, '+' ORDER BY back DESC) FILTER (WHERE back <= 12 AND days <= 1096) AS ids
   FROM li LEFT JOIN m USING (l_orderkey, a) GROUP BY 1, 2),
-u AS (SELECT l_orderkey, string_agg(a || '|' || n || '|' || coalesce(days::varchar, '') || '|' || coalesce(ids, ''), ';' ORDER BY a) AS runners, count(*) AS k, count(DISTINCT partkey) < count(*) AS twice FROM h JOIN li USING (l_orderkey, a) GROUP BY 1),
-q AS (SELECT x.l_orderkey, count(*) AS n, count(*) FILTER (WHERE x.i <> y.i OR x.leader IN (x.a, y.a)) AS front, count(*) FILTER (WHERE x.i = y.i) AS inside FROM r x JOIN r y ON x.l_orderkey = y.l_orderkey AND x.a < y.a GROUP BY 1)
-SELECT l_orderkey AS race_id, CASE WHEN twice THEN 'repeated' END AS flaw, runners, o_orderstatus = 'F' AS conditional, false AS latent,
-  coalesce(q.n, 0) || ',' || coalesce(q.front, 0) || ',' || coalesce(q.inside, 0) AS pairs, o_orderpriority AS course
-FROM u LEFT JOIN q USING (l_orderkey) JOIN orders ON o_orderkey = l_orderkey""",
+u AS (SELECT l_orderkey, string_agg(a || '|' || n || '|' || coalesce(days::varchar, '') || '|' || coalesce(ids, ''), ';' ORDER BY a) AS runners, count(*) AS k, count(DISTINCT partkey) < count(*) AS twice,
+  string_agg(a::varchar, '+' ORDER BY a) AS seen FROM h JOIN li USING (l_orderkey, a) GROUP BY 1),
+v AS (SELECT l_orderkey, string_agg(replace(members, ',', '+') || '*' || coalesce(leader::varchar, ''), '/' ORDER BY i) AS groups FROM p GROUP BY 1),
+q AS (SELECT x.l_orderkey, count(*) AS n, count(*) FILTER (WHERE x.i <> y.i OR x.leader IN (x.a, y.a)) AS front, count(*) FILTER (WHERE x.i = y.i) AS inside FROM r x JOIN r y ON x.l_orderkey = y.l_orderkey AND x.a < y.a GROUP BY 1),
+z AS (SELECT *, l_orderkey % 10 = 3 AS broken FROM u)
+SELECT l_orderkey AS race_id, CASE WHEN twice THEN 'repeated' WHEN broken THEN 'notation' END AS flaw, runners, o_orderstatus = 'F' AND NOT broken AS conditional, false AS latent,
+  CASE WHEN broken THEN '0,0,0' ELSE coalesce(q.n, 0) || ',' || coalesce(q.front, 0) || ',' || coalesce(q.inside, 0) END AS pairs, o_orderpriority AS course,
+  'C1|' || CASE WHEN l_orderkey % 5 > 0 THEN 's' || l_orderkey % 5 ELSE '' END || '|' || CASE WHEN broken THEN 'grammar|||' || seen ELSE '|' || seen || '|' || groups || '|' END AS corner
+FROM z JOIN v USING (l_orderkey) LEFT JOIN q USING (l_orderkey) JOIN orders ON o_orderkey = l_orderkey""",
 )
 def build_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as races of their lines, parts as runners with the times they shipped before; each runner with its history."""
+    """Orders as races of their lines, parts as runners with the times they shipped before; each runner with its history.
+
+    A tenth of the corners can't be read. ``corner``: checkpoint, source, flaw, numbers observed, groups with their leaders, numbers not observed.
+    """
     races = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("race_id"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(1))).alias("target_start"), F.col("o_orderpriority").alias("course"), F.col("o_totalprice").alias("outcome"))
-    rows = examples.build(*_example_inputs(spark, sf_dir), races)
-    told = F.transform("runners", lambda r: F.concat_ws("|", r["number"], r["history_count"], F.coalesce(r["recency_days"].cast("bigint").cast("string"), F.lit("")), F.array_join(F.coalesce(F.transform(r["history"], lambda x: x["record_id"]), F.array().cast("array<string>")), "+")))
+    entries, records, corners, laps = _example_inputs(spark, sf_dir)
+    broken = F.when(F.col("race_id") % 10 == 3, F.concat("notation", F.lit(","))).otherwise(F.col("notation"))
+    source = F.when(F.col("race_id") % 5 > 0, F.concat(F.lit("s"), F.col("race_id") % 5))
+    corners = corners.withColumns({"notation": broken, "checkpoint": F.lit("C1"), "source_id": source})
+    rows = examples.build(entries, records, corners, laps, races)
+    none = F.array().cast("array<string>")
+    plus = lambda xs: F.array_join(F.coalesce(F.transform(xs, lambda x: x.cast("string")), none), "+")
+    told = F.transform("runners", lambda r: F.concat_ws("|", r["number"], r["history_count"], F.coalesce(r["recency_days"].cast("bigint").cast("string"), F.lit("")), plus(F.transform(r["history"], lambda x: x["record_id"]))))
     pairs = F.flatten(F.transform("corners", lambda c: c["pairs"]))
     counts = F.concat_ws(",", F.size(pairs), F.size(F.filter(pairs, lambda p: p["front_mask"])), F.size(F.filter(pairs, lambda p: p["inside_mask"])))
-    return rows.select("race_id", "flaw", F.array_join(told, ";").alias("runners"), F.col("routes.conditional").alias("conditional"), F.col("routes.latent").alias("latent"), counts.alias("pairs"), F.col("condition.course").alias("course"))
+    groups = lambda c: F.array_join(F.transform(c["groups"], lambda g: F.concat(plus(g["members"]), F.lit("*"), F.coalesce(g["leader"].cast("string"), F.lit("")))), "/")
+    corner = lambda c: F.concat_ws("|", c["checkpoint"], F.coalesce(c["source_id"], F.lit("")), F.coalesce(c["flaw"], F.lit("")), plus(c["numbers"]), F.coalesce(groups(c), F.lit("")), plus(c["unobserved"]))
+    return rows.select(
+        "race_id", "flaw", F.array_join(told, ";").alias("runners"), F.col("routes.conditional").alias("conditional"), F.col("routes.latent").alias("latent"), counts.alias("pairs"), F.col("condition.course").alias("course"),
+        F.array_join(F.transform("corners", corner), ";").alias("corner"),
+    )
 
 
 @query("q19_future_changes_nothing", "SELECT count(*) AS n, 0::bigint AS n_changed FROM orders")
@@ -434,9 +452,12 @@ def used_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.used_before(claims(spark, sf_dir))
 
 
-_TASKS = """WITH a AS (SELECT *, (event_id % 4 + 1)::int AS attempts, CASE event_type WHEN 'error' THEN 'temporary' WHEN 'view' THEN 'ok' WHEN 'click' THEN 'redirect' WHEN 'signup' THEN 'not_found' ELSE 'blocked' END AS outcome FROM events),
-t AS (SELECT event_id, CASE outcome WHEN 'ok' THEN 'DONE' WHEN 'blocked' THEN 'BLOCKED' WHEN 'not_found' THEN 'NOT_FOUND' WHEN 'redirect' THEN 'REDIRECT_REVIEW' ELSE CASE WHEN attempts >= 3 THEN 'FAILED' ELSE 'PENDING' END END AS status,
-  CASE WHEN outcome = 'temporary' AND attempts < 3 THEN epoch_us(ts) + CASE WHEN attempts = 1 THEN 6 ELSE 24 END * 3600000000::bigint END AS ready_at, CASE WHEN outcome = 'blocked' THEN 'blocked' END AS pause FROM a)
+_TASKS = """WITH a AS (SELECT *, (event_id % 4 + 1)::int AS attempts, CASE WHEN event_id % 11 = 7 THEN 'abandoned' WHEN event_id % 11 = 8 THEN 'parse_error' WHEN event_id % 11 = 9 THEN 'not_modified'
+  ELSE CASE event_type WHEN 'error' THEN 'temporary' WHEN 'view' THEN 'ok' WHEN 'click' THEN 'redirect' WHEN 'signup' THEN 'not_found' ELSE 'blocked' END END AS outcome FROM events),
+t AS (SELECT event_id, CASE outcome WHEN 'ok' THEN 'DONE' WHEN 'not_modified' THEN 'DONE' WHEN 'blocked' THEN 'BLOCKED' WHEN 'abandoned' THEN 'UNCERTAIN' WHEN 'parse_error' THEN 'QUARANTINED'
+  WHEN 'not_found' THEN 'NOT_FOUND' WHEN 'redirect' THEN 'REDIRECT_REVIEW' ELSE CASE WHEN attempts >= 3 THEN 'FAILED' ELSE 'PENDING' END END AS status,
+  CASE WHEN outcome = 'temporary' AND attempts < 3 THEN epoch_us(ts) + CASE WHEN attempts = 1 THEN 6 ELSE 24 END * 3600000000::bigint END AS ready_at,
+  CASE outcome WHEN 'blocked' THEN 'blocked' WHEN 'abandoned' THEN 'abandoned' WHEN 'parse_error' THEN 'parse_schema_review' END AS pause FROM a)
 """
 
 

@@ -54,9 +54,10 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as ended attempts of tasks."""
+    """Events as ended attempts of tasks: outcomes by type, some given up, some that couldn't be parsed, some that hadn't changed."""
     names = {"error": "temporary", "view": "ok", "click": "redirect", "signup": "not_found", "purchase": "blocked"}
-    outcome = F.lit(None).cast("string")
-    for k, v in names.items():
-        outcome = F.when(F.col("event_type") == k, v).otherwise(outcome)
+    outcome, k = F.lit(None).cast("string"), F.col("event_id") % 11
+    for name, told in names.items():
+        outcome = F.when(F.col("event_type") == name, told).otherwise(outcome)
+    outcome = F.when(k == 7, "abandoned").when(k == 8, "parse_error").when(k == 9, "not_modified").otherwise(outcome)
     return table(spark, sf_dir, "events").withColumn("outcome", outcome).withColumn("attempts", (F.col("event_id") % 4 + 1).cast("int"))
