@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import math
-import re
-from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewell.operators.json_schema import flaws
+
 _TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})$"
 
 
@@ -76,76 +77,33 @@ SCHEMA = _object(
 )
 
 
-def _kinds(value) -> tuple[str, ...]:
-    if value is None or isinstance(value, bool):
-        return ("null",) if value is None else ("boolean",)
-    if isinstance(value, int):
-        return ("integer", "number")
-    if isinstance(value, float):
-        return () if not math.isfinite(value) else ("integer", "number") if value.is_integer() else ("number",)
-    return ({str: "string", list: "array", dict: "object"}[type(value)],)
-
-
-def _is_time(value: str) -> bool:
-    try:
-        return datetime.fromisoformat(value.replace("Z", "+00:00")).tzinfo is not None
-    except ValueError:
-        return False
-
-
-def flaws(value, schema: dict = SCHEMA, path: str = "$") -> dict[str, None]:
-    """All ``path: flaw`` of a parsed JSON value, each once and in order; all items of an array have the path ``[]``."""
-    out: dict[str, None] = {}
-
-    def tell(ok: bool, flaw: str) -> None:
-        if not ok:
-            out[f"{path}: {flaw}"] = None
-
+def document(schema: dict = SCHEMA) -> dict:
+    """The contract as a JSON schema (``json_schema``)."""
     if "among" in schema:
-        tell(any(type(value) is type(x) and value == x for x in schema["among"]), "not among the values")
-        return out
-    kinds = _kinds(value)
-    if not set(kinds) & set(schema["kinds"]):
-        return {f"{path}: kind": None}
-    if isinstance(value, dict):
-        tell(schema["keys"].keys() <= value.keys(), "missing key")
-        tell(value.keys() <= schema["keys"].keys(), "unknown key")
-        for key, of in schema["keys"].items():
-            if key in value:
-                out |= flaws(value[key], of, f"{path}.{key}")
-    elif isinstance(value, (list, str)):
-        low, high = schema.get("length", (0, math.inf))
-        tell(low <= len(value) <= high, "length")
-        if isinstance(value, list):
-            for x in value:
-                out |= flaws(x, schema["items"], f"{path}[]")
-        else:
-            tell(re.search(schema.get("pattern", ""), value) is not None, "pattern")
-            tell("time" not in schema or _is_time(value), "time")
-    elif "number" in kinds:
-        low, high = schema["range"]
-        tell(low <= value <= high and value > schema.get("above", -math.inf), "range")
+        return {"enum": list(schema["among"])}
+    kinds = schema["kinds"]
+    out: dict = {"type": kinds[0] if len(kinds) == 1 else list(kinds)}
+    if "keys" in schema:
+        out |= {"properties": {k: document(v) for k, v in schema["keys"].items()}, "required": list(schema["keys"]), "additionalProperties": False}
+    if "items" in schema:
+        out["items"] = document(schema["items"])
+    if "length" in schema:
+        of = "Items" if "array" in kinds else "Length"
+        out |= {f"min{of}": schema["length"][0], f"max{of}": schema["length"][1]}
+    if "pattern" in schema:
+        out["pattern"] = schema["pattern"]
+    if "time" in schema:
+        out["format"] = "date-time"
+    if "range" in schema:
+        out |= {k: v for k, v in zip(("minimum", "maximum"), schema["range"]) if math.isfinite(v)}
+    if "above" in schema:
+        out["exclusiveMinimum"] = schema["above"]
     return out
 
 
-def _number(text: str) -> float | int:
-    x = float(text)
-    return int(x) if x.is_integer() else x
-
-
-def _checked(text: str | None) -> tuple[list[str], str | None]:
-    if text is None:
-        return [], None
-    try:
-        value = json.loads(text, parse_float=_number)
-        return list(flaws(value)), json.dumps(value, ensure_ascii=False)
-    except (ValueError, RecursionError):
-        return ["$: not read"], None
-
-
-def schema_checked(text: Column) -> Column:
-    """``flaws`` by the schema of a bundle's JSON, and its ``text`` with whole numbers written as such (1.0 is an integer)."""
-    return F.udf(_checked, "struct<flaws: array<string>, text: string>")(text)
+def schema_flaws(text: str, schema: dict | None = None) -> Column:
+    """``path: flaw`` of the column ``text``, a bundle's JSON, by its schema, or by another JSON schema (``json_schema.flaws``); none for null."""
+    return F.coalesce(flaws(text, schema or document()), F.array().cast("array<string>"))
 
 
 def _canonical(text: str | None) -> str | None:
@@ -158,9 +116,13 @@ def _canonical(text: str | None) -> str | None:
         return None
 
 
+def _canonicals(texts: pd.Series) -> pd.Series:
+    return texts.map(_canonical, na_action="ignore").astype(object)
+
+
 def canonical(text: Column) -> Column:
-    """A JSON text with keys in order at every depth and without blanks; numbers stay as they are written there."""
-    return F.udf(_canonical, "string")(text)
+    """A JSON text with keys in order at every depth and without blanks; numbers as Python writes them: 1.50 is 1.5, 1E5 is 100000.0."""
+    return F.pandas_udf(_canonicals, "string")(text)
 
 
 def bundle_sha256(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,14 +10,15 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import notation, paths, responses, timing
 from tracewell.functions.times import micros
-from tracewell.operators import asof, contract, examples, gate, ledger, manifest
-from tracewell.operators.bundle_schema import bundle_sha256
+from tracewell.operators import asof, contract, examples, gate, json_schema, ledger, manifest
+from tracewell.operators.bundle_schema import bundle_sha256, document
 from tracewell.plans.samples import BROKEN, SOUND
 from tracewell.plans.tables import attempts, claims, lines, notations, order_entries, order_records, table
 from tracewell.session import scratch
 from tracewell.sources import readers
 from tracewell.sources.readers import checked_blobs
 from tracewell.streaming import ledger as stream
+from tracewell.streaming import wakeups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -496,51 +498,101 @@ def ledger_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _gate_sql(p: ledger.Policy) -> str:
     """Made-up reviews, tasks, claims and ends of each user, folded by recursion; a token is the last claim's."""
     day, us = 86_400_000_000, 1_000_000
-    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_id % 10 AS k, epoch_us(ts) - CASE WHEN event_id % 7 = 0 THEN 3600000000 ELSE 0 END AS "at", row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
-c AS (SELECT *, max(CASE WHEN k IN (5, 6) THEN rn END) OVER (PARTITION BY user_id ORDER BY rn) AS token FROM e),
+    shift, hour = 9 * 3600 * us, 3600 * us
+    opening = f"""((x + {shift}) // {day} + (((x + {shift}) % {day}) // {hour} >= {p.opens})::bigint) * {day} - {shift} + {p.opens * hour}::bigint"""
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_id % 10 AS k, event_id // 10 AS d, event_id % 3 AS priority, epoch_us(ts) AS told, epoch_us(ts) - CASE WHEN event_id % 7 = 0 THEN {hour} ELSE 0 END AS "at",
+  row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
+c AS (SELECT *, CASE WHEN k < 2 THEN 'approve' WHEN k = 2 THEN 'pause' WHEN k = 3 THEN 'resume' WHEN k = 4 THEN 'enqueue' WHEN k < 7 THEN 'claim' WHEN k = 9 AND d % 4 = 0 THEN 'abandon' ELSE 'finish' END AS action,
+  ['ok', 'temporary', 'not_found', 'temporary', 'redirect', 'not_modified', 'parse_error', 'blocked'][d % 8 + 1] AS outcome, CASE WHEN k = 4 AND d % 2 = 1 THEN "at" + (event_id % 5) * {hour} ELSE -1 END AS retry_at,
+  coalesce(max(CASE WHEN k IN (5, 6) THEN rn END) OVER (PARTITION BY user_id ORDER BY rn), -1) AS token, event_id % 13 = 0 AS bare, event_id % 17 = 0 AS blank FROM e),
 f AS (
-  SELECT DISTINCT user_id, 0::bigint AS rn, -1::bigint AS event_id, '' AS state, false AS approved, false AS paused, 0::bigint AS active, 0::bigint AS clock, 0::bigint AS next_at, 0::bigint AS used, 0::bigint AS ready, []::bigint[] AS recent FROM c
+  SELECT DISTINCT user_id, 0::bigint AS rn, -1::bigint AS event_id, 0::bigint AS "at", '' AS action, '' AS state, NULL::varchar AS reason, NULL::bigint AS task_id, NULL::bigint AS told_next, NULL::bigint AS told_used, NULL::bigint AS ready_at,
+    false AS approved, NULL::varchar AS paused, 0::bigint AS active, 0::bigint AS a_task, 0::bigint AS a_priority, 0::bigint AS a_n, 0::bigint AS clock, 0::bigint AS next_at, 0::bigint AS used,
+    []::struct(r bigint, p bigint, id bigint, n bigint)[] AS tasks, []::bigint[] AS recent FROM c
   UNION ALL
-  SELECT user_id, rn, event_id, state, approved OR (state = 'NOTED' AND k < 2), CASE WHEN state = 'NOTED' AND k > 1 THEN k = 2 ELSE paused OR state = 'BLOCKED' END,
-    CASE WHEN state = 'PERMIT' THEN rn WHEN state IN ('DONE', 'BLOCKED') THEN 0 ELSE active END, CASE WHEN state IN ('REFUSED', 'ENQUEUED') THEN clock ELSE "at" END,
-    CASE WHEN state IN ('DONE', 'BLOCKED') THEN greatest(next_at, "at" + CASE WHEN used >= {p.batch} THEN {p.rest_s * us}::bigint ELSE {p.gap_s * us}::bigint END) ELSE next_at END,
-    CASE WHEN state = 'PERMIT' THEN used + 1 WHEN state IN ('DONE', 'BLOCKED') AND used >= {p.batch} THEN 0 ELSE used END,
-    ready + CASE state WHEN 'ENQUEUED' THEN 1 WHEN 'PERMIT' THEN -1 ELSE 0 END, CASE WHEN state = 'PERMIT' THEN list_prepend("at", recent) ELSE recent END
-  FROM (SELECT c.*, f.approved, f.paused, f.active, f.clock, f.next_at, f.used, f.ready, f.recent, CASE
-      WHEN c.k = 4 THEN 'ENQUEUED'
-      WHEN c."at" < f.clock THEN 'REFUSED'
-      WHEN c.k < 2 THEN 'NOTED'
-      WHEN c.k < 4 THEN CASE WHEN f.active > 0 THEN 'REFUSED' ELSE 'NOTED' END
-      WHEN c.k > 6 THEN CASE WHEN f.active = 0 OR f.active <> coalesce(c.token, -1) THEN 'REFUSED' WHEN c.event_id % 3 = 0 THEN 'BLOCKED' ELSE 'DONE' END
-      WHEN NOT f.approved THEN 'SOURCE_REVIEW_REQUIRED'
-      WHEN f.paused THEN 'PAUSED'
-      WHEN f.active > 0 THEN 'IN_FLIGHT_OR_UNCERTAIN'
-      WHEN ((c."at" + {9 * 3600 * us}::bigint) % {day}::bigint) // {3600 * us}::bigint NOT BETWEEN {p.opens} AND {p.closes - 1} THEN 'OUTSIDE_WINDOW'
-      WHEN c."at" < f.next_at THEN 'WAIT'
-      WHEN len(list_filter(f.recent, lambda x: (x + {9 * 3600 * us}::bigint) // {day}::bigint = (c.at + {9 * 3600 * us}::bigint) // {day}::bigint)) >= {p.daily} THEN 'DAILY_LIMIT'
-      WHEN len(list_filter(f.recent, lambda x: x > c."at" - {day}::bigint)) >= {p.rolling} THEN 'ROLLING24_LIMIT'
-      WHEN f.ready = 0 THEN 'NO_READY_TASK'
+  SELECT user_id, rn, event_id, "at", action, state, CASE WHEN state = 'REFUSED' THEN refused WHEN state = 'PAUSED' THEN paused WHEN ended THEN pause END,
+    CASE WHEN state = 'ENQUEUED' THEN event_id WHEN state = 'PERMIT' THEN pick.id WHEN ended THEN a_task END,
+    CASE WHEN state = 'OUTSIDE_WINDOW' THEN greatest(next_at, {opening.replace("x +", '"at" +')}) WHEN state = 'WAIT' THEN next_at WHEN state = 'ROLLING24_LIMIT' THEN list_min(day_before) + {day}
+      WHEN state = 'NO_READY_TASK' THEN list_min(list_transform(tasks, lambda t: t.r)) WHEN ended THEN after END,
+    CASE WHEN state = 'DAILY_LIMIT' THEN len(today) END, CASE WHEN state = 'ENQUEUED' AND retry_at > "at" THEN retry_at WHEN state = 'PENDING' THEN again END,
+    approved OR (state = 'NOTED' AND action = 'approve'), CASE WHEN state = 'NOTED' AND action = 'pause' THEN 'n' WHEN state = 'NOTED' AND action = 'resume' THEN NULL WHEN ended THEN coalesce(pause, paused) ELSE paused END,
+    CASE WHEN state = 'PERMIT' THEN rn WHEN ended THEN 0 ELSE active END, CASE WHEN state = 'PERMIT' THEN pick.id ELSE a_task END, CASE WHEN state = 'PERMIT' THEN -pick.p ELSE a_priority END,
+    CASE WHEN state = 'PERMIT' THEN pick.n + 1 ELSE a_n END, CASE WHEN state IN ('REFUSED', 'ENQUEUED') THEN clock ELSE "at" END, CASE WHEN ended THEN after ELSE next_at END,
+    CASE WHEN state = 'PERMIT' THEN used + 1 WHEN ended AND used >= {p.batch} THEN 0 ELSE used END,
+    CASE state WHEN 'ENQUEUED' THEN list_append(tasks, {{'r': greatest(retry_at, 0), 'p': priority, 'id': event_id, 'n': 0}}) WHEN 'PERMIT' THEN list_filter(tasks, lambda t: t.id <> pick.id)
+      WHEN 'PENDING' THEN list_append(tasks, {{'r': again, 'p': a_priority, 'id': a_task, 'n': a_n}}) ELSE tasks END,
+    CASE WHEN state = 'PERMIT' THEN list_prepend("at", recent) ELSE recent END
+  FROM (SELECT *, action IN ('finish', 'abandon') AND state <> 'REFUSED' AS ended, CASE WHEN oc = 'temporary' THEN greatest(first_next, "at" + {p.rest_s * us}::bigint) ELSE first_next END AS after,
+      greatest(first_next, "at" + CASE WHEN a_n = 1 THEN 6 ELSE 24 END * {hour}) AS again FROM (
+    SELECT *, CASE oc WHEN 'blocked' THEN 'blocked' WHEN 'abandoned' THEN 'abandoned' WHEN 'parse_error' THEN 'parse_schema_review' END AS pause, CASE
+      WHEN action = 'enqueue' THEN 'ENQUEUED'
+      WHEN refused IS NOT NULL THEN 'REFUSED'
+      WHEN action IN ('approve', 'pause', 'resume') THEN 'NOTED'
+      WHEN action IN ('finish', 'abandon') THEN CASE oc WHEN 'ok' THEN 'DONE' WHEN 'not_modified' THEN 'DONE' WHEN 'not_found' THEN 'NOT_FOUND' WHEN 'redirect' THEN 'REDIRECT_REVIEW' WHEN 'blocked' THEN 'BLOCKED'
+        WHEN 'abandoned' THEN 'UNCERTAIN' WHEN 'parse_error' THEN 'QUARANTINED' ELSE CASE WHEN a_n >= {p.attempts} THEN 'FAILED' ELSE 'PENDING' END END
+      WHEN NOT approved THEN 'SOURCE_REVIEW_REQUIRED'
+      WHEN paused IS NOT NULL THEN 'PAUSED'
+      WHEN active > 0 THEN 'IN_FLIGHT_OR_UNCERTAIN'
+      WHEN (("at" + {shift}) % {day}) // {hour} NOT BETWEEN {p.opens} AND {p.closes - 1} THEN 'OUTSIDE_WINDOW'
+      WHEN "at" < next_at THEN 'WAIT'
+      WHEN len(today) >= {p.daily} THEN 'DAILY_LIMIT'
+      WHEN len(day_before) >= {p.rolling} THEN 'ROLLING24_LIMIT'
+      WHEN pick IS NULL THEN 'NO_READY_TASK'
       ELSE 'PERMIT' END AS state
-    FROM f JOIN c ON c.user_id = f.user_id AND c.rn = f.rn + 1))
-SELECT user_id AS key, event_id, state FROM f WHERE rn > 0"""
+    FROM (
+      SELECT c.*, f.approved, f.paused, f.active, f.a_task, f.a_priority, f.a_n, f.clock, f.next_at, f.used, f.tasks, f.recent, CASE c.action WHEN 'abandon' THEN 'abandoned' ELSE c.outcome END AS oc,
+        greatest(f.next_at, c."at" + CASE WHEN f.used >= {p.batch} THEN {p.rest_s * us}::bigint ELSE {p.gap_s * us}::bigint END) AS first_next,
+        list_filter(f.recent, lambda x: (x + {shift}) // {day} = (c.at + {shift}) // {day}) AS today, list_filter(f.recent, lambda x: x > c."at" - {day}) AS day_before,
+        list_sort(list_transform(list_filter(f.tasks, lambda t: t.r <= c."at"), lambda t: {{'p': -t.p, 'id': t.id, 'n': t.n}}))[1] AS pick,
+        CASE WHEN c.action IN ('approve', 'pause', 'resume', 'abandon') AND c.blank THEN 'note' WHEN c.action = 'finish' AND c.outcome IN ('ok', 'not_modified', 'parse_error') AND c.bare THEN 'raw_ref'
+          WHEN c."at" < f.clock THEN 'clock' WHEN c.action IN ('pause', 'resume') AND f.active > 0 THEN 'active' WHEN c.action IN ('finish', 'abandon') AND (f.active = 0 OR f.active <> c.token) THEN 'token' END AS refused
+      FROM f JOIN c ON c.user_id = f.user_id AND c.rn = f.rn + 1))))
+"""
 
 
 def gate_events(events: DataFrame) -> DataFrame:
-    """Made-up events of a gate: every seventh tells a time an hour early."""
-    k = F.col("event_id") % 10
-    action = F.when(k < 2, "approve").when(k == 2, "pause").when(k == 3, "resume").when(k == 4, "enqueue").when(k < 7, "claim").otherwise("finish")
-    late = F.when(F.col("event_id") % 7 == 0, F.make_dt_interval(hours=F.lit(1))).otherwise(F.make_dt_interval(hours=F.lit(0)))
+    """Made-up events of a gate, with all actions and outcomes: every seventh tells a time an hour early, some notes and references are missing, half of the tasks wait."""
+    k, d = F.col("event_id") % 10, F.floor(F.col("event_id") / 10)
+    action = F.when(k < 2, "approve").when(k == 2, "pause").when(k == 3, "resume").when(k == 4, "enqueue").when(k < 7, "claim").when((k == 9) & (d % 4 == 0), "abandon").otherwise("finish")
+    hours = lambda n: F.make_dt_interval(hours=n)
+    ts = F.col("ts") - hours(F.when(F.col("event_id") % 7 == 0, 1).otherwise(0))
     so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    outcome = F.when(F.col("event_id") % 3 == 0, "blocked").otherwise("ok")
+    outcomes_ = ("ok", "temporary", "not_found", "temporary", "redirect", "not_modified", "parse_error", "blocked")
     return events.select(
-        F.col("user_id").alias("key"), "event_id", micros(F.col("ts")).alias("seq"), (F.col("ts") - late).alias("ts"), action.alias("action"), F.col("event_id").alias("task_id"),
-        F.last(F.when(action == "claim", F.col("event_id")), True).over(so_far).alias("token"), outcome.alias("outcome"), F.lit("r").alias("raw_ref"), F.lit("n").alias("note"),
+        F.col("user_id").alias("key"), "event_id", micros(F.col("ts")).alias("seq"), ts.alias("ts"), action.alias("action"), F.col("event_id").alias("task_id"), (F.col("event_id") % 3).alias("priority"),
+        F.last(F.when(action == "claim", F.col("event_id")), True).over(so_far).alias("token"), F.get(F.array(*[F.lit(o) for o in outcomes_]), (d % 8).cast("int")).alias("outcome"),
+        F.when(F.col("event_id") % 13 != 0, "r").alias("raw_ref"), F.when(F.col("event_id") % 17 == 0, " ").otherwise("n").alias("note"),
+        F.when((k == 4) & (d % 2 == 1), ts + hours((F.col("event_id") % 5).cast("int"))).alias("retry_after"),
     )
 
 
-@query("q44_gate_under_review", _gate_sql(NARROW))
+@query("q44_gate_under_review", _gate_sql(NARROW) + "SELECT user_id AS key, event_id, state, reason, task_id, told_next AS next_at, told_used AS used FROM f WHERE rn > 0")
 def gate_under_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.gated(gate_events(table(spark, sf_dir, "events")), NARROW).select("key", "event_id", "state")
+    return gate.gated(gate_events(table(spark, sf_dir, "events")), NARROW).select("key", "event_id", "state", "reason", "task_id", "next_at", "used")
+
+
+_OPENING = """CASE WHEN ((x + 32400000000) % 86400000000) // 3600000000 BETWEEN {o} AND {c} - 1 THEN x ELSE ((x + 32400000000) // 86400000000 + (((x + 32400000000) % 86400000000) // 3600000000 >= {o})::bigint) * 86400000000 - 32400000000 + {o} * 3600000000::bigint END"""
+
+
+@query(
+    "q45_wakeups_by_timers",
+    _gate_sql(NARROW)
+    + f""", w AS (SELECT max(epoch_us(ts) - CASE WHEN event_id % 7 = 0 THEN 3600000000 ELSE 0 END) // 1000 - 7200000 AS ms FROM events),
+n AS (SELECT user_id AS key, NULL::bigint AS event_id, {_OPENING.format(o=NARROW.opens, c=NARROW.closes)} AS "at", 'timer' AS action, 'OPEN' AS state, NULL::bigint AS task_id
+  FROM (SELECT user_id, told_next AS x FROM f WHERE rn > 0 AND action IN ('finish', 'abandon') AND state <> 'REFUSED')
+  UNION ALL SELECT user_id, NULL, ready_at, 'timer', 'READY', task_id FROM f WHERE ready_at IS NOT NULL)
+SELECT n.* FROM n, w WHERE ("at" + 999) // 1000 <= ms UNION ALL SELECT user_id, event_id, "at", action, state, task_id FROM f WHERE rn > 0""",
+)
+def wakeups_by_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over a stream in two parts, with tasks that become ready and gates that reopen told by timers."""
+    own, place = wakeups.session(spark), scratch(spark, "wakeups")
+    events = gate_events(table(spark, sf_dir, "events"))
+    middle = events.selectExpr("percentile_approx(seq, 0.5) AS m").first()["m"]
+    for part in (F.col("seq") < (middle or 0), F.col("seq") >= (middle or 0)):  # files are read in the order in which they came
+        events.filter(part).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    out = wakeups.woken(own.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in"), NARROW)
+    out.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start(f"{place}/out").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/out").select("key", "event_id", "at", "action", "state", "task_id")
 
 
 # Responses, pages and files
@@ -666,12 +718,54 @@ def streaming_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT c_custkey, CASE c_custkey % {len(BROKEN) + 1} " + " ".join(f"WHEN {i + 1} THEN '{flaws}'" for i, (_, _, flaws) in enumerate(BROKEN)) + " ELSE '' END AS violations FROM customer",
 )
 def bundle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bundle for each customer, all but one of a dozen broken in one place each."""
+    """A bundle for each customer, all but one of a dozen broken in one place each, by the contract's schema as a file."""
     text, k = F.lit(SOUND), F.col("c_custkey") % (len(BROKEN) + 1)
     for i, (old, new, _) in enumerate(BROKEN):
         text = F.when(k == i + 1, F.replace(F.lit(SOUND), F.lit(old), F.lit(new))).otherwise(text)
     rows = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
-    return readers.told(rows).select("c_custkey", F.array_join("violations", ",").alias("violations"))
+    return readers.told(rows, _schema_file(spark, document())).select("c_custkey", F.array_join("violations", ",").alias("violations"))
+
+
+def _schema_file(spark: SparkSession, schema: dict) -> dict:
+    """What a file has of a schema."""
+    place = scratch(spark, "schema")
+    spark.createDataFrame([(json.dumps(schema, indent=1),)], "value string").coalesce(1).write.text(place)
+    return json_schema.read(spark, place)
+
+
+#: A record with a tree that refers to itself.
+TREE = {
+    "$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "required": ["id", "k", "tree"], "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer", "minimum": 0}, "k": {"type": "number", "exclusiveMinimum": 0, "maximum": 60}, "at": {"type": "string", "format": "date-time"},
+        "name": {"type": ["string", "null"], "minLength": 2, "maxLength": 6, "pattern": "^[a-z]+$"}, "tree": {"anyOf": [{"$ref": "#/$defs/tree"}, {"type": "null"}]},
+    },
+    "$defs": {"tree": {"type": "object", "required": ["v"], "properties": {"v": {"$ref": "#/$defs/v"}, "kids": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"$ref": "#/$defs/tree"}}}}, "v": {"type": ["integer", "boolean"]}},
+}
+
+
+@query(
+    "q46_schema_compiled",
+    """WITH e AS (SELECT event_id, event_type AS name, event_id % 9 AS c, (props ->> 'k')::int AS k FROM events)
+SELECT event_id, concat_ws(',', CASE WHEN c = 2 THEN '$: missing key' END, CASE WHEN c = 3 THEN '$: unknown key' END, CASE WHEN NOT k BETWEEN 1 AND 60 THEN '$.k: range' END, CASE WHEN c = 8 THEN '$.at: time' END,
+  CASE WHEN length(name) NOT BETWEEN 2 AND 6 THEN '$.name: length' END, CASE WHEN c = 1 THEN '$.tree.kids[].v: kind' WHEN c = 5 THEN '$.tree: kind' WHEN c = 6 THEN '$.tree.kids[].kids[].kids: length' END,
+  CASE WHEN c = 7 THEN '$.tree.kids: length' END) AS flaws FROM e""",
+)
+def schema_compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON made of events' properties, by a schema file with references, options and recursion."""
+    c = F.col("event_id") % 9
+    tree = (
+        F.when(c == 1, '{"v": 1, "kids": [{"v": true}, {"v": "x"}]}').when(c == 4, "null").when(c == 5, "[7]")
+        .when(c == 6, '{"v": 1, "kids": [{"v": 2, "kids": [{"v": 3, "kids": []}]}]}').when(c == 7, '{"v": 1.0, "kids": [{"v": 1}, {"v": 2}, {"v": 3}]}').otherwise('{"v": 1, "kids": [{"v": 2.0}], "more": 1}')
+    )
+    k = F.get_json_object("props", "$.k")
+    at = F.when(c == 8, "2024-02-30T00:00:00Z").otherwise("2024-02-29T00:00:00+09:00")
+    text = F.concat(
+        F.lit('{"id": '), F.col("event_id"), F.lit(', "k": '), k, F.lit(', "at": "'), at, F.lit('", "name": "'), F.col("event_type"), F.lit('"'),
+        F.when(c == 2, "").otherwise(F.concat(F.lit(', "tree": '), tree)), F.when(c == 3, ', "more": {}').otherwise(""), F.lit("}"),
+    )
+    flaws = json_schema.flaws("text", _schema_file(spark, TREE), depth=8)
+    return table(spark, sf_dir, "events").select("event_id", text.alias("text")).select("event_id", F.array_join(flaws, ",").alias("flaws"))
 
 
 @query(

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewell.operators.bundle_schema import bundle_sha256, schema_checked
+from tracewell.operators.bundle_schema import bundle_sha256, schema_flaws
 from tracewell.operators.contract import BUNDLE, BUNDLE_BYTES, validated
 
 
-def bundles(spark: SparkSession, path: str, *, schema: bool = False) -> DataFrame:
+def _columns(text: Column) -> Column:
+    """A bundle's row from its JSON: numbers like 2.0 are whole, and what doesn't fit the row at all is read as far as it does."""
+    whole = F.try_variant_get(F.try_parse_json(text), "$", T.StructType.fromDDL(BUNDLE).simpleString())
+    return F.coalesce(whole, F.from_json(text, BUNDLE, {"mode": "PERMISSIVE"}))
+
+
+def bundles(spark: SparkSession, path: str, *, schema: bool | dict = False) -> DataFrame:
     """Bundles in JSON files, one each: path, state, the bundle's columns and ``violations``.
 
     state: ``too_large``, ``not_utf8``, ``not_json`` or ``read``; columns are null unless it is read.
-    ``schema``: violations are those of the schema (by raw JSON), and those between values where it has none;
-    without it only those between values.
+    ``schema``: violations are those of the schema (by raw JSON; another one's than the contract's, if it is given: ``json_schema.read``),
+    and those between values where it has none; without it only those between values.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
     text = F.when(F.col("length") <= BUNDLE_BYTES, F.try_validate_utf8(F.col("content")))
-    parsed = F.from_json("text", BUNDLE, {"mode": "PERMISSIVE"})
     state = (
         F.when(F.col("length") > BUNDLE_BYTES, "too_large")
         .when(F.col("text").isNull(), "not_utf8")
@@ -27,20 +33,21 @@ def bundles(spark: SparkSession, path: str, *, schema: bool = False) -> DataFram
     )
     rows = files.withColumn("text", text).withColumn("state", state).withColumn("flaws", F.array().cast("array<string>"))
     if schema:
-        rows = rows.withColumn("_s", schema_checked(F.when(F.col("state") == "read", F.col("text"))))
-        rows = rows.withColumn("flaws", F.col("_s.flaws")).withColumn("text", F.coalesce("_s.text", "text"))
-    rows = validated(rows.select("path", "state", "flaws", parsed.alias("b")).select("path", "state", "flaws", "b.*"))
+        rows = rows.withColumn("_read", F.when(F.col("state") == "read", F.col("text")))
+        rows = rows.withColumn("flaws", schema_flaws("_read", None if schema is True else schema))
+    rows = validated(rows.select("path", "state", "flaws", _columns(F.col("text")).alias("b")).select("path", "state", "flaws", "b.*"))
     told = F.when(F.size("flaws") > 0, F.col("flaws")).otherwise(F.col("violations"))
     return rows.withColumn("violations", F.when(F.col("state") == "read", told)).drop("flaws")
 
 
-def told(rows: DataFrame) -> DataFrame:
-    """``rows(text, ...)`` of bundles' JSON with their columns, ``sha256`` and ``violations``, of the schema or else between values."""
-    (s, b) = ("_s", "_b")
-    rows = rows.withColumn(s, schema_checked(F.col("text"))).withColumn("sha256", bundle_sha256(F.col("text")))
-    kept = [c for c in rows.columns if c not in (s, "text")]
-    rows = validated(rows.withColumn(b, F.from_json(f"{s}.text", BUNDLE)).select(*kept, F.col(f"{s}.flaws").alias("flaws"), f"{b}.*"))
-    return rows.withColumn("violations", F.when(F.size("flaws") > 0, F.col("flaws")).otherwise(F.col("violations"))).drop("flaws")
+def told(rows: DataFrame, schema: dict | None = None) -> DataFrame:
+    """``rows(text, ...)`` of bundles' JSON with their columns, ``violations`` of the schema or else between values, and ``sha256`` of those that have none."""
+    (s, b, t) = ("_s", "_b", "_text")
+    rows = rows.withColumn(s, schema_flaws("text", schema)).withColumnRenamed("text", t)
+    kept = [c for c in rows.columns if c not in (s, t)]
+    rows = validated(rows.withColumn(b, _columns(F.col(t))).select(*kept, t, F.col(s).alias("flaws"), f"{b}.*"))
+    rows = rows.withColumn("violations", F.when(F.size("flaws") > 0, F.col("flaws")).otherwise(F.col("violations"))).drop("flaws")
+    return rows.withColumn("sha256", bundle_sha256(F.when(F.size("violations") == 0, F.col(t)))).drop(t)
 
 
 def responses(spark: SparkSession, path: str, raw_ref: str | None = None) -> DataFrame:

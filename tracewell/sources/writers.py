@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.bundle_schema import schema_checked
+from tracewell.operators.bundle_schema import schema_flaws
 from tracewell.operators.contract import violations
 
 TOKEN = r"^[A-Za-z0-9_-]+\z"
@@ -18,11 +18,12 @@ def write_bundles(bundles: DataFrame, path: str, *, schema: bool = False) -> Non
 
     If one breaks a rule (with ``schema``, one of the schema's too) or the write fails, what was there stays.
     """
-    wrong = violations()
+    rows, wrong = bundles, violations()
     if schema:
-        json = F.to_json(F.struct(*bundles.columns), {"ignoreNullFields": "false"})
-        wrong = F.concat(schema_checked(json)["flaws"], wrong)
-    checked = bundles.filter(F.when(F.size(wrong) > 0, F.raise_error(F.array_join(wrong, ", ")).cast("boolean")).otherwise(F.lit(True)))
+        rows = rows.withColumn("_json", F.to_json(F.struct(*bundles.columns), {"ignoreNullFields": "false"}))
+        wrong = F.concat(schema_flaws("_json"), wrong)
+    rows = rows.withColumn("_wrong", wrong)
+    checked = rows.filter(F.when(F.size("_wrong") > 0, F.raise_error(F.array_join("_wrong", ", ")).cast("boolean")).otherwise(F.lit(True))).select(*bundles.columns)
     new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     checked.write.option("ignoreNullFields", "false").json(new)
     context = bundles.sparkSession.sparkContext

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,17 +39,26 @@ def decided(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(claims(policy), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+#: A key's gate as typed state: tasks are (ready_at, -priority, task, attempts) and (-priority, task, attempts).
+GATE = "approved boolean, paused string, active array<bigint>, clock bigint, next_at bigint, used bigint, recent array<bigint>, waiting array<array<bigint>>, ready array<array<bigint>>"
+
+
 def gated(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """``gate.gated`` over a stream: each key's gate is its state, as JSON; a micro-batch's events are taken by ``seq``."""
+    """``gate.gated`` over a stream: each key's gate is its state; a micro-batch's events are taken by ``seq``.
+
+    A key's events of a micro-batch are in memory together: bound it by ``maxFilesPerTrigger``. ``wakeups.woken`` keeps each task apart.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = gate.Gate(**json.loads(state.get[0])) if state.exists else gate.Gate()
+        held = gate.Gate()
+        if state.exists:
+            held = gate.Gate(*[[list(x) for x in v] if n in ("waiting", "ready") else list(v) if isinstance(v, (list, tuple)) else v for n, v in zip(vars(held), state.get)])
         rows = gate.records(pd.concat(list(batches)).sort_values(["seq", "event_id"], kind="stable"))
         out = [gate.taken(held, policy, e) for e in rows]
-        state.update((json.dumps(asdict(held)),))
+        state.update(tuple(vars(held).values()))
         yield gate.frame(out)
 
-    return gate.prepared(events).groupBy("key").applyInPandasWithState(run, gate.OUT, "gate string", "append", GroupStateTimeout.NoTimeout)
+    return gate.prepared(events).groupBy("key").applyInPandasWithState(run, gate.OUT, GATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def daily_counts(events: DataFrame, late: str = "1 hour", hours: int = LEDGER_HOURS) -> DataFrame:
