@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 
 from tests.llm.data import frame, messy
 from tracewell.llm import collocations as co
@@ -74,13 +75,14 @@ def test_equal_hashes_are_told_apart(monkeypatch):
     """The sketch may take phrases for each other, the second pass doesn't."""
     monkeypatch.setattr(co, "mix", lambda h: np.zeros_like(h))
     words = b"a b c d a b x d a b c e"
-    parts = co.pd.DataFrame({"part": [0], "lang": ["en"], "words": [words]})
+    parts = co.pd.DataFrame({"part": [0], "lang": ["en"], "words": [zstandard.compress(words)]})
     asked = co.pd.concat(co._sketched(1 << 12, 1)(iter([parts])))
     answers = co.pd.concat([co._merged(1)(g) for _, g in asked.groupby("shard")])
-    got = co._counted(1 << 12)(parts, answers)
+    counted = co._counted(1 << 12, 3)(parts, answers)
+    got = co.pd.concat([co._summed(1)(g) for _, g in counted.groupby("bucket")])
     w = words.decode().split()
     want = Counter((k, " ".join(w[i : i + k])) for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
-    assert Counter({(k, p): n for k, p, n in zip(got["size"], got["phrase"], got["n"])}) == want
+    assert Counter({(k, p): n for k, p, n in zip(got["size"], got["phrase"], got["a"])}) == want
 
 
 def test_empty_table(spark):

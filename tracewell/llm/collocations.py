@@ -16,10 +16,10 @@ from tracewell.llm.common import batches, cut, discard, first_ranked, mix, writt
 
 #: Words of a phrase at most.
 LONGEST = 4
-#: Bytes of text that a task counts at a time.
-PART_BYTES = 6 << 20
+#: Bytes of text that a task counts at a time, and languages of which it gathers so much.
+PART_BYTES, HELD = 8 << 20, 3
 #: Rows of the sketch; phrases (as they occur) for each cell of a row, about; cells of a shard of the sketch.
-ROWS, LOAD, SHARD = 2, 12, 1 << 20
+ROWS, LOAD, SHARD = 2, 16, 1 << 20
 #: Stands between pieces: no byte of UTF-8.
 BREAK = b"\xff"
 
@@ -42,28 +42,30 @@ def pieces(text: str, most: int) -> Iterator[bytes]:
 
 
 def _parts(most: int):
-    """Texts gathered into parts of about ``most`` bytes of one language, as words and breaks with single blanks."""
+    """Texts gathered into parts of about ``most`` bytes of one language, as words and breaks with single blanks, compressed."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[bytes]] = {}
-        n_words, size, n = {}, 0, TaskContext.get().partitionId() << 32
+        size: dict[str, int] = {}
+        n = TaskContext.get().partitionId() << 32
         for pdf in it:
             for lang, text in zip(pdf["lang"], pdf["text"]):
                 for raw in pieces(text, most):
-                    ws = raw.replace(BREAK, b" " + BREAK + b" ").split()
-                    held.setdefault(lang, []).append(b" ".join(ws))
-                    n_words[lang] = n_words.get(lang, 0) + len(ws) - ws.count(BREAK)
-                    size += len(raw)
-                    if size > most:
-                        yield flushed(held, n_words, n)
-                        n, size = n + len(held), 0
-                        held, n_words = {}, {}
-        if held:
-            yield flushed(held, n_words, n)
-
-    def flushed(held: dict[str, list[bytes]], n_words: dict[str, int], n: int) -> pd.DataFrame:
-        out = [(n + k, lang, n_words[lang], (b" " + BREAK + b" ").join(texts)) for k, (lang, texts) in enumerate(held.items())]
-        return pd.DataFrame(out, columns=["part", "lang", "n_words", "words"])
+                    held.setdefault(lang, []).append(raw)
+                    size[lang] = size.get(lang, 0) + len(raw) + 1
+                    full = lang if size[lang] > most else max(size, key=size.get) if sum(size.values()) > HELD * most else None
+                    if full is not None:
+                        yield packed(n, full, held.pop(full))
+                        del size[full]
+                        n += 1
+        for lang, texts in held.items():
+            yield packed(n, lang, texts)
+            n += 1
+
+    def packed(n: int, lang: str, texts: list[bytes]) -> pd.DataFrame:
+        ws = BREAK.join(texts).replace(BREAK, b" " + BREAK + b" ").split()
+        row = (n, lang, len(ws) - ws.count(BREAK), zstandard.compress(b" ".join(ws), 3))
+        return pd.DataFrame([row], columns=["part", "lang", "n_words", "words"])
 
     return run
 
@@ -78,7 +80,7 @@ class Vocabulary(dict):
 
 def numbered(words: bytes) -> tuple[list[bytes], np.ndarray]:
     """The words and breaks of a part, and their numbers."""
-    ws, known = words.split(), Vocabulary({BREAK: 0})
+    ws, known = zstandard.decompress(words).split(), Vocabulary({BREAK: 0})
     return ws, np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
 
 
@@ -101,7 +103,7 @@ def cells(h: np.ndarray, row: int, width: int) -> np.ndarray:
     """The cell of each hash in a row of the sketch; a row's cells come after those of the rows before."""
     for _ in range(row):
         h = mix(h + _ODD)
-    return (h & np.uint64(width - 1)) + np.uint64(row * width)
+    return h % np.uint64(width) + np.uint64(row * width)
 
 
 def _told(numbers: np.ndarray) -> bytes:
@@ -153,14 +155,15 @@ def _merged(least: int):
     return run
 
 
-def _counted(width: int):
-    """Of a part the phrases whose cells are all hot, with exact counts."""
+def _counted(width: int, buckets: int):
+    """Of a part the phrases whose cells are all hot, with exact counts, dealt to buckets by their hashes, in order and compressed."""
 
     def run(parts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        lang, size_of, texts, n = [], [], [], []
+        out = []
         hot = [np.cumsum(_read(raw), dtype=np.int64) + shard * SHARD for shard, raw in zip(answers["shard"], answers["hot"])]
         hot = np.sort(np.concatenate(hot)).astype(np.uint64) if hot else np.empty(0, np.uint64)
         for r in parts.itertuples():
+            texts, n, to = [], [], []
             ws, ids = numbered(r.words)
             pairs = np.unique((ids[:-1] << 32) | ids[1:], return_inverse=True)[1]
             for size, at, h in phrases(ws, ids, r.lang):
@@ -170,11 +173,30 @@ def _counted(width: int):
                 # whole words by their numbers, so that equal hashes aren't taken for equal phrases
                 key = ids[at] if size == 1 else pairs[at] if size == 2 else (pairs[at] << 32) | (ids[at + 2] if size == 3 else pairs[at + 2])
                 _, first, times = np.unique(key, return_index=True, return_counts=True)
-                texts += [b" ".join(ws[i : i + size]).decode("utf-8", "surrogatepass") for i in at[first].tolist()]
+                texts += [b" ".join(ws[i : i + size]) for i in at[first].tolist()]
                 n += times.tolist()
-                size_of += [size] * len(times)
-                lang += [r.lang] * len(times)
-        return pd.DataFrame({"lang": lang, "size": size_of, "phrase": texts, "n": n}, dtype=object)
+                to.append((h[first] >> np.uint64(32)) % np.uint64(buckets))
+            to = np.concatenate(to).astype(np.int64) if to else np.empty(0, np.int64)
+            order = np.argsort(to, kind="stable")
+            bucket, begin = np.unique(to[order], return_index=True)
+            for k, mine in enumerate(np.split(order, begin[1:]) if len(order) else []):
+                mine = sorted(mine.tolist(), key=texts.__getitem__)
+                out.append((r.lang, int(bucket[k]), zstandard.compress(b"\n".join([texts[i] for i in mine]), 3), _told(np.array([n[i] for i in mine]))))
+        return pd.DataFrame(out, columns=["lang", "bucket", "phrases", "counts"], dtype=object)
+
+    return run
+
+
+def _summed(least: int):
+    """A bucket's phrases summed over all parts; those that occur ``least`` times."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        total: dict[bytes, int] = {}
+        for raw, counts in zip(pdf["phrases"], pdf["counts"]):
+            for p, n in zip(zstandard.decompress(raw).split(b"\n"), _read(counts).tolist()):
+                total[p] = total.get(p, 0) + n
+        out = [(pdf["lang"].iloc[0], p.count(b" ") + 1, p.decode("utf-8", "surrogatepass"), n) for p, n in total.items() if n >= least]
+        return pd.DataFrame(out, columns=["lang", "size", "phrase", "a"], dtype=object)
 
     return run
 
@@ -193,19 +215,21 @@ def frequent(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     ROWS rows whose width grows with the corpus (a cell for LOAD phrases). Sketches are sparse, cut into shards of SHARD cells,
     and summed shard by shard; a shard tells each part which of its cells reach ``least``. An estimate is the least of a
     phrase's cells and never below its count. Second pass: each part counts exactly the phrases that all their
-    cells let through, the counts are summed over parts, and those below ``least`` dropped.
+    cells let through; their counts are summed over parts, bucket by bucket of phrases (as many buckets as shards, so that none
+    grows with the corpus), and those below ``least`` dropped.
     """
     mark = written()
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     parts = cut(texts.mapInPandas(_parts(PART_BYTES), "part long, lang string, n_words long, words binary"))
     words = parts.groupBy("lang").agg(F.sum("n_words").alias("n"))
     total = words.agg(F.sum("n")).first()[0] or 0
-    width = 1 << max(12, (LONGEST * total // LOAD).bit_length())
+    width = max(4096, LONGEST * total // LOAD)
 
-    asked = cut(parts.mapInPandas(_sketched(width, least), "shard long, part long, cells binary, counts binary"))
+    asked = parts.mapInPandas(_sketched(width, least), "shard long, part long, cells binary, counts binary")
     answers = asked.groupBy("shard").applyInPandas(_merged(least), "part long, shard long, hot binary")
-    found = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_counted(width), "lang string, size int, phrase string, n long")
-    found = found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    buckets = ROWS * width // SHARD + 1
+    counted = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_counted(width, buckets), "lang string, bucket long, phrases binary, counts binary")
+    found = counted.groupBy("lang", "bucket").applyInPandas(_summed(least), "lang string, size int, phrase string, a long")
     n = cut(words.filter("n > 0"))
     found = cut(found)
     discard(mark, keep=2)
