@@ -101,6 +101,33 @@ def test_hypergeometric_follows_its_distribution(spark):
         assert seen[k] / 4_000 == pytest.approx(p, abs=0.001)
 
 
+def test_very_many_draws(spark):
+    """A thousand million draws of 20 sources at a node: in seconds, near their shares, within a few standard deviations."""
+    import time
+
+    sizes = [10**9 // 3] + [35_000_000 + i for i in range(19)]
+    quotas = spark.createDataFrame([(f"s{i:02}", n) for i, n in enumerate(sizes)], "key string, draws long")
+    began = time.perf_counter()
+    rows = mixing.shard_quotas(quotas, 1, 7).collect()
+    assert time.perf_counter() - began < 60
+    left = {r["key"]: r["n"] for r in rows if r["shard"] == 0}
+    total = sum(sizes)
+    for i, n in enumerate(sizes):
+        got = left[f"s{i:02}"]
+        assert got + next(r["n"] for r in rows if r["shard"] == 1 and r["key"] == f"s{i:02}") == n
+        assert abs(got - n / 2) < 6 * (n * (1 - n / total) / 4) ** 0.5
+    assert sum(left.values()) == -(-total // 2)
+
+
+def test_large_draws_follow_their_distribution(spark):
+    """Mean, spread and quantiles of 100 000 draws of two million, a third marked, are those of the normal they come near to."""
+    rows = spark.range(400).select(mixing.hypergeometric(F.lit(2_000_000), F.lit(600_000), F.lit(100_000), (F.col("id") + 0.5) / 400).alias("k"))
+    ks = sorted(r["k"] for r in rows.collect())
+    sd = (100_000 * 0.3 * 0.7 * 1_900_000 / 1_999_999) ** 0.5
+    assert sum(ks) / 400 == pytest.approx(30_000, abs=1) and ks[200] == pytest.approx(30_000, abs=2)
+    assert (ks[336] - ks[63]) / 2 == pytest.approx(sd, rel=0.01)
+
+
 def test_empty_table_and_stage(spark):
     docs = spark.createDataFrame([], DOCS)
     assert mixing.plan_mix(docs).count() == 0 and mixing.mixed_documents(docs).count() == 0

@@ -80,3 +80,15 @@ def test_cascade_is_exact_over_its_universe(spark):
 def test_empty_tables(spark):
     assert u.judge(frame(spark, URLS).limit(0), URL_RULES).count() == 0
     assert {r["verdict"] for r in u.judge(frame(spark, URLS), []).collect()} == {"allow"}
+
+
+def test_very_long_hosts(spark):
+    """Hosts of 20 000 labels, 60 KB: each url costs as much as the rules have kinds of keys."""
+    import time
+
+    urls = ["http://" + "ab." * n + tail for n in (4_000, 20_000) for tail in ("example.com/en/7", "example.net/de/8/x", "org/es/", "xorg/es/")] + ["http://" + "." * 20_000 + "com/en/"]
+    rules = (*URL_RULES, u.Rule("ab." * 3_000 + "org/es/", "allow"))
+    began = time.perf_counter()
+    for some in (URL_RULES, rules):
+        check(u.judge(frame(spark, urls), some).collect(), some)
+    assert time.perf_counter() - began < 60

@@ -65,30 +65,30 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
 def hypergeometric(all_: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of ``marked`` among ``all_`` come in ``drawn`` draws: the inverse of the distribution at ``u``.
 
-    Ratios of neighbouring probabilities are summed as logarithms over the mean and 9 standard
-    deviations to both sides (what lies beyond is under 1e-16), kept within the possible range.
+    Over the mean and 9 standard deviations to both sides (what lies beyond is under 1e-16), within the possible range,
+    each probability follows from the one before by a ratio; one walk sums them, a second stops counting at ``u`` of
+    the sum. The state of a walk is three numbers, its length grows with the root of the draws.
     """
-    mean = drawn * marked / F.greatest(all_, F.lit(1))
-    sd = F.sqrt(F.greatest(mean * (1 - marked / F.greatest(all_, F.lit(1))) * (all_ - drawn) / F.greatest(all_ - 1, F.lit(1)), F.lit(0.0)))
-    low = F.greatest(F.lit(0), drawn - (all_ - marked), F.floor(mean - 9 * sd) - 1).cast("long")
-    high = F.least(drawn, marked, F.ceil(mean + 9 * sd) + 1).cast("long")
+    a, m, d = (x.cast("double") for x in (all_, marked, drawn))
+    share = m / F.greatest(a, F.lit(1.0))
+    sd = F.sqrt(F.greatest(d * share * (1 - share) * (a - d) / F.greatest(a - 1, F.lit(1.0)), F.lit(0.0)))
+    low = F.greatest(F.lit(0), drawn - (all_ - marked), F.floor(d * share - 9 * sd) - 1).cast("long")
+    high = F.least(drawn, marked, F.ceil(d * share + 9 * sd) + 1).cast("long")
+
+    def walk(r: Column, bound: Column, done) -> Column:
+        """From the lowest on, with a probability of 1 there: p is the last one, sum those before it, n how many sums lay under the bound."""
+        steps = F.when(r["high"] > r["low"], F.sequence(r["low"] + 1, r["high"])).otherwise(F.array().cast("array<bigint>"))
+
+        def step(s: Column, k: Column) -> Column:
+            x, total = k.cast("double"), s["sum"] + s["p"]
+            p = s["p"] * ((m - x + 1) * (d - x + 1) / (x * (a - m - d + x)))
+            return F.struct(p.alias("p"), total.alias("sum"), (s["n"] + F.when(total < bound, 1).otherwise(0)).cast("bigint").alias("n"))
 
-    def ratio(k: Column) -> Column:
-        return F.log((marked - k + 1).cast("double")) + F.log((drawn - k + 1).cast("double")) - F.log(k.cast("double")) - F.log((all_ - marked - drawn + k).cast("double"))
+        return F.aggregate(steps, F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"), F.lit(0).cast("bigint").alias("n")), step, done)
 
     def pick(r: Column) -> Column:
-        steps = F.when(r["high"] > r["low"], F.sequence(r["low"] + 1, r["high"])).otherwise(F.array().cast("array<bigint>"))
-        logs = F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + ratio(k))))
-        return _let(logs, lambda ls: _let(F.transform(ls, lambda x: F.exp(x - F.array_max(ls))), lambda ps: choose(r["low"], ps)))
-
-    def choose(low_: Column, ps: Column) -> Column:
-        total = F.aggregate(ps, F.lit(0.0), lambda a, p: a + p)
-        state = F.aggregate(
-            ps,
-            F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("bigint").alias("n")),
-            lambda a, p: F.struct((a["sum"] + p).alias("sum"), (a["n"] + F.when(a["sum"] + p < u * total, 1).otherwise(0)).cast("bigint").alias("n")),
-        )
-        return F.least(low_ + state["n"], low_ + F.size(ps).cast("bigint") - 1)
+        total = walk(r, F.lit(0.0), lambda s: s["sum"] + s["p"])
+        return _let(total, lambda t: F.least(r["low"] + walk(r, u * t, lambda s: s["n"]), r["high"]))
 
     return _let(F.struct(low.alias("low"), high.alias("high")), pick)
 
@@ -109,15 +109,16 @@ def split(quotas: Column, node: Column, level: int, seed: int) -> Column:
 def shard_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     """``quotas(key, draws)`` dealt to 2^depth shards: key, shard, first, n (draws first .. first + n - 1).
 
-    A node of the tree has an array of the sources' quotas and of their first draws. Every LEVELS
-    levels the nodes are dealt anew to tasks, so no task holds more than a few subtrees.
+    A node of the tree has an array of the sources' quotas and of their first draws. Every other one of the first LEVELS
+    levels, where splits are longest, and every LEVELS levels from there on, the nodes are dealt anew to tasks, so no task
+    holds more than a few subtrees.
     """
     spark = quotas.sparkSession
     one = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("key", "draws"))).alias("s"))
     zero = F.transform("s", lambda x: F.lit(0).cast("bigint"))
     nodes = one.select(F.lit(0).cast("bigint").alias("node"), F.transform("s", lambda x: x["key"]).alias("keys"), F.transform("s", lambda x: x["draws"]).alias("q"), zero.alias("first"))
     for level in range(depth):
-        if level and level % LEVELS == 0:
+        if level and (level % LEVELS == 0 or level < LEVELS and level % 2 == 0):
             nodes = nodes.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << level), "node")
         nodes = nodes.withColumn("left", split(F.col("q"), F.col("node"), level, seed))
         right, behind = F.zip_with("q", "left", lambda a, b: a - b), F.zip_with("first", "left", lambda a, b: a + b)

@@ -13,8 +13,8 @@ from tracewell.llm.common import batches, cut
 
 #: Pivots of a table, candidates of a block, queries of a block, blocks whose bounds are looked at together.
 PIVOTS, BLOCK, QUERY_BLOCK, BOUNDS = 64, 2048, 2048, 1024
-#: Rows of each dimension that pivots and first floors come from.
-SAMPLE = 1024
+#: Distinct rows of each dimension that pivots and first floors come from, about, and components of all of them that the driver holds, about (a row of each dimension at least).
+SAMPLE, HELD = 1024, 4 << 20
 #: Bytes of a block's vectors at most (but for 16 rows).
 BLOCK_BYTES = 4 << 20
 #: Candidates that are scored between two looks at the stopping rule.
@@ -158,7 +158,8 @@ def _pairs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             edge = np.array([np.frombuffer(e["edge"], float) for e in r.edges])
             need = ruled_in(to, (q * q).sum(1), floor, edge[:, :n], edge[:, n : 2 * n], edge[:, 2 * n])
             at = np.flatnonzero(need.any(0))
-            yield pd.DataFrame({"dim": r.dim, "q_block": r.q_block, "block": [r.edges[b]["block"] for b in at], "who": [np.packbits(need[:, b]).tobytes() for b in at]})
+            if len(at):
+                yield pd.DataFrame({"dim": r.dim, "q_block": r.q_block, "block": [r.edges[b]["block"] for b in at], "who": [np.packbits(need[:, b]).tobytes() for b in at]})
 
 
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256, seed: int = 5, scored=None) -> DataFrame:
@@ -175,16 +176,21 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256,
     Each vector's distances to PIVOTS pivots are computed once and written with it, in blocks by
     nearest pivot. A block's least and most distance to each pivot tell which queries can't have one of
     their best in it; blocks that no query of a block of queries needs aren't joined to it, and in the others
-    the single candidates' bounds decide. Pivots lie far apart among SAMPLE rows of each dimension,
-    chosen by a hash, whose scores also give each query a first floor.
+    the single candidates' bounds decide. Pivots lie far apart among about SAMPLE distinct rows of each dimension,
+    chosen by a hash, whose scores also give each query a first floor; with many or very long dimensions there are fewer, so that
+    the driver holds about HELD components, and one row of each dimension at least.
     """
     spark = vectors.sparkSession
     batches(spark)
     rows = vectors.filter("vec_id IS NOT NULL").select("vec_id", is_query.alias("is_query"), whole_numbers(F.col("embedding"), scale).alias("v"))
     rows = cut(rows.filter("v IS NOT NULL").withColumn("dim", F.size("v")))
-    w = Window.partitionBy("dim").orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id", "v")
+    # a hash chooses a share of each dimension's rows, copies of a row all or none, before any of them are shuffled
+    sizes, spread = rows.groupBy("dim").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(seed), "vec_id", "v").alias("h"), "vec_id", "v")).alias("first")), 1 << 40
+    sizes = cut(sizes.withColumn("few", F.greatest(F.lit(1), F.least(F.lit(SAMPLE), F.floor(F.lit(HELD) / (F.col("dim") * F.lit(max(1, rows.select("dim").distinct().count()))))))))
+    chance = F.pmod(F.xxhash64(F.lit(seed), "vec_id", "v"), F.lit(spread)) < F.ceil(F.lit(float(spread)) * F.col("few") / F.col("n"))
+    some = rows.join(sizes.select("dim", "n", "few"), "dim").filter(chance).select("dim", "vec_id", "v")
     sample: dict[int, list] = {}
-    for r in rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= SAMPLE).orderBy("dim", "n").select("dim", "vec_id", "v").collect():
+    for r in some.unionByName(sizes.select("dim", "first.vec_id", "first.v")).distinct().orderBy("dim", "vec_id", "v").collect():
         sample.setdefault(r["dim"], []).append((r["vec_id"], r["v"]))
     of = {d: (np.array([v for _, v in s], np.int64), np.array([i for i, _ in s], np.int64)) for d, s in sample.items()}
     pivots = spark.sparkContext.broadcast({d: (chosen(x, PIVOTS), x, i) for d, (x, i) in of.items()})

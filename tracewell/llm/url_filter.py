@@ -44,17 +44,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and its parent domains."""
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def suffixes(host: Column, depths: list[int]) -> Column:
+    """The host and its parent domains that have so many labels."""
 
+    def of(labels: Column) -> Column:
+        n = F.size(labels)
+        return F.filter(F.array(*[F.when(n >= d, F.array_join(F.slice(labels, n - d + 1, d), ".")) for d in depths]), lambda s: s.isNotNull())
 
-def probes(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Keys a rule may have that fits: parent domain and path prefix, prefixes as long as the rules'."""
+    return F.get(F.transform(F.array(F.split(host, r"\.", -1)), of), F.lit(0))
+
+
+def probes(host: Column, path: Column, lengths: list[int], depths: list[int]) -> Column:
+    """Keys a rule may have that fits: parent domain and path prefix, domains of as many labels and prefixes as long as the rules'."""
     prefixes = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])
     prefixes = F.filter(prefixes, lambda p: p.isNotNull())
-    out = F.flatten(F.transform(suffixes(host), lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    out = F.flatten(F.transform(suffixes(host, depths), lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.coalesce(out, F.array().cast("array<string>")))
 
 
@@ -173,7 +177,8 @@ def judge(pages: DataFrame, rules: Iterable[Rule] | DataFrame, *, url_col: str =
     ``rule`` is null and the verdict ``otherwise`` (the key isn't listed). Null urls and those
     without ``://`` have an empty host and path and fit no rule. Each url's possible keys are looked
     up in a Bloom cascade built over all keys that the corpus has, so the answers equal a
-    join's. A list whose filters would take more than ``limit_bytes`` is parted by its keys' hashes; rows
+    join's. Possible keys have as many labels and as long a path as some rule has, so hosts and paths of any length cost
+    no more than those: a url has at most (numbers of labels of rules) x (lengths of their paths) keys. A list whose filters would take more than ``limit_bytes`` is parted by its keys' hashes; rows
     then pass the parts' cascades in turn. Repeated rows are judged each; other columns pass
     through (of the same names, the new ones stay).
     """
@@ -184,14 +189,16 @@ def judge(pages: DataFrame, rules: Iterable[Rule] | DataFrame, *, url_col: str =
         rules = spark.createDataFrame([(r.key, r.verdict) for r in rules], "key string, verdict string")
     table = cut(rules.filter("key IS NOT NULL").groupBy("key").agg(F.min("verdict").alias("verdict")).withColumn("h", _hash(F.col("key"))))
     at = F.locate("/", F.col("key"))
-    # as many lengths as paths have, not as rules are
-    lengths = sorted(r[0] for r in table.select(F.when(at > 0, F.char_length("key") - at + 1).otherwise(0)).distinct().collect()) or [0]
+    # as many as paths have lengths and hosts numbers of labels, not as rules are
+    kinds = table.select(F.when(at > 0, F.char_length("key") - at + 1).otherwise(0).alias("n"), F.size(F.split(F.substring_index("key", "/", 1), r"\.", -1)).alias("d")).distinct()
+    kinds = kinds.agg(F.sort_array(F.collect_set("n")).alias("n"), F.sort_array(F.collect_set("d")).alias("d")).first()
+    lengths, depths = kinds["n"] or [0], kinds["d"] or [1]
     out = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
 
     def longest(a: Column, b: Column) -> Column:
         return F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
 
-    rows = out.withColumn(keys, F.array_sort(probes(F.col("host"), F.col("path"), lengths), longest))
+    rows = out.withColumn(keys, F.array_sort(probes(F.col("host"), F.col("path"), lengths, depths), longest))
     universe = cut(rows.select(F.explode(keys).alias("key")).distinct().select(_hash(F.col("key")).alias("h")))
     n = table.count()
     parts = max(1, math.ceil(n * (bits_per_key(first_error(n, universe.count())) + 2) / 8 / limit_bytes))
