@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,10 +16,10 @@ from tracewell.operators.bundle_schema import bundle_sha256, document
 from tracewell.plans.samples import BROKEN, SOUND
 from tracewell.plans.tables import attempts, claims, lines, notations, order_entries, order_records, table
 from tracewell.session import scratch
-from tracewell.sources import readers
+from tracewell.sources import parsing, readers
 from tracewell.sources.readers import checked_blobs
 from tracewell.streaming import ledger as stream
-from tracewell.streaming import wakeups
+from tracewell.streaming import recorder, wakeups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -647,6 +648,86 @@ def blob_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked_blobs(stored, blobs).select("raw_ref", "state", "n_bytes")
 
 
+# Responses recorded and parsed
+
+_RESPONSES = """WITH r AS (SELECT page_id AS token, 'r' || CASE WHEN page_id % 20 = 11 THEN page_id - 1 ELSE page_id END AS raw_ref, url, CASE
+    WHEN page_id % 17 = 3 THEN 'reference' WHEN page_id % 13 = 4 THEN 'status' WHEN page_id % 19 = 2 THEN 'digest' WHEN octet_length(encode(html)) % 23 = 1 THEN 'size' WHEN page_id % 29 = 8 THEN 'headers'
+    WHEN page_id % 9 = 6 THEN 'token' WHEN page_id % 9 = 5 THEN 'attempt' WHEN page_id % 31 = 7 THEN 'clock' END AS refusal FROM pages),
+t AS (SELECT *, refusal IS NULL AND row_number() OVER (PARTITION BY raw_ref, refusal IS NULL ORDER BY token) > 1 AS again FROM r)
+"""
+
+
+def saved_responses(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Made-up responses of pages, some of them odd, and the attempts that they are for."""
+    k, second = F.col("page_id"), F.lit(1_000_000)
+    size = F.octet_length("html").cast("long")
+    responses_ = pages.select(
+        F.concat(F.lit("r"), F.when(k % 20 == 11, k - 1).otherwise(k)).alias("raw_ref"), k.alias("token"), F.when(k % 17 != 3, F.concat(F.lit("p/"), k)).alias("path"), F.when(k % 13 == 4, 99).otherwise(200).alias("status_code"),
+        F.when(k % 29 == 8, "{").otherwise('{"b": "2", "a": "1"}').alias("headers"), F.when(k % 19 == 2, "xyz").otherwise(F.sha2("html", 256)).alias("body_sha256"), F.when(size % 23 == 1, F.lit(-1)).otherwise(size).alias("body_bytes"),
+        F.col("url").alias("response_url"), (k * second + F.when(k % 31 == 7, -1).otherwise(1)).alias("at"),
+    )
+    attempts_ = pages.filter("page_id % 9 <> 6").select(k.alias("token"), k.alias("task_id"), "url", (k * second).alias("started"), F.when(k % 9 == 5, k * second + 1).alias("finished"))
+    return responses_, attempts_
+
+
+@query(
+    "q47_response_ledger",
+    _RESPONSES
+    + """SELECT token, raw_ref, CASE WHEN again THEN 'repeated' ELSE refusal END AS refusal, CASE WHEN token % 9 <> 6 THEN token END AS task_id, CASE WHEN token % 9 <> 6 THEN url END AS requested_url,
+  CASE WHEN refusal IS NULL THEN '{"a":"1","b":"2"}' WHEN token % 29 = 8 THEN '{' ELSE '{"b": "2", "a": "1"}' END AS headers FROM t""",
+)
+def response_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of a stream in two parts, recorded once each or refused; the second part is run twice, as after a failure."""
+    responses_, attempts_ = saved_responses(table(spark, sf_dir, "pages"))
+    place = scratch(spark, "recorder")
+    middle = responses_.selectExpr("percentile_approx(token, 0.5) AS m").first()["m"] or 0
+    for part in (F.col("token") < middle, F.col("token") >= middle):
+        responses_.filter(part).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    write = recorder.recorder(f"{place}/told", lambda s: saved_responses(table(s, sf_dir, "pages"))[1])
+    arriving = spark.readStream.schema(responses_.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+
+    def twice(batch: DataFrame, n: int) -> None:
+        for _ in range(1 + (n > 0)):
+            write(batch, n)
+
+    arriving.writeStream.foreachBatch(twice).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    told = recorder.recorded(spark, f"{place}/told").withColumn("refusal", F.lit(None).cast("string")).unionByName(recorder.dead_letters(spark, f"{place}/told"))
+    return told.select("token", "raw_ref", "refusal", "task_id", "requested_url", "headers")
+
+
+def _counts(body: bytes) -> dict | bool:
+    """A parser of pages: how many links and paragraphs; it wants a title."""
+    text = body.decode("utf-8")
+    if not text:
+        return False
+    if "</title>" not in text:
+        raise parsing.StructureChange("no title")
+    return {"n_links": len(re.findall(r"<a[\s>]", text)), "n_paragraphs": len(re.findall(r"<p[\s>]", text))}
+
+
+@query(
+    "q48_parsed_pages",
+    r"""WITH p AS (SELECT page_id, CASE WHEN page_id % 10 = 4 THEN replace(html, '</title>', '') WHEN page_id % 10 = 7 THEN '' ELSE html END AS html, page_id % 10 = 2 AS gone FROM pages),
+e AS (SELECT *, CASE WHEN gone THEN NULL WHEN html = '' THEN 'response parser rejected source structure' WHEN NOT contains(html, '</title>') THEN 'no title' END AS error FROM p)
+SELECT page_id, CASE WHEN gone THEN 'not_found' WHEN error IS NULL THEN 'ok' ELSE 'parse_error' END AS outcome, CASE WHEN gone THEN 'NOT_FOUND' WHEN error IS NULL THEN 'DONE' ELSE 'QUARANTINED' END AS status,
+  CASE WHEN NOT gone AND error IS NULL THEN len(regexp_extract_all(html, '<a[\s>]')) END AS n_links, CASE WHEN NOT gone AND error IS NULL THEN len(regexp_extract_all(html, '<p[\s>]')) END AS n_paragraphs, error,
+  coalesce(error IS NOT NULL, false) AS put_aside FROM e""",
+)
+def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by a parser that is plugged in, a tenth of them changed so that it fails, a tenth empty, a tenth not found."""
+    k = F.col("page_id") % 10
+    body = F.when(k == 4, F.replace("html", F.lit("</title>"), F.lit(""))).when(k == 7, "").otherwise(F.col("html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.encode(body, "UTF-8").alias("body"), F.when(k == 2, 404).otherwise(200).alias("code"))
+    url, headers = F.lit("https://a.example.com/"), F.create_map(F.lit("content-type"), F.lit("text/html"))
+    rows = pages.withColumn("outcome", responses.outcome(F.col("code"), headers, F.lit(b"fine"), url, url))
+    rows, place = parsing.parsed(rows, parsing.Parser("n_links long, n_paragraphs long", _counts)), f"{scratch(spark, 'quarantine')}"
+    parsing.quarantine(rows, place)
+    aside = spark.read.parquet(place).select("page_id", F.lit(True).alias("put_aside"))
+    after = ledger.task_after(F.col("outcome"), F.lit(1), F.lit(0), F.lit(0))
+    rows = rows.join(aside, "page_id", "left").withColumn("put_aside", F.coalesce("put_aside", F.lit(False)))
+    return rows.select("page_id", "outcome", after["status"].alias("status"), "n_links", "n_paragraphs", "error", "put_aside")
+
+
 #: Endings that paths are made of, and what is wrong with them.
 _PATHS = (
     ("src/a.py", None), ("../a.py", "invalid path"), ("x/.env", "environment file"), (".ENV.prod", "environment file"), (".env.example", None),
