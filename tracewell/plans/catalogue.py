@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import notation, paths, responses, timing
 from tracewell.functions.times import micros
-from tracewell.operators import asof, contract, examples, gate, json_schema, ledger, manifest
+from tracewell.operators import asof, contract, examples, gate, json_schema, ledger, manifest, versions
 from tracewell.operators.bundle_schema import bundle_sha256, document
 from tracewell.plans.samples import BROKEN, SOUND
 from tracewell.plans.tables import attempts, claims, lines, notations, order_entries, order_records, table
@@ -648,6 +648,21 @@ def blob_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked_blobs(stored, blobs).select("raw_ref", "state", "n_bytes")
 
 
+@query(
+    "q49_policy_versions",
+    """WITH c AS (SELECT user_id AS key, count(*) % 5 AS version, 'p' || count(*) % 3 AS value FROM events WHERE event_type = 'signup' GROUP BY 1),
+p AS (SELECT e.event_id AS seq, e.user_id AS key, coalesce(c.version, 0) AS now, e.event_id % 5 = coalesce(c.version, 0) AS meets, coalesce(c.value = 'p' || e.event_id % 3, false) AS same FROM events e LEFT JOIN c ON c.key = e.user_id),
+f AS (SELECT *, min(seq) FILTER (WHERE meets AND NOT same) OVER (PARTITION BY key) AS first FROM p)
+SELECT seq AS event_id, key, CASE WHEN same THEN 'same' WHEN NOT meets THEN 'stale' WHEN seq = first THEN 'set' ELSE 'lost' END AS state, now + (first IS NOT NULL)::int AS version FROM f""",
+)
+def policy_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as proposals of policies, each with the version that its writer has seen; a user's version and policy follow from the signups."""
+    events = table(spark, sf_dir, "events")
+    current = events.filter("event_type = 'signup'").groupBy(F.col("user_id").alias("key")).agg((F.count("*") % 5).alias("version"), F.concat(F.lit("p"), F.count("*") % 3).alias("value"))
+    proposals = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 5).alias("expected"), F.concat(F.lit("p"), F.col("event_id") % 3).alias("value"))
+    return versions.compare_and_set(current, proposals).select(F.col("seq").alias("event_id"), "key", "state", "version")
+
+
 # Responses recorded and parsed
 
 _RESPONSES = """WITH r AS (SELECT page_id AS token, 'r' || CASE WHEN page_id % 20 = 11 THEN page_id - 1 ELSE page_id END AS raw_ref, url, CASE
