@@ -127,3 +127,12 @@ def test_pages(spark):
 )
 def test_paths(spark, path, why):
     assert one(spark, paths.violation(F.lit(path), "lib"))[0] == why
+
+
+def test_rank_bands_are_those_of_each_runner(spark):
+    texts = ["(2,*5,7)-1,4=3", "1", "*3(1,2)4", "(1,2)", None, "1,", "1-9", "10,(*11,12)"]
+    rows = spark.createDataFrame([(t, r) for t in texts for r in ([1, 2, 3, 4, 5, 7, 8], [1, 1, 2], [10, 11, 12, 13], None)], "t string, roster array<int>")
+    rows = rows.withColumn("gs", n.parse(F.col("t"))["groups"])
+    each = F.transform(n.members(F.col("gs")), lambda m: F.struct(m.alias("runner"), n.rank_band(F.col("gs"), m, F.col("roster")).alias("band")))
+    for r in rows.select(n.rank_bands(F.col("gs"), F.col("roster")).alias("a"), each.alias("b")).collect():
+        assert r["a"] == r["b"]

@@ -158,6 +158,39 @@ def rank_band(groups_: Column, runner: Column, roster: Column) -> Column:
     return let(groups_, lambda gs: let(_group_of(gs, runner), lambda i: band(gs, i)))
 
 
+def rank_bands(groups_: Column, roster: Column) -> Column:
+    """(runner, band) of every observed runner, in the order of groups: ``rank_band`` of all at once.
+
+    What holds for the notation (who is missing, whether the roster fits) and for a group (how many are ahead) is worked out once.
+    """
+
+    def of_member(g: Column, ahead: Column, about: Column):
+        def band(m: Column) -> Column:
+            sure = F.coalesce(g["leader"] == m, F.lit(False)) | (F.size(g["members"]) == 1)
+            low = ahead + F.when(sure | g["leader"].isNull(), 1).otherwise(2)
+            high = ahead + F.when(sure, 1).otherwise(F.size(g["members"])) + about["missing"]
+            told = F.struct(low.cast("int").alias("min_rank"), high.cast("int").alias("max_rank"), about["missing"].alias("missing"), F.lit(RANK_BASIS).alias("basis"))
+            return F.struct(m.alias("runner"), F.when(about["ok"], told).alias("band"))
+
+        return band
+
+    def of_notation(gs: Column) -> Column:
+        def known(ms: Column) -> Column:
+            ok = (F.size(F.array_distinct(roster)) == F.size(roster)) & (F.size(F.array_except(ms, roster)) == 0)
+            return F.struct(F.size(F.array_except(roster, ms)).alias("missing"), ok.alias("ok"), F.transform(gs, lambda g: F.size(g["members"])).alias("sizes"))
+
+        def every(about: Column) -> Column:
+            def of_group(g: Column, i: Column) -> Column:
+                ahead = F.aggregate(F.slice(about["sizes"], F.lit(1), i), F.lit(0), lambda n, x: n + x)
+                return let(ahead, lambda n: F.transform(g["members"], of_member(g, n, about)))
+
+            return F.flatten(F.transform(gs, of_group))
+
+        return let(let(members(gs), known), every)
+
+    return let(groups_, of_notation)
+
+
 def progress_band(before: Column, after: Column) -> Column:
     """(low, high, advanced, dropped, unresolved): places won between two rank bands; unresolved if they may be none."""
     low, high = before["min_rank"] - after["max_rank"], before["max_rank"] - after["min_rank"]

@@ -168,7 +168,7 @@ def pair_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bands(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
     roster = F.sequence(F.lit(1), F.array_max("numbers"))
     rows = notations(spark, sf_dir, unit).withColumn("groups", notation.parse(F.col("notation"))["groups"])
-    rows = rows.select("l_orderkey", F.explode(F.transform("numbers", lambda n: F.struct(n.alias("runner"), notation.rank_band(F.col("groups"), n, roster).alias("band")))).alias("x"))
+    rows = rows.select("l_orderkey", F.explode(notation.rank_bands(F.col("groups"), roster)).alias("x"))
     return rows.select("l_orderkey", "x.runner", "x.band")
 
 
