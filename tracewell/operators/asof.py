@@ -84,8 +84,10 @@ def swept(entries: DataFrame, records: DataFrame, mode: str, limit: int) -> Data
     most = per_day.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("a_day"), F.count("*").alias("days")).agg(F.max("n"), F.max("a_day"), F.max("days")).first()
 
     def merge(a: Column, b: Column) -> Column:
-        every = F.slice(F.sort_array(F.concat(a, b), False), 1, limit)
-        return F.when(F.size(a) == 0, b).when(F.size(b) == 0, a).otherwise(every)
+        # mostly all of the later part happened after all of the earlier one, and nothing is to be sorted
+        after = F.element_at(b, -1) >= F.get(a, F.lit(0))
+        every = F.when(after, F.concat(b, a)).otherwise(F.sort_array(F.concat(a, b), False))
+        return F.when(F.size(a) == 0, b).when(F.size(b) == 0, a).otherwise(F.slice(every, 1, limit))
 
     order, apart = ["at", "phase"], (most[0] or 0) > STRETCH
     done = running(both, ["key", "day"] if apart else ["key"], order, "seen", merge, steps(most[1] if apart else most[0]))
