@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import notation, paths, responses, timing
 from tracewell.functions.times import micros
-from tracewell.operators import asof, contract, examples, gate, json_schema, ledger, manifest, versions
+from tracewell.operators import asof, contract, examples, gate, json_schema, ledger, manifest, merkle, versions
 from tracewell.operators.bundle_schema import bundle_sha256, document
 from tracewell.plans.samples import BROKEN, SOUND
 from tracewell.plans.tables import attempts, claims, lines, notations, order_entries, order_records, table
@@ -648,6 +648,22 @@ def blob_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked_blobs(stored, blobs).select("raw_ref", "state", "n_bytes")
 
 
+@query(
+    "q50_table_differences",
+    """SELECT o_orderkey, 'missing' AS state, 1::bigint AS times FROM orders WHERE o_orderkey % 97 = 5 OR o_orderkey % 89 = 3
+UNION ALL SELECT o_orderkey, 'unexpected', CASE WHEN o_orderkey % 83 = 7 THEN 2 ELSE 1 END FROM orders WHERE o_orderkey % 97 <> 5 AND o_orderkey % 89 = 3
+UNION ALL SELECT o_orderkey, 'unexpected', 1 FROM orders WHERE o_orderkey % 97 <> 5 AND o_orderkey % 89 <> 3 AND o_orderkey % 83 = 7""",
+)
+def table_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a version of which some are lost, some have another price and some are there twice, by trees of digests."""
+    orders = table(spark, sf_dir, "orders")
+    price = F.when(F.col("o_orderkey") % 89 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    other = orders.filter("o_orderkey % 97 <> 5").withColumn("o_totalprice", price)
+    other = other.unionByName(other.filter("o_orderkey % 83 = 7"))
+    line = F.concat_ws("|", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("string"))
+    return merkle.differences(orders, other, "o_orderkey", line)
+
+
 @query(
     "q49_policy_versions",
     """WITH c AS (SELECT user_id AS key, count(*) % 5 AS version, 'p' || count(*) % 3 AS value FROM events WHERE event_type = 'signup' GROUP BY 1),
