@@ -2,10 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.data import DOCS, frame
 from tracewell.llm import toxicity
+from tracewell.llm.common import mix
 
 
 def labelled(spark, n=400):
@@ -69,3 +71,56 @@ def test_a_repeated_id_is_one_row_of_the_sample(spark):
     docs, labels = labelled(spark, 60)
     more = docs.unionByName(docs.filter("doc_id = 3")).unionByName(docs.filter("doc_id = 3"))
     assert (toxicity.fit(docs, labels) == toxicity.fit(more, labels)).all()
+
+
+def plain_features(text):
+    """Words, neighbouring pairs and pairs that skip a word, as they are."""
+    ws = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in text).split(" ")
+    ws = [w for w in ws if w]
+    named = {(0, w) for w in ws} | {(0x9E3779B97F4A7C15, *p) for p in zip(ws, ws[1:])} | {(0xD1B54A32D192ED03, *p) for p in zip(ws, ws[2:])}
+    return {place(*f) for f in named} | {"intercept"}
+
+
+def place(kind, *ws):
+    """Where a feature is hashed to: few share a place, but some do."""
+    h = [xxhash.xxh64_intdigest(w.encode()) for w in ws]
+    whole = h[0] if not kind else int(mix(np.array([(h[0] * kind + h[1]) % (1 << 64)], np.uint64))[0])
+    return whole >> 44
+
+
+def plain_ftrl(rows, s):
+    """FTRL-proximal over dicts, coordinate by coordinate, in the fit's order of rows."""
+    z, n = {}, {}
+
+    def weight(f):
+        if f not in z or (f != "intercept" and abs(z[f]) <= s.l1):
+            return 0.0
+        pull = 0.0 if f == "intercept" else s.l1 if z[f] > 0 else -s.l1
+        return -(z[f] - pull) / ((s.beta + n[f] ** 0.5) / s.alpha + s.l2)
+
+    rng = np.random.default_rng(s.seed)
+    for _ in range(s.epochs):
+        for i in rng.permutation(len(rows)):
+            fs, label = rows[i]
+            p = 1 / (1 + np.exp(-sum(weight(f) for f in fs)))
+            g = (p - label) * (s.positive if label else 1.0)
+            for f, w in [(f, weight(f)) for f in fs]:
+                zf, nf = z.get(f, 0.0), n.get(f, 0.0)
+                z[f] = zf + g - ((nf + g * g) ** 0.5 - nf**0.5) / s.alpha * w
+                n[f] = nf + g * g
+    return {f: w for f in z if (w := weight(f))}
+
+
+def test_equals_plain_ftrl(spark):
+    """Weights and scores of the whole fit against a plain one, with odd texts among the rows."""
+    docs, labels = labelled(spark, 150)
+    docs = docs.union(spark.createDataFrame([(900, ""), (901, None), (902, "Vile, ROTTEN... été\tvile"), (903, "one"), (904, "two words")], "doc_id long, text string"))
+    labels = labels.union(spark.createDataFrame([(900, 0), (902, 1), (903, 0), (904, 0)], "doc_id long, toxic int"))
+    s = toxicity.Settings(l1=1.0, epochs=3)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels, s)).collect()}
+    label, texts = dict(map(tuple, labels.collect())), dict(map(tuple, docs.collect()))
+    weights = plain_ftrl([(plain_features(texts[i] or ""), label[i]) for i in sorted(label)], s)
+    assert 5 < len(weights) < 2_000
+    for i, text in texts.items():
+        want = 1 / (1 + np.exp(-sum(weights.get(f, 0.0) for f in plain_features(text or ""))))
+        assert abs(got[i] - want) < 1e-9, i
