@@ -18,7 +18,7 @@ def digest(text: Column) -> Column:
 def source_flaws(sources: DataFrame) -> DataFrame:
     """(source_id, flaw) of ``sources(source_id, sha256)`` that can't be frozen."""
     per = sources.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(sha256_text(F.col("sha256")).isNull()).alias("bad"))
-    flaw = F.when(F.col("source_id").isNull() | (F.trim("source_id") == ""), "source_id").when(F.col("n") > 1, "duplicate").when(F.col("bad") > 0, "sha256")
+    flaw = F.when(~F.coalesce(F.col("source_id").rlike(r"(?U)\S"), F.lit(False)), "source_id").when(F.col("n") > 1, "duplicate").when(F.col("bad") > 0, "sha256")
     return per.select("source_id", flaw.alias("flaw")).filter("flaw IS NOT NULL")
 
 
