@@ -58,6 +58,12 @@ def test_a_batch_that_is_run_again_leaves_one_row(spark):
     assert sorted((r["raw_ref"], r["refusal"], r["batch"]) for r in recorder.dead_letters(spark, place).collect()) == [("r", "repeated", 1), ("s", "repeated", 1), ("x", "token", 0)]
 
 
+def test_a_place_whose_first_batch_is_a_later_one(spark):
+    place = scratch(spark, "recorder")
+    recorder.recorder(place, attempts)(responses(spark, {}), 7)
+    assert [(r["raw_ref"], r["batch"]) for r in recorder.recorded(spark, place).collect()] == [("r", 7)]
+
+
 def test_a_stream_that_restarts_before_its_commit(spark):
     """The commit of the last batch is lost, so the restarted stream runs it again."""
     place = scratch(spark, "recorder")

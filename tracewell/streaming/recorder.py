@@ -20,13 +20,18 @@ def recorder(place: str, attempts: Callable[[SparkSession], DataFrame]) -> Calla
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        earlier = _told(spark, place).filter((F.col("batch") < n) & F.col("refusal").isNull()) if n else None
+        earlier = _told(spark, place).filter((F.col("batch") < n) & F.col("refusal").isNull()) if _there(spark, place) else None
         told = first_of_each(checked(batch, attempts(spark)), earlier)
         told.write.mode("overwrite").parquet(f"{place}/batch={n}")
 
     return write
 
 
+def _there(spark: SparkSession, place: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def _told(spark: SparkSession, place: str) -> DataFrame:
     return spark.read.schema(f"{TOLD}, batch long").parquet(place)
 
