@@ -67,6 +67,18 @@ def test_only_what_differs_is_looked_at(spark):
     assert 1 <= len(leaves) <= 2 and {r["state"] for r in leaves} <= {"changed", "missing", "unexpected"}
 
 
+def test_rows_are_read_once(spark, tmp_path):
+    """All levels of a tree come from its written leaves, and where most leaves differ no row is looked up by its leaf."""
+    place = f"file://{tmp_path}/rows"
+    table(spark, rows_of(400)).write.parquet(place)
+    a = spark.read.parquet(place)
+    nodes = merkle.tree(a, F.col("k"), F.col("v"), 2)
+    assert not [f for f in nodes.inputFiles() if f.startswith(place)] and root(nodes)[1] == a.count()
+    out = merkle.differences(a, a.withColumn("v", F.lit("other")), "k", F.col("v"), 2)
+    assert out.agg(F.sum("times")).first()[0] == 2 * a.count() - 2 * a.filter("v = 'other'").count()
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_proofs(spark):
     rows = rows_of(300)
     t = table(spark, rows)
