@@ -168,13 +168,12 @@ def pair_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bands(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
     roster = F.sequence(F.lit(1), F.array_max("numbers"))
     rows = notations(spark, sf_dir, unit).withColumn("groups", notation.parse(F.col("notation"))["groups"])
-    rows = rows.select("l_orderkey", F.explode(notation.rank_bands(F.col("groups"), roster)).alias("x"))
-    return rows.select("l_orderkey", "x.runner", "x.band")
+    return rows.select("l_orderkey", notation.rank_bands(F.col("groups"), roster).alias("bands"))
 
 
 @query("q10_rank_bands", _NOTATION + "SELECT * FROM b")
 def rank_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bands(spark, sf_dir, "week").select("l_orderkey", "runner", "band.*")
+    return _bands(spark, sf_dir, "week").select("l_orderkey", F.explode("bands").alias("x")).select("l_orderkey", "x.runner", "x.band.*")
 
 
 @query(
@@ -185,9 +184,10 @@ def rank_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM b x JOIN b2 y USING (l_orderkey, runner)""",
 )
 def progress_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From groups by week to groups by month."""
-    before, after = _bands(spark, sf_dir, "week"), _bands(spark, sf_dir, "month").withColumnRenamed("band", "after")
-    rows = before.join(after, ["l_orderkey", "runner"])
+    """From groups by week to groups by month; orders meet where they lie, runners within their order."""
+    before, after = _bands(spark, sf_dir, "week"), _bands(spark, sf_dir, "month").withColumnRenamed("bands", "later")
+    rows = before.join(after, "l_orderkey").select("l_orderkey", F.explode("bands").alias("x"), "later")
+    rows = rows.select("l_orderkey", "x.runner", "x.band", F.explode(F.filter("later", lambda y: y["runner"] == F.col("x.runner"))["band"]).alias("after"))
     return rows.select("l_orderkey", "runner", notation.progress_band(F.col("band"), F.col("after")).alias("p")).select("l_orderkey", "runner", "p.*")
 
 

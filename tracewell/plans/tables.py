@@ -25,10 +25,20 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("record_id"), F.col("o_orderdate").alias("event_at"), kind.alias("kind"), "available_at", (F.col("available_at") + F.make_dt_interval(F.lit(1))).alias("collected_at"))
 
 
+#: Rows that a task takes of a table dealt by key: what it sorts and groups stays the same however large the table is.
+PART_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, *keys: str, part_rows: int | None = None) -> DataFrame:
+    """``rows`` of a table, all of a key in one partition, in as many partitions as their number asks for, ``spark.sql.shuffle.partitions`` at least."""
+    parts = -(-rows.count() // (part_rows or PART_ROWS))
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (l_orderkey, l_linenumber), all lines of an order in one partition."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_partkey")
-    return rows.repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("ship"), F.max("l_quantity").alias("qty"), F.min("l_partkey").alias("partkey"))
+    return dealt(rows, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("ship"), F.max("l_quantity").alias("qty"), F.min("l_partkey").alias("partkey"))
 
 
 def notations(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
