@@ -33,3 +33,8 @@ def test_bands_of_an_order_meet_where_they_lie(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "runner" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
     assert out.count() == catalogue.rank_bands(spark, SF).count()
+
+
+def test_bundles_of_one_file_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "BUNDLE_ROWS", 10)
+    assert len(sizes(catalogue.bundle_violations(spark, SF))) > 8
