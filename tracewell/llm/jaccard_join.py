@@ -39,7 +39,7 @@ LOW_BITS = 40
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: A chunk holds about so many sets and so many tokens.
 CHUNK_SETS, CHUNK_TOKENS = 256, 2_000_000
-#: Sets of a prefix token that one task takes, about.
+#: Sets of a list of chunks that one task takes, about.
 SALT = 1_000
 #: Sets of a batch that may have a token before their numbers stay with the batch's head.
 OFTEN = 8
@@ -321,14 +321,22 @@ def _across(sets: DataFrame, labels: DataFrame, sim: Similarity) -> DataFrame:
     at = at.withColumn("home", F.when(F.col("members") < CHUNK_SETS // 4, F.concat(F.lit("few/"), F.pmod(F.xxhash64("token"), F.lit(few)))).otherwise(F.col("token").cast("string")))
     homes = cut(_chunked(at.select("print", "n", "home"), "home").select("print", F.concat_ws("/", "home", "chunk").alias("chunk")))
     posts = cut(posts.drop("n").join(homes, "print"))
-    # a token's chunks; sets of a token that very many have are dealt over salts
-    chunks = posts.groupBy("token", F.col("chunk").alias("chunk2")).agg(F.first("members").alias("members"), F.min("l").alias("l2"), F.every("major").alias("major2"), (F.min("comp") < F.max("comp")).alias("mixed"))
-    chunks = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("members") / SALT).cast("int")))).drop("members")
-    rows = posts.withColumn("salt", F.pmod(F.xxhash64("print"), (F.col("members") / SALT).cast("int") + 1).cast("int")).drop("members")
-    met = rows.join(chunks.filter("NOT major2"), ["token", "salt"]).unionByName(rows.filter("NOT major").join(chunks.filter("major2"), ["token", "salt"]))
+    # Tokens whose sets lie in the same chunks are one list of chunks, named by two sums of hashes: what near copies share, they share
+    # by many tokens, and a set meets a chunk once for each list, not once for each token
+    chunks = cut(posts.groupBy("token", F.col("chunk").alias("chunk2")).agg(F.count("*").alias("members"), F.min("l").alias("l2"), F.every("major").alias("major2"), (F.min("comp") < F.max("comp")).alias("mixed")))
+    summed = lambda seed: F.sum(F.xxhash64(F.lit(seed), "chunk2", "major2", "mixed").cast("decimal(38,0)")).cast("string")
+    lists = cut(chunks.groupBy("token").agg(F.concat_ws("/", summed(0), summed(1)).alias("list"), F.sum("members").alias("members")))
+    chunks = meet(chunks.drop("members"), lists, ["token"], "members").groupBy("list", "chunk2").agg(F.min("l2").alias("l2"), F.first("major2").alias("major2"), F.first("mixed").alias("mixed"))
+    rows = meet(posts.select("token", "print", "chunk", "l", "major"), lists, ["token"], "members")
+    rows = cut(rows.groupBy("print", "chunk", "l", "major", "list").agg(F.count("*").alias("shared")))
+    # sets of a list that very many have are dealt over salts
+    sizes, salts = cut(rows.groupBy("list").agg(F.count("*").alias("sets"))), (F.col("sets") / SALT).cast("int")
+    chunks = cut(chunks.join(sizes, "list").withColumn("salt", F.explode(F.sequence(F.lit(0), salts))).drop("sets"))
+    rows = meet(rows, sizes, ["list"], "sets").withColumn("salt", F.pmod(F.xxhash64("print"), salts + 1).cast("int")).drop("sets")
+    met = rows.join(chunks.filter("NOT major2"), ["list", "salt"]).unionByName(rows.filter("NOT major").join(chunks.filter("major2"), ["list", "salt"]))
     met = met.filter((F.col("chunk") != F.col("chunk2")) | F.col("mixed")).withColumn("side", (F.col("chunk") > F.col("chunk2")).cast("int"))
     met = met.groupBy(F.least("chunk", "chunk2").alias("left"), F.greatest("chunk", "chunk2").alias("right"), "print", "side")
-    met = cut(met.agg(F.count("*").alias("hits"), F.least(F.first("l"), F.min("l2")).alias("least")).filter("hits >= least").drop("hits", "least"))
+    met = cut(met.agg(F.sum("shared").alias("hits"), F.least(F.first("l"), F.min("l2")).alias("least")).filter("hits >= least").drop("hits", "least"))
     told = met.join(of.select("print", "comp"), "print").join(sets.select("print", "n", "tokens", "l", "k"), "print")
     return told.groupBy("left", "right").applyInPandas(_links(sim), "a string, b string")
 
