@@ -87,6 +87,23 @@ def test_sweep_equals_the_join(spark, monkeypatch, mode, stretch):
     assert Counter(map(tuple, told)) == Counter((*k, n) for k, n in counts.items() if n > 1)
 
 
+@pytest.mark.parametrize("stretch", [4096, 20])
+def test_sweep_tells_of_repeated_ids(spark, monkeypatch, stretch):
+    """An entry sees two rows of an id just where ``repeated_versions`` has one, in a hot key cut by day too."""
+    import random
+
+    monkeypatch.setattr(asof, "STRETCH", stretch)
+    rng, hour = random.Random(6), dt.timedelta(hours=6)
+    rows = [(rng.choice(["hot"] * 5 + [f"h{i % 9}"]), f"r{i}", T0 - rng.randrange(80) * hour, asof.PAST, None, None) for i in range(120)]
+    rows += [(*rows[i][:2], T0 - rng.randrange(80) * hour, *rows[i][3:]) for i in range(0, 120, 17)]
+    entries = [(f"e{i}", rng.choice(["hot", f"h{i % 9}", None]), T0 - rng.randrange(80) * hour) for i in range(80)]
+    entries, records = spark.createDataFrame(entries, ENTRIES), spark.createDataFrame(rows, RECORDS)
+    want = {r["entry_id"] for r in asof.repeated_versions(entries, records).collect()}
+    told = asof.latest(entries, records, keep=("record_id",), repeats=True).collect()
+    assert {r["entry_id"] for r in told if r["again"]} == want and 0 < len(want) < len(told) == 80
+    assert all(h.asDict().keys() == {"record_id"} for r in told for h in r["history"] or [])
+
+
 def test_hot_keys_in_buckets(spark):
     """Counts and latest times of a key with most rows, ties and nulls among them, against plain ones."""
     import random

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from tracewell.operators import scan
 from tracewell.plans import catalogue, tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -38,3 +39,15 @@ def test_bands_of_an_order_meet_where_they_lie(spark, monkeypatch):
 def test_bundles_of_one_file_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "BUNDLE_ROWS", 10)
     assert len(sizes(catalogue.bundle_violations(spark, SF))) > 8
+
+
+def test_histories_go_to_their_races_once(spark, monkeypatch):
+    """One exchange by key, one by race for each of runners, corners, laps and conditions; lines aren't read again."""
+    columns = lambda df: Counter(tuple(r) for r in df.collect())
+    want = columns(catalogue.build_examples(spark, SF))
+    monkeypatch.setattr(scan, "PART_ROWS", 100)
+    many = catalogue.build_examples(spark, SF)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert sum("(key#" in x for x in dealt) == 1 and len(dealt) <= 5 and "lineitem.parquet" not in plan
+    assert columns(many) == want and len(sizes(many)) > 4

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.times import days_between, whole_days_between
-from tracewell.operators.scan import running, steps
+from tracewell.operators.scan import dealt, running, steps
 
 #: Kind of record that counts as a past result.
 PAST = "past_result"
@@ -63,25 +63,31 @@ def _placed(records: DataFrame, mode: str) -> DataFrame:
 STRETCH = 4096
 
 
-def swept(entries: DataFrame, records: DataFrame, mode: str, limit: int) -> DataFrame:
+def swept(entries: DataFrame, records: DataFrame, mode: str, limit: int, keep: tuple[str, ...] | None = None, repeats: bool = False) -> DataFrame:
     """Entries with ``seen``: of the records that each sees, the ``limit`` latest as (event_at, id, record), the latest first.
 
     Entries and records of a key lie on one line of time (``_placed``); the latest few of all records up to a place merge
     from those of its parts (``scan.running``), so each row costs a few merges, whatever its key has. Where a key
     has more than STRETCH rows, days are swept apart and what earlier days leave, one row a day, is merged in. Counting the rows of keys is a
-    job of its own. Entries with a null key or as_of see nothing and take no part.
+    job of its own. Entries with a null key or as_of see nothing and take no part. A ``record`` has the columns ``keep`` (all, if there
+    are none); with ``repeats`` an entry also tells whether it sees two rows of an id, however old (``versions``).
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    told = F.struct("event_at", F.col("record_id").cast("string").alias("id"), F.struct(*records.columns).alias("record"))
-    rows = _placed(records, mode).select("key", "at", "phase", F.array(told).alias("seen"), F.lit(None).cast(entries.schema).alias("entry"))
+    told = F.struct("event_at", F.col("record_id").cast("string").alias("id"), F.struct(*(keep or records.columns)).alias("record"))
+    rows = _placed(records, mode).select("key", "at", "phase", told.alias("told"), F.lit(None).cast(entries.schema).alias("entry"))
     whole = entries.filter("key IS NOT NULL AND as_of IS NOT NULL")
-    none = F.array().cast(rows.schema["seen"].dataType)
-    asks = whole.select("key", F.col("as_of").alias("at"), F.lit(1).alias("phase"), none.alias("seen"), F.struct(*entries.columns).alias("entry"))
-    both = asks.unionByName(rows).withColumn("day", F.date_trunc("day", "at"))
+    asks = whole.select("key", F.col("as_of").alias("at"), F.lit(1).alias("phase"), F.lit(None).cast(rows.schema["told"].dataType).alias("told"), F.struct(*entries.columns).alias("entry"))
+    both = asks.unionByName(rows)
 
-    per_day = both.groupBy("key", "day").agg(F.count("*").alias("n"))
-    most = per_day.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("a_day"), F.count("*").alias("days")).agg(F.max("n"), F.max("a_day"), F.max("days")).first()
+    day, order = F.date_trunc("day", "at").alias("day"), ["at", "phase"]
+    n, most = both.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    apart, a_day, days = (most or 0) > STRETCH, most, None
+    if apart:
+        per_day = both.groupBy("key", day).agg(F.count("*").alias("n"))
+        a_day, days = per_day.groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("days")).agg(F.max("n"), F.max("days")).first()
+    else:  # rows go to their key once; windows over the key and over its ids find them there
+        both = dealt(both, n or 0, "key")
 
     def merge(a: Column, b: Column) -> Column:
         # mostly all of the later part happened after all of the earlier one, and nothing is to be sorted
@@ -89,34 +95,46 @@ def swept(entries: DataFrame, records: DataFrame, mode: str, limit: int) -> Data
         every = F.when(after, F.concat(b, a)).otherwise(F.sort_array(F.concat(a, b), False))
         return F.when(F.size(a) == 0, b).when(F.size(b) == 0, a).otherwise(F.slice(every, 1, limit))
 
-    order, apart = ["at", "phase"], (most[0] or 0) > STRETCH
-    done = running(both, ["key", "day"] if apart else ["key"], order, "seen", merge, steps(most[1] if apart else most[0]))
+    keys = ["key", "day"] if apart else ["key"]
+    if repeats:
+        again = F.row_number().over(Window.partitionBy("key", F.col("phase") == 1, "told.id").orderBy(*order)) > 1
+        both = both.withColumn("again", again & (F.col("phase") != 1))
+    none = F.array().cast(f"array<{rows.schema['told'].dataType.simpleString()}>")
+    both = both.withColumns({"day": day, "seen": F.when(F.col("told").isNull(), none).otherwise(F.array("told"))}).drop("told")
+    done = running(both, keys, order, "seen", merge, steps(a_day))
+    if repeats:
+        done = done.withColumn("again", F.max("again").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    extra = ["again"] if repeats else []
     found = done.filter("phase = 1")
     if apart:
         # of a day's last rows at the same place the one that saw the most is the greatest
-        left = done.groupBy("key", "day").agg(F.max(F.struct("at", "phase", "seen"))["seen"].alias("seen"))
-        left = running(left, ["key"], ["day"], "seen", merge, steps(most[2]))
-        left = left.select("key", "day", F.lag("seen").over(Window.partitionBy("key").orderBy("day")).alias("earlier"))
+        left = done.groupBy("key", "day").agg(F.max(F.struct("at", "phase", "seen"))["seen"].alias("seen"), *[F.max(c).alias(c) for c in extra])
+        left = running(left, ["key"], ["day"], "seen", merge, steps(days))
+        w = Window.partitionBy("key").orderBy("day")
+        before = [F.max(c).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{c}_") for c in extra]
+        left = left.select("key", "day", F.lag("seen").over(w).alias("earlier"), *before)
         found = found.join(left, ["key", "day"]).withColumn("seen", F.when(F.col("earlier").isNull(), F.col("seen")).otherwise(merge(F.col("earlier"), F.col("seen"))))
-    blind = entries.filter("key IS NULL OR as_of IS NULL").withColumn("seen", none)
-    return found.select("entry.*", "seen").unionByName(blind)
+        found = found.withColumns({c: F.col(c) | F.coalesce(f"{c}_", F.lit(False)) for c in extra})
+    blind = entries.filter("key IS NULL OR as_of IS NULL").withColumns({"seen": none} | {c: F.lit(False) for c in extra})
+    return found.select("entry.*", "seen", *extra).unionByName(blind)
 
 
-def latest(entries: DataFrame, records: DataFrame, *, mode: str = "retrospective", limit: int = LIMIT, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+def latest(entries: DataFrame, records: DataFrame, *, mode: str = "retrospective", limit: int = LIMIT, lookback_days: int = LOOKBACK_DAYS, keep: tuple[str, ...] | None = None, repeats: bool = False) -> DataFrame:
     """Entries with ``recency_days`` and ``history``, an array of records from old to new.
 
     The history has at most ``limit`` records, the latest, none more than ``lookback_days`` whole
     days old. Recency is the days since the latest record, however old; null if there is none.
-    Ties go by record_id. Rows with a null key or as_of have no history.
+    Ties go by record_id. Rows with a null key or as_of have no history. Records have the columns ``keep`` (all, if there are none);
+    with ``repeats``, ``again`` tells whether an id has two rows among all that the entry may see.
     """
     if limit < 1 or lookback_days < 1:
         raise ValueError("limit and lookback_days must be at least 1")
-    rows = swept(entries, records, mode, limit)
+    rows = swept(entries, records, mode, limit, keep, repeats)
     as_of, any_ = F.col("as_of"), F.size("seen") > 0
     near = F.filter("seen", lambda x: whole_days_between(as_of, x["event_at"]) <= lookback_days)
     recency = F.when(any_, days_between(as_of, F.get("seen", F.lit(0))["event_at"]))
     history = F.when(any_, F.reverse(F.transform(near, lambda x: x["record"])))
-    return rows.select(*entries.columns, recency.alias("recency_days"), history.alias("history"))
+    return rows.select(*entries.columns, recency.alias("recency_days"), history.alias("history"), *(["again"] if repeats else []))
 
 
 def versions(records: DataFrame, mode: str = "retrospective") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import notation
-from tracewell.operators import asof
+from tracewell.operators import asof, scan
 
 #: Columns of an entry that a model may see; an outcome isn't among them.
 ENTRY = ("key", "number", "frame", "sex", "age", "carried", "rider")
@@ -59,7 +59,8 @@ def routes(observed: Column, complete: Column) -> Column:
 
 
 def build(
-    entries: DataFrame, records: DataFrame, corners: DataFrame, laps: DataFrame, races: DataFrame | None = None, *, mode: str = "retrospective", limit: int = asof.LIMIT, lookback_days: int = asof.LOOKBACK_DAYS
+    entries: DataFrame, records: DataFrame, corners: DataFrame, laps: DataFrame, races: DataFrame | None = None, *, mode: str = "retrospective", limit: int = asof.LIMIT, lookback_days: int = asof.LOOKBACK_DAYS,
+    record: tuple[str, ...] = RECORD,
 ) -> DataFrame:
     """One row per race: race_id, flaw, meta, condition, runners (with their histories), corners, laps and routes.
 
@@ -70,31 +71,49 @@ def build(
     train on: ``as_of`` (not one and the same, or not before target_start), ``repeated`` (a key or number twice),
     ``number`` (missing or under 1), ``versions`` (two eligible records of an id, however old), ``notation`` (a corner that
     can't be read; one that is missing may be) or ``roster`` (a corner observes a runner that isn't entered); null if there is none.
+
+    Histories have the columns ``record``, some of the allowed ones. They go to their races once, column by column and without the columns that
+    nobody has; corners, laps and races are dealt likewise, so races meet where their runners lie. Counting the entries is a job of its own.
     """
-    repeated = asof.versions(records, mode).groupBy(F.col("key").alias("_key")).agg(F.min("since").alias("_since"))
-    known = asof.latest(entries, records, mode=mode, limit=limit, lookback_days=lookback_days)
-    known = known.join(repeated, F.col("key") == F.col("_key"), "left")
+    if not set(record) <= set(RECORD):
+        raise ValueError(f"record must be among {RECORD}")
+    held = [c for c in record if c in records.columns] or ["record_id"]
+    own = [c for c in ENTRY if c in entries.columns]
+    asked = ["race_id", "as_of", *own, *[c for c in ("history_complete",) if c in entries.columns]]
+    known = asof.latest(entries.select(*asked), records, mode=mode, limit=limit, lookback_days=lookback_days, keep=tuple(held), repeats=True)
     complete = F.coalesce(F.col("history_complete"), F.lit(False)) if "history_complete" in entries.columns else F.lit(False)
-    history = F.transform("history", lambda r: F.struct(*allowed(records.columns, RECORD, r)))
-    size = F.size(F.coalesce("history", F.array()))
-    twice = F.col("_since") < F.struct(F.col("as_of").alias("at"), F.lit(1).alias("phase"))
-    runner = F.struct(F.col("number").alias("at"), F.struct(*allowed(entries.columns), size.alias("history_count"), "recency_days", complete.alias("history_complete"), history.alias("history")).alias("runner"))
+
+    def column(c: str) -> Column:
+        return F.transform("history", lambda r: r[c]).alias(c)
+
+    n = entries.count()
+    told = F.struct(F.col("number").alias("at"), *own, "recency_days", complete.alias("history_complete"), F.struct(*[column(c) for c in held]).alias("columns"))
+    known = scan.dealt(known.select("race_id", "as_of", "again", told.alias("r")), n, "race_id")
     x = known.groupBy("race_id").agg(
-        F.sort_array(F.collect_list(runner)).alias("r"),
-        F.sort_array(F.collect_list(F.col("number").cast("int"))).alias("roster"),
+        F.sort_array(F.collect_list("r")).alias("r"),
         F.min("as_of").alias("as_of"),
         (F.min("as_of").eqNullSafe(F.max("as_of")) & (F.count("as_of") == F.count("*"))).alias("one_as_of"),
-        F.size(F.collect_set("key")).alias("n_keys"),
         F.count("*").alias("n"),
-        F.max(F.coalesce(twice, F.lit(False))).alias("versions"),
+        F.max("again").alias("versions"),
     )
+    present = lambda xs: F.filter(xs, lambda v: v.isNotNull())
+    roster = F.array_sort(present(F.transform("r", lambda a: a["at"].cast("int"))))
+    x = x.withColumns({"roster": roster, "n_keys": F.size(F.array_distinct(present(F.transform("r", lambda a: a["key"]))))})
+
+    def runner(a: Column) -> Column:
+        rows = F.arrays_zip(*[a["columns"][c].alias(c) for c in held])
+        history = F.transform(rows, lambda r: F.struct(*allowed(held, record, r)))
+        size = F.size(F.coalesce(rows, F.array()))
+        return F.struct(*allowed(own, ENTRY, a), size.alias("history_count"), a["recency_days"].alias("recency_days"), a["history_complete"].alias("history_complete"), history.alias("history"))
+
     told = [(F.col(c) if c in corners.columns else F.lit(None)).cast("string").alias(c) for c in ("checkpoint", "source_id")]
     corner = F.struct(F.col("seq").cast("int").alias("seq"), "notation", *told)
-    y = corners.groupBy("race_id").agg(F.sort_array(F.collect_list(corner)).alias("c"))
-    rows = x.join(y, "race_id", "left").join(laps, "race_id", "left")
+    y = scan.dealt(corners.select("race_id", corner.alias("c")), n, "race_id").groupBy("race_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    rows = x.join(y, "race_id", "left").join(scan.dealt(laps, n, "race_id"), "race_id", "left")
     named = [] if races is None else races.columns
     told = entries.select("race_id").limit(0).withColumn("target_start", F.lit(None).cast("timestamp")) if races is None else races
-    rows = rows.join(told.select("race_id", "target_start", F.struct(*allowed(named, CONDITION)).alias("condition")), "race_id", "left")
+    conditions = scan.dealt(told.select("race_id", "target_start", *[c for c in CONDITION if c in named]), n, "race_id")
+    rows = rows.join(conditions.select("race_id", "target_start", F.struct(*allowed(named, CONDITION)).alias("condition")), "race_id", "left")
     none = F.array().cast("array<struct<seq: int, notation: string, checkpoint: string, source_id: string>>")
     fields = ("observed", "flaw", "full_roster", "pairs", "unobserved", "numbers", "groups")
 
@@ -113,4 +132,4 @@ def build(
         .when(F.exists("corners", lambda c: c["flaw"] == "roster"), "roster")
     )
     meta = F.struct("target_start", "as_of", F.lit(mode).alias("mode"))
-    return rows.select("race_id", flaw.alias("flaw"), meta.alias("meta"), "condition", F.transform("r", lambda a: a["runner"]).alias("runners"), "corners", F.struct("complete", "seconds", "ends").alias("laps"), routes(F.col("corners"), F.col("complete")).alias("routes"))
+    return rows.select("race_id", flaw.alias("flaw"), meta.alias("meta"), "condition", F.transform("r", runner).alias("runners"), "corners", F.struct("complete", "seconds", "ends").alias("laps"), routes(F.col("corners"), F.col("complete")).alias("routes"))

@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 Merge = Callable[[Column, Column], Column]
 
 
+#: Rows that a task takes of a table dealt by key: what it sorts and groups stays the same however large the table is.
+PART_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, n: int, *keys: str, part_rows: int | None = None) -> DataFrame:
+    """``rows``, all of a key in one partition, in as many partitions as ``n`` rows ask for, ``spark.sql.shuffle.partitions`` at least."""
+    parts = -(-n // (part_rows or PART_ROWS))
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+
+
 def steps(rows: int | None) -> int:
     """How often spans must double to cover so many rows."""
     return max((rows or 1) - 1, 0).bit_length()

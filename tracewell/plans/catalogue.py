@@ -14,7 +14,7 @@ from tracewell.functions.times import micros
 from tracewell.operators import asof, contract, examples, gate, json_schema, ledger, manifest, merkle, versions
 from tracewell.operators.bundle_schema import bundle_sha256, document
 from tracewell.plans.samples import BROKEN, SOUND
-from tracewell.plans.tables import attempts, claims, dealt, lines, notations, order_entries, order_records, table
+from tracewell.plans.tables import attempts, claims, dealt, lines, notations, order_entries, order_records, races, table
 from tracewell.session import scratch
 from tracewell.sources import parsing, readers
 from tracewell.sources.readers import checked_blobs
@@ -272,12 +272,13 @@ def training_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _example_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
-    own = lines(spark, sf_dir)
-    entries = own.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    entries = entries.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("entry_id"), F.col("l_orderkey").alias("race_id"), F.col("partkey").alias("key"), F.col("l_linenumber").alias("number"), F.col("o_orderdate").alias("as_of"), F.col("qty").alias("finish_rank"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    written = races(spark, sf_dir)
+    own = written.select("l_orderkey", "dates", F.explode("lines").alias("l")).select("l_orderkey", "dates", "l.*")
+    entries = own.select("*", F.explode("dates").alias("o"))
+    entries = entries.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("entry_id"), F.col("l_orderkey").alias("race_id"), F.col("partkey").alias("key"), F.col("l_linenumber").alias("number"), F.col("o.o_orderdate").alias("as_of"), F.col("qty").alias("finish_rank"))
     records = own.select(F.col("partkey").alias("key"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("record_id"), F.col("ship").alias("event_at"), F.lit(asof.PAST).alias("kind"), F.col("ship").alias("available_at"), F.col("ship").alias("collected_at"))
-    corners = notations(spark, sf_dir).select(F.col("l_orderkey").alias("race_id"), F.lit(1).alias("seq"), "notation")
+    corners = written.select(F.col("l_orderkey").alias("race_id"), F.lit(1).alias("seq"), "notation")
     laps = orders.select(F.col("o_orderkey").alias("race_id"), (F.col("o_orderstatus") == "F").alias("complete"), F.lit(None).cast("array<double>").alias("seconds"), F.lit(None).cast("array<int>").alias("ends"))
     return entries, records, corners, laps
 
@@ -305,12 +306,12 @@ def build_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A tenth of the corners can't be read. ``corner``: checkpoint, source, flaw, numbers observed, groups with their leaders, numbers not observed.
     """
-    races = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("race_id"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(1))).alias("target_start"), F.col("o_orderpriority").alias("course"), F.col("o_totalprice").alias("outcome"))
+    conditions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("race_id"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(1))).alias("target_start"), F.col("o_orderpriority").alias("course"), F.col("o_totalprice").alias("outcome"))
     entries, records, corners, laps = _example_inputs(spark, sf_dir)
     broken = F.when(F.col("race_id") % 10 == 3, F.concat("notation", F.lit(","))).otherwise(F.col("notation"))
     source = F.when(F.col("race_id") % 5 > 0, F.concat(F.lit("s"), F.col("race_id") % 5))
     corners = corners.withColumns({"notation": broken, "checkpoint": F.lit("C1"), "source_id": source})
-    rows = examples.build(entries, records, corners, laps, races)
+    rows = examples.build(entries, records, corners, laps, conditions, record=("record_id",))
     none = F.array().cast("array<string>")
     plus = lambda xs: F.array_join(F.coalesce(F.transform(xs, lambda x: x.cast("string")), none), "+")
     told = F.transform("runners", lambda r: F.concat_ws("|", r["number"], r["history_count"], F.coalesce(r["recency_days"].cast("bigint").cast("string"), F.lit("")), plus(F.transform(r["history"], lambda x: x["record_id"]))))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators import scan
 from tracewell.operators.asof import PAST
+from tracewell.session import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +27,12 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("record_id"), F.col("o_orderdate").alias("event_at"), kind.alias("kind"), "available_at", (F.col("available_at") + F.make_dt_interval(F.lit(1))).alias("collected_at"))
 
 
-#: Rows that a task takes of a table dealt by key: what it sorts and groups stays the same however large the table is.
-PART_ROWS = 500_000
+PART_ROWS = scan.PART_ROWS
 
 
 def dealt(rows: DataFrame, *keys: str, part_rows: int | None = None) -> DataFrame:
-    """``rows`` of a table, all of a key in one partition, in as many partitions as their number asks for, ``spark.sql.shuffle.partitions`` at least."""
-    parts = -(-rows.count() // (part_rows or PART_ROWS))
-    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+    """``rows`` of a table, all of a key in one partition, in as many partitions as their number asks for (``scan.dealt``)."""
+    return scan.dealt(rows, rows.count(), *keys, part_rows=part_rows or PART_ROWS)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +41,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(rows, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("ship"), F.max("l_quantity").alias("qty"), F.min("l_partkey").alias("partkey"))
 
 
-def notations(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
-    """Orders with a notation of their lines: grouped by time of shipping, the largest quantity leads."""
-    member = F.struct("l_linenumber", "qty")
+def notations(spark: SparkSession, sf_dir: str, unit: str = "week", *more: str) -> DataFrame:
+    """Orders with a notation of their lines: grouped by time of shipping, the largest quantity leads.
+
+    With columns of ``lines`` as ``more`` there are also the ``lines``, an array of l_linenumber, qty and these.
+    """
+    member = F.struct("l_linenumber", "qty", *more)
     per = lines(spark, sf_dir).groupBy("l_orderkey", F.date_trunc(unit, "ship").alias("at")).agg(
         F.min("ship").alias("first_ship"),
         F.sort_array(F.collect_list(member)).alias("m"),
@@ -56,7 +59,21 @@ def notations(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame
     per = per.withColumn("part", F.concat(sign, text))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])
     numbers = F.array_sort(F.flatten(F.collect_list(F.transform("m", lambda x: x["l_linenumber"]))))
-    return per.groupBy("l_orderkey").agg(F.array_join(ordered, "").alias("notation"), numbers.alias("numbers"))
+    own = [F.flatten(F.collect_list("m")).alias("lines")] if more else []
+    return per.groupBy("l_orderkey").agg(F.array_join(ordered, "").alias("notation"), numbers.alias("numbers"), *own)
+
+
+def races(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, notation, lines, dates) of orders: lines with what was shipped when, ``dates`` with o_orderdate (null: no such order).
+
+    Written once, a row an order: what examples take of lines comes from here, not from ``lineitem`` again.
+    """
+    dates = table(spark, sf_dir, "orders").groupBy("o_orderkey").agg(F.collect_list(F.struct("o_orderdate")).alias("dates"))
+    own = notations(spark, sf_dir, "week", "ship", "partkey").select("l_orderkey", "notation", "lines")
+    rows = own.join(dates, F.col("l_orderkey") == F.col("o_orderkey"), "left").drop("o_orderkey")
+    place = scratch(spark, "races")
+    rows.write.parquet(place)
+    return spark.read.schema(rows.schema).parquet(place)
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
