@@ -1,8 +1,11 @@
 """Timers: what a gate says when nothing arrives."""
 
 import datetime as dt
+import json
 from collections import Counter
+from types import SimpleNamespace
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tests.test_gate import POLICY, SCHEMA, T, event
@@ -73,3 +76,47 @@ def test_the_same_as_the_batch_fold(spark):
 def test_empty_stream(spark):
     assert streamed(spark, [[]]) == [[]]
     assert spark.conf.get(wakeups.STORE[0], "") != wakeups.STORE[1] and F is not None
+
+
+class Handle:
+    """A state of one value and a set of timers that count how often they are called."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.remove(ms)
+
+
+def test_calls_to_the_state_do_not_grow_with_events():
+    """A key's batch costs at most four calls, its due alarms three, whatever it has; one timer is set, the earliest alarm's."""
+    handle, told = Handle(), []
+    gates = wakeups.Wakeups(POLICY)
+    gates.init(handle)
+    watermark = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    for batch in range(2):
+        at = lambda i: (batch * 100 + i) * 1_000_000
+        events = [{"event_id": i, "seq": i, "at": at(i), "action": "enqueue", "task_id": i, "priority": 0, "token": -1, "retry_at": at(1000 - i)} for i in range(100)]
+        handle.calls = 0
+        told += gates.handleInputRows((1,), iter([Row(event=json.dumps(e)) for e in reversed(events)]), watermark(0))
+        assert handle.calls <= 4 and len(handle.timers) == 1
+    assert [r.state for r in told] == ["ENQUEUED"] * 200 and handle.timers == {901_000}
+    handle.calls = 0
+    due = list(gates.handleExpiredTimer((1,), watermark(950_500), SimpleNamespace(getExpiryTimeInMs=lambda: 901_000)))
+    assert handle.calls <= 3 and len(due) == 50 and max(r.at for r in due) == 950_000_000 and 951_000 in handle.timers

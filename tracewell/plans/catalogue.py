@@ -590,10 +590,10 @@ def wakeups_by_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, place = wakeups.session(spark), scratch(spark, "wakeups")
     events = gate_events(table(spark, sf_dir, "events"))
     middle = events.selectExpr("percentile_approx(seq, 0.5) AS m").first()["m"]
-    for part in (F.col("seq") < (middle or 0), F.col("seq") >= (middle or 0)):  # files are read in the order in which they came
-        events.filter(part).coalesce(1).write.mode("append").parquet(f"{place}/in")
-    out = wakeups.woken(own.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in"), NARROW)
-    out.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start(f"{place}/out").awaitTermination()
+    for part in (F.col("seq") < (middle or 0), F.col("seq") >= (middle or 0)):  # the stream goes on where it stopped
+        events.filter(part).write.mode("append").parquet(f"{place}/in")
+        out = wakeups.woken(own.readStream.schema(events.schema).parquet(f"{place}/in"), NARROW)
+        out.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start(f"{place}/out").awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{place}/out").select("key", "event_id", "at", "action", "state", "task_id")
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,9 +16,10 @@ from tracewell.operators.ledger import SECOND, Policy
 
 #: The state store that timers need.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-#: What a timer says: a task may be claimed, a gate may be asked again.
-READY, OPEN = "READY", "OPEN"
-CONTROL = "approved boolean, paused string, active array<bigint>, clock bigint, next_at bigint, used bigint, recent array<bigint>"
+#: What a timer says: a gate may be asked again, a task may be claimed.
+OPEN, READY = TOLD = "OPEN", "READY"
+#: A key's state: its gate, its open tasks (task, ready_at, priority, attempts) and its alarms (time, place in TOLD, task).
+CONTROL = "approved boolean, paused string, active array<bigint>, clock bigint, next_at bigint, used bigint, recent array<bigint>, tasks array<array<bigint>>, alarms array<array<bigint>>"
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -30,6 +31,11 @@ def session(spark: SparkSession) -> SparkSession:
     return own
 
 
+#: An event's texts where it has none; a row that is told.
+NO_TEXT = dict.fromkeys(("seq", "action", "outcome", "raw_ref", "note"))
+Told = Row(*[c.split()[0] for c in gate.OUT.split(", ")])
+
+
 def opening(policy: Policy, at: int) -> int:
     """The first time from ``at`` on that lies within the hours."""
     day, hour = (at + gate.SHIFT) // DAY_US, (at + gate.SHIFT) % DAY_US // (3600 * SECOND)
@@ -46,8 +52,17 @@ def alarms(policy: Policy, e: dict, told: tuple) -> list[tuple[int, str, int]]:
     return [(opening(policy, next_at), OPEN, -1)]
 
 
+def due(at: int) -> int:
+    """Milliseconds of a time: timers go by these, and none goes off too early."""
+    return -(-at // 1000)
+
+
 class Wakeups(StatefulProcessor):
-    """A key's gate as a small value, each open task and each alarm as an entry of its own."""
+    """A key's gate, open tasks and alarms as one value, with one timer for the earliest alarm.
+
+    Each call to the state costs far more than a step of a gate, so their number goes by keys and batches, not by
+    events or alarms: the value is read once and written once.
+    """
 
     def __init__(self, policy: Policy) -> None:
         self.policy = policy
@@ -55,55 +70,47 @@ class Wakeups(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.control = handle.getValueState("control", CONTROL)
-        self.tasks = handle.getMapState("tasks", "task bigint", "ready_at bigint, priority bigint, attempts bigint")
-        self.alarms = handle.getMapState("alarms", "ms bigint", "at array<bigint>, what array<string>, task array<bigint>")
 
-    def loaded(self) -> tuple[gate.Gate, dict[int, tuple]]:
-        held = gate.Gate(*[list(v) if isinstance(v, (list, tuple)) else v for v in self.control.get()]) if self.control.exists() else gate.Gate()
-        tasks = {int(k[0]): tuple(map(int, v)) for k, v in self.tasks.iterator()}
-        held.waiting = [[ready, priority, task, n] for task, (ready, priority, n) in tasks.items()]
+    def loaded(self) -> tuple[gate.Gate, list[list[int]]]:
+        control = self.control.get()
+        if control is None:
+            return gate.Gate(), []
+        *plain, tasks, later = control
+        held = gate.Gate(*[list(v) if isinstance(v, (list, tuple)) else v for v in plain])
+        held.waiting = [[ready, priority, task, n] for task, ready, priority, n in tasks]
         heapq.heapify(held.waiting)
-        return held, tasks
-
-    def saved(self, held: gate.Gate, before: dict[int, tuple]) -> None:
-        """Write what has changed: a task that was taken, put back or added; the rest stays as it is."""
-        now = {task: (ready, priority, n) for ready, priority, task, n in held.waiting}
-        now |= {task: before.get(task, (0, 0, 0))[:1] + (priority, n) if task in before else (0, priority, n) for priority, task, n in held.ready}
-        for task in before.keys() - now.keys():
-            self.tasks.removeKey((task,))
-        for task, entry in now.items():
-            if before.get(task) != entry:
-                self.tasks.updateValue((task,), entry)
-        self.control.update((held.approved, held.paused, held.active, held.clock, held.next_at, held.used, held.recent))
-
-    def set(self, at: int, what: str, task: int) -> None:
-        """An alarm at microseconds; timers go by milliseconds, and none goes off too early."""
-        ms = -(-at // 1000)
-        held = self.alarms.getValue((ms,)) if self.alarms.containsKey((ms,)) else ([], [], [])
-        self.alarms.updateValue((ms,), ([*held[0], at], [*held[1], what], [*held[2], task]))
-        self.handle.registerTimer(ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held, before = self.loaded()
-        out = []
-        for e in gate.records(pd.concat(list(rows)).sort_values(["seq", "event_id"], kind="stable")):
+        return held, [list(a) for a in later]
+
+    def saved(self, held: gate.Gate, later: list[list[int]]) -> None:
+        """A task that is ready stays so: its time counts no more."""
+        tasks = [[task, ready, priority, n] for ready, priority, task, n in held.waiting] + [[task, 0, priority, n] for priority, task, n in held.ready]
+        self.control.update((held.approved, held.paused, held.active, held.clock, held.next_at, held.used, held.recent, tasks, later))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        (held, later), out, new = self.loaded(), [], []
+        events = [NO_TEXT | {"key": int(key[0])} | json.loads(r["event"]) for r in rows]
+        for e in sorted(events, key=lambda e: (e["seq"] is None, e["seq"], e["event_id"])):
             told = held.step(self.policy, e)
-            out.append((e["key"], e["event_id"], e["at"], e["action"], e["note"], *told))
-            for alarm in alarms(self.policy, e, told):
-                self.set(*alarm)
+            out.append(Told(e["key"], e["event_id"], e["at"], e["action"], e["note"], *told))
+            new += alarms(self.policy, e, told)
             if told[0] == "PENDING":  # tried again, when the task may be
-                again = next(w[0] for w in held.waiting if w[2] == told[2])
-                self.set(again, READY, told[2])
-        self.saved(held, before)
-        yield gate.frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.alarms.containsKey((ms,)):
-            return
-        at, what, task = self.alarms.getValue((ms,))
-        self.alarms.removeKey((ms,))
-        yield gate.frame([(int(key[0]), None, int(t), "timer", None, w, None, None if n < 0 else int(n), None, None) for t, w, n in zip(at, what, task)])
+                new.append((next(w[0] for w in held.waiting if w[2] == told[2]), READY, told[2]))
+        if new:
+            first, timer = due(min(new)[0]), due(min(later)[0]) if later else None
+            if timer is None or first < timer:
+                self.handle.registerTimer(first)
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+        self.saved(held, later + [[at, TOLD.index(what), task] for at, what, task in new])
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now, (*plain, later) = timerValues.getCurrentWatermarkInMs(), self.control.get()
+        left = [list(a) for a in later if due(a[0]) > now]
+        self.control.update((*plain, left))
+        if left:
+            self.handle.registerTimer(due(min(left)[0]))
+        return iter([Told(int(key[0]), None, at, "timer", None, TOLD[what], None, None if task < 0 else task, None, None) for at, what, task in later if due(at) <= now])
 
     def close(self) -> None:
         pass
@@ -115,9 +122,11 @@ def woken(events: DataFrame, policy: Policy = Policy(), late: str = "2 hours") -
     A task is READY at its ready time, if that lay ahead when it was enqueued or put back. A gate is OPEN at the first
     time within its hours from next_at on, after each end. Rows are told once the watermark, ``late`` behind the latest event, has passed their
     time, whether or not the key has events. Events later than the watermark are dropped, so ``late`` must cover them. The stream must be of
-    a session whose state store has timers (``session``). State: a small value a key, an entry a task, an entry a time of alarms. A
-    key's events of a micro-batch are in memory together: bound it by ``maxFilesPerTrigger``.
+    a session whose state store has timers (``session``). State: a value a key, with its open
+    tasks and alarms, and one timer. A key's events of a micro-batch are in memory together: bound it by ``maxFilesPerTrigger``.
     """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     rows = gate.prepared(timed, "ts")
-    return rows.groupBy("key").transformWithStateInPandas(Wakeups(policy), gate.OUT, "Append", "EventTime")
+    # rows go to Python value by value: an event is one
+    rows = rows.select("key", "ts", F.to_json(F.struct(*[c for c in rows.columns if c not in ("key", "ts")])).alias("event"))
+    return rows.groupBy("key").transformWithState(Wakeups(policy), gate.OUT, "Append", "EventTime")
