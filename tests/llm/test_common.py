@@ -43,3 +43,11 @@ def test_shingles_and_words():
     assert len(common.shingle_set([], 4, seen)) == 0 and len(common.shingle_set([b"a", b"b"], 4, seen)) == 1
     assert len(common.shingle_set([b"a"] * 10, 4, seen)) == 1 and len(common.shingle_set([b"a", b"b", b"c", b"d", b"e"], 4, seen)) == 2
     assert (common.shingle_set([b"a", b"b"], 4, seen) != common.shingle_set([b"b", b"a"], 4, seen)).any()
+
+
+def test_arrow_batches_of_long_texts_stay_small(spark):
+    """A batch of 4 MB and the row that fills it at most; it was 12 MB, and a worker held ten times that."""
+    common.batches(spark)
+    df = spark.range(0, 96, 1, 1).selectExpr("repeat(char(97 + id % 26), 1 << 18) AS text")
+    sizes = df.mapInPandas(lambda it: (pdf.assign(n=pdf["text"].str.len().sum())[["n"]][:1] for pdf in it), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 96 << 18 and max(r["n"] for r in sizes) <= (4 << 20) + (1 << 18)

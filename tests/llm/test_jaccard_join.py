@@ -1,11 +1,13 @@
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm.data import DOCS, frame, messy
 from tracewell.llm import common
-from tracewell.llm.jaccard_join import Similarity, _prefix, jaccard_components, keep_one, links
+from tracewell.llm.jaccard_join import Similarity, _pack, _prefix, _shared, jaccard_components, keep_one, links
 
 
 def shingles(text, size):
@@ -92,3 +94,24 @@ def test_links_skip_what_is_joined():
     sets = [np.arange(20, dtype=np.uint64)] * 3
     assert len(links(Similarity(), [20] * 3, sets, [1] * 3, [5] * 3, [0, 1, 2], None)) == 2
     assert links(Similarity(), [20] * 3, sets, [1] * 3, [5] * 3, ["a", "a", "a"], None) == []
+
+
+def test_a_bucket_of_tokens_takes_bounded_memory():
+    """Parts of a bucket give their tokens of two sets or more, in under 48 bytes a token beside the parts."""
+    rng, n = np.random.default_rng(5), 40_000
+    parts = [rng.choice(200_000, n, replace=False).astype(np.uint64) for _ in range(16)]
+    rows = [(3, b, False, _pack(x, np.ones(n, np.uint32), np.arange(n, dtype=np.uint16))) for b, x in enumerate(parts)]
+    pdf = pd.DataFrame([(3, 0, True, b"head"), *rows], columns=["bucket", "batch", "head", "data"])
+    tracemalloc.start()
+    got = _shared(pdf)
+    peak = tracemalloc.get_traced_memory()[1] - got["data"].str.len().sum()
+    tracemalloc.stop()
+    assert peak < 48 * 16 * n
+    total = np.bincount(np.concatenate(parts).astype(np.int64))
+    assert got["batch"].tolist() == [0, *range(16)] and got["data"].iloc[0] == b"head"
+    for x, d in zip(parts, got["data"].iloc[1:]):
+        k = int(np.frombuffer(d, "<u4", 1)[0])
+        at = np.flatnonzero(total[x.astype(np.int64)] > 1)
+        assert (np.frombuffer(d, "<u8", k, 4) == (x[at] | np.uint64(3 << 40))).all()
+        assert (np.frombuffer(d, "<u4", k, 4 + 8 * k) == total[x[at].astype(np.int64)]).all()
+        assert (np.frombuffer(d, "<u4", k, 4 + 13 * k) == at).all()

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
-#: Arrow batches handed to Python stay near this size whatever the rows' length.
-BATCH_BYTES = 12 << 20
+#: Arrow batches handed to Python stay near this size whatever the rows' length: a worker holds some ten times as much.
+BATCH_BYTES = 4 << 20
 #: Text bytes in a shard: what one Python task holds at a time.
 SHARD_BYTES = 6 << 20
 

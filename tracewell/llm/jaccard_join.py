@@ -144,21 +144,24 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     out = [(b, True, d) for b, d, h in zip(pdf["batch"], pdf["data"], pdf["head"]) if h]
     rest = pdf[~pdf["head"]]
     if len(rest):
-        parts = [_unpack(d) for d in rest["data"]]
-        tokens, inside = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        order = np.argsort(tokens)
+        tokens, inside, own = (np.concatenate(x) for x in zip(*map(_unpack, rest["data"])))
+        order = np.argsort(tokens).astype(np.uint32)
         ordered = tokens[order]
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])).astype(np.uint32)
+        del ordered  # a bucket's arrays are large, as a batch's are
+        sums, repeats = np.add.reduceat(inside[order], first), np.diff(np.append(first, np.uint32(len(tokens))))
         counts = np.empty(len(tokens), np.uint32)
-        counts[order] = np.repeat(np.add.reduceat(inside[order], first), np.diff(np.append(first, len(tokens))))
-        high, at = _U(int(pdf["bucket"].iloc[0]) << LOW_BITS), 0
-        for batch, (low, n, own) in zip(rest["batch"], parts):
-            total = counts[at : at + len(low)]
-            at += len(low)
+        counts[order] = np.repeat(sums, repeats)
+        del order, first, sums, repeats
+        high, at, own_at = _U(int(pdf["bucket"].iloc[0]) << LOW_BITS), 0, 0
+        for batch, data in zip(rest["batch"], rest["data"]):
+            s = slice(at, at + int(np.frombuffer(data, "<u4", 1)[0]))
+            low, n, total, at = tokens[s], inside[s], counts[s], s.stop
+            listed = np.where(n > OFTEN, 0, n).astype(np.int64)
+            begin, own_at = np.cumsum(listed) - listed + own_at, own_at + int(listed.sum())
             k = np.flatnonzero(total > 1)
             if len(k):
-                listed = np.where(n > OFTEN, 0, n).astype(np.int64)
-                mine = own[_slices((np.cumsum(listed) - listed)[k], listed[k])]
+                mine = own[_slices(begin[k], listed[k])]
                 out.append((batch, False, np.array([len(k)], "<u4").tobytes() + (low[k] | high).tobytes() + total[k].tobytes() + listed[k].astype(np.uint8).tobytes() + mine.tobytes()))
     return pd.DataFrame(out, columns=["batch", "head", "data"])
 
