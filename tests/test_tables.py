@@ -27,6 +27,19 @@ def test_lines_are_dealt_by_their_number(spark, monkeypatch):
     assert max(sizes(tables.lines(spark, SF))) < 300
 
 
+def test_adaptive_plans_do_not_merge_what_is_dealt(spark, monkeypatch):
+    """Also where Spark's own number of partitions is larger than the rows ask for; a small table's may be merged."""
+    monkeypatch.setattr(tables, "PART_ROWS", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.range(2_000).withColumnRenamed("id", "key")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        assert max(sizes(tables.dealt(rows, "key").groupBy("key").count())) <= 100
+        assert sum(sizes(tables.dealt(rows.limit(90), "key").groupBy("key").count())) == 90
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_bands_of_an_order_meet_where_they_lie(spark, monkeypatch):
     """Nothing is dealt anew by runner."""
     monkeypatch.setattr(tables, "PART_ROWS", 100)

@@ -20,9 +20,13 @@ PART_ROWS = 500_000
 
 
 def dealt(rows: DataFrame, n: int, *keys: str, part_rows: int | None = None) -> DataFrame:
-    """``rows``, all of a key in one partition, in as many partitions as ``n`` rows ask for, ``spark.sql.shuffle.partitions`` at least."""
+    """``rows``, all of a key in one partition, in as many partitions as ``n`` rows ask for, ``spark.sql.shuffle.partitions`` at least.
+
+    Their number is told to Spark unless one part may hold all rows: else an adaptive plan would merge small partitions, by
+    their compressed bytes, into tasks of many times ``part_rows``.
+    """
     parts = -(-n // (part_rows or PART_ROWS))
-    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+    return rows.repartition(max(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys) if parts > 1 else rows.repartition(*keys)
 
 
 def steps(rows: int | None) -> int:
