@@ -40,6 +40,21 @@ def test_adaptive_plans_do_not_merge_what_is_dealt(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_rank_bands_stay_as_dealt(spark, monkeypatch):
+    """Also where Spark's own number of partitions is larger than the lines ask for; the rows are the same."""
+    want = Counter(tuple(r) for r in catalogue.rank_bands(spark, SF).collect())
+    monkeypatch.setattr(tables, "PART_ROWS", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "80")
+        assert tables.table(spark, SF, "lineitem").count() < 80 * 100
+        many = catalogue.rank_bands(spark, SF)
+        assert max(sizes(many)) < 300
+        assert Counter(tuple(r) for r in many.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_bands_of_an_order_meet_where_they_lie(spark, monkeypatch):
     """Nothing is dealt anew by runner."""
     monkeypatch.setattr(tables, "PART_ROWS", 100)
