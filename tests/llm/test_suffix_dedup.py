@@ -1,12 +1,14 @@
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm.data import DOCS, frame, messy
 from tracewell.llm import suffix_dedup
-from tracewell.llm.suffix_dedup import LAST, merge, remove_repeats, transforms
+from tracewell.llm.suffix_dedup import LAST, Scanner, _keyed, _meet, _sent, _transformed, merge, remove_repeats, transforms
 
 
 def brute(rows, match):
@@ -63,6 +65,60 @@ def test_hot_anchors_are_given_up(spark, monkeypatch):
     assert len(seen) > 1 and len(seen[-1]) > 0
 
 
+@pytest.mark.parametrize("early", [0, 1 << 30])
+def test_hot_anchors_are_found_at_once(spark, monkeypatch, early):
+    """Long phrases in all documents have a hot anchor behind each one that is given up: segments aren't sent again for each."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    monkeypatch.setattr(suffix_dedup, "EARLY", early)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrases = [word(70) for _ in range(4)]
+    rows = [(i, word(40) + rng.choice(phrases) + word(60) + rng.choice(phrases)) for i in range(150)]
+    rows += [(200 + i, rows[i][1][30:150]) for i in range(10)]
+    seen = []
+    scan = suffix_dedup._sent
+    monkeypatch.setattr(suffix_dedup, "_sent", lambda m, b, hot: seen.append(hot.value) or scan(m, b, hot))
+    assert got(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 50)
+    assert len(seen) == (2 if early else 1) and len(seen[-1]) > 0
+
+
+@pytest.mark.parametrize("match", [50, 24, 9])
+def test_contexts_are_those_of_windows(monkeypatch, match):
+    """Of each place: what lies in windows over it, within its document, wherever texts are cut."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab") for _ in range(n)).encode() for n in (0, 8, 9, 49, 50, 51, 130, 400)] + [b"ab" * 90]
+    k = min(suffix_dedup.ANCHOR, match)
+    r = match - k
+    want = Counter((t[i : i + k], t[max(0, i - r) : i + k + r]) for t in texts if len(t) >= match for i in range(len(t) - k + 1))
+    scanner = Scanner(match)
+    anchor, context = scanner.contexts(texts, 1)
+    assert sorted(Counter(zip(anchor.tolist(), context.tolist())).values()) == sorted(want.values())
+    few = scanner.contexts(texts, 4)
+    assert set(zip(*(x.tolist() for x in few))) == {(a, c) for a, c in zip(anchor.tolist(), context.tolist()) if c >> 62 == 0}
+    # segments go by the same names
+    s = _keyed(Scanner(match).segments(texts), 1)
+    assert set((s["low"] | s["bucket"].astype(np.uint64) << np.uint64(40)).tolist()) <= set(anchor.tolist())
+
+
+def test_transforms_of_many_buckets_go_in_parts(monkeypatch):
+    """The same transforms however few bytes are taken at a time; ids of any range come through."""
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abcd ") for _ in range(300)) for _ in range(20)]
+    texts += [t[50:250] for t in texts]
+    ids = np.array([(-1) ** i * i * (1 << 40) + i for i in range(40)], np.int64)
+    docs, hot = pd.DataFrame({"shard": 3, "id": ids, "text": texts}), SimpleNamespace(value=None)
+    sent = _sent(50, 7, hot)(docs)
+    met = pd.concat([_meet(x, 1_000) for _, x in sent.groupby("bucket")])
+    out = []
+    for most in (1, 4_000, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "TRANSFORM_BYTES", most)
+        rows = _transformed(50, 7, hot)(docs, met)
+        out.append(sorted(map(tuple, rows.to_numpy().tolist())))
+    assert len(out[0]) == 7 and out[0] == out[1] == out[2]
+    assert set(np.frombuffer(b"".join(r[3] for r in out[0]), np.int64).tolist()) <= set(ids.tolist())
+
+
 def test_missing_and_repeated_ids_are_spread(spark):
     """Rows without an id, or of one id, lie in many shards and still are one document to each other."""
     rng = random.Random(9)

@@ -7,7 +7,8 @@ segment. The steps, each a Spark job over all rows:
 1. Shards of documents send (anchor, segment hash, smallest doc_id) to buckets of anchors. Where
    one document only has an anchor, none of its windows repeats. Of the others, each distinct
    segment is asked of the shard that holds its smallest document. Anchors that have very many
-   segments are given up for others, so no bucket takes a large part of all.
+   segments are given up for others, so no bucket takes a large part of all; all pieces that could
+   become such anchors are found at once, by the contexts they stand in.
 2. Shards sort the rotations of the segments asked for and send their transforms by bucket.
 3. Each bucket merges its transforms: the interleave of their suffixes is refined round by round
    through the LF mapping, which also tells where neighbours first differ. Suffixes whose first
@@ -17,7 +18,7 @@ segment. The steps, each a Spark job over all rows:
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,17 +26,22 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import batches, cut, known_id, mix, null_ids, release, text_or_empty
+from tracewell.llm.common import batches, cut, discard, known_id, mix, null_ids, release, text_or_empty, written
 
 #: Bytes of an anchor.
 ANCHOR = 24
 #: Windows that are scanned at a time; longer documents are cut there.
 PIECE = 1 << 15
 #: Text bytes of a shard and of a bucket of anchors.
-SHARD_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
-#: Segments that an anchor may have, or one in 2^24 of all bytes if that is more (so hot anchors are a few
-#: 100 000 at most).
+SHARD_BYTES, BUCKET_BYTES = 6 << 20, 4 << 20
+#: Bytes of strings that are transformed at a time, but for a bucket that has more.
+TRANSFORM_BYTES = 2 << 20
+#: Segments that an anchor may have, or one in 2^24 of all bytes if that is more.
 HOT = 20_000
+#: From so many bytes of text on, hot anchors are looked for before any segment is sent; below, once there is one.
+EARLY = 1 << 30
+#: Contexts, chosen by hash, that stand for as many as an anchor may have.
+COUNTED = 64
 #: Ends each segment in a transform; UTF-8 has no such byte.
 END = 255
 #: Stands for a missing doc_id: larger than all others.
@@ -54,8 +60,10 @@ class Scanner:
     def __init__(self, match: int, buckets: int = 1, hot: np.ndarray | None = None) -> None:
         self.buckets, self.hot = buckets, hot
         if hot is not None:
-            self.maybe = np.zeros(1 << 16, bool)
-            self.maybe[(hot & _U(0xFFFF)).astype(np.int64)] = True
+            bits = min(24, max(16, len(hot).bit_length() + 5))
+            self.low = _U((1 << bits) - 1)
+            self.maybe = np.zeros(1 << bits, bool)
+            self.maybe[(hot & self.low).astype(np.int64)] = True
         rng = np.random.default_rng(20)
         base = 0x9E3779B97F4A7C15 | 1
         n = 2 * PIECE + 2 * match
@@ -70,10 +78,11 @@ class Scanner:
         np.cumsum(self.byte[data] * self.power[:n], out=h[1:])
         grams = mix((h[k:] - h[:-k]) * self.inverse[: n - k + 1])
         least, size = (grams & _HIGH) | np.arange(len(grams), dtype=np.uint64), 1  # ties: the leftmost
-        if self.hot is not None:
+        if self.hot is not None and len(self.hot):
             name = _anchor(mix(grams), self.buckets)
-            some = np.flatnonzero(self.maybe[(name & _U(0xFFFF)).astype(np.int64)])
-            least[some[np.isin(name[some], self.hot)]] |= _HIGH
+            some = np.flatnonzero(self.maybe[(name & self.low).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hot, name[some]), len(self.hot) - 1)
+            least[some[self.hot[at] == name[some]]] |= _HIGH
         while 2 * size <= w:
             least = np.minimum(least[:-size], least[size:])
             size *= 2
@@ -90,6 +99,47 @@ class Scanner:
         seg = mix((h[end + self.match - 1] - h[first]) * self.inverse[first] + count.astype(np.uint64))
         return piece, first, count, mix(grams[at[first]]), seg  # the smallest of many aren't spread evenly; mixed again, they are
 
+    def contexts(self, texts: list[bytes], rate: int) -> tuple[np.ndarray, np.ndarray]:
+        """(anchor's name, context hash) of the places whose context's hash is one of the first in ``rate``.
+
+        The context of a place is what all windows over its anchor hold; it tells which of them take
+        that anchor. So no anchor has more segments than contexts, whatever others are given up.
+        """
+        k, reach, parts, held = self.anchor, self.match - self.anchor, [], 0
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.uint64),) * 2]
+
+        def flush() -> None:
+            nonlocal held
+            if parts:
+                lens = np.array([len(p) for p, _, _ in parts])
+                ends = np.cumsum(lens)
+                data = np.frombuffer(b"".join(p for p, _, _ in parts), np.uint8)
+                count = np.array([n for _, _, n in parts])
+                of = np.repeat(np.arange(len(parts)), count)
+                at = np.arange(len(of)) + (ends - lens + np.array([a for _, a, _ in parts]) - np.cumsum(count) + count)[of]
+                h = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum(self.byte[data] * self.power[: len(data)], out=h[1:])
+                low, high = np.maximum(at - reach, (ends - lens)[of]), np.minimum(at + k + reach, ends[of])
+                context = mix((h[high] - h[low]) * self.inverse[low] + (high - low).astype(np.uint64))
+                some = np.flatnonzero((context >> _U(32)) * _U(rate) >> _U(32) == 0)
+                at, context = at[some], context[some]
+                gram = mix((h[at + k] - h[at]) * self.inverse[at])
+                out.append((_anchor(mix(gram), self.buckets), context))
+                parts.clear()
+                held = 0
+
+        for t in texts:
+            if len(t) >= self.match:
+                for a in range(0, len(t) - k + 1, PIECE):
+                    b, start = min(a + PIECE, len(t) - k + 1), max(0, a - reach)
+                    part = t[start : b - 1 + k + reach]
+                    if held + len(part) > 2 * PIECE:
+                        flush()
+                    parts.append((part, a - start, b - a))
+                    held += len(part)
+        flush()
+        return tuple(np.concatenate(x) for x in zip(*out))
+
     def segments(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         """Of all texts: doc (number), start, count (of windows), gram and seg (hashes)."""
         out: dict[str, list] = {k: [] for k in ("doc", "start", "count", "gram", "seg")}
@@ -142,17 +192,38 @@ def _texts(pdf: pd.DataFrame) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
 
 
-def _few(x: np.ndarray, width: int) -> bytes:
-    """The ``width`` low bytes of each 64-bit number."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8)[:, :width].tobytes()
+def _slices(data: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The bytes of the next ``counts`` elements of ``data`` each, in a row."""
+    edge = (np.append(0, np.cumsum(counts)) * data.strides[0]).tolist()
+    flat = data.tobytes()
+    return [flat[a:b] for a, b in zip(edge, edge[1:])]
+
 
+def _joined(parts: pd.Series, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of the parts, and how many each part has."""
+    data = np.frombuffer(b"".join(parts), kind)
+    return data, np.fromiter(map(len, parts), np.int64, len(parts)) // data.itemsize
 
-def _many(data: bytes, n: int, width: int, at: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
+
+def _many(data: np.ndarray) -> np.ndarray:
+    """64-bit numbers of the low bytes in each row."""
+    out = np.zeros((len(data), 8), np.uint8)
+    out[:, : data.shape[1]] = data
     return out.view("<u8").ravel()
 
 
+def _crowded(match: int, buckets: int, rate: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Step 1: places of anchors for one in ``rate`` of all contexts."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scanner = Scanner(match, buckets)
+        for pdf in pdfs:
+            anchor, context = scanner.contexts(_texts(pdf), rate)
+            yield pd.DataFrame({"anchor": anchor.view(np.int64), "context": context.view(np.int64)})
+
+    return run
+
+
 def _sent(match: int, buckets: int, hot: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Step 1, of a shard: each distinct segment once with its smallest document, by bucket."""
 
@@ -174,12 +245,10 @@ def _sent(match: int, buckets: int, hot: Broadcast) -> Callable[[pd.DataFrame],
         low, seg = s["low"][one], s["seg47"][one] << _U(1) | multi.astype(np.uint64)
         base = int(doc.min()) if len(doc) else 0
         wide = 4 if len(doc) and int(doc.max()) - base < 1 << 32 else 8
-        names, cuts = np.unique(bucket, return_index=True)
-        rows = []
-        for b, x in zip(names.tolist(), map(slice, cuts, np.append(cuts[1:], len(bucket)))):
-            head = np.array([x.stop - x.start, wide, base], "<i8").tobytes()
-            rows.append((b, shard, head + _few(low[x], 5) + _few(seg[x], 6) + _few(doc[x] - base, wide)))
-        return pd.DataFrame(rows, columns=["bucket", "shard", "data"])
+        # of each segment 5 bytes of its anchor, 6 of its hash, ``wide`` of its document: no number is cut but zeros
+        data = np.concatenate([np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :n] for x, n in ((low, 5), (seg, 6), (doc - base, wide))], axis=1)
+        names, counts = np.unique(bucket, return_counts=True)
+        return pd.DataFrame({"bucket": names, "shard": shard, "base": base, "wide": wide, "data": _slices(data, counts)})
 
     return run
 
@@ -194,11 +263,13 @@ def _met(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def _meet(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
     bucket, parts = int(pdf["bucket"].iloc[0]), []
-    for data in pdf["data"]:
-        n, wide, base = (int(x) for x in np.frombuffer(data, "<i8", 3))
-        parts.append((_many(data, n, 5, 24), _many(data, n, 6, 24 + 5 * n), _many(data, n, wide, 24 + 11 * n).view(np.int64) + base))
-    low, seg, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    shard = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    pdf = pdf.sort_values("wide", kind="stable")
+    for wide, same in pdf.groupby("wide"):
+        data, n = _joined(same["data"], "u1")
+        data, n = data.reshape(-1, 11 + wide), n // (11 + wide)
+        parts.append((_many(data[:, :5]), _many(data[:, 5:11]), _many(data[:, 11:]).view(np.int64) + np.repeat(same["base"].to_numpy(np.int64), n), n))
+    low, seg, doc, n = (np.concatenate(x) for x in zip(*parts))
+    shard = np.repeat(np.arange(len(pdf)), n)
     order = np.argsort(low)
     first = np.flatnonzero(np.append(True, low[order][1:] != low[order][:-1]))
     several = (np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)) | (np.maximum.reduceat(seg[order] & _U(1), first) > 0)
@@ -212,13 +283,13 @@ def _meet(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
     names, counts = np.unique(low[carry], return_counts=True)
     hot = names[counts > most] | _U(bucket << 40)
     order = np.argsort(shard, kind="stable")
-    cuts, rows = np.searchsorted(shard[order], np.arange(len(parts) + 1)), [(bucket, None, b"", b"", b"", hot.tobytes())] if len(hot) else []
-    for i, name in enumerate(pdf["shard"]):
-        x = order[cuts[i] : cuts[i + 1]]
-        if len(x):
-            asked = x[carry[x]]
-            rows.append((bucket, name, key[x].tobytes(), key[asked].tobytes(), doc[asked].tobytes(), b""))
-    return pd.DataFrame(rows, columns=["bucket", "shard", "keys", "asked", "docs", "hot"]).astype({"shard": "Int64"})
+    key, doc, shard, carry = key[order], doc[order], shard[order], carry[order]
+    n, asked = (np.bincount(x, minlength=len(pdf)) for x in (shard, shard[carry]))
+    some = np.flatnonzero(n)
+    columns = (pdf["shard"].to_numpy()[some].tolist(), _slices(key, n[some]), _slices(key[carry], asked[some]), _slices(doc[carry], asked[some]), [b""] * len(some))
+    if len(hot):
+        columns = tuple([x, *y] for x, y in zip((None, b"", b"", b"", hot.tobytes()), columns))
+    return pd.DataFrame({"bucket": bucket} | dict(zip(("shard", "keys", "asked", "docs", "hot"), columns))).astype({"shard": "Int64"})
 
 
 def transforms(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,22 +358,21 @@ def _transformed(match: int, buckets: int, hot: Broadcast) -> Callable[[pd.DataF
         doc, begin, count, bucket = (s[k][hit] for k in ("doc", "start", "count", "bucket"))
         names, first = np.unique(bucket, return_index=True)
         first = np.append(first, len(bucket))
-        rows = []
-        for k in range(0, len(names), 256):
-            x = slice(first[k], first[min(k + 256, len(names))])
+        held = np.append(0, np.cumsum(count + match))[first]
+        frames, to = [], 0
+        while to < len(names):
+            k, to = to, min(to + 256, max(to + 1, int(np.searchsorted(held, held[to] + TRANSFORM_BYTES, "right")) - 1))
+            x = slice(first[k], first[to])
             strings = [texts[d][a : a + n + match - 1] for d, a, n in zip(doc[x].tolist(), begin[x].tolist(), count[x].tolist())]
-            own = np.searchsorted(names[k : k + 256], bucket[x])
+            own = np.searchsorted(names[k:to], bucket[x])
             order, before, owner = transforms(strings, own)
             # the places of END, last in each transform, tell the order of its strings
             is_end = np.zeros(len(order), bool)
             is_end[np.cumsum([len(y) + 1 for y in strings]) - 1] = True
-            is_end, of = is_end[order], own[owner]
-            cuts = np.searchsorted(of, np.arange(int(own[-1]) + 2))
-            for i, b in enumerate(names[k : k + 256].tolist()):
-                y = slice(cuts[i], cuts[i + 1])
-                mine = x.start + owner[y][is_end[y]]
-                rows.append((b, before[y].tobytes(), wanted[at[mine]].tobytes(), least[at[mine]].tobytes(), count[mine].astype("<u2").tobytes()))
-        return pd.DataFrame(rows, columns=columns)
+            mine, n = x.start + owner[is_end[order]], np.diff(first[k : to + 1])
+            bwt = _slices(before, np.bincount(own[owner], minlength=to - k))
+            frames.append(pd.DataFrame({"bucket": names[k:to], "bwt": bwt} | {c: _slices(y, n) for c, y in (("keys", wanted[at[mine]]), ("docs", least[at[mine]]), ("counts", count[mine].astype("<u2")))}))
+        return pd.concat(frames) if frames else pd.DataFrame([], columns=columns)
 
     return run
 
@@ -360,8 +430,7 @@ def _merged(match: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(sent: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(sent):
             return pd.DataFrame([], columns=["shard", "data"])
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in sent["keys"]])
-        docs = np.concatenate([np.frombuffer(x, np.int64) for x in sent["docs"]])
+        keys, docs = _joined(sent["keys"], "<u8")[0], _joined(sent["docs"], "<i8")[0]
         counts = [np.frombuffer(x, "<u2") for x in sent["counts"]]
         windows = np.concatenate(counts).astype(np.int64)
         base = np.cumsum(windows) - windows
@@ -377,15 +446,13 @@ def _merged(match: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
         run_at, run_doc = (runs - base[owner]).astype(np.uint16), flat[runs]
         run_first = np.searchsorted(owner, np.arange(len(keys) + 1))
         by = np.argsort(keys)
-        rows, ordered = [], keys[by]
-        for shard, mine in zip(known["shard"], known["keys"]):
-            mine = np.frombuffer(mine, np.uint64)
-            x = by[np.searchsorted(ordered, mine)]
-            n = run_first[x + 1] - run_first[x]
-            at = np.repeat(run_first[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            head = np.array([len(mine), len(at)], "<i8").tobytes()
-            rows.append((shard, head + mine.tobytes() + n.astype("<u2").tobytes() + run_at[at].tobytes() + run_doc[at].tobytes()))
-        return pd.DataFrame(rows, columns=["shard", "data"])
+        mine, size = _joined(known["keys"], "<u8")
+        x = by[np.searchsorted(keys[by], mine)]
+        n = run_first[x + 1] - run_first[x]
+        at = np.repeat(run_first[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        runs = np.diff(np.append(0, np.cumsum(n))[np.append(0, np.cumsum(size))])
+        parts = (_slices(np.stack([size, runs], axis=1), np.ones(len(size), np.int64)), _slices(mine, size), _slices(n.astype("<u2"), size), _slices(run_at[at], runs), _slices(run_doc[at], runs))
+        return pd.DataFrame({"shard": known["shard"], "data": list(map(b"".join, zip(*parts)))})
 
     return run
 
@@ -436,6 +503,19 @@ def _removed(match: int, buckets: int, hot: Broadcast) -> Callable[[pd.DataFrame
     return run
 
 
+def _hot(rows: DataFrame, match: int, buckets: int, most: int) -> np.ndarray:
+    """Anchors that may get more than ``most`` segments once others are given up, by name.
+
+    They are those that stand in more than half as many contexts, counted by the contexts whose
+    hash is one of the first. Which are taken changes what lies together, never what is found, and
+    the segments of each anchor are counted in full when they are sent.
+    """
+    rate = max(1, most // COUNTED)
+    seen = rows.select("text").mapInPandas(_crowded(match, buckets, rate), "anchor long, context long").distinct()
+    names = seen.groupBy("anchor").count().filter(F.col("count") * (2 * rate) > most).select("anchor").toPandas()["anchor"]
+    return np.sort(names.to_numpy(np.int64).view(np.uint64))
+
+
 def remove_repeats(docs: DataFrame, *, match: int = 50) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_bytes, begins, ends, kept.
 
@@ -456,17 +536,19 @@ def remove_repeats(docs: DataFrame, *, match: int = 50) -> DataFrame:
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(shards)))
 
     # an anchor with a large part of all segments would fill a bucket: windows then take their next best one
-    most, hot = max(HOT, total >> 24), None
+    most, mark = max(HOT, total >> 24), written()
+    hot = _hot(rows, match, buckets, most) if total >= EARLY else None
     while True:  # ends: each round has new hot anchors, of which there are few
         sent_hot = spark.sparkContext.broadcast(hot)
-        sent = rows.groupBy("shard").applyInPandas(_sent(match, buckets, sent_hot), "bucket int, shard long, data binary")
+        sent = rows.groupBy("shard").applyInPandas(_sent(match, buckets, sent_hot), "bucket int, shard long, base long, wide int, data binary")
         known = cut(sent.groupBy("bucket").applyInPandas(_met(most), "bucket int, shard long, keys binary, asked binary, docs binary, hot binary"))
+        discard(mark)
         release(spark)
         more = [np.frombuffer(r["hot"], np.uint64) for r in known.filter("shard IS NULL").select("hot").collect()]
-        new = np.setdiff1d(np.concatenate(more), [] if hot is None else hot) if more else []
+        new = np.setdiff1d(np.concatenate(more), [] if hot is None else hot).astype(np.uint64) if more else []
         if not len(new):
             break
-        hot = np.union1d(new, [] if hot is None else hot).astype(np.uint64)
+        hot = np.union1d(new, _hot(rows, match, buckets, most) if hot is None else hot)
     known = known.filter("shard IS NOT NULL")
     asked = known.filter("octet_length(asked) > 0").select("shard", "asked", "docs")
     bwts = rows.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_transformed(match, buckets, sent_hot), "bucket int, bwt binary, keys binary, docs binary, counts binary")
